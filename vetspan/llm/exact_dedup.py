@@ -11,8 +11,8 @@ from pyspark.sql import types as T
 from .shared import written
 
 #: The histogram of hash prefixes never has more than 2 ** MAX_DEPTH rows.
-MAX_DEPTH = 12
-BUCKET_CAPACITY = 1_000_000
+MAX_DEPTH = 14
+BUCKET_CAPACITY = 20_000
 #: Repeated texts are found by a broadcast of their keys up to so many keys, beyond that by a shuffled semi-join.
 BROADCAST_KEYS = 200_000
 
@@ -74,8 +74,12 @@ def build_index(keys: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
     counts = {r[0]: r[1] for r in entries.groupBy(_slot(F.col("vs_hash"), MAX_DEPTH)).count().collect()}
     directory = grow_directory(counts, MAX_DEPTH, capacity)
     reach = max(len(directory).bit_length() - 1, 0)
-    slots = F.broadcast(_directory_frame(spark, directory))  # at most 2 ** MAX_DEPTH rows
-    owned = entries.withColumn("slot", _slot(F.col("vs_hash"), reach)).join(slots, "slot").repartitionByRange("bucket", "vs_hash")
+    if reach:
+        slots = F.broadcast(_directory_frame(spark, directory))  # at most 2 ** MAX_DEPTH rows
+        placed = entries.withColumn("slot", _slot(F.col("vs_hash"), reach)).join(slots, "slot")
+    else:
+        placed = entries.withColumns({"slot": F.lit(0), "bucket": F.lit(0), "local_depth": F.lit(0)})
+    owned = placed.repartitionByRange("bucket", "vs_hash")
     chained = owned.selectExpr("*", "row_number() OVER (PARTITION BY bucket, vs_hash ORDER BY vs_sha) AS chain")
     return written(chained.drop("slot").sortWithinPartitions("bucket", "vs_hash", "chain"), "dedup-index")
 

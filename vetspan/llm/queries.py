@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, packing, pseudonyms, repetition
+from . import byte_bpe, exact_dedup, near_dedup, packing, pseudonyms, repetition, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+    labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.held_out())
+    return toxicity.fit(docs, labels)
+
+
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = toxicity.score_documents(docs, toxicity_model(spark, docs, sf_dir))
+    return scored.select("doc_id", toxicity.held_out().alias("held_out"), "score", "predicted", "evidence")
+
+
 def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -40,6 +51,14 @@ def op8_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.repetition_rules(table(spark, sf_dir, "documents"))
 
 
+#: The contract's rule: three-word shingles, similarity of 0.85 or more.
+OP9_RULE = near_dedup.Similarity(words=3, percent=85)
+
+
+def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(table(spark, sf_dir, "documents"), OP9_RULE)
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = exact_dedup.exact_groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -53,9 +72,11 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 
 QUERIES = {
     "op2_packing": op2_packing,
+    "op4_toxicity": op4_toxicity,
     "op5_pseudonyms": op5_pseudonyms,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_repetition": op8_repetition,
+    "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
 SQL = {"op10_exact_dedup": OP10_SQL}

@@ -5,13 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, exact_dedup, near_dedup, packing, pseudonyms, repetition, toxicity
+from . import byte_bpe, chat_format, exact_dedup, licences, near_dedup, packing, pseudonyms, repetition, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as files of a tree source/id div 1000/id div 50; the first id of a thousand or fifty is the LICENSE file of that directory."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    top, group = (F.expr(f"CAST(doc_id DIV {n} AS STRING)") for n in (1000, 50))
+    place = F.when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", top, F.lit("LICENSE"))).when(F.col("doc_id") % 50 == 0, F.concat_ws("/", top, group, F.lit("LICENSE"))).otherwise(F.concat_ws("/", top, group, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
+    tree = docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("-")), place))
+    found = licences.inherit_licences(licences.scan_licences(tree).drop("text"))
+    return found.select("doc_id", "path", "own_licence", "own_cosine", "own_line", "licence", "licence_from", "licence_directory")
+
+
 def tokenizer_file(name: str) -> str:
     import public_tokenizers
 
@@ -23,6 +33,14 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = warc.write_bundles(table(spark, sf_dir, "pages"))
+    records = warc.read_bundles(index)
+    digest = F.when(F.col("record_type") == "response", F.sha2("payload", 256)).otherwise(F.col("header_digest"))
+    size = F.when(F.col("record_type") == "response", F.octet_length("payload").cast("long")).otherwise(F.col("payload_bytes"))
+    return records.select(F.col("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
+
+
 def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.held_out())
     return toxicity.fit(docs, labels)
@@ -38,6 +56,18 @@ def op5_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pseudonyms.pseudonymise(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and conversation -7, whose texts look like marks of a template."""
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    mark = "</s>[INST] ok [/INST]"
+    extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(mark).alias("text"))
+    kinds = dict(rows.dtypes)
+    extra = extra.select([F.col(c).cast(kinds[c]) for c in rows.columns])
+    read = chat_format.read_conversations(chat_format.format_conversations(rows.unionByName(extra)))
+    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -71,9 +101,12 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 QUERIES = {
+    "op1_licences": op1_licences,
     "op2_packing": op2_packing,
+    "op3_warc": op3_warc,
     "op4_toxicity": op4_toxicity,
     "op5_pseudonyms": op5_pseudonyms,
+    "op6_chat_format": op6_chat_format,
     "op7_byte_bpe": op7_byte_bpe,
     "op8_repetition": op8_repetition,
     "op9_near_dedup": op9_near_dedup,

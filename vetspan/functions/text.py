@@ -126,8 +126,18 @@ def smtp_identity(text: Column) -> Column:
 
 def byte_truncated(text: Column, limit: int) -> Column:
     """At most `limit` bytes, cut before a character that doesn't fit."""
-    raw = F.substring(F.encode(text, "UTF-8"), 1, limit)
-    return F.when(F.octet_length(text) <= limit, text).otherwise(F.regexp_replace(F.make_valid_utf8(F.decode(raw, "UTF-8")), r"\x{FFFD}+$", ""))
+    raw = F.encode(text, "UTF-8")
+    following = F.conv(F.hex(F.substring(raw, limit + 1, 1)), 16, 10).cast("int")
+    # the character that holds byte limit + 1 starts at most three bytes before it
+    back = F.lit(0)
+    for n in (3, 2, 1):
+        lead = F.conv(F.hex(F.substring(raw, limit + 1 - n, 1)), 16, 10).cast("int")
+        inside = F.lit(True)
+        for m in range(n - 1):
+            inside = inside & F.conv(F.hex(F.substring(raw, limit - m, 1)), 16, 10).cast("int").between(0x80, 0xBF)
+        back = F.when((lead >= 0xC0) & inside, n).otherwise(back)
+    cut = F.when(following.between(0x80, 0xBF), F.lit(limit) - back).otherwise(F.lit(limit))
+    return F.when(F.octet_length(text) <= limit, text).otherwise(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"))
 
 
 def urls(text: Column) -> Column:

@@ -41,7 +41,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 24 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut batches so that a slice holds at most `limit` text bytes (or one text); nulls become empty texts."""
     for batch in batches:
         texts = pc.fill_null(batch.column(column), "")

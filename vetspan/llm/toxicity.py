@@ -24,7 +24,7 @@ class ToxicitySettings:
     #: Labelled rows that the model is fitted on, per class, at most; taken in the order of a hash of their id.
     examples: int = 2000
     #: Terms of the index, at most: those that tell the classes of the examples apart best.
-    terms: int = 4096
+    terms: int = 2048
     #: Least examples with a term, and least chi-square statistic of its presence against the label.
     least_documents: int = 3
     least_chi_square: float = 15.0
@@ -57,51 +57,59 @@ def term_counts(texts: pa.Array, vocab: pa.Array | None) -> tuple[np.ndarray, np
 
 @dataclass
 class BlockMaxIndex:
-    """Postings of each term by block of examples, with the largest weight of every term in every block."""
+    """Postings of each term by block of examples, with the largest weight of every term in every block.
 
-    weights: np.ndarray  # of all postings, sorted by term and then example
-    examples: np.ndarray
-    spans: np.ndarray  # [term, block]: first posting of the term in the block; one more column ends the last
+    A term's postings in a block are one tile of `block` weights; cells without postings share tile 0.
+    """
+
+    tiles: np.ndarray  # [tile, place in the block]
+    cells: np.ndarray  # [term, block]: number of the tile
     largest: np.ndarray  # [term, block]
     n: int
-    block: int
 
     @classmethod
     def build(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int) -> BlockMaxIndex:
-        order = np.lexsort((rows, terms))
-        rows, terms, weights = rows[order], terms[order], weights[order]
         blocks = max(-(-n // block), 1)
-        cells = terms * blocks + rows // block
-        spans = np.searchsorted(cells, np.arange(n_terms * blocks + 1))
-        largest = np.zeros(n_terms * blocks)
-        np.maximum.at(largest, cells, weights)
-        at = np.arange(n_terms)[:, None] * blocks + np.arange(blocks + 1)
-        return cls(weights, rows, spans[at], largest.reshape(n_terms, blocks), n, block)
+        used, tile = np.unique(terms * blocks + rows // block, return_inverse=True)
+        tiles = np.zeros((len(used) + 1, block))
+        tiles[tile + 1, rows % block] = weights
+        cells = np.zeros(n_terms * blocks, np.int32)
+        cells[used] = np.arange(1, len(used) + 1)
+        largest = tiles.max(axis=1)[cells]
+        return cls(tiles, cells.reshape(n_terms, blocks), largest.reshape(n_terms, blocks), n)
 
     def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """The k examples of the largest positive dot product (ties: the smaller example), exactly.
 
-        Blocks are opened in the order of their bounds until no bound reaches the k-th best so far.
+        The blocks of the highest bounds are opened first; then those whose bound still reaches the
+        k-th best product. All other blocks can't hold a nearer example.
         """
+        block = self.tiles.shape[1]
         bounds = weights @ self.largest[terms]
+        first = max(-(-2 * k // block), 2)
+
+        def opened(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            sums = np.tensordot(weights, self.tiles[self.cells[terms[:, None], blocks]], 1).ravel()
+            examples = (blocks[:, None] * block + np.arange(block)).ravel()
+            live = (sums > 0) & (examples != skip)
+            return examples[live], sums[live]
+
         order = np.argsort(-bounds, kind="stable")
-        best_e, best_s = np.zeros(0, np.int64), np.zeros(0)
-        for b in order:
-            if bounds[b] <= 0 or (len(best_s) >= k and bounds[b] < best_s[k - 1] - 1e-12):
-                break
-            sums = np.zeros(self.block)
-            for t, w in zip(terms, weights, strict=True):
-                lo, hi = self.spans[t, b], self.spans[t, b + 1]
-                if hi > lo:
-                    sums[self.examples[lo:hi] - b * self.block] += w * self.weights[lo:hi]
-            found = np.flatnonzero(sums > 0)
-            own = found + b * self.block
-            if skip >= 0:
-                found, own = found[own != skip], own[own != skip]
-            best_e, best_s = np.concatenate((best_e, own)), np.concatenate((best_s, sums[found]))
-            keep = np.lexsort((best_e, -best_s))[:k]
-            best_e, best_s = best_e[keep], best_s[keep]
-        return best_e, best_s
+        examples, sums = opened(order[:first])
+        least = np.partition(sums, len(sums) - k)[len(sums) - k] - 1e-12 if len(sums) >= k else 0.0
+        more = order[first:]
+        more = more[(bounds[more] >= least) & (bounds[more] > 0)]
+        if len(more):
+            others, products = opened(more)
+            examples, sums = np.concatenate((examples, others)), np.concatenate((sums, products))
+        keep = np.lexsort((examples, -sums))[:k] if len(sums) <= 256 else self._largest(examples, sums, k)
+        return examples[keep], sums[keep]
+
+    @staticmethod
+    def _largest(examples: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
+        edge = np.partition(sums, len(sums) - k)[len(sums) - k]
+        some = np.flatnonzero(sums >= edge)
+        return some[np.lexsort((examples[some], -sums[some]))[:k]]
 
 
 @dataclass
@@ -134,17 +142,21 @@ class ToxicityModel:
         vote = min(max(vote, 1e-6), 1 - 1e-6)
         return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift))))
 
-    def score(self, texts: pa.Array) -> Iterator[tuple[float, list[dict]]]:
-        """(score, evidence) of each text."""
+    def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Scores of the texts, and their neighbours: how many each has, and all examples and similarities end to end."""
         rows, terms, weights = self.vectors(texts)
-        bounds = np.searchsorted(rows, np.arange(len(texts) + 1))
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        bounds = np.searchsorted(rows, np.arange(len(texts) + 1)).tolist()
+        scores, counts = np.full(len(texts), self.empty), np.zeros(len(texts), np.int64)
+        examples, similar = [], []
+        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
             if a == b or self.index is None:
-                yield self.empty, []
                 continue
             near, similarity = self.index.nearest(terms[a:b], weights[a:b], self.settings.neighbours)
-            evidence = [{"example_id": self.ids[e], "label": int(self.labels[e]), "similarity": float(s)} for e, s in zip(near, similarity, strict=True)]
-            yield self.calibrated(self.vote(near, similarity)), evidence
+            scores[i] = self.calibrated(self.vote(near, similarity))
+            counts[i] = len(near)
+            examples.append(near)
+            similar.append(similarity)
+        return scores, counts, np.concatenate([np.zeros(0, np.int64), *examples]), np.concatenate([np.zeros(0), *similar])
 
 
 def _platt(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -265,14 +277,15 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     added = [T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType()), T.StructField(f"{prefix}evidence", evidence)]
     schema = T.StructType([*[f for f in docs.schema if f.name not in {a.name for a in added}], *added])
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kind = pa.list_(pa.struct([("example_id", pa.int64()), ("label", pa.int32()), ("similarity", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shared.value
+        ids = np.array(own.ids, np.int64)
         for batch, texts in text_slices(batches, text_col):
-            found = list(own.score(texts))
-            scores = np.array([s for s, _ in found])
-            new = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), pa.array([e for _, e in found], kind)]
+            scores, counts, examples, similar = own.score(texts)
+            facts = pa.StructArray.from_arrays([pa.array(ids[examples] if len(ids) else examples), pa.array(own.labels[examples].astype(np.int32) if len(ids) else examples.astype(np.int32)), pa.array(similar)], ["example_id", "label", "similarity"])
+            told = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), facts)
+            new = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), told]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in schema[: -len(added)]], *new], schema.names)
 
     return docs.select(schema.names[: -len(added)]).mapInArrow(run, schema)

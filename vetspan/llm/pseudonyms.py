@@ -145,7 +145,7 @@ def kind_of(m: Column) -> Column:
         .when(full["date"] & _day(m).between(0, DATE_A * DATE_B - 1), F.lit("date"))
         .when(full["ip"] & F.forall(octets, lambda o: o.cast("int") <= 255) & F.forall(octets, lambda o: o == o.cast("int").cast("string")), F.lit("ip"))
         .when(full["phone"], F.lit("phone"))
-        .when(F.regexp_like(m, F.lit("^[A-Za-z0-9]{6,64}$")) & ~F.regexp_like(m, F.lit(r"^\d+$")), F.lit("secret"))
+        .when(~full["iban"] & F.regexp_like(m, F.lit("^[A-Za-z0-9]{6,64}$")) & ~F.regexp_like(m, F.lit(r"^\d+$")), F.lit("secret"))
     )
 
 

@@ -13,11 +13,11 @@ from .carriers import DAY, EVENTS_NOW, ORDERS_NOW, sql
 QUERIES, SQL = {}, {}
 
 
-def query(name: str, words: str | None = None):
+def query(name: str, duck: str | None = None):
     def add(fn):
         QUERIES[name] = fn
-        if words:
-            SQL[name] = words
+        if duck:
+            SQL[name] = duck
         return fn
 
     return add
@@ -30,8 +30,16 @@ def docs(spark, sf_dir, **columns):
 
 #: A text with controls, padding and tags mixed in, the same in Spark and DuckDB.
 DIRTY = "concat(text, chr(13), chr(10), ' <Visible>', lang, '</visible > ', repeat(chr(8203), 40), chr(9), chr(10), chr(10), chr(10), '*x* [y](z)')"
-T = F.col("text")
-DIRTY_SPARK = F.concat(T, F.lit("\r\n <Visible>"), F.col("lang"), F.lit("</visible > " + "​" * 40 + "\t\n\n\n*x* [y](z)"))
+
+
+def words():
+    return F.col("text")
+
+
+def dirty():
+    return F.concat(words(), F.lit("\r\n <Visible>"), F.col("lang"), F.lit("</visible > " + "\u200b" * 40 + "\t\n\n\n*x* [y](z)"))
+
+
 WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 
@@ -44,7 +52,7 @@ FLAT = sub(sub(DIRTY, r"\p{Cc}", " "), f"[{WS}]+", " ")
 
 @query("x1_single_line", f"SELECT doc_id, md5(CASE WHEN length(t) > 200 THEN concat(left(t, 200), '…') ELSE t END) AS line FROM (SELECT doc_id, trim({FLAT}) AS t FROM documents)")
 def x1(spark, sf_dir):
-    return docs(spark, sf_dir, line=F.md5(text.single_line(DIRTY_SPARK, 200)))
+    return docs(spark, sf_dir, line=F.md5(text.single_line(dirty(), 200)))
 
 
 @query("x2_reasons", f"SELECT doc_id, md5(concat(trim({sub('lang', ' +', ' ')}), '; ', trim({sub('source', ' +', ' ')}))) AS reasons FROM documents")
@@ -58,7 +66,7 @@ SPACED = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_re
 
 @query("x3_normalised_space", f"SELECT doc_id, md5({SPACED}) AS t, length({SPACED}) AS n FROM documents")
 def x3(spark, sf_dir):
-    out = text.normalised_space(DIRTY_SPARK)
+    out = text.normalised_space(dirty())
     return docs(spark, sf_dir, t=F.md5(out), n=F.length(out).cast("long"))
 
 
@@ -69,32 +77,32 @@ def x4(spark, sf_dir):
 
 @query("x5_x6_x8_body_text", "SELECT doc_id, md5(concat(text, chr(13), chr(10), ' ', lang, ' ', repeat(chr(8203), 7), '*x* [y](z)')) AS t FROM documents")
 def x5(spark, sf_dir):
-    return docs(spark, sf_dir, t=F.md5(text.body_text(DIRTY_SPARK)))
+    return docs(spark, sf_dir, t=F.md5(text.body_text(dirty())))
 
 
 @query("x9_confident_characters", "SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\\r\\n?', chr(10), 'g'), '[ \\t\\f]+', ' ', 'g'), ' ?\\n ?', chr(10), 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n]+|[ \\n]+$', '', 'g')) AS n FROM documents")
 def x9(spark, sf_dir):
-    return docs(spark, sf_dir, n=text.confident_characters(T))
+    return docs(spark, sf_dir, n=text.confident_characters(words()))
 
 
 @query("x10_format_characters", f"SELECT doc_id, md5({sub(sub(DIRTY, chr(92) + 'p{Cf}|' + chr(92) + 'x{034F}', ''), ' {2,}', ' ')}) AS t FROM documents")
 def x10(spark, sf_dir):
-    return docs(spark, sf_dir, t=F.md5(text.without_format_characters(DIRTY_SPARK)))
+    return docs(spark, sf_dir, t=F.md5(text.without_format_characters(dirty())))
 
 
 @query("x12_ascii_space", f"SELECT doc_id, md5({sub(DIRTY, '[ \\t\\n\\f\\r]+', ' ')}) AS t FROM documents")
 def x12(spark, sf_dir):
-    return docs(spark, sf_dir, t=F.md5(text.ascii_space_folded(DIRTY_SPARK)))
+    return docs(spark, sf_dir, t=F.md5(text.ascii_space_folded(dirty())))
 
 
 @query("x13_x15_truncated", "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN concat(left(text, 500), chr(10), '[truncated]') ELSE text END) AS t FROM documents")
 def x13(spark, sf_dir):
-    return docs(spark, sf_dir, t=F.md5(text.truncated(T, 500)))
+    return docs(spark, sf_dir, t=F.md5(text.truncated(words(), 500)))
 
 
 @query("x16_x17_x18_header_values", f"SELECT doc_id, md5(translate({DIRTY}, chr(13) || chr(10), '  ')) AS header, md5(left(trim({sub(DIRTY, chr(92) + 'p{Cc}', '')}), 255)) AS connection FROM documents")
 def x16(spark, sf_dir):
-    return docs(spark, sf_dir, header=F.md5(text.header_value(DIRTY_SPARK)), connection=F.md5(text.connection_value(DIRTY_SPARK)))
+    return docs(spark, sf_dir, header=F.md5(text.header_value(dirty())), connection=F.md5(text.connection_value(dirty())))
 
 
 @query("x19_canonical_header", "SELECT doc_id, concat(upper(left(lang, 1)), substr(lang, 2), '-', upper(left(source, 1)), substr(source, 2), '-Id') AS name FROM documents")
@@ -104,18 +112,18 @@ def x19(spark, sf_dir):
 
 @query("x20_l11_markdown", r"SELECT doc_id, md5(regexp_replace(text || '*x* [y](z)', '([\\\[\]()*_`<>])', '\\\1', 'g')) AS label, replace(replace(replace(concat('a b(', lang, ')<'), ' ', '%20'), '(', '%28'), ')', '%29').replace('<', '%3C') AS url FROM documents")
 def x20(spark, sf_dir):
-    return docs(spark, sf_dir, label=F.md5(text.markdown_escaped(F.concat(T, F.lit("*x* [y](z)")))), url=text.markdown_url(F.concat(F.lit("a b("), F.col("lang"), F.lit(")<"))))
+    return docs(spark, sf_dir, label=F.md5(text.markdown_escaped(F.concat(words(), F.lit("*x* [y](z)")))), url=text.markdown_url(F.concat(F.lit("a b("), F.col("lang"), F.lit(")<"))))
 
 
 @query("x21_byte_truncated", "SELECT doc_id, length(t) <= 100 AS short, starts_with(text, t) AS prefix FROM (SELECT doc_id, text, left(text, 100) AS t FROM documents)")
 def x21(spark, sf_dir):
-    cut = text.byte_truncated(T, 100)
-    return docs(spark, sf_dir, short=F.octet_length(cut) <= 100, prefix=F.startswith(T, cut))
+    cut = text.byte_truncated(words(), 100)
+    return docs(spark, sf_dir, short=F.octet_length(cut) <= 100, prefix=F.startswith(words(), cut))
 
 
 @query("x23_joined_parts", "SELECT doc_id, md5(concat(text, chr(10), chr(10), lang)) AS t FROM documents WHERE text <> '' AND lang <> ''")
 def x23(spark, sf_dir):
-    return c.table(spark, sf_dir, "documents").filter("text <> '' AND lang <> ''").select("doc_id", F.md5(text.joined_parts(F.array(T, F.lit(""), F.col("lang")))).alias("t"))
+    return c.table(spark, sf_dir, "documents").filter("text <> '' AND lang <> ''").select("doc_id", F.md5(text.joined_parts(F.array(words(), F.lit(""), F.col("lang")))).alias("t"))
 
 
 @query("x24_comment_summary", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('HTML comments: ', doc_id % 4, ' characters (', CAST(round(100.0 * (doc_id % 4) / greatest(n_chars, 1)) AS INT), '% of the body), 1 inside words.') END AS t FROM documents")
@@ -131,7 +139,7 @@ def x25(spark, sf_dir):
 
 @query("x26_command_lines", "SELECT doc_id, CAST(len(l) AS BIGINT) AS n, md5(array_to_string(l, '|')) AS t FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)")
 def x26(spark, sf_dir):
-    found = text.lines(T)
+    found = text.lines(words())
     return docs(spark, sf_dir, n=F.size(found).cast("long"), t=F.md5(F.array_join(found, "|")))
 
 
@@ -170,7 +178,7 @@ def d2(spark, sf_dir):
 
 @query("d4_dns_names", "SELECT doc_id, regexp_matches(w, '^[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?(\\.[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?)*$') AS ok FROM (SELECT doc_id, left(string_split(text, ' ')[1], 80) AS w FROM documents WHERE text <> '')")
 def d4(spark, sf_dir):
-    word = F.left(F.get(F.split(T, " "), F.lit(0)), F.lit(80))
+    word = F.left(F.get(F.split(words(), " "), F.lit(0)), F.lit(80))
     return c.table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", addresses.is_dns_name(word).alias("ok"))
 
 
@@ -270,7 +278,7 @@ KIND = "CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN '4d5a9000' WHEN 1 THEN '7f454c4
 
 @query("at9_at12_signatures", "SELECT doc_id, CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN 'pe' WHEN 1 THEN 'elf' WHEN 2 THEN 'mach-o' END AS program, CASE CAST(doc_id % 8 AS INT) WHEN 3 THEN 'zip' WHEN 4 THEN 'gzip' WHEN 5 THEN 'bzip2' ELSE CASE WHEN lang = 'fr' THEN 'tar' END END AS archive, CASE CAST(doc_id % 8 AS INT) WHEN 6 THEN 'python3' WHEN 7 THEN 'sh' END AS script FROM documents")
 def at9(spark, sf_dir):
-    content = F.concat(F.unhex(F.expr(KIND)), F.encode(F.left(T, F.lit(50)), "UTF-8"))
+    content = F.concat(F.unhex(F.expr(KIND)), F.encode(F.left(words(), F.lit(50)), "UTF-8"))
     name = F.when(F.col("lang") == "fr", "x.TAR").otherwise("x.txt")
     return docs(spark, sf_dir, program=numbers.executable_format(content), archive=numbers.archive_format(content, name), script=numbers.script_interpreter(content))
 

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import byte_bpe, chat_format, exact_dedup, licences, near_dedup, packing, pseudonyms, repetition, toxicity, warc
+from .shared import written
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,7 +19,8 @@ def op1_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
     top, group = (F.expr(f"CAST(doc_id DIV {n} AS STRING)") for n in (1000, 50))
     place = F.when(F.col("doc_id") % 1000 == 0, F.concat_ws("/", top, F.lit("LICENSE"))).when(F.col("doc_id") % 50 == 0, F.concat_ws("/", top, group, F.lit("LICENSE"))).otherwise(F.concat_ws("/", top, group, F.concat(F.col("doc_id").cast("string"), F.lit(".txt"))))
     tree = docs.withColumn("path", F.concat_ws("/", F.coalesce("source", F.lit("-")), place))
-    found = licences.inherit_licences(licences.scan_licences(tree).drop("text"))
+    scanned = written(licences.scan_licences(tree).drop("text"), "licence-scan")  # read three times
+    found = licences.inherit_licences(scanned)
     return found.select("doc_id", "path", "own_licence", "own_cosine", "own_line", "licence", "licence_from", "licence_directory")
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import heapq
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -14,13 +15,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import spread, text_slices
+from .shared import small_batches, spread, text_slices
 
 #: Fixed value: white space as Unicode has it, which the splitting pattern's \s means.
 WHITE = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 #: A space before other white space belongs to a longer run; such texts are split whole.
 RUNS = f" [{WHITE}]"
 NO_RANK = np.int32(2**31 - 1)
+#: Text bytes whose distinct words are replayed together.
+SLICE_BYTES = 4 << 20
 
 
 class Vocabulary:
@@ -33,10 +36,7 @@ class Vocabulary:
         tokens = [b""] * self.size
         for token, rank in ranks.items():
             tokens[rank] = token
-        self.ranks = ranks
-        self.bytes = np.frombuffer(b"".join(tokens), np.uint8)
-        self.lengths = np.array([len(t) for t in tokens], np.int64)
-        self.starts = np.cumsum(self.lengths) - self.lengths
+        self.ranks, self.tokens = ranks, tokens
         self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int32)
         found = [(ranks[t[:k]] * self.size + ranks[t[k:]], r) for t, r in ranks.items() for k in range(1, len(t)) if t[:k] in ranks and t[k:] in ranks]
         found.sort()
@@ -76,17 +76,18 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
     n = int(lengths.sum())
     ends = np.cumsum(lengths)
     symbol = np.append(vocab.of_byte[np.frombuffer(b"".join(words), np.uint8)], np.int32(-1))
-    after = np.arange(1, n + 2, dtype=np.int64)
-    before = np.arange(-1, n, dtype=np.int64)
+    after = np.arange(1, n + 2, dtype=np.int32)
+    before = np.arange(-1, n, dtype=np.int32)
     full = lengths > 0
     after[ends[full] - 1] = n
     before[(ends - lengths)[full]] = n
     rank = np.full(n + 1, NO_RANK, np.int32)
-    pairs = np.flatnonzero(after[:n] != n)
+    pairs = np.flatnonzero(after[:n] != n).astype(np.int32)
     first = np.repeat(np.arange(256, dtype=np.int32), 256)
     table = vocab.merged(vocab.of_byte[first], vocab.of_byte[np.tile(np.arange(256), 256)])
-    raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int64)
+    raw = np.frombuffer(b"".join(words), np.uint8).astype(np.int32)
     rank[pairs] = table[raw[pairs] * 256 + raw[pairs + 1]] if n else NO_RANK
+    del raw
     index: dict[int, list[np.ndarray]] = {}
     heap: list[int] = []
 
@@ -122,7 +123,7 @@ def replay(words: list[bytes], vocab: Vocabulary) -> tuple[np.ndarray, np.ndarra
                 if p != last:
                     keep.append(p)
                     last = q
-            at = np.array(keep, np.int64)
+            at = np.array(keep, np.int32)
             right = after[at]
         beyond = after[right]
         symbol[at] = r
@@ -168,36 +169,62 @@ def _white() -> str:
     return regex.sub(r"\\x\{(\w+)\}", lambda m: f"\\u{int(m[1], 16):04x}", WHITE)
 
 
-def encode_texts(texts: pa.Array, vocab: Vocabulary, pattern: str) -> tuple[np.ndarray, np.ndarray]:
-    """Token ids of all texts, end to end, and the number of tokens of each text."""
+def _by_string(texts: pa.Array, vocab: Vocabulary, pattern: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Ids of the distinct strings that the texts are made of, where each string's ids start and how many they are, and for
+    all texts end to end the numbers of their strings, and how many strings each text has."""
     # a space before a character that isn't white space always begins a match, so texts are cut there and distinct pieces matched once
     runs = pc.match_substring_regex(texts, RUNS).to_numpy(zero_copy_only=False)
-    pieces = pc.split_pattern(pc.if_else(pa.array(~runs), texts, ""), " ")
-    sizes = np.diff(pieces.offsets.to_numpy())
+    pieces = pc.split_pattern(pc.if_else(pa.array(~runs), texts, "") if runs.any() else texts, " ")
+    sizes = np.diff(pieces.offsets.to_numpy()).astype(np.int64)
     coded = pieces.flatten().dictionary_encode()
-    codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-    spaced = np.ones(len(codes), np.int64)
-    spaced[np.cumsum(sizes) - sizes] = 0
-    kinds, occurrences = np.unique(codes * 2 + spaced, return_inverse=True)
+    del pieces
     names = coded.dictionary.to_pylist()
+    codes = coded.indices.to_numpy(zero_copy_only=False) * np.int32(2) + np.int32(1)
+    del coded
+    firsts = np.cumsum(sizes) - sizes
+    codes[firsts] -= 1  # the first piece of a text has no space before it
+    used = np.zeros(2 * len(names), bool)
+    used[codes] = True
+    kinds = np.flatnonzero(used)
+    number = np.cumsum(used, dtype=np.int32) - np.int32(1)
+    occurrences = number[codes]
+    del codes, used, number
     whole = np.flatnonzero(runs)
     strings = [(" " if k & 1 else "") + names[k >> 1] for k in kinds.tolist()] + [texts[int(i)].as_py() for i in whole]
+    del names
+    # texts with runs have one empty piece, which their whole string replaces
+    occurrences[firsts[whole]] = len(kinds) + np.arange(len(whole))
     find, words = _splitter(pattern).findall, {}
-    lists = [[words.setdefault(w, len(words)) for w in find(s)] for s in strings]
+    flat, word_counts = array("i"), array("i")
+    for string in strings:
+        found = find(string)
+        word_counts.append(len(found))
+        for w in found:
+            flat.append(words.setdefault(w, len(words)))
+    del strings
     ids, counts = replay([w.encode() for w in words], vocab)
     starts = np.cumsum(counts) - counts
-    word_counts = np.array([len(x) for x in lists], np.int64)
-    flat = np.fromiter((w for x in lists for w in x), np.int64, int(word_counts.sum()))
-    ids = ids[spread(starts[flat], counts[flat])]  # now by string
-    per_string = np.add.reduceat(np.append(counts[flat], 0), np.append(0, np.cumsum(word_counts)[:-1])) if len(lists) else np.zeros(0, np.int64)
-    per_string[word_counts == 0] = 0
-    string_starts = np.cumsum(per_string) - per_string
-    # texts with runs have one empty piece, which their whole string replaces
-    occurrences = occurrences.astype(np.int64)
-    occurrences[(np.cumsum(sizes) - sizes)[whole]] = len(kinds) + np.arange(len(whole))
-    out = ids[spread(string_starts[occurrences], per_string[occurrences])]
-    totals = np.add.reduceat(np.append(per_string[occurrences], 0), np.cumsum(sizes) - sizes) if len(sizes) else np.zeros(0, np.int64)
-    return out, totals
+    flat, word_counts = np.frombuffer(flat, np.int32), np.frombuffer(word_counts, np.int32).astype(np.int64)
+    ids = ids[spread(starts[flat], counts[flat])]
+    sums = np.append(0, np.cumsum(counts[flat]))
+    ends = np.append(0, np.cumsum(word_counts))
+    return ids, sums[ends[:-1]], np.diff(sums[ends]), occurrences, sizes
+
+
+def encode_chunks(texts: pa.Array, vocab: Vocabulary, pattern: str, rows: int = 512) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(first text, token ids end to end, number of tokens of each) for so many texts after another."""
+    ids, starts, counts, occurrences, sizes = _by_string(texts, vocab, pattern)
+    ends = np.append(0, np.cumsum(sizes))
+    for at in range(0, len(texts), rows):
+        own = occurrences[ends[at] : ends[min(at + rows, len(texts))]]
+        per = np.append(0, np.cumsum(counts[own]))[ends[at : at + rows + 1] - ends[at]]
+        yield at, ids[spread(starts[own], counts[own])], np.diff(per)
+
+
+def encode_texts(texts: pa.Array, vocab: Vocabulary, pattern: str) -> tuple[np.ndarray, np.ndarray]:
+    """Token ids of all texts, end to end, and the number of tokens of each text."""
+    parts = list(encode_chunks(texts, vocab, pattern))
+    return np.concatenate([np.zeros(0, np.int32), *[p[1] for p in parts]]), np.concatenate([np.zeros(0, np.int64), *[p[2] for p in parts]])
 
 
 def binary_rows(data: np.ndarray, lengths: np.ndarray) -> pa.Array:
@@ -218,12 +245,12 @@ def encode_documents(docs: DataFrame, ranks_path: str, pattern: str, id_col: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(ranks_path)
-        for batch, texts in text_slices(batches, text_col):
-            ids, counts = encode_texts(texts, vocab, pattern)
-            data = binary_rows(ids.astype("<u4").view(np.uint8), counts * 4)
-            yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(counts, pa.int64()), data.cast(pa.binary())], [id_col, "n_tokens", "ids"])
+        for batch, texts in text_slices(batches, text_col, SLICE_BYTES):
+            for at, ids, counts in encode_chunks(texts, vocab, pattern):
+                data = binary_rows(ids.astype("<u4").view(np.uint8), counts * 4)
+                yield pa.RecordBatch.from_arrays([batch.column(id_col).slice(at, len(counts)), pa.array(counts, pa.int64()), data.cast(pa.binary())], [id_col, "n_tokens", "ids"])
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
@@ -231,17 +258,12 @@ def decode_documents(encoded: DataFrame, ranks_path: str, ids_col: str = "ids",
     schema = T.StructType([*[f for f in encoded.schema if f.name != out_col], T.StructField(out_col, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(ranks_path)
+        token = vocabulary(ranks_path).tokens.__getitem__
+        names = [f.name for f in schema][:-1]
         for batch in batches:
-            column = batch.column(ids_col)
-            filled = pc.fill_null(column, b"")
-            ids = np.frombuffer(b"".join(filled.to_pylist()), "<u4").astype(np.int64)
-            counts = pc.binary_length(filled).to_numpy(zero_copy_only=False).astype(np.int64) // 4
-            lengths = vocab.lengths[ids]
-            per_row = np.append(0, np.cumsum(lengths))[np.append(0, np.cumsum(counts))]
-            data = binary_rows(vocab.bytes[spread(vocab.starts[ids], lengths)], np.diff(per_row)).cast(pa.binary())
-            data = pc.if_else(column.is_valid(), data, None)
-            names = [f.name for f in schema][:-1]
-            yield pa.RecordBatch.from_arrays([*[batch.column(x) for x in names], data], [*names, out_col])
-
-    return encoded.mapInArrow(run, schema)
+            for at in range(0, batch.num_rows, 512):
+                part = batch.slice(at, 512)
+                texts = [None if x is None else b"".join(map(token, np.frombuffer(x, "<u4").tolist())) for x in part.column(ids_col).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*[part.column(x) for x in names], pa.array(texts, pa.binary())], [*names, out_col])
+
+    return small_batches(encoded).mapInArrow(run, schema)

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .shared import small_batches
+
 
 @dataclass(frozen=True)
 class Turn:
@@ -108,7 +110,7 @@ def format_conversations(rows: DataFrame, template: Template = Template()) -> Da
                 wrong.append(first)
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(formatted, pa.string()), pa.array(segments, kind), pa.array([w < 0 for w in wrong], pa.bool_()), pa.array([None if w < 0 else w for w in wrong], pa.int32())], schema.names)
 
-    return plain.mapInArrow(run, schema)
+    return small_batches(plain).mapInArrow(run, schema)
 
 
 def read_conversations(formatted: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
@@ -126,4 +128,4 @@ def read_conversations(formatted: DataFrame, template: Template = Template()) ->
                 loss.append("".join(template.unescaped(text[s["start"] : s["start"] + s["length"]]) for s in segments if s["loss"]))
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(found, kind), pa.array(loss, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
-    return formatted.select("conv_id", "formatted", "segments").mapInArrow(run, schema)
+    return small_batches(formatted.select("conv_id", "formatted", "segments")).mapInArrow(run, schema)

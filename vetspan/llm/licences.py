@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import text_slices
+from .shared import small_batches, text_slices
 
 #: Short notices and file headers by SPDX identifier.
 TEMPLATES = (
@@ -85,7 +85,7 @@ def term_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(sums[some], total), pa.int64())], ["term", "n"])
 
-    counts = {r[0]: r[1] for r in docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most a row per template term
+    counts = {r[0]: r[1] for r in small_batches(docs.select(text_col)).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}  # at most a row per template term
     return counts.get(-1, 0), {w: counts.get(i, 0) for i, w in enumerate(TERMS)}
 
 
@@ -145,7 +145,7 @@ def scan_licences(docs: DataFrame, text_col: str = "text", settings: LicenceSett
             columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *columns], schema.names)
 
-    return docs.select([f.name for f in kept]).mapInArrow(run, schema)
+    return small_batches(docs.select([f.name for f in kept])).mapInArrow(run, schema)
 
 
 def inherit_licences(scanned: DataFrame, path_col: str = "path") -> DataFrame:

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import split_words, text_slices, written
+from .shared import small_batches, split_words, text_slices, written
 
 #: Candidates' ids are broadcast up to so many, shuffled beyond.
 BROADCAST_IDS = 200_000
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame, rule: Similarity, id_col: str = "doc_id", text_c
                 sketches.append(sampler.odd_sketch(low) if len(own) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
 
 
 SET_KEY = ["n_shingles", "set_a", "set_b"]
@@ -257,7 +257,7 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, rule: Similarity, id_col: str,
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([s.tobytes() for s in shingle_sets(own, rule.words)], pa.binary())], ["node", "shingles"])
 
     # rows that share an id count as one document: the largest of their sets stands for it
-    found = texts.mapInArrow(run, "node long, shingles binary")
+    found = small_batches(texts).mapInArrow(run, "node long, shingles binary")
     return written(found.groupBy("node").agg(F.max("shingles").alias("shingles")), "near-sets")
 
 
@@ -308,7 +308,7 @@ def links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str, text_
                 near = sketched_similarity(np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1), rule.samples) >= floor
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    likely = written(sized.mapInArrow(sketched, "a long, b long"), "near-pairs")
+    likely = written(small_batches(sized).mapInArrow(sketched, "a long, b long"), "near-pairs")
     full = _full_sets(docs, likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), rule, id_col, text_col)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,7 +322,7 @@ def links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str, text_
 
     xa = full.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
     xb = full.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
-    stars = written(likely.join(xa, "a").join(xb, "b").mapInArrow(exact, "a long, b long"), "near-stars")
+    stars = written(small_batches(likely.join(xa, "a").join(xb, "b")).mapInArrow(exact, "a long, b long"), "near-stars")
 
     labels = connected(stars)
     placed = shared.filter("n > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
@@ -332,11 +332,11 @@ def links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str, text_
     dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", "node", "comp", "n_shingles", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    hits = dealt.mapInArrow(_plausible(rule), "name long, node long, comp long, block int, apart boolean")
+    hits = small_batches(dealt).mapInArrow(_plausible(rule), "name long, node long, comp long, block int, apart boolean")
     hits = written(hits.dropDuplicates(["name", "node"]), "near-open")
     rest = _full_sets(docs, hits.select("node").distinct(), rule, id_col, text_col)
     groups = hits.join(rest, "node").repartition("name").sortWithinPartitions("name")
-    return written(stars.union(groups.mapInArrow(_confirmed(rule), "a long, b long")), "near-links")
+    return written(stars.union(small_batches(groups).mapInArrow(_confirmed(rule), "a long, b long")), "near-links")
 
 
 def near_groups(docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008

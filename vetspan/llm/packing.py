@@ -12,14 +12,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import spread, text_slices
+from .shared import small_batches, spread, text_slices
 
 WINDOW = 2048
 END_ID = 1
 #: Open windows are laid end to end when there are more than so many, which bounds a task's state.
 MAX_OPEN = 512
 #: Distinct words whose ids a worker keeps.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 300_000
 #: Texts with other characters than these, or with marks of special tokens, are tokenised whole.
 PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{132}-\x{148}\x{14a}-\x{17e}]|<\|"
 #: Fixed value: what the tokenizer's own splitting pattern takes as a word besides runs of letters.
@@ -207,4 +207,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         if id_type is not None:
             yield rows(packer.drain(last=True))
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)

@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import split_words, text_slices
+from .shared import small_batches, split_words, text_slices
 
 #: Multiplier of the rolling hash, an odd 64-bit number.
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -144,4 +144,4 @@ def repetition_rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             found = measure(texts, rules)
             yield pa.RecordBatch.from_arrays([batch.column(id_col), *[pa.array(found[c]) for c in schema.names[1:]]], schema.names)
 
-    return docs.select(id_col, text_col).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)

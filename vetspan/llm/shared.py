@@ -41,6 +41,15 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends Python at most BATCH_BYTES (or one row) at once, whatever the lengths of texts."""
+    df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut batches so that a slice holds at most `limit` text bytes (or one text); nulls become empty texts."""
     for batch in batches:
@@ -52,6 +61,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <
             end = max(start + 1, int(np.searchsorted(sizes, before + limit, "right")))
             yield batch.slice(start, end - start), texts.slice(start, end - start)
             start = end
+    pa.default_memory_pool().release_unused()  # workers outlive their tasks
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

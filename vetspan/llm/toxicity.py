@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import split_words, text_slices, written
+from .shared import small_batches, split_words, text_slices, written
 
 TRIM = ".,;:!?\"'()[]{}<>*_-"
 
@@ -186,7 +186,7 @@ def _document_frequencies(docs: DataFrame, vocab: list[str], text_col: str) -> t
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(sums[some], total), pa.int64())], ["term", "n"])
 
-    counts = {r[0]: r[1] for r in docs.select(text_col).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
+    counts = {r[0]: r[1] for r in small_batches(docs.select(text_col)).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
     return counts.get(-1, 0), np.array([counts.get(i, 0) for i in range(len(vocab))], np.float64)
 
 
@@ -222,7 +222,7 @@ def fit(docs: DataFrame, labelled: DataFrame, settings: ToxicitySettings = Toxic
     n0, n1 = float(drawn.get(0, 0)), float(drawn.get(1, 0))
     if not n0 or not n1:
         return model
-    by_term = sample.mapInArrow(terms, "term string, label long, n long").filter("term <> ''").groupBy("term").agg(F.sum(F.expr("IF(label = 1, n, 0)")).alias("a"), F.sum(F.expr("IF(label = 0, n, 0)")).alias("b"))
+    by_term = small_batches(sample).mapInArrow(terms, "term string, label long, n long").filter("term <> ''").groupBy("term").agg(F.sum(F.expr("IF(label = 1, n, 0)")).alias("a"), F.sum(F.expr("IF(label = 0, n, 0)")).alias("b"))
     both, n = F.col("a") + F.col("b"), n0 + n1
     chi = n * F.pow(F.col("a") * F.lit(n0) - F.col("b") * F.lit(n1), 2) / (both * (F.lit(n) - both) * F.lit(n0) * F.lit(n1))
     telling = by_term.filter((both >= settings.least_documents) & (both < n)).withColumn("chi", chi).filter(F.col("chi") >= settings.least_chi_square)
@@ -246,7 +246,7 @@ def _index(model: ToxicityModel, sample: DataFrame, totals: dict[int, int], draw
             yield pa.RecordBatch.from_arrays([batch.column("vs_id"), batch.column("label"), *lists], ["vs_id", "label", "terms", "weights"])
 
     schema = T.StructType([sample.schema["vs_id"], sample.schema["label"], T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
-    found = sample.mapInArrow(vectors, schema).collect()  # at most 2 * settings.examples rows of at most settings.terms terms
+    found = small_batches(sample).mapInArrow(vectors, schema).collect()  # at most 2 * settings.examples rows of at most settings.terms terms
     # neighbours of a term stand in the same blocks, so that bounds are sharp
     full = sorted((r for r in found if r.terms), key=lambda r: (r.terms[int(np.argmax(r.weights))], r.label, r.terms, r.weights, r.vs_id))
     weight_of = {y: totals[y] / drawn[y] for y in (0, 1)}
@@ -288,7 +288,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
             new = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), told]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in schema[: -len(added)]], *new], schema.names)
 
-    return docs.select(schema.names[: -len(added)]).mapInArrow(run, schema)
+    return small_batches(docs.select(schema.names[: -len(added)])).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, written
+from .shared import fresh_path, small_batches, written
 
 #: Raw bytes after which a frame or a bundle is closed.
 FRAME_BYTES = 256 << 10
@@ -170,7 +170,7 @@ def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "pa
         if writer is not None:
             yield rows(writer.close())
 
-    return written(marked.mapInArrow(run, INDEX), "warc-index")
+    return written(small_batches(marked).mapInArrow(run, INDEX), "warc-index")
 
 
 def _record_rows(records: list[dict]) -> pa.RecordBatch:
@@ -197,7 +197,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
                             records.append(record)
                         yield _record_rows(records)
 
-    return bundles.repartition(tasks).mapInArrow(run, RECORD)
+    return small_batches(bundles.repartition(tasks)).mapInArrow(run, RECORD)
 
 
 def read_records(index: DataFrame) -> DataFrame:
@@ -219,4 +219,4 @@ def read_records(index: DataFrame) -> DataFrame:
                 records.append(parse_record(data, row["offset"])[0])
             yield _record_rows(records)
 
-    return wanted.mapInArrow(run, RECORD)
+    return small_batches(wanted).mapInArrow(run, RECORD)

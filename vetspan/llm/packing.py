@@ -20,6 +20,8 @@ END_ID = 1
 MAX_OPEN = 512
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 300_000
+#: Text bytes that are tokenised together.
+SLICE_BYTES = 2 << 20
 #: Texts with other characters than these, or with marks of special tokens, are tokenised whole.
 PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{132}-\x{148}\x{14a}-\x{17e}]|<\|"
 #: Fixed value: what the tokenizer's own splitting pattern takes as a word besides runs of letters.
@@ -193,7 +195,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
             kinds = [id_type, pa.int64(), pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.int64()]
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], schema.names)
 
-        for batch, texts in text_slices(batches, text_col, 16 << 20):
+        for batch, texts in text_slices(batches, text_col, SLICE_BYTES):
             id_type = batch.schema.field(id_col).type
             ids, counts = tokenizer.encode(texts)
             closed, at = [], 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -50,6 +51,13 @@ def small_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def give_back() -> None:
+    """Return freed memory to the system; workers outlive their tasks, and glibc would keep what numpy and Python freed."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut batches so that a slice holds at most `limit` text bytes (or one text); nulls become empty texts."""
     for batch in batches:
@@ -61,7 +69,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 <
             end = max(start + 1, int(np.searchsorted(sizes, before + limit, "right")))
             yield batch.slice(start, end - start), texts.slice(start, end - start)
             start = end
-    pa.default_memory_pool().release_unused()  # workers outlive their tasks
+            give_back()
 
 
 def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:

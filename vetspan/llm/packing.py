@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Iterator
 
@@ -20,6 +21,8 @@ END_ID = 1
 MAX_OPEN = 512
 #: Distinct words whose ids a worker keeps.
 CACHE_WORDS = 300_000
+#: New words that the tokenizer gets as one text.
+JOINED_WORDS = 64
 #: Text bytes that are tokenised together.
 SLICE_BYTES = 2 << 20
 #: Texts with other characters than these, or with marks of special tokens, are tokenised whole.
@@ -42,6 +45,10 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # ids whose token has the model's end-of-word mark; each word has one, as its last
+        mark = json.loads(self.tokenizer.to_str())["model"].get("end_of_word_suffix")
+        self.ends_word = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.ends_word[[i for t, i in self.tokenizer.get_vocab().items() if mark and t.endswith(mark)]] = True
         self._clear()
 
     @classmethod
@@ -57,13 +64,18 @@ class WordTokenizer:
         self.pool = np.zeros(0, np.uint32)
 
     def _learn(self, words: list[str]) -> None:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
-        counts = np.fromiter(map(len, found), np.int64, len(found))
+        joined = [" ".join(words[i : i + JOINED_WORDS]) for i in range(0, len(words), JOINED_WORDS)]
+        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(joined, add_special_tokens=False)])
+        counts = np.diff(np.flatnonzero(self.ends_word[ids]), prepend=-1)
+        if len(counts) != len(words):  # not every word ends with a marked id
+            found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+            counts = np.fromiter(map(len, found), np.int64, len(found))
+            ids = np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))
         first = len(self.place)
         self.place.update(zip(words, range(first, first + len(words)), strict=True))
         self.starts = np.concatenate((self.starts, len(self.pool) + np.cumsum(counts) - counts))
         self.counts = np.concatenate((self.counts, counts))
-        self.pool = np.concatenate((self.pool, np.fromiter((i for x in found for i in x), np.uint32, int(counts.sum()))))
+        self.pool = np.concatenate((self.pool, ids))
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, end to end, and the number of ids of each."""
@@ -75,9 +87,10 @@ class WordTokenizer:
         names = coded.dictionary.to_pylist()
         if len(self.place) > CACHE_WORDS:
             self._clear()
-        if new := [w for w in names if w and w not in self.place]:
-            self._learn(new)
         where = np.fromiter((self.place.get(w, -1) for w in names), np.int64, len(names))
+        if new := [i for i in np.flatnonzero(where < 0).tolist() if names[i]]:
+            where[new] = np.arange(len(self.place), len(self.place) + len(new))
+            self._learn([names[i] for i in new])
         at = where[coded.indices.to_numpy(zero_copy_only=False)] if len(names) else np.zeros(0, np.int64)
         at, rows = at[at >= 0], rows[at >= 0]  # drops the empty words at the ends of texts
         counts = self.counts[at]

@@ -280,3 +280,15 @@ def test_toxicity(spark):
 
 def test_shared_folder(spark):
     assert shared_dir(spark) == shared_dir(spark)
+
+
+def test_toxicity_keeps_telling_terms(spark):
+    """3,000 words tell the classes apart, each in 18 examples of its class; the index holds all of them."""
+    rows, labels = [], []
+    for i in range(3600):
+        word = [f"{'ab'[i % 2]}{(i // 2 * 15 + k) % 1500}" for k in range(15)]
+        rows.append((i, " ".join(word)))
+        labels.append((i, i % 2))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    assert len(model.vocab) == 3000

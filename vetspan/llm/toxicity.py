@@ -24,7 +24,7 @@ class ToxicitySettings:
     #: Labelled rows that the model is fitted on, per class, at most; taken in the order of a hash of their id.
     examples: int = 2000
     #: Terms of the index, at most: those that tell the classes of the examples apart best.
-    terms: int = 2048
+    terms: int = 4096
     #: Least examples with a term, and least chi-square statistic of its presence against the label.
     least_documents: int = 3
     least_chi_square: float = 15.0

@@ -292,3 +292,35 @@ def test_toxicity_keeps_telling_terms(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
     assert len(model.vocab) == 3000
+
+
+def test_wrapped_licences(spark):
+    import textwrap
+
+    long = {"MIT": 4, "GPL-3.0": 7, "GPL-2.0": 9, "BSD-3-Clause": 11, "Apache-2.0": 1, "ISC": 14}
+    rows = []
+    for name, at in long.items():
+        assert licences.TEMPLATES[at][0] == name
+        notice = textwrap.wrap(licences.TEMPLATES[at][1], 60)
+        assert len(notice) > 1
+        for mark in ("", "# ", " * "):
+            rows.append((name, 3, f"a title\n\nCopyright (c) 2020 Some Holder\n{mark}" + f"\n{mark}".join(notice) + "\n\nthe rest follows " * 300))
+        rows.append((name, 5, "\n".join(["code"] * 5 + notice)))
+    mit = "MIT License\n\nCopyright (c) 2020 A\n\nPermission is hereby granted, free of charge, to any person obtaining a copy\nof this software and associated documentation files (the \"Software\"), to deal\nin the Software without restriction, including without limitation the rights\nto use, copy, modify, merge, publish, distribute, sublicense, and/or sell\ncopies of the Software."
+    rows += [("MIT", 4, mit), ("MIT", 1, "x\nwords before it: Released under the MIT License. And " + "many words after it " * 30), (None, None, "a licence of poets\nneeds no permission " * 900)]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, name string, line long, text string")
+    for r in licences.scan_licences(docs).collect():
+        assert (r.own_licence, r.own_line) == (r.name, r.line), r.text[:200]
+
+
+def test_licence_windows_against_brute_force():
+    rnd = np.random.default_rng(5)
+    matcher = licences.Matcher(100, {w: i % 7 for i, w in enumerate(licences.TERMS)})
+    for trial in range(20):
+        notice = re.findall(licences.WORD, licences.TEMPLATES[trial][1].lower())
+        words = [*rnd.choice(["x", "y", "z"], 40), *notice, *rnd.choice(["x", "of", "copy"], 30)]
+        want = max(matcher.matrix[t] @ matcher.vector(list(words[a : a + n]))[0] / np.sqrt(sum(matcher.vector(list(words[a : a + n]))[0] ** 2) + matcher.vector(list(words[a : a + n]))[1]) for t, n in enumerate(matcher.lengths) for a in range(len(words) - n + 1))
+        name, cosine, start = matcher.best_window([str(w) for w in words], 0.75)
+        assert abs(cosine - want) < 1e-9 and (name, start) == (licences.TEMPLATES[trial][0], 40)
+    pieces = list(licences.notice_pieces("license " * 1000, 40, 100))
+    assert {p for _, at in pieces for p in zip(at, at[39:], strict=False)} == {(8 * i, 8 * (i + 39)) for i in range(961)}

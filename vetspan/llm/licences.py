@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -14,7 +15,7 @@ from pyspark.sql import types as T
 
 from .shared import small_batches, text_slices
 
-#: Short notices and file headers by SPDX identifier.
+#: Short notices, file headers and headings of licence texts by SPDX identifier.
 TEMPLATES = (
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
@@ -37,9 +38,15 @@ TEMPLATES = (
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0."),
     ("CC0-1.0", "To the extent possible under law, the author has dedicated this work to the public domain under CC0 1.0 Universal."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/"),
+    ("GPL-3.0", "GNU General Public License Version 3, 29 June 2007"),
+    ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
+    ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
 )
-#: A line without any of these words can't reach the threshold.
+#: Every template holds one of these; lines and windows around them are compared.
 MARKS = r"(?i)licen[cs]|permission|redistribut|public domain|copyright|free software"
+#: The same in a text whose lines are wrapped.
+WRAPPED_MARKS = r"(?i)licen[cs]|permission|redistribut|public\W+domain|copyright|free\W+software"
 WORD = r"[a-z]+(?:-[a-z]+)*|\d+(?:\.\d+)*"
 #: Fixed value: names of files that state the licence of their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.\-].*)?$"
@@ -51,8 +58,6 @@ class LicenceSettings:
 
 
 def _terms(texts: pa.Array) -> list[list[str]]:
-    import re
-
     find = re.compile(WORD).findall
     return [find(t) for t in pc.utf8_lower(texts).to_pylist()]
 
@@ -71,6 +76,27 @@ def notice_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return rows[keep], numbers[keep].astype(np.int64), pc.utf8_trim(lines.filter(hit), " \t#*/;-\r")
 
 
+def notice_pieces(text: str, reach: int, most: int = 512) -> Iterator[tuple[list[str], list[int]]]:
+    """(words, places) of the pieces of a lower-case text that hold every run of up to `reach` words with a mark.
+
+    Lines and paragraphs don't bound a run. Near marks share a piece; pieces over `most` words are cut with
+    reach - 1 words in common, so that no run is lost.
+    """
+    found = list(re.finditer(WORD, text))
+    ends, spans = np.array([m.end() for m in found], np.int64), []
+    for mark in re.finditer(WRAPPED_MARKS, text):
+        at = int(np.searchsorted(ends, mark.start(), "right"))
+        lo, hi = max(at - reach + 1, 0), min(at + reach, len(found))
+        if spans and lo <= spans[-1][1]:
+            spans[-1][1] = hi
+        else:
+            spans.append([lo, hi])
+    for lo, hi in spans:
+        for a in range(lo, max(hi - reach + 1, lo + 1), most - reach + 1):
+            piece = found[a : min(a + most, hi)]
+            yield [m[0] for m in piece], [m.start() for m in piece]
+
+
 def term_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
     """Number of lines that may hold a notice, and of those with each template term, over all rows."""
 
@@ -98,6 +124,7 @@ class Matcher:
         self.other = float(np.log(1 + n_lines + len(TEMPLATES)) + 1)
         self.matrix = np.array([self.vector(words)[0] for words in _terms(pa.array([t for _, t in TEMPLATES]))])
         self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
+        self.lengths = np.array([len(words) for words in _terms(pa.array([t for _, t in TEMPLATES]))])
 
     def vector(self, words: list[str]) -> tuple[np.ndarray, float]:
         v = np.zeros(len(TERMS))
@@ -121,12 +148,49 @@ class Matcher:
         at = int(np.argmax(cosines))
         return TEMPLATES[at][0], float(cosines[at])
 
+    def best_window(self, words: list[str], threshold: float) -> tuple[str | None, float, int]:
+        """The identifier, cosine and first word of the window most similar to the template of as many words.
+
+        A piece shorter than a template is one window. Ties go to the first word, then the first template;
+        without a cosine at or over the threshold there is none (null, 0, 0).
+        """
+        own = {w: i for i, w in enumerate(dict.fromkeys(words))}
+        known = [(i, self.place[w]) for w, i in own.items() if w in self.place]
+        local, idf = np.zeros((len(TEMPLATES), len(own))), np.full(len(own), self.other)
+        for i, at in known:
+            local[:, i], idf[i] = self.matrix[:, at], self.idf[at]
+        # no window can come nearer to a template than the part of it whose terms the piece holds
+        able = np.flatnonzero((local**2).sum(axis=1) >= threshold**2 - 1e-9)
+        out: tuple[str | None, float, int] = (None, 0.0, 0)
+        if not len(able):
+            return out
+        sums = np.zeros((len(words) + 1, len(own)))
+        sums[np.arange(1, len(words) + 1), [own[w] for w in words]] = 1
+        sums = sums.cumsum(axis=0)
+        tops = []
+        lengths = np.minimum(self.lengths[able], len(words))
+        for n in np.unique(lengths).tolist():
+            some = able[lengths == n]
+            counts = sums[n:] - sums[:-n]
+            weights = np.where(counts > 0, 1 + np.log(np.maximum(counts, 1)), 0) * idf
+            cosines = weights @ local[some].T / np.linalg.norm(weights, axis=1)[:, None]
+            edge = cosines.max()
+            start, which = (int(x[0]) for x in np.nonzero(cosines >= edge - 1e-9))
+            tops.append((float(edge), start, int(some[which])))
+        edge = max(t[0] for t in tops)
+        if edge < threshold:
+            return out
+        cosine, start, at = min((t for t in tops if t[0] >= edge - 1e-9), key=lambda t: t[1:])
+        return TEMPLATES[at][0], min(cosine, 1.0), start
+
 
 def scan_licences(docs: DataFrame, text_col: str = "text", settings: LicenceSettings = LicenceSettings()) -> DataFrame:  # noqa: B008
     """`docs` with own_licence, own_cosine, own_line (of the most similar notice at or over the threshold; null without one).
 
-    Every line of the whole text is a candidate; the earliest of equally similar lines counts. Null texts
-    have none. Columns of these names are replaced; rows are kept one for one.
+    Candidates of the whole text are its lines, and its windows of as many words as a template, which may
+    start and end anywhere, so that wrapped notices and licence files are found; own_line is that of the
+    first word. The earliest of equally similar candidates counts. Null texts have none. Columns of these
+    names are replaced; rows are kept one for one.
     """
     n_lines, frequencies = term_frequencies(docs, text_col)
     added = [T.StructField("own_licence", T.StringType()), T.StructField("own_cosine", T.DoubleType()), T.StructField("own_line", T.LongType())]
@@ -135,6 +199,7 @@ def scan_licences(docs: DataFrame, text_col: str = "text", settings: LicenceSett
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(n_lines, frequencies)
+        reach = int(matcher.lengths.max())
         for batch, texts in text_slices(batches, text_col):
             found: list = [(None, None, None)] * len(texts)
             rows, numbers, lines = notice_lines(texts)
@@ -142,6 +207,16 @@ def scan_licences(docs: DataFrame, text_col: str = "text", settings: LicenceSett
                 name, cosine = matcher.best(words)
                 if cosine >= settings.threshold and (found[row][1] is None or cosine > found[row][1] + 1e-12):
                     found[row] = (name, cosine, number)
+            marked = pc.match_substring_regex(texts, WRAPPED_MARKS)
+            for row in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
+                text = texts[row].as_py().lower()
+                for words, places in notice_pieces(text, reach):
+                    name, cosine, start = matcher.best_window(words, settings.threshold)
+                    if name is None:
+                        continue
+                    number, old = text.count("\n", 0, places[start]), found[row]
+                    if old[1] is None or cosine > old[1] + 1e-9 or (cosine >= old[1] - 1e-9 and number < old[2]):
+                        found[row] = (name, cosine, number)
             columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *columns], schema.names)
 

@@ -160,6 +160,20 @@ def l4(spark, sf_dir):
     return c.table(spark, sf_dir, "pages").filter(F.length("url") <= 64).select("page_id", text.compact_url(F.col("url")).alias("short"))
 
 
+@query("l1_l2_l8_all_page_links")
+def l1_all(spark, sf_dir):
+    """Links of all pages, with those that end in a bracket; the SQL of l1_l2_l8_page_links doesn't tell brackets apart."""
+    links = text.capped_links(text.urls(F.col("html")), 100, 1 << 20)
+    return c.table(spark, sf_dir, "pages").select("page_id", F.array_join(links, " ").alias("links"))
+
+
+@query("l4_l5_compact_all_urls")
+def l4_all(spark, sf_dir):
+    """Addresses of all pages, the longest of which are cut, and a long form of each; the SQL of l4_l5_compact_url has short ones only."""
+    longer = F.concat("url", F.lit("/"), F.repeat(F.lit("segment-"), 9), F.lit("?key="), F.repeat(F.lit("value"), 11))
+    return c.table(spark, sf_dir, "pages").select("page_id", text.compact_url(F.col("url")).alias("short"), text.compact_url(longer).alias("short_of_longer"))
+
+
 @query("u3_new_links", "SELECT page_id, CAST(len(list_filter(['http://a.example/', url], lambda u: NOT contains(html, u))) AS BIGINT) AS n FROM pages")
 def u3(spark, sf_dir):
     return c.table(spark, sf_dir, "pages").select("page_id", F.size(text.new_links(F.array(F.lit("http://a.example/"), F.col("url")), F.col("html"))).cast("long").alias("n"))

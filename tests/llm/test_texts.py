@@ -324,3 +324,32 @@ def test_licence_windows_against_brute_force():
         assert abs(cosine - want) < 1e-9 and (name, start) == (licences.TEMPLATES[trial][0], 40)
     pieces = list(licences.notice_pieces("license " * 1000, 40, 100))
     assert {p for _, at in pieces for p in zip(at, at[39:], strict=False)} == {(8 * i, 8 * (i + 39)) for i in range(961)}
+
+
+def test_chat_turns_are_streamed(spark, data):
+    """Turn by turn the same text, segments and digests as with whole conversations, and no row holds a conversation."""
+    from vetspan.llm import queries
+
+    roles = ["user", "assistant", "tool", None, "system"]
+    rows = [(i % 5 and 1 or None, i // 2, roles[i % 3 if i % 7 else i % 5], None if i % 11 == 0 else f"t\\{i} </s>[INST] é") for i in range(400)]
+    rows += [(2, i, ["user", "assistant"][i % 2], "long " * 200) for i in range(30_000)] + [(i, t, r, "x") for i in range(10, 60) for t, r in enumerate(["user", "assistant"][: 1 + i % 2])]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)
+    whole = {r.conv_id: r for r in chat_format.format_conversations(frame).collect()}
+    turns = chat_format.format_turns(frame)
+    got = collections.defaultdict(list)
+    for r in turns.collect():
+        got[r.conv_id].append(r)
+    assert got.keys() == whole.keys()
+    for i, w in whole.items():
+        own = sorted(got[i], key=lambda r: r.position)
+        assert "".join(r.written for r in own) == w.formatted and [s for r in own for s in r.segments] == w.segments
+        assert (own[-1].valid, own[-1].first_error) == (w.valid, w.first_error)
+    read = {r.conv_id: r for r in chat_format.read_conversations(chat_format.format_conversations(frame)).collect()}
+    digests = chat_format.digest_turns(turns).collect()
+    assert len(digests) == len(read)
+    sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
+    for r in digests:
+        w = read[r.conv_id]
+        assert tuple(r)[1:] == (len(w.turns), sha("".join(f"{t.role}\n{t.text}\n" for t in w.turns)), len(w.loss_text), sha(w.loss_text), w.formatted_chars)
+    assert chat_format.digest_turns(chat_format.format_turns(frame.limit(0))).count() == 0
+    assert "collect_list" not in queries.op6_chat_format(spark, data)._jdf.queryExecution().toString()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -88,7 +89,7 @@ def format_conversations(rows: DataFrame, template: Template = Template()) -> Da
     start and length count code points of `formatted`. Turns stand in the order of turn; equal turns in
     that of role and text, null turns first, repeated rows stay. Null text and role count as empty, rows
     with a null conv_id are one conversation. A conversation is one row, so it has to fit into a task's
-    memory. An empty table gives no rows; other columns are not read.
+    memory; format_turns has no such bound. An empty table gives no rows; other columns are not read.
     """
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     grouped = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
@@ -129,3 +130,82 @@ def read_conversations(formatted: DataFrame, template: Template = Template()) ->
             yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(found, kind), pa.array(loss, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
 
     return small_batches(formatted.select("conv_id", "formatted", "segments")).mapInArrow(run, schema)
+
+
+def format_turns(rows: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
+    """conv_id, position, written, segments, first_error, valid, from rows conv_id, turn, role, text: one row per turn.
+
+    The turns' `written` end to end are `formatted` of format_conversations, and so are their segments, whose
+    start counts from the begin of the conversation. first_error and valid are of the conversation as if it
+    ended with the turn. Only the machine's state and the running length are held, so a conversation may
+    be of any size; it is one task's, in the order of position.
+    """
+    filled = rows.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
+    dealt = filled.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
+    schema = T.StructType([rows.schema["conv_id"], T.StructField("position", T.LongType()), T.StructField("written", T.StringType()), T.StructField("segments", T.ArrayType(SEGMENT)), T.StructField("first_error", T.LongType()), T.StructField("valid", T.BooleanType())])
+    kind = pa.list_(pa.struct([("role", pa.string()), ("start", pa.int64()), ("length", pa.int64()), ("loss", pa.bool_())]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, state, at, place, wrong = object(), "", 0, 0, -1
+        for batch in batches:
+            places, written, segments, errors = [], [], [], []
+            for conv, role, text in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "role", "text")), strict=True):
+                if conv != own:
+                    own, state, at, place, wrong = conv, "", 0, 0, -1
+                if wrong < 0 and role not in template.follows.get(state, ()):
+                    wrong = place
+                pieces, _ = template.segments([role], [text])
+                marks = []
+                for name, piece, loss in pieces:
+                    marks.append({"role": name, "start": at, "length": len(piece), "loss": loss})
+                    at += len(piece)
+                places.append(place)
+                written.append("".join(p[1] for p in pieces))
+                segments.append(marks)
+                state, place = role, place + 1
+                errors.append(wrong if wrong >= 0 else None if state in template.final else place)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(places, pa.int64()), pa.array(written, pa.string()), pa.array(segments, kind), pa.array(errors, pa.int64()), pa.array([e is None for e in errors], pa.bool_())], schema.names)
+
+    return small_batches(dealt).mapInArrow(run, schema)
+
+
+def digest_turns(turns: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation, parsed from format_turns.
+
+    turns_sha256 is over role, line feed, text, line feed of each turn, loss_sha256 over what stands under
+    the loss flags, unescaped. `turns` has to come from format_turns itself, whose rows stand in order.
+    """
+    schema = T.StructType([turns.schema["conv_id"], T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, said, learnt, sums = None, None, None, [0, 0, 0]
+
+        def closed() -> tuple:
+            return own, sums[0], said.hexdigest(), sums[1], learnt.hexdigest(), sums[2]
+
+        def batch_of(done: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((ids, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], schema.names)
+
+        for batch in batches:
+            done, ids = [], batch.schema.field("conv_id").type
+            for conv, written, segments in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "written", "segments")), strict=True):
+                if said is None or conv != own:
+                    if said is not None:
+                        done.append(closed())
+                    own, said, learnt, sums = conv, hashlib.sha256(), hashlib.sha256(), [0, 0, 0]
+                for role, text in template.parsed(written):
+                    said.update(f"{role}\n{text}\n".encode())
+                    sums[0] += 1
+                for s in segments:
+                    if s["loss"]:
+                        start = s["start"] - segments[0]["start"]
+                        text = template.unescaped(written[start : start + s["length"]])
+                        learnt.update(text.encode())
+                        sums[1] += len(text)
+                sums[2] += len(written)
+            if done:
+                yield batch_of(done)
+        if said is not None:
+            yield batch_of([closed()])
+
+    return small_batches(turns.select("conv_id", "written", "segments")).mapInArrow(run, schema)

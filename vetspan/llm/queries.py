@@ -65,9 +65,7 @@ def op6_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     extra = spark.range(2).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(mark).alias("text"))
     kinds = dict(rows.dtypes)
     extra = extra.select([F.col(c).cast(kinds[c]) for c in rows.columns])
-    read = chat_format.read_conversations(chat_format.format_conversations(rows.unionByName(extra)))
-    said = F.array_join(F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return read.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss_text").cast("long").alias("loss_chars"), F.sha2("loss_text", 256).alias("loss_sha256"), "formatted_chars")
+    return chat_format.digest_turns(chat_format.format_turns(rows.unionByName(extra)))
 
 
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

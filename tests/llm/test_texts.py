@@ -353,3 +353,34 @@ def test_chat_turns_are_streamed(spark, data):
         assert tuple(r)[1:] == (len(w.turns), sha("".join(f"{t.role}\n{t.text}\n" for t in w.turns)), len(w.loss_text), sha(w.loss_text), w.formatted_chars)
     assert chat_format.digest_turns(chat_format.format_turns(frame.limit(0))).count() == 0
     assert "collect_list" not in queries.op6_chat_format(spark, data)._jdf.queryExecution().toString()
+
+
+def test_pseudonyms_of_other_forms(spark):
+    """Month-first dates, IBANs before other numbers, and phones written with and without separators."""
+    ibans = ["ES9121000418450200051332", "ES91 2100 0418 4502 0005 1332", "AT611904300234573201", "PL61109010140000071219812874", "SE4550000000058398257466", "CZ6508000000192000145399", "RO49AAAA1B31007593840000", "DE89370400440532013000", "NO9386011117947"]
+    tails = ["", " 2024", " EUR 5", " 20 24", " 2024 ABCD 1"]
+    months = ["12/25/2020", "01/13/1900", "04/30/2105", "02/29/2024"]
+    phones = ["+15551234567", "+1 555 123 4567", "+1 (555) 123-4567", "+447911123456", "+44 7911 123456", "+353 861 234 567", "+353861234567"]
+    rows = [(v, k, v + t) for v, k, t in [*((v, "iban", t) for v in ibans for t in tails), *((v, "date", "") for v in months), *((v, "phone", "") for v in phones)]]
+    docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, value string, kind string, text string")
+    new = {}
+    for r in pseudonyms.pseudonymise(docs).collect():
+        f = r.found[0] if r.found else None
+        assert f and (f.kind, f.start, f.length) == (r.kind, 1, len(r.value)), rows[r.id]
+        assert new.setdefault(r.value, f.pseudonym) == f.pseudonym != r.value
+    for v in ibans:
+        plain = new[v].replace(" ", "")
+        assert len(new[v]) == len(v) and int("".join(str(int(c, 36)) for c in plain[4:] + plain[:4])) % 97 == 1
+    for v in months:
+        assert datetime.datetime.strptime(new[v], "%m/%d/%Y").day > 12
+    digits = {v: re.sub(r"\D", "", new[v]) for v in phones}
+    assert len({digits[v] for v in phones[:3]}) == len({digits[v] for v in phones[3:5]}) == len({digits[v] for v in phones[5:]}) == 1
+    assert new[phones[0]].startswith("+1") and new[phones[3]].startswith("+44") and new[phones[6]].startswith("+353")
+    assert ["13/13/2020", []] == [(r := pseudonyms.pseudonymise(spark.createDataFrame([("13/13/2020",)], "text string")).first()).text, r.found]
+
+
+def test_month_first_dates_stay_apart(spark):
+    days = spark.range(0, 7500).select(F.expr("date_add(DATE'1990-01-01', CAST(id AS INT))").alias("d"))
+    texts = days.select(F.date_format("d", "dd/MM/yyyy").alias("text")).union(days.filter(F.dayofmonth("d") > 12).select(F.date_format("d", "MM/dd/yyyy")))
+    got = pseudonyms.pseudonymise(texts).collect()
+    assert len({r.text for r in got}) == len(got) and all(r.found[0].kind == "date" for r in got)

@@ -16,10 +16,30 @@ DEFAULT_KEY = "vetspan-demo-key"
 #: Dates are permuted within the DATE_A * DATE_B days from DATE_FIRST, to 2105-05-05.
 DATE_FIRST, DATE_A, DATE_B = "1900-01-01", 300, 250
 
+#: Characters of an IBAN by country.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM",
+    28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """The length of the country comes first, so that a number behind an IBAN isn't taken for its end; other countries have any length."""
+    known = []
+    for n, countries in IBAN_LENGTHS.items():
+        fours, rest = divmod(n - 4, 4)
+        known.append(rf"(?:{countries.replace(' ', '|')})\d{{2}}(?: ?[A-Z0-9]{{4}}){{{fours}}}" + (rf" ?[A-Z0-9]{{{rest}}}" if rest else ""))
+    return rf"(?<!\w)(?:{'|'.join(known)}|[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?!\w)"
+
+
+#: Fixed value: country codes of phone numbers; those of one or two digits come first, all others have three.
+PHONE_CODE = r"^(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
 #: The patterns of each kind, in order of preference where several start at one place.
 PATTERNS = {
     "email": r"(?<![\w.%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9](?:[A-Za-z0-9\-]{0,62})\.){1,8}[A-Za-z]{2,24}(?![\w\-])",
-    "iban": r"(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?!\w)",
+    "iban": _iban_pattern(),
     "card": r"(?<![\w.\-])(?:\d{13,19}|\d{4}([ \-])\d{4}\1\d{4}\1\d{4}|\d{4}[ \-]\d{6}[ \-]\d{5})(?![\w\-])",
     "ssn": r"(?<![\w\-.])\d{3}-\d{2}-\d{4}(?![\w\-])",
     "phone": r"(?<![\w+])\+\d{1,3}[ .\-]?\(?\d{2,4}\)?(?:[ .\-]?\d{2,4}){2,3}(?!\w)|(?<![\w+\-.])\(?\d{3}\)?[ .\-]\d{3}[.\-]\d{4}(?![\w\-])",
@@ -121,9 +141,19 @@ def _restored(shape: Column, digits: Column) -> Column:
     return _let(digits, fill)
 
 
+def _parts(m: Column, year: int, month: int, day: int) -> Column:
+    return F.concat_ws("-", F.substring(m, year, 4), F.substring(m, month, 2), F.substring(m, day, 2)).try_cast("date")
+
+
+def _month_first(m: Column) -> Column:
+    """Whether a date with slashes is one only when its month is read first."""
+    return (F.substring(m, 3, 1) == "/") & _parts(m, 7, 4, 1).isNull() & _parts(m, 7, 1, 4).isNotNull()
+
+
 def _valid_date(m: Column) -> Column:
-    iso = F.when(F.substring(m, 5, 1) == "-", m).when(F.substring(m, 3, 1) == "/", F.concat(F.substring(m, 7, 4), F.lit("-"), F.substring(m, 4, 2), F.lit("-"), F.substring(m, 1, 2))).otherwise(F.concat(F.substring(m, 7, 4), F.lit("-"), F.substring(m, 4, 2), F.lit("-"), F.substring(m, 1, 2)))
-    return iso.try_cast("date")
+    """The day; with slashes the day of the month is first where that gives a date, else the month."""
+    slashes = F.coalesce(_parts(m, 7, 4, 1), _parts(m, 7, 1, 4))
+    return F.when(F.substring(m, 5, 1) == "-", m.try_cast("date")).when(F.substring(m, 3, 1) == "/", slashes).otherwise(_parts(m, 7, 4, 1))
 
 
 def _day(m: Column) -> Column:
@@ -199,12 +229,23 @@ def _ssn(m: Column, key: str) -> Column:
 
 
 def _date(m: Column, key: str) -> Column:
-    day = feistel_number(_day(m).cast("long"), DATE_A, DATE_B, key, "date")
+    """Days are permuted. A month-first date is moved on until its day is over 12 again, so that it can't be read as another's day-first one."""
+
+    def moved(day: Column) -> Column:
+        return feistel_number(day, DATE_A, DATE_B, key, "date")
+
+    def as_date(day: Column) -> Column:
+        return F.date_add(F.lit(DATE_FIRST).cast("date"), day.cast("int"))
+
+    def walked(first: Column) -> Column:
+        # three of five days are over 12, so 64 moves are never used up
+        return F.aggregate(F.sequence(F.lit(1), F.lit(63)), first, lambda s, _: F.when(F.dayofmonth(as_date(s)) > 12, s).otherwise(moved(s)))
 
     def text(d: Column) -> Column:
         return F.when(F.substring(m, 5, 1) == "-", F.date_format(d, "yyyy-MM-dd")).when(F.substring(m, 3, 1) == "/", F.date_format(d, "dd/MM/yyyy")).otherwise(F.date_format(d, "dd.MM.yyyy"))
 
-    return _let(F.date_add(F.lit(DATE_FIRST).cast("date"), day.cast("int")), text)
+    once = moved(_day(m).cast("long"))
+    return F.when(_month_first(m), _let(as_date(walked(once)), lambda d: F.date_format(d, "MM/dd/yyyy"))).otherwise(_let(as_date(once), text))
 
 
 def _ip(m: Column, key: str) -> Column:
@@ -214,13 +255,10 @@ def _ip(m: Column, key: str) -> Column:
 
 
 def _phone(m: Column, key: str) -> Column:
-    """The country code (a plus sign and its digits up to a separator) stays."""
-
-    def rest(x: Column) -> Column:
-        return _restored(x, feistel_text(F.regexp_replace(x, r"\D", ""), key, "phone"))
-
-    code = F.regexp_extract(m, r"^(\+\d{1,3}(?=[ .(\-]))?", 0)
-    return F.concat(code, _let(F.substring(m, F.length(code) + 1, F.length(m)), rest))
+    """The country code behind a plus sign stays, whatever the separators; all other digits are permuted."""
+    digits = F.regexp_replace(m, r"\D", "")
+    code = F.when(F.startswith(m, F.lit("+")), F.regexp_extract(digits, PHONE_CODE, 0)).otherwise(F.lit(""))
+    return _restored(m, F.concat(code, feistel_text(F.substring(digits, F.length(code) + 1, F.length(digits)), key, "phone")))
 
 
 def _email(m: Column, key: str) -> Column:
@@ -254,7 +292,7 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     """`docs` with personal values of `text_col` replaced, and `found_col` array<struct<kind, start, length, pseudonym>>.
 
     Kinds: email, iban (mod 97), card (Luhn), ssn, phone, date (a real day from 1900-01-01 to
-    2105-05-05), ip (four octets), secret (access keys, passwords and tokens behind their marks).
+    2105-05-05, month first where day first gives no date), ip (four octets), secret (access keys, passwords and tokens behind their marks).
     start is the 1-based code point in the input text. Values that don't validate stay. Null text
     stays null and has null finds; a text without values is unchanged with an empty list; row count,
     order of columns and repeated rows are kept; a column named like found_col is replaced.

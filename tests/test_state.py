@@ -117,3 +117,30 @@ def test_upsert_takes_the_newest(spark):
     old = spark.createDataFrame([("a", 1, "x"), ("b", 5, "y")], "k string, v long, w string")
     new = spark.createDataFrame([("a", 1, "z"), ("b", 4, "q"), ("c", 1, "n")], "k string, v long, w string")
     assert {tuple(r) for r in retention.upsert(old, new, ["k"], "v").collect()} == {("a", 1, "z"), ("b", 5, "y"), ("c", 1, "n")}
+
+
+def test_bytes_until_sums_per_key(spark):
+    """Against a running sum over all rows, in groups, at every limit near an edge; no window stands over unsummed rows."""
+    from pyspark.sql import functions as F
+
+    files = [(d, i, (7 * i + (d or 0)) % 13) for d in (1, 2, 3, None, 5) for i in range(20)] + [(5, 99, None)]
+    rows = spark.createDataFrame(files, "day long, id long, size long").repartition(3).cache()
+    order = sorted(files, key=lambda f: (f[0] is not None, f[0] or 0, f[1]), reverse=True)
+    for limit in (-1, 0, 5, 60, 120, 121, 300, 400, 10_000):
+        want, total = set(), None
+        for day, i, size in order:
+            total = total if size is None else (total or 0) + size
+            if total is not None and total <= limit:
+                want.add((day, i))
+        kept = retention.bytes_until(rows, "size", limit, [F.col("day"), F.col("id")])
+        assert {(r.day, r.id) for r in kept.collect()} == want, limit
+    plan = kept._jdf.queryExecution().optimizedPlan().toString()
+    windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
+    assert windows and all("windowspecdefinition(__key" in w and "DESC" in w.split("windowspecdefinition(__key")[1] and ", day" in w or "sum(__size" in w for w in windows)
+
+
+def test_first_addresses_hold_one_row_per_role(spark, data):
+    from vetspan import plans
+
+    plan = plans.queries()["t10_first_addresses"](spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert "min(struct(turn" in plan and "collect_list(struct(turn" not in plan

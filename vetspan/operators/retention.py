@@ -63,11 +63,20 @@ def cascade(children: DataFrame, parents: DataFrame, key: str, parent_key: str =
 
 
 def bytes_until(rows: DataFrame, size: str, limit: int, order: Sequence[Column]) -> DataFrame:
-    """Rows from the end of `order` while their sizes add up to `limit` at most, such as files when the oldest go first.
+    """Rows from the end of `order` while their sizes (not negative) add up to `limit` at most, such as files when the oldest go first.
 
-    Sums run per day of rows first when `order` starts with a `day` column; here the table of files is one
-    listing, so the window is over its path and size only.
+    Sizes are summed per value of the first of `order` with map-side sums, and the running sum is over those
+    sums; rows are numbered only inside the value at which the limit is reached, and the newest one.
     """
-    newest_first = [c.desc() for c in order]
-    total = F.sum(size).over(Window.orderBy(*newest_first).rowsBetween(Window.unboundedPreceding, 0))
-    return rows.withColumn("__sum", total).filter(F.col("__sum") <= limit).drop("__sum")
+    keyed = rows.withColumn("__key", order[0])
+    sums = keyed.groupBy("__key").agg(F.sum(size).alias("__size"))
+    above = Window.orderBy(F.desc("__key")).rowsBetween(Window.unboundedPreceding, -1)
+    marks = sums.withColumn("__before", F.sum("__size").over(above))
+    marks = marks.filter(F.coalesce("__before", F.lit(0)) <= limit).withColumnRenamed("__key", "__mark")
+    placed = keyed.join(marks, F.col("__key").eqNullSafe(F.col("__mark")))
+    inside = F.coalesce(F.col("__before") + F.coalesce("__size", F.lit(0)) <= limit, F.lit(False))
+    own = Window.partitionBy("__key").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
+    part = F.sum(size).over(own)
+    total = F.when(F.col("__before").isNull(), part).otherwise(F.col("__before") + F.coalesce(part, F.lit(0)))
+    edge = placed.filter(~inside).withColumn("__sum", total).filter(F.col("__sum") <= limit)
+    return placed.filter(inside).select(rows.columns).unionByName(edge.select(rows.columns))

@@ -285,8 +285,9 @@ def t9(spark, sf_dir):
 
 @query("t10_first_addresses", "SELECT conv_id, array_to_string(list_sort(list_distinct(list(role ORDER BY turn))[1:100]), ',') AS roles FROM conversations GROUP BY conv_id")
 def t10(spark, sf_dir):
-    seen = F.array_distinct(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]))
-    return c.table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.array_join(F.array_sort(F.slice(seen, 1, 100)), ",").alias("roles"))
+    first = c.table(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min(F.struct("turn", "role")).alias("first"))
+    seen = F.transform(F.array_sort(F.collect_list("first")), lambda x: x["role"])
+    return first.groupBy("conv_id").agg(F.array_join(F.array_sort(F.slice(seen, 1, 100)), ",").alias("roles"))
 
 
 @query("t11_archive_eviction", "SELECT s_suppkey FROM (SELECT s_suppkey, sum(100 + s_suppkey) OVER (ORDER BY s_nationkey DESC, s_suppkey DESC) AS total FROM supplier) WHERE total <= 3000")

@@ -384,3 +384,20 @@ def test_month_first_dates_stay_apart(spark):
     texts = days.select(F.date_format("d", "dd/MM/yyyy").alias("text")).union(days.filter(F.dayofmonth("d") > 12).select(F.date_format("d", "MM/dd/yyyy")))
     got = pseudonyms.pseudonymise(texts).collect()
     assert len({r.text for r in got}) == len(got) and all(r.found[0].kind == "date" for r in got)
+
+
+def test_each_repetition_length_decides(spark):
+    def text(passages, length, others):
+        w = [f"w{i:04}" for i in range(passages * length + others)]
+        parts = [w[k * length : (k + 1) * length] for k in range(passages)]
+        rest = iter(w[passages * length :])
+        return " ".join(x for p in [*parts, *parts] for x in [*p, next(rest)]) + " " + " ".join(rest)
+
+    texts = {5: text(7, 6, 116), 8: text(1, 9, 44), 10: text(1, 12, 88), 0: text(1, 12, 100)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    got = {r.doc_id: r for r in repetition.repetition_rules(docs).collect()}
+    assert not any(r.base_failed for r in got.values())
+    assert {i: r.kept for i, r in got.items()} == {5: False, 8: False, 10: False, 0: True}
+    assert got[5].dup_8gram_chars == got[8].dup_10gram_chars == 0
+    words = sum(map(len, texts[10].split()))
+    assert 0.20 < got[10].dup_10gram_chars / words and got[10].dup_8gram_chars / words < 0.28

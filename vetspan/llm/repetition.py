@@ -21,7 +21,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 class RepetitionRules:
     """Largest shares of a text's word characters inside repeated n-grams, by n, and of its characters inside repeated lines."""
 
-    ngram_share: tuple[tuple[int, float], ...] = ((5, 0.40), (8, 0.30), (10, 0.30))
+    ngram_share: tuple[tuple[int, float], ...] = ((5, 0.40), (8, 0.28), (10, 0.20))
     line_share: float = 0.30
     base_window: int = 8
     min_words: int = 20

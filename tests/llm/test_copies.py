@@ -40,15 +40,28 @@ def test_drop_copies(spark):
     assert exact_dedup.drop_copies(docs.limit(0)).count() == 0 == exact_dedup.exact_groups(docs.limit(0)).count()
 
 
-def test_directory_doubles_until_buckets_fit():
-    counts = {0: 50, 1: 1, 7: 2}
-    slots = exact_dedup.grow_directory(counts, 3, 2)
-    assert [s for s, _, _ in slots] == list(range(len(slots))) and len(slots) == 8
-    sizes = {}
-    for slot, bucket, _ in slots:
-        sizes[bucket] = sizes.get(bucket, 0) + counts.get(slot, 0)
-    assert all(n <= 2 for b, n in sizes.items() if b != slots[0][1])
-    assert exact_dedup.grow_directory({}, 3, 2) == [(0, 0, 0)]
+@pytest.mark.parametrize(("capacity", "bits"), [(2, 64), (3, 5)])
+def test_buckets_split_until_they_fit(spark, capacity, bits):
+    """Every bucket fits or can't split, is no smaller than it has to be, and no text's decision depends on the splits."""
+    docs = spark.range(300).selectExpr("id AS doc_id", "concat('t', id % 200) AS text")
+    keys = exact_dedup.text_keys(docs, hash_bits=bits)
+    hashes = sorted({r.vs_hash for r in keys.collect()})
+    dealt = exact_dedup.deal_to_buckets(keys.select("vs_hash").distinct(), capacity).collect()
+    assert sorted(r.vs_hash for r in dealt) == hashes
+    members = lambda first, depth: [h for h in hashes if depth == 0 or (h % 2**64) >> (64 - depth) == (first % 2**64) >> (64 - depth)]
+    for r in dealt:
+        assert len(members(r.bucket, r.local_depth)) <= capacity and r.vs_hash in members(r.bucket, r.local_depth)
+        assert r.local_depth == 0 or len(members(r.bucket, r.local_depth - 1)) > capacity
+    index = exact_dedup.build_index(docs, keys, capacity=capacity, hash_bits=bits).collect()
+    assert len(index) == 200 and all(len({r.chain for r in index if r.vs_hash == h}) == max(r.chain for r in index if r.vs_hash == h) for h in hashes)
+    got = {r.doc_id: (r.keep_id, r.group_size) for r in exact_dedup.exact_groups(docs, capacity=capacity, hash_bits=bits).collect()}
+    assert got == {i: (i + 200, 2) if i < 100 else (i, 2) if i >= 200 else (i, 1) for i in range(300)}
+
+
+def test_hashes_of_one_prefix_split_to_the_last_bits(spark):
+    dealt = exact_dedup.deal_to_buckets(spark.range(40).selectExpr("shiftleft(id, 44) AS vs_hash"), 2).collect()
+    assert {r.local_depth for r in dealt} == {19} and len({r.bucket for r in dealt}) == 20
+    assert exact_dedup.deal_to_buckets(spark.range(0).selectExpr("id AS vs_hash"), 2).count() == 0
 
 
 def shingles(text, k):

@@ -239,22 +239,68 @@ def test_warc(spark, monkeypatch):
     assert warc.read_bundles(warc.write_bundles(pages.limit(0))).count() == 0
 
 
-def test_nearest_is_exact():
+@pytest.mark.parametrize("columns", [0, 7, 1000])
+def test_nearest_is_exact(monkeypatch, columns):
+    monkeypatch.setattr(toxicity, "COLUMNS", columns)
+    monkeypatch.setattr(toxicity, "AT_ONCE", 16)
     rnd = np.random.default_rng(2)
     n, v = 300, 40
     dense = rnd.random((n, v)) * (rnd.random((n, v)) < 0.1)
     dense[5] = dense[200]
+    dense[7] = 0
     rows, terms = np.nonzero(dense)
     index = toxicity.BlockMaxIndex.build(rows, terms, dense[rows, terms], n, v, 16)
-    for _ in range(100):
-        q = rnd.random(v) * (rnd.random(v) < 0.1)
-        t = np.flatnonzero(q)
-        if not len(t):
-            continue
-        sums = dense @ q
-        want = sorted((i for i in range(n) if sums[i] > 1e-12), key=lambda i: (-round(sums[i], 9), i))[:15]
-        got, products = index.nearest(t, q[t], 15)
-        assert got.tolist() == want and np.allclose(products, sums[got])
+    q = rnd.random((100, v)) * (rnd.random((100, v)) < 0.1)
+    q[3] = 0
+    skip = rnd.integers(0, n, 100)
+    for left_out in (None, skip):
+        of, t = np.nonzero(q)
+        counts, got, products = index.nearest(of, t, q[of, t], 100, 15, left_out)
+        at = 0
+        for i in range(100):
+            sums = np.round(dense @ q[i], toxicity.DECIMALS)
+            if left_out is not None:
+                sums[left_out[i]] = 0
+            want = sorted((j for j in range(n) if sums[j] > 0), key=lambda j: (-sums[j], j))[:15]
+            assert got[at : at + counts[i]].tolist() == want and np.allclose(products[at : at + counts[i]], sums[want])
+            at += counts[i]
+
+
+def test_toxicity_against_brute_force(spark, data):
+    """Over whole tables: neighbours, similarities and scores from dense TF-IDF vectors of all terms of all labelled rows."""
+    import math
+    import zlib
+
+    from vetspan.llm import queries
+
+    docs = {r.doc_id: r.text or "" for r in queries.table(spark, data, "documents").collect()}
+    labels = {r.doc_id: r.toxic for r in queries.table(spark, data, "labels").collect() if zlib.crc32(str(r.doc_id).encode()) % 5 and r.doc_id in docs}
+    count = lambda t: collections.Counter(w for x in WORD.findall(t) if (w := x.strip(toxicity.TRIM).lower()))
+    counts = {i: count(t) for i, t in docs.items()}
+    frequency = collections.Counter(w for c in counts.values() for w in c)
+    vocab = {w for i in labels for w in counts[i]}
+
+    def vector(i):
+        own = {w: (1 + math.log(n)) * (math.log((1 + len(docs)) / (1 + frequency[w])) + 1) for w, n in counts[i].items() if w in vocab}
+        norm = math.sqrt(sum(x * x for x in own.values()))
+        return {w: x / norm for w, x in own.items()}
+
+    examples = {i: v for i in labels if (v := vector(i))}
+    got = {r.doc_id: r for r in queries.op4_toxicity(spark, data).collect()}
+    assert got.keys() == docs.keys() and any(r.held_out for r in got.values())
+    by_vote = []
+    for i, r in got.items():
+        own = vector(i)
+        near = sorted(((round(sum(x * e.get(w, 0) for w, x in own.items()), 8), -j) for j, e in examples.items()), reverse=True)[:63]
+        near = [(s, -j) for s, j in near if s > 0]
+        assert len(r.evidence) == min(len(near), 5) and np.allclose([e.similarity for e in r.evidence], [s for s, _ in near[:5]], atol=1e-7)
+        assert all(labels[e.example_id] == e.label for e in r.evidence) and (len(r.evidence) > 0) == bool(near)
+        assert r.held_out == (zlib.crc32(str(i).encode()) % 5 == 0) and r.predicted == (r.score >= 0.5)
+        if near:
+            base = sum(labels.values()) / len(labels)
+            by_vote.append(((sum(s * s * labels[j] for s, j in near) + 0.05 * base) / (sum(s * s for s, _ in near) + 0.05), r.score))
+    by_vote.sort()
+    assert all(b >= a - 1e-6 for (x, a), (y, b) in zip(by_vote, by_vote[1:], strict=False) if y > x + 1e-6)
 
 
 def test_toxicity(spark):
@@ -268,7 +314,7 @@ def test_toxicity(spark):
         texts.append((i, " ".join(own), "s"))
         labels.append((i, int(toxic)))
     docs = spark.createDataFrame([*texts, (900, None, "s"), (901, "", "s"), (902, "vile moron " * 20_000, "s")], "doc_id long, text string, score string")
-    model = toxicity.fit(docs, spark.createDataFrame([*labels, (1, None), (None, 1), (2, 7)], "doc_id long, toxic int").filter(~toxicity.held_out()), toxicity.ToxicitySettings(least_documents=2))
+    model = toxicity.fit(docs, spark.createDataFrame([*labels, (1, None), (None, 1), (2, 7)], "doc_id long, toxic int").filter(~toxicity.held_out()))
     got = {r.doc_id: r for r in toxicity.score_documents(docs, model).collect()}
     assert all(got[i].predicted == y for i, y in labels) and got[902].predicted == 1
     assert got[900].score == got[901].score == model.empty and got[900].evidence == [] and got[902].evidence[0].label == 1

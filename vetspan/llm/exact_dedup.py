@@ -2,138 +2,133 @@
 
 from __future__ import annotations
 
-import json
+import math
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from .shared import written
+from .shared import skewed_join, written
 
-#: The histogram of hash prefixes never has more than 2 ** MAX_DEPTH rows.
-MAX_DEPTH = 14
+#: Distinct hashes that a bucket holds before it splits.
 BUCKET_CAPACITY = 20_000
-#: Repeated texts are found by a broadcast of their keys up to so many keys, beyond that by a shuffled semi-join.
+#: Slots of the directory, and ids of dropped rows, are broadcast up to so many, joined by a shuffle beyond that.
 BROADCAST_KEYS = 200_000
+HASH_BITS = 64
+#: How many bits deeper the directory looks at once.
+DEEPER = 6
 
 
-def grow_directory(counts: dict[int, int], depth: int, capacity: int) -> list[tuple[int, int, int]]:
-    """(slot, bucket, local depth) for all slots of the directory.
+def _hashed(text: Column, hash_bits: int) -> Column:
+    """The first hash_bits of the text's hash; fewer than 64 make collisions, for tests."""
+    hashed = F.xxhash64(text)
+    return hashed if hash_bits >= HASH_BITS else _prefix_of(hashed, F.lit(hash_bits))
+
+
+def _prefix_of(hashed: Column, bits: Column) -> Column:
+    """The hash with all but its first bits cleared: the first hash of their bucket."""
+    rest = F.lit(HASH_BITS) - bits
+    return F.when(bits > 0, F.call_function("shiftleft", F.call_function("shiftrightunsigned", hashed, rest), rest)).otherwise(F.lit(0).cast("long"))
 
-    counts: entries by the first `depth` bits of the hash. Starting from one bucket, every overfull
-    bucket splits by its next bit, and the directory doubles when a bucket gets deeper than it; a
-    bucket at `depth` bits keeps its overflow as a longer chain.
+
+def deal_to_buckets(hashes: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
+    """`hashes` (distinct vs_hash) with bucket and local_depth: the first hash of the bucket, and how many bits its hashes share.
+
+    A bucket of more than `capacity` hashes splits by its next bit, until none is overfull. The directory
+    is counted for some bits at once; only the hashes of buckets that are overfull at all of them are
+    counted again, by more bits, up to all 64. It stays a table: nothing of it comes to the driver.
     """
-    sums = [dict(counts)]
-    for _ in range(depth):
-        up: dict[int, int] = {}
-        for prefix, n in sums[0].items():
-            up[prefix >> 1] = up.get(prefix >> 1, 0) + n
-        sums.insert(0, up)
-    buckets, todo, reach = [], [(0, 0)], 0
-    while todo:
-        prefix, local = todo.pop()
-        if local < depth and sums[local].get(prefix, 0) > capacity:
-            reach = max(reach, local + 1)
-            todo += [(2 * prefix + 1, local + 1), (2 * prefix, local + 1)]
-        else:
-            buckets.append((prefix, local))
-    return [(slot, bucket, local) for bucket, (prefix, local) in enumerate(buckets) for slot in range(prefix << (reach - local), (prefix + 1) << (reach - local))]
-
-
-def _slot(hashed: Column, depth: int) -> Column:
-    return F.shiftrightunsigned(hashed, 64 - depth).cast("int") if depth else F.lit(0)
-
-
-def _directory_frame(spark: SparkSession, directory: list[tuple[int, int, int]]) -> DataFrame:
-    kind = T.ArrayType(T.StructType([T.StructField(n, T.IntegerType()) for n in ("slot", "bucket", "local_depth")]))
-    rows = json.dumps([dict(zip(("slot", "bucket", "local_depth"), x, strict=True)) for x in directory])
-    return spark.range(1).select(F.inline(F.from_json(F.lit(rows), kind)))
-
-
-def text_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> DataFrame:
-    """vs_id, vs_hash, vs_sha for each row; null text counts as empty. hash_bits under 64 makes collisions, for tests."""
+    n = hashes.count()  # no directory has more slots than hashes
+    level, depth = 0, min(max(math.ceil(math.log2(n / capacity)), 0) + 2, HASH_BITS) if n else 0
+    todo, done = hashes, None
+    while True:
+        slots = todo.groupBy(_prefix_of(F.col("vs_hash"), F.lit(depth)).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+        levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(level), F.lit(depth))).alias("local_depth")).withColumn("bucket", _prefix_of(F.col("slot"), F.col("local_depth")))
+        full = F.lit(depth == HASH_BITS) & (F.col("local_depth") == HASH_BITS)
+        fitting = levels.groupBy("bucket", "local_depth").agg(F.sum("n").alias("n")).filter((F.col("n") <= capacity) | full).select("bucket", "local_depth")
+        first = levels.select("slot", "bucket", "local_depth").join(fitting, ["bucket", "local_depth"]).groupBy("slot").agg(F.min(F.struct("local_depth", "bucket")).alias("b"))
+        directory = first.select("slot", F.col("b.local_depth").alias("local_depth"), F.col("b.bucket").alias("bucket"))
+        few = min(n, 2**depth) <= BROADCAST_KEYS
+        dealt = todo.withColumn("slot", _prefix_of(F.col("vs_hash"), F.lit(depth))).join(F.broadcast(directory) if few else directory, "slot", "left").drop("slot")
+        dealt = written(dealt, "dedup-dealt")
+        settled = dealt.filter("local_depth IS NOT NULL")
+        done = settled if done is None else done.unionByName(settled)
+        todo = dealt.filter("local_depth IS NULL").drop("bucket", "local_depth")
+        n = todo.count()
+        if not n:
+            return done
+        level, depth = depth + 1, min(depth + DEEPER, HASH_BITS)
+
+
+def text_keys(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = HASH_BITS) -> DataFrame:
+    """vs_id, vs_hash, vs_sha for each row; null text counts as empty."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    hashed = F.xxhash64(text)
-    if hash_bits < 64:
-        hashed = F.shiftleft(F.shiftrightunsigned(hashed, 64 - hash_bits), 64 - hash_bits) if hash_bits else F.lit(0).cast("long")
-    return docs.select(F.col(id_col).alias("vs_id"), hashed.alias("vs_hash"), F.sha2(text, 256).alias("vs_sha"))
+    return docs.select(F.col(id_col).alias("vs_id"), _hashed(text, hash_bits).alias("vs_hash"), F.sha2(text, 256).alias("vs_sha"))
 
 
-def build_index(keys: DataFrame, capacity: int = BUCKET_CAPACITY) -> DataFrame:
-    """The index: a row per distinct text with its bucket, local depth, place in the chain of its hash, largest id and number of rows.
+def build_index(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY, hash_bits: int = HASH_BITS) -> DataFrame:
+    """The index: bucket, local_depth, vs_hash, chain, vs_sha, keep_id, group_size, a row per distinct text.
 
-    Copies are summed before any bucket is dealt out, so a group of copies costs its owner one entry.
-    The directory comes from a histogram of at most 2 ** MAX_DEPTH rows. Owner tasks hold contiguous
-    ranges of buckets; entries of one hash that differ in their digest form a chain.
+    1. The rows of each hash are counted on the map side, and the distinct hashes dealt to buckets.
+    2. A hash of one row is an entry by itself; its text isn't moved and its vs_sha is null.
+    3. The texts of the others are summed up within each task, so that a task sends a text once however
+       often it holds it, and go to the owners of their buckets, which are contiguous ranges. An owner
+       compares the bytes of the texts of a hash: equal ones are one entry, others chain in byte order.
+    The entry's largest id stays (nulls are the smallest). vs_sha is the digest by which rows find their
+    entry; two texts of one hash and one digest would be told apart here, and raise ValueError.
     """
-    spark = keys.sparkSession
-    ids = keys.groupBy("vs_hash", "vs_sha", "vs_id").agg(F.count(F.lit(1)).alias("n"))
-    entries = ids.groupBy("vs_hash", "vs_sha").agg(F.max(F.struct("vs_id", "n")).alias("top"), F.sum("n").alias("group_size"))
-    entries = written(entries.select("vs_hash", "vs_sha", F.col("top.vs_id").alias("keep_id"), F.col("top.n").alias("n_keep"), "group_size"), "dedup-entries")
-    counts = {r[0]: r[1] for r in entries.groupBy(_slot(F.col("vs_hash"), MAX_DEPTH)).count().collect()}
-    directory = grow_directory(counts, MAX_DEPTH, capacity)
-    reach = max(len(directory).bit_length() - 1, 0)
-    if reach:
-        slots = F.broadcast(_directory_frame(spark, directory))  # at most 2 ** MAX_DEPTH rows
-        placed = entries.withColumn("slot", _slot(F.col("vs_hash"), reach)).join(slots, "slot")
-    else:
-        placed = entries.withColumns({"slot": F.lit(0), "bucket": F.lit(0), "local_depth": F.lit(0)})
-    owned = placed.repartitionByRange("bucket", "vs_hash")
-    chained = owned.selectExpr("*", "row_number() OVER (PARTITION BY bucket, vs_hash ORDER BY vs_sha) AS chain")
-    return written(chained.drop("slot").sortWithinPartitions("bucket", "vs_hash", "chain"), "dedup-index")
-
-
-def compare_bytes(docs: DataFrame, index: DataFrame, id_col: str = "doc_id", text_col: str = "text", hash_bits: int = 64) -> int:
-    """Number of rows whose text differs from another of the same index entry; such rows would need a longer digest.
-
-    Only texts of entries with several rows are moved.
-    """
-    several = index.filter("group_size > 1").select("vs_hash", "vs_sha")
-    few = several.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    keyed = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("vs_text")).withColumns({"vs_hash": _hash_again(hash_bits), "vs_sha": F.sha2("vs_text", 256)})
-    copies = keyed.join(F.broadcast(several) if few else several, ["vs_hash", "vs_sha"], "left_semi")
-    # min and max of the bytes are equal exactly when all the group's texts are; both are summed on the map side
-    return copies.groupBy("vs_hash", "vs_sha").agg(F.min("vs_text").alias("a"), F.max("vs_text").alias("b")).filter("a <> b").count()
+    counted = keys.groupBy("vs_hash").agg(F.count(F.lit(1)).alias("n"), F.max("vs_id").alias("top"))
+    dealt = deal_to_buckets(written(counted, "dedup-hashes"), capacity)
+    single = dealt.filter("n = 1").selectExpr("bucket", "local_depth", "vs_hash", "1 AS chain", "CAST(NULL AS STRING) AS vs_sha", "top AS keep_id", "n AS group_size")
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("vs_id"), text.alias("vs_text"), _hashed(text, hash_bits).alias("vs_hash"))
+    shared = skewed_join(rows, dealt.filter("n > 1").select("vs_hash", "bucket", "local_depth", "n"), ["vs_hash"], "n").drop("n")
+    sums = shared.withColumn("part", F.spark_partition_id()).groupBy("part", "bucket", "local_depth", "vs_hash", "vs_text").agg(F.max("vs_id").alias("top"), F.count(F.lit(1)).alias("n"))
+    owned = sums.drop("part").repartitionByRange("bucket", "vs_hash")
+    texts = owned.groupBy("bucket", "local_depth", "vs_hash", "vs_text").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
+    chained = texts.selectExpr("bucket", "local_depth", "vs_hash", "CAST(row_number() OVER (PARTITION BY bucket, vs_hash ORDER BY vs_text) AS INT) AS chain", "sha2(vs_text, 256) AS vs_sha", "keep_id", "group_size")
+    index = written(single.unionByName(chained), "dedup-index")
+    if differing := index.filter("vs_sha IS NOT NULL").groupBy("vs_hash", "vs_sha").count().filter("count > 1").count():
+        raise ValueError(f"{differing} index entries hold texts that differ although their SHA-256 agrees")
+    return index
 
 
-def _hash_again(hash_bits: int) -> Column:
-    hashed = F.xxhash64("vs_text")
-    if hash_bits >= 64:
-        return hashed
-    return F.shiftleft(F.shiftrightunsigned(hashed, 64 - hash_bits), 64 - hash_bits) if hash_bits else F.lit(0).cast("long")
+def _looked_up(keys: DataFrame, index: DataFrame) -> DataFrame:
+    """keys with keep_id, group_size and chain of their entry; a row whose hash is its own is its own entry."""
+    several = index.filter("vs_sha IS NOT NULL").select("vs_hash", "vs_sha", "chain", "keep_id", "group_size")
+    return skewed_join(keys, several, ["vs_hash", "vs_sha"], "group_size", "left").withColumns({
+        "keep_id": F.when(F.col("chain").isNull(), F.col("vs_id")).otherwise(F.col("keep_id")),
+        "group_size": F.coalesce("group_size", F.lit(1)).cast("long"),
+        "chain": F.coalesce("chain", F.lit(1)),
+    })
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY, hash_bits: int = 64) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, bucket, local_depth, chain.
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY, hash_bits: int = HASH_BITS) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, chain.
 
     Texts are equal when their bytes are; null counts as empty. Of equal texts the largest id stays
     (null ids are the smallest). Rows that repeat an id and its text are one document: each of them
-    is kept if its id stays. An empty table gives no rows. Other columns are not read.
+    is kept if its id stays. chain is the text's place among the texts of its hash. An empty table gives
+    no rows. Other columns are not read.
     """
     keys = written(text_keys(docs, id_col, text_col, hash_bits), "dedup-keys")
-    index = build_index(keys, capacity)
-    if differing := compare_bytes(docs, index, id_col, text_col, hash_bits):
-        raise ValueError(f"{differing} index entries hold texts that differ although their SHA-256 agrees")
-    return keys.join(index, ["vs_hash", "vs_sha"]).select(F.col("vs_id").alias("doc_id"), "keep_id", "group_size", F.col("vs_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("vs_sha").alias("text_sha256"), "bucket", "local_depth", "chain")
+    found = _looked_up(keys, build_index(docs, keys, id_col, text_col, capacity, hash_bits))
+    return found.select(F.col("vs_id").alias("doc_id"), "keep_id", "group_size", F.col("vs_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.col("vs_sha").alias("text_sha256"), "chain")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_CAPACITY) -> DataFrame:
     """The rows that stay, with the columns of `docs`: one per distinct text, that with the largest id (null is the smallest)."""
     keys = written(text_keys(docs, id_col, text_col), "dedup-keys")
-    index = build_index(keys, capacity)
-    if differing := compare_bytes(docs, index, id_col, text_col):
-        raise ValueError(f"{differing} index entries hold texts that differ although their SHA-256 agrees")
+    copies = written(_looked_up(keys, build_index(docs, keys, id_col, text_col, capacity)).filter("group_size > 1"), "dedup-copies")
     text = F.coalesce(F.col(text_col), F.lit(""))
-    names = docs.columns
     keyed = docs.withColumns({"__vs_hash": F.xxhash64(text), "__vs_sha": F.sha2(text, 256)})
-    dropped = written(keys.join(index.filter("group_size > 1"), ["vs_hash", "vs_sha"]).filter(~F.col("vs_id").eqNullSafe(F.col("keep_id"))).select(F.col("vs_hash").alias("__vs_hash"), F.col("vs_sha").alias("__vs_sha"), F.col("vs_id").alias("__vs_id")).distinct(), "dedup-dropped")
+    stays = F.col("vs_id").eqNullSafe(F.col("keep_id"))
+    dropped = written(copies.filter(~stays).select(F.col("vs_hash").alias("__vs_hash"), F.col("vs_sha").alias("__vs_sha"), F.col("vs_id").alias("__vs_id")).distinct(), "dedup-dropped")
     few = dropped.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
     gone = F.broadcast(dropped) if few else dropped
     same = (keyed["__vs_hash"] == gone["__vs_hash"]) & (keyed["__vs_sha"] == gone["__vs_sha"]) & keyed[id_col].eqNullSafe(gone["__vs_id"])
     kept = keyed.join(gone, same, "left_anti")
-    if index.filter("n_keep > 1").limit(1).count():  # rows that repeat both id and text
-        repeated = index.filter("n_keep > 1").select(F.col("vs_hash").alias("__vs_hash"), F.col("vs_sha").alias("__vs_sha"))
-        once = kept.join(repeated, ["__vs_hash", "__vs_sha"], "left_semi").dropDuplicates(["__vs_hash", "__vs_sha"])
-        kept = kept.join(repeated, ["__vs_hash", "__vs_sha"], "left_anti").unionByName(once)
-    return kept.select(*names)
+    again = written(copies.filter(stays).groupBy("vs_hash", "vs_sha").count().filter("count > 1").select(F.col("vs_hash").alias("__vs_hash"), F.col("vs_sha").alias("__vs_sha")), "dedup-again")
+    if again.limit(1).count():  # rows that repeat both id and text
+        once = kept.join(again, ["__vs_hash", "__vs_sha"], "left_semi").dropDuplicates(["__vs_hash", "__vs_sha"])
+        kept = kept.join(again, ["__vs_hash", "__vs_sha"], "left_anti").unionByName(once)
+    return kept.select(*docs.columns)

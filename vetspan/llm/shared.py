@@ -11,6 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
@@ -42,6 +43,23 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this part of all rows is hot; there can't be more hot keys than parts.
+HOT_PARTS = 10_000
+
+
+def skewed_join(left: DataFrame, right: DataFrame, on: list[str], size_col: str, how: str = "inner") -> DataFrame:
+    """left.join(right, on, how) for inner or left, where right has one row per key and size_col tells how many rows of left have it.
+
+    Keys of more than a 1 / HOT_PARTS share of all these rows are at most HOT_PARTS and are broadcast, so
+    that a hot key of `left` isn't moved; the others are joined as Spark sees fit. Both sides are read
+    more than once and should be tables.
+    """
+    share = (right.agg(F.sum(size_col)).first()[0] or 0) // HOT_PARTS + 1
+    hot, cold = (right.filter(F.col(size_col) > share), right.filter(F.col(size_col) <= share))
+    rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, how)
+    return left.join(F.broadcast(hot), on).unionByName(rest)
+
+
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, split_words, text_slices, written
+from .shared import small_batches, split_words, spread, text_slices, written
 
 TRIM = ".,;:!?\"'()[]{}<>*_-"
 
@@ -23,17 +23,23 @@ class ToxicitySettings:
 
     #: Labelled rows that the model is fitted on, per class, at most; taken in the order of a hash of their id.
     examples: int = 2000
-    #: Terms of the index, at most: those that tell the classes of the examples apart best.
-    terms: int = 4096
-    #: Least examples with a term, and least chi-square statistic of its presence against the label.
-    least_documents: int = 3
-    least_chi_square: float = 15.0
-    neighbours: int = 15
+    neighbours: int = 63
+    #: Nearest examples told as evidence.
+    evidence: int = 5
+    #: Examples in a block of the index.
     block: int = 64
     #: Weight of the base rate among the votes.
     prior: float = 0.05
 
 
+#: The index holds the most frequent terms, up to so many, as columns and the others as lists; this changes no result.
+COLUMNS = 1024
+#: Similarities are rounded to so many decimals, so that ties don't depend on the order of sums.
+DECIMALS = 10
+#: Texts that are compared with the index at once.
+AT_ONCE = 256
+
+
 def term_counts(texts: pa.Array, vocab: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
     """(row, term, count) of the lower-cased words of each text without marks at their ends, and the terms.
 
@@ -55,61 +61,127 @@ def term_counts(texts: pa.Array, vocab: pa.Array | None) -> tuple[np.ndarray, np
     return rows, terms, counts, vocab
 
 
+def _clustered(vectors: np.ndarray, block: int) -> np.ndarray:
+    """An order of the vectors in which alike ones are neighbours: halves along the principal direction, down to a block."""
+    out, todo = [], [np.arange(len(vectors))]
+    while todo:
+        own = todo.pop()
+        if len(own) <= block:
+            out.append(own)
+            continue
+        part = vectors[own] - vectors[own].mean(axis=0)
+        direction = part[int(np.argmax((part**2).sum(axis=1)))]
+        for _ in range(20):
+            direction = part.T @ (part @ direction)
+            direction /= max(float(np.linalg.norm(direction)), 1e-300)
+        own = own[np.argsort(part @ direction, kind="stable")]
+        half = -(-len(own) // block) // 2 * block
+        todo += [own[half:], own[:half]]
+    return np.concatenate([np.zeros(0, np.int64), *out])
+
+
 @dataclass
 class BlockMaxIndex:
-    """Postings of each term by block of examples, with the largest weight of every term in every block.
+    """Postings of all terms by block of examples, with the largest weight of every term in every block.
 
-    A term's postings in a block are one tile of `block` weights; cells without postings share tile 0.
+    Examples are dealt to blocks of alike ones. The postings of a frequent term are a column of weights in
+    each block, those of another term a list of places; both say the same.
     """
 
-    tiles: np.ndarray  # [tile, place in the block]
-    cells: np.ndarray  # [term, block]: number of the tile
-    largest: np.ndarray  # [term, block]
-    n: int
+    order: np.ndarray  # example at each place
+    column: np.ndarray  # column of a term, -1 for one with a list
+    tiles: np.ndarray  # [block, column, place in the block]
+    tops: np.ndarray  # [column, block]: largest weight
+    starts: np.ndarray  # first posting of each term's list, and the end of the last
+    places: np.ndarray
+    weights: np.ndarray
+    top_starts: np.ndarray  # the same for the blocks of a list
+    top_blocks: np.ndarray
+    top_weights: np.ndarray
 
     @classmethod
     def build(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int) -> BlockMaxIndex:
+        found = np.bincount(terms, minlength=n_terms)
+        common = np.sort(np.argsort(-found, kind="stable")[:COLUMNS])
+        common = common[found[common] * 32 > n]
+        column = np.full(n_terms, -1, np.int64)
+        column[common] = np.arange(len(common))
+        often = column[terms] >= 0
+        dense = np.zeros((n, len(common)))
+        dense[rows[often], column[terms[often]]] = weights[often]
+        order = _clustered(dense, block)
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
         blocks = max(-(-n // block), 1)
-        used, tile = np.unique(terms * blocks + rows // block, return_inverse=True)
-        tiles = np.zeros((len(used) + 1, block))
-        tiles[tile + 1, rows % block] = weights
-        cells = np.zeros(n_terms * blocks, np.int32)
-        cells[used] = np.arange(1, len(used) + 1)
-        largest = tiles.max(axis=1)[cells]
-        return cls(tiles, cells.reshape(n_terms, blocks), largest.reshape(n_terms, blocks), n)
-
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """The k examples of the largest positive dot product (ties: the smaller example), exactly.
-
-        The blocks of the highest bounds are opened first; then those whose bound still reaches the
-        k-th best product. All other blocks can't hold a nearer example.
+        tiles = np.zeros((blocks * block, len(common)))
+        tiles[:n] = dense[order]
+        tiles = np.ascontiguousarray(tiles.reshape(blocks, block, -1).transpose(0, 2, 1))
+        at, own, weight = place[rows[~often]], terms[~often], weights[~often]
+        by = np.lexsort((at, own))
+        at, own, weight = at[by], own[by], weight[by]
+        first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (at[1:] // block != at[:-1] // block))) if len(own) else np.zeros(0, np.int64)
+        largest = np.maximum.reduceat(weight, first) if len(first) else weight[:0]
+        names = np.arange(n_terms + 1)
+        return cls(order, column, tiles, tiles.max(axis=2).T.copy(), np.searchsorted(own, names), at, weight, np.searchsorted(own[first], names), at[first] // block, largest)
+
+    def nearest(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each of n vectors the k examples of the largest positive dot product (ties: the smaller example), exactly.
+
+        Gives how many each has, and all examples and products end to end. skip is an example for each vector
+        that doesn't count. Blocks of the highest bounds are opened first; then those whose bound still
+        reaches the k-th best product. No other block can hold a nearer example.
         """
-        block = self.tiles.shape[1]
-        bounds = weights @ self.largest[terms]
-        first = max(-(-2 * k // block), 2)
-
-        def opened(blocks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            sums = np.tensordot(weights, self.tiles[self.cells[terms[:, None], blocks]], 1).ravel()
-            examples = (blocks[:, None] * block + np.arange(block)).ravel()
-            live = (sums > 0) & (examples != skip)
-            return examples[live], sums[live]
-
-        order = np.argsort(-bounds, kind="stable")
-        examples, sums = opened(order[:first])
-        least = np.partition(sums, len(sums) - k)[len(sums) - k] - 1e-12 if len(sums) >= k else 0.0
-        more = order[first:]
-        more = more[(bounds[more] >= least) & (bounds[more] > 0)]
-        if len(more):
-            others, products = opened(more)
-            examples, sums = np.concatenate((examples, others)), np.concatenate((sums, products))
-        keep = np.lexsort((examples, -sums))[:k] if len(sums) <= 256 else self._largest(examples, sums, k)
-        return examples[keep], sums[keep]
-
-    @staticmethod
-    def _largest(examples: np.ndarray, sums: np.ndarray, k: int) -> np.ndarray:
-        edge = np.partition(sums, len(sums) - k)[len(sums) - k]
-        some = np.flatnonzero(sums >= edge)
-        return some[np.lexsort((examples[some], -sums[some]))[:k]]
+        counts, examples, products = [], [np.zeros(0, np.int64)], [np.zeros(0)]
+        cuts = np.searchsorted(rows, np.arange(0, n + AT_ONCE, AT_ONCE))
+        for i, at in enumerate(range(0, n, AT_ONCE)):
+            a, b = cuts[i], cuts[i + 1]
+            some = min(AT_ONCE, n - at)
+            for near, product in self._compared(rows[a:b] - at, terms[a:b], weights[a:b], some, k, None if skip is None else skip[at : at + some]):
+                counts.append(len(near))
+                examples.append(near)
+                products.append(product)
+        return np.array(counts, np.int64), np.concatenate(examples), np.concatenate(products)
+
+    def _compared(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, skip: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        blocks, columns, block = self.tiles.shape
+        often = self.column[terms] >= 0
+        dense = np.zeros((n, columns))
+        dense[rows[often], self.column[terms[often]]] = weights[often]
+        rows, terms, weights = rows[~often], terms[~often], weights[~often]
+        bounds = dense @ self.tops
+        sizes = self.top_starts[terms + 1] - self.top_starts[terms]
+        at = spread(self.top_starts[terms], sizes)
+        bounds += np.bincount(np.repeat(rows * blocks, sizes) + self.top_blocks[at], np.repeat(weights, sizes) * self.top_weights[at], n * blocks).reshape(n, blocks)
+        sizes = self.starts[terms + 1] - self.starts[terms]
+        at = spread(self.starts[terms], sizes)
+        row, place, product = np.repeat(rows, sizes), self.places[at], np.repeat(weights, sizes) * self.weights[at]
+        sums = np.zeros((n, blocks * block))
+
+        def opened(mask: np.ndarray) -> None:
+            for b in np.flatnonzero(mask.any(axis=0)).tolist():
+                own = np.flatnonzero(mask[:, b])
+                sums[own, b * block : (b + 1) * block] = dense[own] @ self.tiles[b]
+            live = mask[row, place // block]
+            np.add.at(sums, (row[live], place[live]), product[live])
+            if skip is not None:
+                sums[np.arange(n), np.argsort(self.order)[skip]] = 0
+
+        def edges() -> np.ndarray:
+            size = sums.shape[1]
+            return np.partition(sums, size - k, axis=1)[:, size - k] if size >= k else np.zeros(n)
+
+        first = np.zeros((n, blocks), bool)
+        most = min(-(-2 * k // block) + 1, blocks)
+        first[np.arange(n)[:, None], np.argpartition(-bounds, most - 1, axis=1)[:, :most]] = True
+        first &= bounds > 0
+        opened(first)
+        opened((bounds >= edges()[:, None] - 1e-9) & (bounds > 0) & ~first)
+        np.round(sums, DECIMALS, out=sums)
+        for own, edge in zip(sums, edges(), strict=True):
+            some = np.flatnonzero(own >= edge) if edge > 0 else np.flatnonzero(own > 0)
+            names = self.order[some]
+            top = np.lexsort((names, -own[some]))[:k]
+            yield names[top], own[some[top]]
 
 
 @dataclass
@@ -134,29 +206,23 @@ class ToxicityModel:
         norms = np.sqrt(np.bincount(rows, weights**2, len(texts)))
         return rows, terms, weights / norms[rows] if len(rows) else weights
 
-    def vote(self, examples: np.ndarray, similarity: np.ndarray) -> float:
-        weight = similarity**2
-        return float((weight @ self.labels[examples] + self.settings.prior * self.base) / (weight.sum() + self.settings.prior))
+    def votes(self, counts: np.ndarray, examples: np.ndarray, similarity: np.ndarray) -> np.ndarray:
+        """Share of label 1 among the neighbours of each text, weighted by squared similarity."""
+        rows, weight = np.repeat(np.arange(len(counts)), counts), similarity**2
+        ones = np.bincount(rows, weight * self.labels[examples], len(counts))
+        return (ones + self.settings.prior * self.base) / (np.bincount(rows, weight, len(counts)) + self.settings.prior)
 
-    def calibrated(self, vote: float) -> float:
-        vote = min(max(vote, 1e-6), 1 - 1e-6)
-        return float(1 / (1 + np.exp(-(self.slope * np.log(vote / (1 - vote)) + self.shift))))
+    def calibrated(self, votes: np.ndarray) -> np.ndarray:
+        votes = np.clip(votes, 1e-6, 1 - 1e-6)
+        return 1 / (1 + np.exp(-(self.slope * np.log(votes / (1 - votes)) + self.shift)))
 
     def score(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """Scores of the texts, and their neighbours: how many each has, and all examples and similarities end to end."""
-        rows, terms, weights = self.vectors(texts)
-        bounds = np.searchsorted(rows, np.arange(len(texts) + 1)).tolist()
-        scores, counts = np.full(len(texts), self.empty), np.zeros(len(texts), np.int64)
-        examples, similar = [], []
-        for i, (a, b) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
-            if a == b or self.index is None:
-                continue
-            near, similarity = self.index.nearest(terms[a:b], weights[a:b], self.settings.neighbours)
-            scores[i] = self.calibrated(self.vote(near, similarity))
-            counts[i] = len(near)
-            examples.append(near)
-            similar.append(similarity)
-        return scores, counts, np.concatenate([np.zeros(0, np.int64), *examples]), np.concatenate([np.zeros(0), *similar])
+        none = np.zeros(0, np.int64)
+        if self.index is None:
+            return np.full(len(texts), self.empty), np.zeros(len(texts), np.int64), none, np.zeros(0)
+        counts, examples, similar = self.index.nearest(*self.vectors(texts), len(texts), self.settings.neighbours)
+        return np.where(counts > 0, self.calibrated(self.votes(counts, examples, similar)), self.empty), counts, examples, similar
 
 
 def _platt(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[float, float]:
@@ -186,16 +252,20 @@ def _document_frequencies(docs: DataFrame, vocab: list[str], text_col: str) -> t
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(sums[some], total), pa.int64())], ["term", "n"])
 
-    counts = {r[0]: r[1] for r in small_batches(docs.select(text_col)).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).collect()}
-    return counts.get(-1, 0), np.array([counts.get(i, 0) for i in range(len(vocab))], np.float64)
+    found = small_batches(docs.select(text_col)).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most a row per term of the examples
+    term, n = (found[c].to_numpy() for c in ("term", "n"))
+    out = np.zeros(len(vocab))
+    out[term[term >= 0]] = n[term >= 0]
+    return int(n[term < 0].sum()), out
 
 
 def fit(docs: DataFrame, labelled: DataFrame, settings: ToxicitySettings = ToxicitySettings(), id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> ToxicityModel:  # noqa: B008
     """A model from the rows of `labelled` (id_col, label_col 0 or 1) whose ids are in `docs`.
 
     Null labels and other values than 0 and 1 are left out. At most settings.examples rows per class are
-    fitted on; document frequencies are over all rows of `docs`. Without examples of both classes the
-    score is the share of label 1 among the labelled rows, 0 without any.
+    fitted on, all of them and all of their terms are indexed, and document frequencies are over all rows
+    of `docs`. A row that stands there more than once is as many examples. Without examples of both
+    classes the score is the share of label 1 among the labelled rows, 0 without any.
     """
     rows = labelled.select(F.col(id_col).alias("vs_id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1) AND vs_id IS NOT NULL")
     totals = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
@@ -211,22 +281,13 @@ def fit(docs: DataFrame, labelled: DataFrame, settings: ToxicitySettings = Toxic
     sample = written(texts.join(picked, "vs_id"), "toxicity-examples")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, own in text_slices(batches, "text"):
-            rows, found, _, names = term_counts(own, None)
-            label = batch.column("label").to_numpy(zero_copy_only=False).astype(np.int64)
-            pairs = found * 2 + label[rows]
-            keys, n = np.unique(pairs, return_counts=True)
-            yield pa.RecordBatch.from_arrays([names.take(pa.array(keys >> 1)), pa.array(keys & 1, pa.int64()), pa.array(n, pa.int64())], ["term", "label", "n"])
+        for _, own in text_slices(batches, "text"):
+            yield pa.RecordBatch.from_arrays([term_counts(own, None)[3].cast(pa.string())], ["term"])
 
     drawn = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
-    n0, n1 = float(drawn.get(0, 0)), float(drawn.get(1, 0))
-    if not n0 or not n1:
+    if not drawn.get(0) or not drawn.get(1):
         return model
-    by_term = small_batches(sample).mapInArrow(terms, "term string, label long, n long").filter("term <> ''").groupBy("term").agg(F.sum(F.expr("IF(label = 1, n, 0)")).alias("a"), F.sum(F.expr("IF(label = 0, n, 0)")).alias("b"))
-    both, n = F.col("a") + F.col("b"), n0 + n1
-    chi = n * F.pow(F.col("a") * F.lit(n0) - F.col("b") * F.lit(n1), 2) / (both * (F.lit(n) - both) * F.lit(n0) * F.lit(n1))
-    telling = by_term.filter((both >= settings.least_documents) & (both < n)).withColumn("chi", chi).filter(F.col("chi") >= settings.least_chi_square)
-    model.vocab = sorted(r[0] for r in telling.orderBy(F.desc("chi"), "term").limit(settings.terms).collect())
+    model.vocab = sorted(small_batches(sample).mapInArrow(terms, "term string").filter("term <> ''").distinct().toArrow()["term"].to_pylist())  # those of at most 2 * settings.examples texts
     if not model.vocab:
         return model
     n_docs, df = _document_frequencies(docs, model.vocab, text_col)
@@ -246,32 +307,28 @@ def _index(model: ToxicityModel, sample: DataFrame, totals: dict[int, int], draw
             yield pa.RecordBatch.from_arrays([batch.column("vs_id"), batch.column("label"), *lists], ["vs_id", "label", "terms", "weights"])
 
     schema = T.StructType([sample.schema["vs_id"], sample.schema["label"], T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
-    found = small_batches(sample).mapInArrow(vectors, schema).collect()  # at most 2 * settings.examples rows of at most settings.terms terms
-    # neighbours of a term stand in the same blocks, so that bounds are sharp
-    full = sorted((r for r in found if r.terms), key=lambda r: (r.terms[int(np.argmax(r.weights))], r.label, r.terms, r.weights, r.vs_id))
+    found = small_batches(sample).mapInArrow(vectors, schema).toArrow()  # the examples
+    rows = sorted(zip(*(found[c].to_pylist() for c in schema.names), strict=True))
     weight_of = {y: totals[y] / drawn[y] for y in (0, 1)}
-    empty = np.array([sum(weight_of[y] for r in found if not r.terms and r.label == y) for y in (0, 1)])
+    empty = np.array([sum(weight_of[y] for _, label, terms, _ in rows if not terms and label == y) for y in (0, 1)])
     model.empty = float((empty[1] + 0.5 * model.base) / (empty.sum() + 0.5))
+    full = [r for r in rows if r[2]]
     if not full:
         return model
-    model.labels, model.ids = np.array([r.label for r in full], np.int64), [r.vs_id for r in full]
-    rows = np.repeat(np.arange(len(full)), [len(r.terms) for r in full])
-    terms = np.concatenate([np.array(r.terms, np.int64) for r in full])
-    weights = np.concatenate([np.array(r.weights) for r in full])
-    model.index = BlockMaxIndex.build(rows, terms, weights, len(full), len(model.vocab), model.settings.block)
-    votes = []
-    for i, r in enumerate(full):
-        near, similarity = model.index.nearest(np.array(r.terms, np.int64), np.array(r.weights), model.settings.neighbours, skip=i)
-        votes.append(model.vote(near, similarity))
-    model.slope, model.shift = _platt(np.array(votes), model.labels, np.array([weight_of[int(y)] for y in model.labels]))
+    model.ids, model.labels = [r[0] for r in full], np.array([r[1] for r in full], np.int64)
+    of = np.repeat(np.arange(len(full)), [len(r[2]) for r in full])
+    terms, weights = (np.concatenate([np.array(r[i]) for r in full]) for i in (2, 3))
+    model.index = BlockMaxIndex.build(of, terms, weights, len(full), len(model.vocab), model.settings.block)
+    left_out = model.index.nearest(of, terms, weights, len(full), model.settings.neighbours, skip=np.arange(len(full)))
+    model.slope, model.shift = _platt(model.votes(*left_out), model.labels, np.array([weight_of[int(y)] for y in model.labels]))
     return model
 
 
 def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text", prefix: str = "") -> DataFrame:
     """`docs` with <prefix>score double, <prefix>predicted int and <prefix>evidence array<struct<example_id, label, similarity>>.
 
-    Null text counts as empty; a text without any term of the index gets the share of label 1 among such
-    examples. Only the text is an input of the score. Rows are kept one for one and nothing is shuffled.
+    evidence holds the nearest examples, the nearest first. Null text counts as empty; a text without any
+    term of the index has none, and gets the share of label 1 among such examples. Only the text is an input of the score. Rows are kept one for one and nothing is shuffled.
     """
     evidence = T.ArrayType(T.StructType([T.StructField("example_id", T.LongType()), T.StructField("label", T.IntegerType()), T.StructField("similarity", T.DoubleType())]))
     added = [T.StructField(f"{prefix}score", T.DoubleType()), T.StructField(f"{prefix}predicted", T.IntegerType()), T.StructField(f"{prefix}evidence", evidence)]
@@ -283,8 +340,11 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
         ids = np.array(own.ids, np.int64)
         for batch, texts in text_slices(batches, text_col):
             scores, counts, examples, similar = own.score(texts)
+            told = np.minimum(counts, own.settings.evidence)
+            some = spread(np.cumsum(counts) - counts, told)
+            examples, similar = examples[some], similar[some]
             facts = pa.StructArray.from_arrays([pa.array(ids[examples] if len(ids) else examples), pa.array(own.labels[examples].astype(np.int32) if len(ids) else examples.astype(np.int32)), pa.array(similar)], ["example_id", "label", "similarity"])
-            told = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(counts)).astype(np.int32)), facts)
+            told = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(told)).astype(np.int32)), facts)
             new = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), told]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in schema[: -len(added)]], *new], schema.names)
 

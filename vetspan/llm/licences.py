@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, text_slices
+from .shared import skewed_join, small_batches, term_counts, text_slices, written
 
 #: Short notices, file headers and headings of licence texts by SPDX identifier.
 TEMPLATES = (
@@ -43,10 +44,6 @@ TEMPLATES = (
     ("GPL-2.0", "GNU General Public License Version 2, June 1991"),
     ("LGPL-3.0", "GNU Lesser General Public License Version 3, 29 June 2007"),
 )
-#: Every template holds one of these; lines and windows around them are compared.
-MARKS = r"(?i)licen[cs]|permission|redistribut|public domain|copyright|free software"
-#: The same in a text whose lines are wrapped.
-WRAPPED_MARKS = r"(?i)licen[cs]|permission|redistribut|public\W+domain|copyright|free\W+software"
 WORD = r"[a-z]+(?:-[a-z]+)*|\d+(?:\.\d+)*"
 #: Fixed value: names of files that state the licence of their directory.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|unlicense)([.\-].*)?$"
@@ -65,49 +62,32 @@ def _terms(texts: pa.Array) -> list[list[str]]:
 TERMS = sorted({w for _, text in TEMPLATES for w in _terms(pa.array([text]))[0]})
 
 
-def notice_lines(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
-    """(row, line number, line) of the lines that may hold a notice; a comment's leading marks go."""
-    lists = pc.split_pattern(texts, "\n")
-    lines, rows = lists.flatten(), pc.list_parent_indices(lists).to_numpy(zero_copy_only=False).astype(np.int64)
-    starts = lists.offsets.to_numpy()[:-1] - lists.offsets.to_numpy()[0]
-    numbers = np.arange(len(lines)) - starts[rows] if len(lines) else np.zeros(0, np.int64)
-    hit = pc.match_substring_regex(lines, MARKS)
-    keep = hit.to_numpy(zero_copy_only=False)
-    return rows[keep], numbers[keep].astype(np.int64), pc.utf8_trim(lines.filter(hit), " \t#*/;-\r")
+def notice_pieces(hits: list[int], n: int, reach: int, most: int = 512) -> Iterator[tuple[int, int]]:
+    """Ranges of n words that hold every run of up to `reach` words with a hit (ascending places of words).
 
-
-def notice_pieces(text: str, reach: int, most: int = 512) -> Iterator[tuple[list[str], list[int]]]:
-    """(words, places) of the pieces of a lower-case text that hold every run of up to `reach` words with a mark.
-
-    Lines and paragraphs don't bound a run. Near marks share a piece; pieces over `most` words are cut with
-    reach - 1 words in common, so that no run is lost.
+    Near hits share a range; ranges over `most` words are cut with reach - 1 words in common, so that no run is lost.
     """
-    found = list(re.finditer(WORD, text))
-    ends, spans = np.array([m.end() for m in found], np.int64), []
-    for mark in re.finditer(WRAPPED_MARKS, text):
-        at = int(np.searchsorted(ends, mark.start(), "right"))
-        lo, hi = max(at - reach + 1, 0), min(at + reach, len(found))
+    spans: list[list[int]] = []
+    for at in hits:
+        lo, hi = max(at - reach + 1, 0), min(at + reach, n)
         if spans and lo <= spans[-1][1]:
             spans[-1][1] = hi
         else:
             spans.append([lo, hi])
     for lo, hi in spans:
         for a in range(lo, max(hi - reach + 1, lo + 1), most - reach + 1):
-            piece = found[a : min(a + most, hi)]
-            yield [m[0] for m in piece], [m.start() for m in piece]
+            yield a, min(a + most, hi)
 
 
 def term_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict[str, int]]:
-    """Number of lines that may hold a notice, and of those with each template term, over all rows."""
+    """Number of rows, and of rows with each template term as a word, over all rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place = {w: i for i, w in enumerate(TERMS)}
+        known = pa.array(TERMS, pa.string())
         sums, total = np.zeros(len(TERMS), np.int64), 0
         for _, texts in text_slices(batches, text_col):
-            found = _terms(notice_lines(texts)[2])
-            total += len(found)
-            for words in found:
-                sums[[place[w] for w in set(words) if w in place]] += 1
+            sums += np.bincount(term_counts(texts, known)[1], minlength=len(TERMS))
+            total += len(texts)
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(sums[some], total), pa.int64())], ["term", "n"])
 
@@ -116,54 +96,68 @@ def term_frequencies(docs: DataFrame, text_col: str = "text") -> tuple[int, dict
 
 
 class Matcher:
-    """Cosine of TF-IDF vectors to the templates; words of no template count in a line's length with the largest weight."""
-
-    def __init__(self, n_lines: int, frequencies: dict[str, int]):
-        self.place = {w: i for i, w in enumerate(TERMS)}
-        self.idf = np.array([np.log((1 + n_lines + len(TEMPLATES)) / (1 + frequencies[w])) + 1 for w in TERMS])
-        self.other = float(np.log(1 + n_lines + len(TEMPLATES)) + 1)
-        self.matrix = np.array([self.vector(words)[0] for words in _terms(pa.array([t for _, t in TEMPLATES]))])
-        self.matrix /= np.linalg.norm(self.matrix, axis=1, keepdims=True)
-        self.lengths = np.array([len(words) for words in _terms(pa.array([t for _, t in TEMPLATES]))])
-
-    def vector(self, words: list[str]) -> tuple[np.ndarray, float]:
-        v = np.zeros(len(TERMS))
-        rest: dict[str, int] = {}
-        for w in words:
-            if w in self.place:
-                v[self.place[w]] += 1
-            else:
-                rest[w] = rest.get(w, 0) + 1
-        some = v > 0
-        v[some] = (1 + np.log(v[some])) * self.idf[some]
-        return v, sum(((1 + np.log(c)) * self.other) ** 2 for c in rest.values())
+    """Cosine of sparse TF-IDF vectors to the templates; words of no template count in a length with the largest weight.
+
+    A template's anchors are its heaviest terms, so many that its other terms together are shorter than the
+    threshold: a text without any anchor can't reach it, whatever else it holds.
+    """
+
+    def __init__(self, n_texts: int, frequencies: dict[str, int], threshold: float = LicenceSettings.threshold):
+        self.threshold = threshold
+        self.idf = {w: float(np.log((1 + n_texts + len(TEMPLATES)) / (1 + frequencies[w])) + 1) for w in TERMS}
+        self.other = float(np.log(1 + n_texts + len(TEMPLATES)) + 1)
+        words = _terms(pa.array([t for _, t in TEMPLATES]))
+        self.lengths = np.array([len(w) for w in words])
+        self.postings: dict[str, list[tuple[int, float]]] = {}
+        self.anchors: set[str] = set()
+        for at, own in enumerate(words):
+            weights, norm = self.vector(own)
+            left = 1.0
+            for w, x in sorted(weights.items(), key=lambda p: (-p[1], p[0])):
+                self.postings.setdefault(w, []).append((at, x / norm))
+                if left >= threshold**2 - 1e-9:
+                    self.anchors.add(w)
+                    left -= (x / norm) ** 2
+
+    def anchor_pattern(self) -> str:
+        """An RE2 pattern that every lower-case text with an anchor among its words matches."""
+        letters, digits = ("|".join(sorted(re.escape(w) for w in self.anchors if w[0].isalpha() == kind)) for kind in (True, False))
+        return "|".join(f"(?:^|[^{edge}])(?:{words})(?:[^{edge}]|$)" for words, edge in ((letters, "a-z"), (digits, "0-9")) if words)
+
+    def vector(self, words: list[str]) -> tuple[dict[str, float], float]:
+        """Weights of the words, and the length of the vector."""
+        out = {w: (1 + float(np.log(n))) * self.idf.get(w, self.other) for w, n in Counter(words).items()}
+        return out, float(np.sqrt(sum(x * x for x in out.values())))
 
     def best(self, words: list[str]) -> tuple[str | None, float]:
         """The identifier of the most similar template (ties: the first) and the cosine."""
-        v, rest = self.vector(words)
-        norm = np.sqrt(v @ v + rest)
-        if not norm:
+        weights, norm = self.vector(words)
+        sums = np.zeros(len(TEMPLATES))
+        for w, x in weights.items():
+            for at, y in self.postings.get(w, ()):
+                sums[at] += x * y
+        if not sums.any():
             return None, 0.0
-        cosines = self.matrix @ v / norm
-        at = int(np.argmax(cosines))
-        return TEMPLATES[at][0], float(cosines[at])
+        at = int(np.argmax(sums))
+        return TEMPLATES[at][0], min(float(sums[at] / norm), 1.0)
 
-    def best_window(self, words: list[str], threshold: float) -> tuple[str | None, float, int]:
+    def best_window(self, words: list[str]) -> tuple[str | None, float, int]:
         """The identifier, cosine and first word of the window most similar to the template of as many words.
 
         A piece shorter than a template is one window. Ties go to the first word, then the first template;
         without a cosine at or over the threshold there is none (null, 0, 0).
         """
         own = {w: i for i, w in enumerate(dict.fromkeys(words))}
-        known = [(i, self.place[w]) for w, i in own.items() if w in self.place]
-        local, idf = np.zeros((len(TEMPLATES), len(own))), np.full(len(own), self.other)
-        for i, at in known:
-            local[:, i], idf[i] = self.matrix[:, at], self.idf[at]
+        local = np.zeros((len(TEMPLATES), len(own)))
+        for w, i in own.items():
+            for at, x in self.postings.get(w, ()):
+                local[at, i] = x
         # no window can come nearer to a template than the part of it whose terms the piece holds
-        able = np.flatnonzero((local**2).sum(axis=1) >= threshold**2 - 1e-9)
+        able = np.flatnonzero((local**2).sum(axis=1) >= self.threshold**2 - 1e-9)
         out: tuple[str | None, float, int] = (None, 0.0, 0)
         if not len(able):
             return out
+        idf = np.array([self.idf.get(w, self.other) for w in own])
         sums = np.zeros((len(words) + 1, len(own)))
         sums[np.arange(1, len(words) + 1), [own[w] for w in words]] = 1
         sums = sums.cumsum(axis=0)
@@ -178,45 +172,60 @@ class Matcher:
             start, which = (int(x[0]) for x in np.nonzero(cosines >= edge - 1e-9))
             tops.append((float(edge), start, int(some[which])))
         edge = max(t[0] for t in tops)
-        if edge < threshold:
+        if edge < self.threshold:
             return out
         cosine, start, at = min((t for t in tops if t[0] >= edge - 1e-9), key=lambda t: t[1:])
         return TEMPLATES[at][0], min(cosine, 1.0), start
 
+    def scan(self, text: str) -> tuple[str | None, float | None, int | None]:
+        """Identifier, cosine and line of the best candidate of a lower-case text: its lines and its windows of template length."""
+        found = list(re.finditer(WORD, text))
+        words = [m[0] for m in found]
+        hits = [i for i, w in enumerate(words) if w in self.anchors]
+        if not hits:
+            return None, None, None
+        breaks = np.array([m.start() for m in re.finditer("\n", text)], np.int64)
+        line_of = np.searchsorted(breaks, [m.start() for m in found])
+        candidates = []
+        for line in np.unique(line_of[hits]).tolist():
+            a, b = np.searchsorted(line_of, [line, line + 1])
+            name, cosine = self.best(words[a:b])
+            if cosine >= self.threshold:
+                candidates.append((name, cosine, line))
+        for a, b in notice_pieces(hits, len(words), int(self.lengths.max())):
+            name, cosine, start = self.best_window(words[a:b])
+            if name is not None:
+                candidates.append((name, cosine, int(line_of[a + start])))
+        best: tuple = (None, None, None)
+        for name, cosine, line in candidates:
+            if best[1] is None or cosine > best[1] + 1e-9 or (cosine >= best[1] - 1e-9 and line < best[2]):
+                best = (name, cosine, line)
+        return best
+
 
 def scan_licences(docs: DataFrame, text_col: str = "text", settings: LicenceSettings = LicenceSettings()) -> DataFrame:  # noqa: B008
     """`docs` with own_licence, own_cosine, own_line (of the most similar notice at or over the threshold; null without one).
 
     Candidates of the whole text are its lines, and its windows of as many words as a template, which may
-    start and end anywhere, so that wrapped notices and licence files are found; own_line is that of the
-    first word. The earliest of equally similar candidates counts. Null texts have none. Columns of these
-    names are replaced; rows are kept one for one.
+    start and end anywhere, so that wrapped notices, comment blocks and licence files are found; own_line
+    is that of the first word. Only candidates with an anchor of a template are compared, as no other can
+    reach the threshold. The earliest of equally similar candidates counts. Null, empty and wordless texts
+    have none; repeated rows are scanned alike. Columns of these names are replaced; rows are kept one for
+    one, and an empty table gives none.
     """
-    n_lines, frequencies = term_frequencies(docs, text_col)
+    n_texts, frequencies = term_frequencies(docs, text_col)
     added = [T.StructField("own_licence", T.StringType()), T.StructField("own_cosine", T.DoubleType()), T.StructField("own_line", T.LongType())]
     kept = [f for f in docs.schema if f.name not in {a.name for a in added}]
     schema = T.StructType([*kept, *added])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        matcher = Matcher(n_lines, frequencies)
-        reach = int(matcher.lengths.max())
+        matcher = Matcher(n_texts, frequencies, settings.threshold)
+        pattern = matcher.anchor_pattern()
         for batch, texts in text_slices(batches, text_col):
             found: list = [(None, None, None)] * len(texts)
-            rows, numbers, lines = notice_lines(texts)
-            for row, number, words in zip(rows.tolist(), numbers.tolist(), _terms(lines), strict=True):
-                name, cosine = matcher.best(words)
-                if cosine >= settings.threshold and (found[row][1] is None or cosine > found[row][1] + 1e-12):
-                    found[row] = (name, cosine, number)
-            marked = pc.match_substring_regex(texts, WRAPPED_MARKS)
-            for row in np.flatnonzero(marked.to_numpy(zero_copy_only=False)).tolist():
-                text = texts[row].as_py().lower()
-                for words, places in notice_pieces(text, reach):
-                    name, cosine, start = matcher.best_window(words, settings.threshold)
-                    if name is None:
-                        continue
-                    number, old = text.count("\n", 0, places[start]), found[row]
-                    if old[1] is None or cosine > old[1] + 1e-9 or (cosine >= old[1] - 1e-9 and number < old[2]):
-                        found[row] = (name, cosine, number)
+            lower = pc.utf8_lower(texts)
+            for row in np.flatnonzero(pc.match_substring_regex(lower, pattern).to_numpy(zero_copy_only=False)).tolist():
+                found[row] = matcher.scan(lower[row].as_py())
             columns = [pa.array([f[i] for f in found], k) for i, k in enumerate((pa.string(), pa.float64(), pa.int64()))]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in kept], *columns], schema.names)
 
@@ -224,27 +233,29 @@ def scan_licences(docs: DataFrame, text_col: str = "text", settings: LicenceSett
 
 
 def inherit_licences(scanned: DataFrame, path_col: str = "path") -> DataFrame:
-    """`scanned` with licence, licence_from ("header", "inherited" or null) and licence_directory.
+    """`scanned` with licence, licence_from ("header", "inherited" or null) and licence_directory; read more than once.
 
     A file's own notice comes first. Otherwise the file gets the licence of the nearest directory above
     it, its own directory first, that holds a file named like LICENCE_FILE with a notice (of several,
     that with the larger cosine, then the smaller path and identifier). Directories are joined, not
-    files, so a directory of many files is one row until the last join, which is by directory.
+    files; a directory of many files is one row, and a hot one is broadcast to its files. Null paths are
+    files of the top directory; repeated rows are kept; columns of the three names are replaced.
     """
+    scanned = scanned.drop("licence", "licence_from", "licence_directory")
     path = F.coalesce(F.col(path_col), F.lit(""))
-    placed = scanned.withColumns({"vs_dir": F.regexp_replace(path, r"/?[^/]*$", ""), "vs_file": F.regexp_extract(path, r"[^/]*$", 0)})
-    stated = placed.filter(F.col("own_licence").isNotNull() & F.regexp_like("vs_file", F.lit(LICENCE_FILE)))
+    placed = scanned.withColumn("__vs_dir", F.regexp_replace(path, r"/?[^/]*$", ""))
+    stated = placed.filter(F.col("own_licence").isNotNull() & F.regexp_like(F.regexp_extract(path, r"[^/]*$", 0), F.lit(LICENCE_FILE)))
     best = F.max(F.struct(F.col("own_cosine"), F.col("own_licence").alias("l"))).alias("top")
-    homes = stated.groupBy(F.col("vs_dir").alias("vs_home")).agg(best).select("vs_home", F.col("top.l").alias("vs_licence"))
-    dirs = placed.select("vs_dir").distinct()
-    parts = F.split("vs_dir", "/")
-    above = dirs.select("vs_dir", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("vs_depth"))
-    above = above.withColumn("vs_home", F.array_join(F.slice(F.split("vs_dir", "/"), F.lit(1), F.col("vs_depth")), "/"))
-    nearest = above.join(homes, "vs_home").groupBy("vs_dir").agg(F.max(F.struct("vs_depth", "vs_licence", "vs_home")).alias("near"))
-    out = placed.join(nearest, "vs_dir", "left")
-    own = F.col("own_licence").isNotNull()
+    homes = stated.groupBy(F.col("__vs_dir").alias("home")).agg(best).select("home", F.col("top.l").alias("l"))
+    dirs = placed.groupBy("__vs_dir").agg(F.count(F.lit(1)).alias("__vs_n"))
+    parts = F.split("__vs_dir", "/")
+    above = dirs.select("__vs_dir", "__vs_n", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"))
+    above = above.withColumn("home", F.array_join(F.slice(F.split("__vs_dir", "/"), F.lit(1), F.col("depth")), "/"))
+    nearest = above.join(homes, "home").groupBy("__vs_dir").agg(F.max("__vs_n").alias("__vs_n"), F.max(F.struct("depth", "l", "home")).alias("__vs_near"))
+    out = skewed_join(placed, written(nearest, "licence-directories"), ["__vs_dir"], "__vs_n", "left")
+    own, near = F.col("own_licence").isNotNull(), F.col("__vs_near")
     return out.withColumns({
-        "licence": F.when(own, F.col("own_licence")).otherwise(F.col("near.vs_licence")),
-        "licence_from": F.when(own, F.lit("header")).when(F.col("near").isNotNull(), F.lit("inherited")),
-        "licence_directory": F.when(~own, F.col("near.vs_home")),
-    }).drop("vs_dir", "vs_file", "near")
+        "licence": F.when(own, F.col("own_licence")).otherwise(near["l"]),
+        "licence_from": F.when(own, F.lit("header")).when(near.isNotNull(), F.lit("inherited")),
+        "licence_directory": F.when(~own, near["home"]),
+    }).drop("__vs_dir", "__vs_near", "__vs_n")

@@ -102,6 +102,31 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     return coded.indices.to_numpy(zero_copy_only=False).astype(np.int64), bounds, coded.dictionary
 
 
+#: Marks that don't belong to a term where they stand at its ends.
+TRIM = ".,;:!?\"'()[]{}<>*_-"
+
+
+def term_counts(texts: pa.Array, vocab: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
+    """(row, term, count) of the lower-cased words of each text without marks at their ends, and the terms.
+
+    With a vocabulary only its terms are counted, and term is a place in it.
+    """
+    codes, bounds, names = split_words(texts)
+    norm = pc.utf8_lower(pc.utf8_trim(names, TRIM))
+    if vocab is None:
+        coded = norm.dictionary_encode()
+        vocab, place = coded.dictionary, coded.indices
+    else:
+        place = pc.fill_null(pc.index_in(norm, value_set=vocab), -1)
+    place = place.to_numpy(zero_copy_only=False).astype(np.int64)
+    terms = place[codes] if len(codes) else np.zeros(0, np.int64)
+    rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
+    known = terms >= 0
+    keys, counts = np.unique(rows[known] * max(len(vocab), 1) + terms[known], return_counts=True)
+    rows, terms = np.divmod(keys, max(len(vocab), 1))
+    return rows, terms, counts, vocab
+
+
 def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Indices start, start+1, ... of each range in turn."""
     lengths = lengths.astype(np.int64)

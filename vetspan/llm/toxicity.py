@@ -7,14 +7,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, split_words, spread, text_slices, written
-
-TRIM = ".,;:!?\"'()[]{}<>*_-"
+from .shared import small_batches, spread, term_counts, text_slices, written
 
 
 @dataclass(frozen=True)
@@ -40,27 +37,6 @@ DECIMALS = 10
 AT_ONCE = 256
 
 
-def term_counts(texts: pa.Array, vocab: pa.Array | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.Array]:
-    """(row, term, count) of the lower-cased words of each text without marks at their ends, and the terms.
-
-    With a vocabulary only its terms are counted, and term is a place in it.
-    """
-    codes, bounds, names = split_words(texts)
-    norm = pc.utf8_lower(pc.utf8_trim(names, TRIM))
-    if vocab is None:
-        coded = norm.dictionary_encode()
-        vocab, place = coded.dictionary, coded.indices
-    else:
-        place = pc.fill_null(pc.index_in(norm, value_set=vocab), -1)
-    place = place.to_numpy(zero_copy_only=False).astype(np.int64)
-    terms = place[codes] if len(codes) else np.zeros(0, np.int64)
-    rows = np.repeat(np.arange(len(texts)), np.diff(bounds))
-    known = terms >= 0
-    keys, counts = np.unique(rows[known] * max(len(vocab), 1) + terms[known], return_counts=True)
-    rows, terms = np.divmod(keys, max(len(vocab), 1))
-    return rows, terms, counts, vocab
-
-
 def _clustered(vectors: np.ndarray, block: int) -> np.ndarray:
     """An order of the vectors in which alike ones are neighbours: halves along the principal direction, down to a block."""
     out, todo = [], [np.arange(len(vectors))]

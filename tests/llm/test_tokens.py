@@ -97,3 +97,67 @@ def test_level_minimises_the_sum_of_squares():
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], SCHEMA), WORDS).count() == 0
+
+
+def test_finish_leaves_one_window():
+    """Every id stands in one piece, in order, and at most one window isn't full, whatever was open."""
+    rnd = np.random.default_rng(6)
+    for trial in range(30):
+        packer, closed = packing.LevelPacker(32, 5), []
+        sizes = rnd.integers(1, 33, trial * 7)
+        for i, n in enumerate(sizes.tolist()):
+            closed += packer.add((i, 0, np.arange(n)), n)
+            assert {h: len(w) for h, w in packer.windows.items() if w} == {h: int(c) for h, c in enumerate(packer.open_at) if c}
+        closed += packer.finish()
+        assert [s for s, *_ in closed] == list(range(5, 5 + len(closed)))
+        seen = {}
+        for _, pieces, how in closed:
+            fill = sum(len(ids) for *_, ids in pieces)
+            assert fill == 32 or (how == "end" and fill < 32)
+            for doc, start, ids in pieces:
+                seen.setdefault(doc, []).append((start, ids.tolist()))
+        assert [h for *_, h in closed].count("end") <= 1
+        for i, n in enumerate(sizes.tolist()):
+            assert [x for start, ids in sorted(seen[i]) for x in ids] == list(range(n)) and all(ids[0] == start for start, ids in seen[i])
+
+
+def test_op2_against_the_library(spark, data):
+    """The whole query: each id of each document in one piece, gapless sequences, and the padding."""
+    import zlib
+
+    from vetspan.llm import queries
+
+    tokenizer, pieces, sequences = Tokenizer.from_file(WORDS), {}, {}
+    got = queries.op2_packing(spark, data).collect()
+    for r in got:
+        pieces.setdefault(r.doc_id, []).append(r)
+        sequences.setdefault(r.sequence_id, []).append(r)
+    docs = queries.table(spark, data, "documents").collect()
+    assert pieces.keys() == {d.doc_id for d in docs}
+    for d in docs:
+        ids = np.array([*tokenizer.encode(d.text or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(pieces[d.doc_id], key=lambda r: r.start):
+            assert r.start == at and r.doc_tokens == len(ids) and r.ids_crc32 == zlib.crc32(ids[at : at + r.length].tobytes())
+            at += r.length
+        assert at == len(ids)
+    for own in sequences.values():
+        own.sort(key=lambda r: r.offset)
+        assert [r.offset for r in own] == np.cumsum([0, *[r.length for r in own[:-1]]]).tolist() and sum(r.length for r in own) <= 2048
+    short = [s for s, own in sequences.items() if sum(r.length for r in own) < 2048]
+    assert len(short) <= 4 and {r.closed for r in got} <= {"level", "cut", "end"}
+
+
+def test_op7_against_the_library(spark, data, encoding):
+    """The whole query: numbers and digests of the library's ids, and that decoding gives the bytes again."""
+    import hashlib
+
+    from vetspan.llm import queries
+
+    texts = {r.doc_id: r.text or "" for r in queries.table(spark, data, "documents").collect()}
+    got = queries.op7_byte_bpe(spark, data).collect()
+    assert {r.doc_id for r in got} == texts.keys() and len(got) == len(texts)
+    for r in got:
+        ids = encoding.encode_ordinary(texts[r.doc_id])
+        assert r.n_tokens == len(ids) and r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()

@@ -111,6 +111,7 @@ def test_near_groups(spark, k, percent):
 
 def test_blocks_of_large_buckets(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 4)
+    monkeypatch.setattr(near_dedup, "PART_BYTES", 2000)
     texts = corpus()
     docs = spark.createDataFrame(rows_of(texts), SCHEMA)
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs, near_dedup.Similarity(words=3, percent=85)).collect()}
@@ -147,3 +148,34 @@ def test_components_of_a_path(spark):
 def test_short_texts_have_one_shingle():
     sets = near_dedup.shingle_sets(pa.array(["a b", "A  B", "a b c", "", "b a"]), 3)
     assert [len(s) for s in sets] == [1, 1, 1, 0, 1] and sets[0][0] == sets[1][0] != sets[4][0]
+
+
+@pytest.mark.parametrize("blocks", [False, True])
+def test_parts_hold_every_pair_once(monkeypatch, blocks):
+    monkeypatch.setattr(near_dedup, "PART_BYTES", 100)
+    rnd = np.random.default_rng(8)
+    size = rnd.integers(1, 30, 40)
+    block = rnd.integers(0, 2, 40)
+    members = np.flatnonzero(rnd.random(40) < 0.8)
+    found = []
+    for own, side, cross in near_dedup._parts(members, size, block if blocks else None):
+        found += [tuple(sorted((int(a), int(b)))) for i, a in enumerate(own) for j, b in enumerate(own[:i]) if not cross or side[i] != side[j]]
+    assert sorted(found) == sorted((int(a), int(b)) for a in members for b in members if a < b and (not blocks or block[a] != block[b]))
+
+
+def test_op9_and_op10_against_brute_force(spark, data):
+    from vetspan.llm import queries
+
+    docs = {r.doc_id: r.text for r in queries.table(spark, data, "documents").collect()}
+    ids = sorted(docs)
+    want, sizes = components([docs[i] for i in ids], 3, 85)
+    got = {r.doc_id: r for r in queries.op9_near_dedup(spark, data).collect()}
+    assert got.keys() == docs.keys()
+    for i, root, n in zip(ids, want, sizes, strict=True):
+        assert (got[i].n_shingles, got[i].component_id, got[i].kept) == (n, ids[root], ids[root] == i)
+    groups = {}
+    for i in ids:
+        groups.setdefault(docs[i] or "", []).append(i)
+    for r in queries.op10_exact_dedup(spark, data).collect():
+        own = groups[docs[r.doc_id] or ""]
+        assert tuple(r) == (r.doc_id, max(own), len(own), r.doc_id == max(own), hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest())

@@ -17,6 +17,7 @@ from vetspan.llm import chat_format, licences, pseudonyms, repetition, toxicity,
 from vetspan.llm.shared import TRIM, shared_dir
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
+KEY = "a key of the tests"
 words = st.lists(st.sampled_from(["a", "b", "c", "é#", "$", "\n", "\n\n", "\t", "long"]), max_size=60).map(" ".join)
 
 
@@ -107,7 +108,7 @@ def test_pseudonyms(spark):
                 number += 1
     docs = spark.createDataFrame(rows, "doc_id long, kind string, value string, text string")
     new = collections.defaultdict(set)
-    for r in pseudonyms.pseudonymise(docs).collect():
+    for r in pseudonyms.pseudonymise(docs, KEY).collect():
         source = rows[r.doc_id][3]
         assert len(r.found) == source.count(r.value), r
         for f in r.found:
@@ -132,16 +133,16 @@ def test_pseudonyms(spark):
                 assert all(int(o) < 256 for o in new[v].split("."))
     assert new["4041894974608795"] == new["4041-8949-7460-8795"].replace("-", "")
     digits = "404189497460879"
-    assert new["4041894974608795"][:-1] == feistel_reference(digits, pseudonyms.DEFAULT_KEY, "card")
-    assert new["a.b9@mail8.example.com"] == feistel_reference("a.b9", pseudonyms.DEFAULT_KEY, "email") + "@mail8.example.com"
+    assert new["4041894974608795"][:-1] == feistel_reference(digits, KEY, "card")
+    assert new["a.b9@mail8.example.com"] == feistel_reference("a.b9", KEY, "email") + "@mail8.example.com"
 
 
 def test_pseudonyms_leave_the_rest(spark):
     docs = spark.createDataFrame([(i, t) for i, t in enumerate([None, "", "plain", *INVALID, "no 12 34, 3.14 and v1.2.3"])], "doc_id long, text string")
-    for r in pseudonyms.pseudonymise(docs).collect():
+    for r in pseudonyms.pseudonymise(docs, KEY).collect():
         assert r.found == ([] if r.text is not None else None)
-    assert [r.text for r in pseudonyms.pseudonymise(docs).orderBy("doc_id").collect()] == [r.text for r in docs.orderBy("doc_id").collect()]
-    assert pseudonyms.pseudonymise(docs.limit(0)).count() == 0
+    assert [r.text for r in pseudonyms.pseudonymise(docs, KEY).orderBy("doc_id").collect()] == [r.text for r in docs.orderBy("doc_id").collect()]
+    assert pseudonyms.pseudonymise(docs.limit(0), KEY).count() == 0
 
 
 @pytest.mark.parametrize(("a", "b"), [(3, 4), (7, 7), (30, 25)])
@@ -474,7 +475,7 @@ def test_chat_turns_are_streamed(spark, data):
     sha = lambda t: hashlib.sha256(t.encode()).hexdigest()
     for r in digests:
         w = read[r.conv_id]
-        assert tuple(r)[1:] == (len(w.turns), sha("".join(f"{t.role}\n{t.text}\n" for t in w.turns)), len(w.loss_text), sha(w.loss_text), w.formatted_chars)
+        assert tuple(r)[1:] == (len(w.turns), sha("".join(f"{t.role}\n{t.text}\n" for t in w.turns)), len(w.loss_text), sha(w.loss_text), w.formatted_chars, w.valid, w.first_error)
     assert chat_format.digest_turns(chat_format.format_turns(frame.limit(0))).count() == 0
     assert "collect_list" not in queries.op6_chat_format(spark, data)._jdf.queryExecution().toString()
 
@@ -488,7 +489,7 @@ def test_pseudonyms_of_other_forms(spark):
     rows = [(v, k, v + t) for v, k, t in [*((v, "iban", t) for v in ibans for t in tails), *((v, "date", "") for v in months), *((v, "phone", "") for v in phones)]]
     docs = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id long, value string, kind string, text string")
     new = {}
-    for r in pseudonyms.pseudonymise(docs).collect():
+    for r in pseudonyms.pseudonymise(docs, KEY).collect():
         f = r.found[0] if r.found else None
         assert f and (f.kind, f.start, f.length) == (r.kind, 1, len(r.value)), rows[r.id]
         assert new.setdefault(r.value, f.pseudonym) == f.pseudonym != r.value
@@ -500,13 +501,13 @@ def test_pseudonyms_of_other_forms(spark):
     digits = {v: re.sub(r"\D", "", new[v]) for v in phones}
     assert len({digits[v] for v in phones[:3]}) == len({digits[v] for v in phones[3:5]}) == len({digits[v] for v in phones[5:]}) == 1
     assert new[phones[0]].startswith("+1") and new[phones[3]].startswith("+44") and new[phones[6]].startswith("+353")
-    assert ["13/13/2020", []] == [(r := pseudonyms.pseudonymise(spark.createDataFrame([("13/13/2020",)], "text string")).first()).text, r.found]
+    assert ["13/13/2020", []] == [(r := pseudonyms.pseudonymise(spark.createDataFrame([("13/13/2020",)], "text string"), KEY).first()).text, r.found]
 
 
 def test_month_first_dates_stay_apart(spark):
     days = spark.range(0, 7500).select(F.expr("date_add(DATE'1990-01-01', CAST(id AS INT))").alias("d"))
     texts = days.select(F.date_format("d", "dd/MM/yyyy").alias("text")).union(days.filter(F.dayofmonth("d") > 12).select(F.date_format("d", "MM/dd/yyyy")))
-    got = pseudonyms.pseudonymise(texts).collect()
+    got = pseudonyms.pseudonymise(texts, KEY).collect()
     assert len({r.text for r in got}) == len(got) and all(r.found[0].kind == "date" for r in got)
 
 
@@ -525,3 +526,71 @@ def test_each_repetition_length_decides(spark):
     assert got[5].dup_8gram_chars == got[8].dup_10gram_chars == 0
     words = sum(map(len, texts[10].split()))
     assert 0.20 < got[10].dup_10gram_chars / words and got[10].dup_8gram_chars / words < 0.28
+
+
+def test_pseudonyms_of_a_text_with_many_values(spark):
+    """20,000 values in one text: each is found at its place, in a time that grows with their number."""
+    n = 20_000
+    text = " ".join(f"é{'x' * (i % 3)} a{i}@mail.example.com" for i in range(n))
+    got = pseudonyms.pseudonymise(spark.createDataFrame([(text,)], "text string"), KEY).first()
+    assert len(got.found) == n
+    for f in got.found:
+        assert text[f.start - 1 : f.start - 1 + f.length].endswith("@mail.example.com") and got.text[f.start - 1 : f.start - 1 + f.length] == f.pseudonym
+    assert len({f.pseudonym for f in got.found}) == n
+
+
+def test_op6_against_plain_python(spark, data):
+    """The whole query, with conversation -7: digests of the turns and of the learnt texts, and the machine's verdict."""
+    from vetspan.llm import queries
+
+    mark = "</s>[INST] ok [/INST]"
+    turns = collections.defaultdict(list)
+    for r in queries.table(spark, data, "conversations").collect():
+        turns[r.conv_id].append((r.turn, r.role or "", r.text or ""))
+    turns[-7] = [(0, "user", mark), (1, "assistant", mark)]
+    got = {r.conv_id: r for r in queries.op6_chat_format(spark, data).collect()}
+    assert got.keys() == turns.keys()
+    for i, own in turns.items():
+        own.sort()
+        learnt = "".join(t for _, role, t in own if role == "assistant")
+        said = "".join(f"{role}\n{t}\n" for _, role, t in own)
+        r = got[i]
+        assert (r.n_turns, r.turns_sha256) == (len(own), hashlib.sha256(said.encode()).hexdigest())
+        assert (r.loss_chars, r.loss_sha256) == (len(learnt), hashlib.sha256(learnt.encode()).hexdigest())
+        letters = "".join({"system": "s", "user": "u", "assistant": "a"}.get(role, "x") for _, role, _ in own)
+        assert r.valid == bool(re.fullmatch("s?(ua)+", letters)) == (r.first_error is None) and r.formatted_chars > sum(len(t) for *_, t in own)
+
+
+def test_op3_against_plain_python(spark, data):
+    from vetspan.llm import queries
+
+    pages = {r.page_id: (r.html or "").encode() for r in queries.table(spark, data, "pages").collect()}
+    first = {}
+    for i in sorted(pages):
+        first.setdefault(pages[i], i)
+    got = {r.page_id: r for r in queries.op3_warc(spark, data).collect()}
+    assert got.keys() == pages.keys()
+    for i, body in pages.items():
+        revisit = len(body) >= 100 and first[body] != i
+        assert tuple(got[i])[1:] == (len(body), hashlib.sha256(body).hexdigest(), "revisit" if revisit else "response", first[body] if revisit else None)
+
+
+def test_op8_against_brute_force(spark, data):
+    from vetspan.llm import queries
+
+    texts = {r.doc_id: r.text or "" for r in queries.table(spark, data, "documents").collect()}
+    got = {r.doc_id: r for r in queries.op8_repetition(spark, data).collect()}
+    assert got.keys() == texts.keys()
+    for i, t in texts.items():
+        w, cover, dup, _ = brute_repetition(t, 8)
+        r = got[i]
+        assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), dup, len(cover))
+        assert r.base_failed == (len(w) < 20 or 100 * len(cover) > 30 * len(w)) and not (r.base_failed and r.kept)
+
+
+def test_hashes_that_agree_without_their_words(monkeypatch):
+    """Windows whose hashes all collide are told apart by their words."""
+    monkeypatch.setattr(repetition, "_mix", lambda x: x * np.uint64(0))
+    texts = ["a b c d e f g h i j k a b c d e f g h", "a b c d e f g h i j k l m n o p"]
+    got = repetition.measure(pa.array(texts), repetition.RepetitionRules())
+    assert [len(brute_repetition(t, 8)[1]) for t in texts] == got["n_repeat_words"].tolist() == [16, 0]

@@ -115,9 +115,9 @@ def format_conversations(rows: DataFrame, template: Template = Template()) -> Da
 
 
 def read_conversations(formatted: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
-    """conv_id, turns array<struct<role, text>> parsed from `formatted`, loss_text: what stands under the loss flags, unescaped, and formatted_chars."""
+    """conv_id, turns array<struct<role, text>> parsed from `formatted`, loss_text: what stands under the loss flags, unescaped, formatted_chars, valid and first_error; no rows of an empty table."""
     turns = T.ArrayType(T.StructType([T.StructField("role", T.StringType()), T.StructField("text", T.StringType())]))
-    schema = T.StructType([formatted.schema["conv_id"], T.StructField("turns", turns), T.StructField("loss_text", T.StringType()), T.StructField("formatted_chars", T.LongType())])
+    schema = T.StructType([formatted.schema["conv_id"], T.StructField("turns", turns), T.StructField("loss_text", T.StringType()), T.StructField("formatted_chars", T.LongType()), formatted.schema["valid"], formatted.schema["first_error"]])
     kind = pa.list_(pa.struct([("role", pa.string()), ("text", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,9 +127,9 @@ def read_conversations(formatted: DataFrame, template: Template = Template()) ->
             for text, segments in zip(texts, batch.column("segments").to_pylist(), strict=True):
                 found.append([{"role": r, "text": t} for r, t in template.parsed(text)])
                 loss.append("".join(template.unescaped(text[s["start"] : s["start"] + s["length"]]) for s in segments if s["loss"]))
-            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(found, kind), pa.array(loss, pa.string()), pa.array([len(t) for t in texts], pa.int64())], schema.names)
+            yield pa.RecordBatch.from_arrays([batch.column("conv_id"), pa.array(found, kind), pa.array(loss, pa.string()), pa.array([len(t) for t in texts], pa.int64()), batch.column("valid"), batch.column("first_error")], schema.names)
 
-    return small_batches(formatted.select("conv_id", "formatted", "segments")).mapInArrow(run, schema)
+    return small_batches(formatted.select("conv_id", "formatted", "segments", "valid", "first_error")).mapInArrow(run, schema)
 
 
 def format_turns(rows: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
@@ -170,25 +170,26 @@ def format_turns(rows: DataFrame, template: Template = Template()) -> DataFrame:
 
 
 def digest_turns(turns: DataFrame, template: Template = Template()) -> DataFrame:  # noqa: B008
-    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars of each conversation, parsed from format_turns.
+    """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, valid, first_error of each conversation, parsed from format_turns.
 
     turns_sha256 is over role, line feed, text, line feed of each turn, loss_sha256 over what stands under
-    the loss flags, unescaped. `turns` has to come from format_turns itself, whose rows stand in order.
+    the loss flags, unescaped; valid and first_error are the machine's after the last turn. `turns` has to
+    come from format_turns itself, whose rows stand in order. An empty table gives no rows.
     """
-    schema = T.StructType([turns.schema["conv_id"], T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType())])
+    schema = T.StructType([turns.schema["conv_id"], T.StructField("n_turns", T.LongType()), T.StructField("turns_sha256", T.StringType()), T.StructField("loss_chars", T.LongType()), T.StructField("loss_sha256", T.StringType()), T.StructField("formatted_chars", T.LongType()), T.StructField("valid", T.BooleanType()), T.StructField("first_error", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, said, learnt, sums = None, None, None, [0, 0, 0]
+        own, said, learnt, sums, wrong = None, None, None, [0, 0, 0], None
 
         def closed() -> tuple:
-            return own, sums[0], said.hexdigest(), sums[1], learnt.hexdigest(), sums[2]
+            return own, sums[0], said.hexdigest(), sums[1], learnt.hexdigest(), sums[2], wrong is None, wrong
 
         def batch_of(done: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((ids, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()))], schema.names)
+            return pa.RecordBatch.from_arrays([pa.array([d[i] for d in done], k) for i, k in enumerate((ids, pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.int64()))], schema.names)
 
         for batch in batches:
             done, ids = [], batch.schema.field("conv_id").type
-            for conv, written, segments in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "written", "segments")), strict=True):
+            for conv, written, segments, error in zip(*(batch.column(c).to_pylist() for c in ("conv_id", "written", "segments", "first_error")), strict=True):
                 if said is None or conv != own:
                     if said is not None:
                         done.append(closed())
@@ -203,9 +204,10 @@ def digest_turns(turns: DataFrame, template: Template = Template()) -> DataFrame
                         learnt.update(text.encode())
                         sums[1] += len(text)
                 sums[2] += len(written)
+                wrong = error
             if done:
                 yield batch_of(done)
         if said is not None:
             yield batch_of([closed()])
 
-    return small_batches(turns.select("conv_id", "written", "segments")).mapInArrow(run, schema)
+    return small_batches(turns.select("conv_id", "written", "segments", "first_error")).mapInArrow(run, schema)

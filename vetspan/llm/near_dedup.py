@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, split_words, text_slices, written
+from .shared import skewed_join, small_batches, split_words, text_slices, written
 
 #: Candidates' ids are broadcast up to so many, shuffled beyond.
 BROADCAST_IDS = 200_000
@@ -150,6 +150,8 @@ def distinct_sets(signed: DataFrame) -> DataFrame:
 
 #: A task compares at most two blocks of so many members of one bucket; larger buckets are cut into more blocks.
 BLOCK = 2048
+#: Shingle bytes of the members that are compared exactly with each other, or with as many others, at once (one member at least).
+PART_BYTES = 16 << 20
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
@@ -173,6 +175,29 @@ def _grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.
         yield pa.Table.from_batches(held)
 
 
+def _parts(members: np.ndarray, size: np.ndarray, block: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
+    """(members, side of each, whether only members of different sides are compared) so that every pair is in one.
+
+    Members are cut into parts of at most PART_BYTES of shingles; with a block for each member, only pairs of
+    different blocks are wanted.
+    """
+
+    def cut(own: np.ndarray) -> list[np.ndarray]:
+        part = np.cumsum(8 * size[own]) // PART_BYTES
+        return np.split(own, np.flatnonzero(part[1:] != part[:-1]) + 1) if len(own) else []
+
+    def crossed(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray, bool]:
+        return np.concatenate((a, b)), np.repeat(np.array([0, 1], np.int32), [len(a), len(b)]), True
+
+    if block is None:
+        parts = cut(members)
+        yield from ((a, np.zeros(len(a), np.int32), False) for a in parts)
+        yield from (crossed(a, b) for i, a in enumerate(parts) for b in parts[:i])
+    elif len(members):
+        sides = [cut(members[block[members] == x]) for x in np.unique(block[members])]
+        yield from (crossed(a, b) for i, x in enumerate(sides) for y in sides[:i] for a in x for b in y)
+
+
 def _plausible(rule: Similarity):
     """For each bucket block: the members whose sketch allows a link to a member of another component."""
     floor = rule.floor()
@@ -202,12 +227,14 @@ def _plausible(rule: Similarity):
                     if len(near):
                         hit[i] = True
                         hit[near] = True
-            if hit.any():
-                nodes, which = group["node"].to_numpy()[hit], np.flatnonzero(hit)
+            for which, side, cross in _parts(np.flatnonzero(hit), size, block if apart else None):
+                if (comp[which] == comp[which[0]]).all():
+                    continue
+                nodes = group["node"].to_numpy()[which]
                 order = np.argsort(nodes)
-                nodes, which = nodes[order], which[order]
-                name = xxhash.xxh64_intdigest(nodes.tobytes() + bytes(apart) + (block[which].tobytes() if apart else b"")) >> 1
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(nodes), pa.int64()), pa.array(nodes), pa.array(comp[which]), pa.array(block[which]), pa.array([apart] * len(nodes))], ["name", "node", "comp", "block", "apart"])
+                which, side, nodes = which[order], side[order], nodes[order]
+                name = xxhash.xxh64_intdigest(nodes.tobytes() + bytes([cross]) + side.tobytes()) >> 1
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(nodes), pa.int64()), pa.array(nodes), pa.array(comp[which]), pa.array(side), pa.array([cross] * len(nodes))], ["name", "node", "comp", "block", "apart"])
 
     return run
 
@@ -290,11 +317,11 @@ def links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str, text_
        exactly. So no pair of a bucket is left out unless it is joined already.
     """
     cells = sets.select("node", F.explode("bands").alias("key"))
-    several = cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    shared = written(cells.join(several, "key"), "near-buckets")
+    several = written(cells.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1"), "near-keys")
+    shared = written(skewed_join(cells, several, ["key"], "n"), "near-buckets")
     central = shared.groupBy("node").agg(F.sum("n").alias("c"))
-    leaders = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node")).alias("top")).select("key", F.col("top.node").alias("leader"))
-    pairs = shared.join(leaders, "key").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+    leaders = shared.join(central, "node").groupBy("key").agg(F.max(F.struct("c", "node")).alias("top"), F.max("n").alias("n")).select("key", F.col("top.node").alias("leader"), "n")
+    pairs = skewed_join(shared.drop("n"), written(leaders, "near-leaders"), ["key"], "n").filter("node <> leader").select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
     brief = sets.select("node", "n_shingles", "sketch")
     one = brief.select(F.col("node").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
     two = brief.select(F.col("node").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
@@ -325,9 +352,9 @@ def links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str, text_
     stars = written(small_batches(likely.join(xa, "a").join(xb, "b")).mapInArrow(exact, "a long, b long"), "near-stars")
 
     labels = connected(stars)
-    placed = shared.filter("n > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp"))
-    mixed = placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("key")
-    open_rows = placed.join(mixed, "key").join(brief, "node")
+    placed = written(shared.filter("n > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp")), "near-placed")
+    mixed = written(placed.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.max("n").alias("n")).filter("x <> y").select("key", "n"), "near-mixed")
+    open_rows = skewed_join(placed.drop("n"), mixed, ["key"], "n").join(brief, "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", "node", "comp", "n_shingles", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
@@ -346,7 +373,9 @@ def near_groups(docs: DataFrame, rule: Similarity = Similarity(), id_col: str =
     sets are linked directly or through others share the smallest id as component_id, and only that row
     is kept. Null or wordless texts have an empty set and are linked with nothing. ids are integers and
     identify rows; rows that repeat an id share its decision, and rows with null ids join only rows with
-    the same set. Other columns are not read; an empty table gives no rows.
+    the same set. Other columns are not read; an empty table gives no rows. Shingles are told apart by
+    64-bit hashes and equal sets by two 64-bit sums of them: among 2**32 different shingles some two agree
+    with a probability of about 0.4, which changes a count by one; two sets agree with one below 1e-18.
     """
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     signed = written(signatures(docs, rule), "near-signed")

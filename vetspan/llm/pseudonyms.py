@@ -12,7 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
-DEFAULT_KEY = "vetspan-demo-key"
+#: Values of a text whose places are counted together.
+PLACED_AT_ONCE = 128
 #: Dates are permuted within the DATE_A * DATE_B days from DATE_FIRST, to 2105-05-05.
 DATE_FIRST, DATE_A, DATE_B = "1900-01-01", 300, 250
 
@@ -279,7 +280,7 @@ def pseudonym(m: Column, kind: Column, key: str) -> Column:
     return out
 
 
-def replaced(text: Column, key: str = DEFAULT_KEY) -> tuple[Column, Column]:
+def replaced(text: Column, key: str) -> tuple[Column, Column]:
     """The matches of a text as array<struct<m, kind, p>> with their pseudonyms p, and the texts before, between and after them."""
     matches = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     gaps = F.split(text, ANY, -1)
@@ -288,13 +289,41 @@ def replaced(text: Column, key: str = DEFAULT_KEY) -> tuple[Column, Column]:
     return pieces, gaps
 
 
-def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text", found_col: str | None = "found") -> DataFrame:
-    """`docs` with personal values of `text_col` replaced, and `found_col` array<struct<kind, start, length, pseudonym>>.
+FOUND = "array<struct<kind:string,start:int,length:int,pseudonym:string>>"
+
+
+def _placed(items: Column) -> Column:
+    """FOUND from array<struct<gap, length, kind, p>>, where gap is the number of characters before each value.
+
+    Places are summed up within parts of PLACED_AT_ONCE values and over the parts, so that a text of many
+    values isn't copied for each of them.
+    """
+    none = F.expr(f"cast(array() as {FOUND})")
+
+    def part(all_: Column, i: Column) -> Column:
+        return F.slice(all_, i * PLACED_AT_ONCE + 1, F.lit(PLACED_AT_ONCE))
+
+    def one(s: Column, x: Column) -> Column:
+        start = s["at"] + x["gap"]
+        value = F.struct(x["kind"].alias("kind"), start.alias("start"), x["length"].alias("length"), x["p"].alias("pseudonym"))
+        return F.struct((start + x["length"]).alias("at"), F.concat(s["all"], F.array(value)).alias("all"))
+
+    def of(all_: Column) -> Column:
+        parts = F.sequence(F.lit(0), F.ceil(F.size(all_) / PLACED_AT_ONCE).cast("int") - 1)
+        sums = F.transform(parts, lambda i: F.aggregate(part(all_, i), F.lit(0), lambda s, x: s + x["gap"] + x["length"]))
+        first = F.aggregate(sums, F.struct(F.lit(1).alias("at"), F.expr("cast(array() as array<int>)").alias("all")), lambda s, n: F.struct((s["at"] + n).alias("at"), F.concat(s["all"], F.array(s["at"])).alias("all")), lambda s: s["all"])
+        return _let(first, lambda starts: F.flatten(F.transform(parts, lambda i: F.aggregate(part(all_, i), F.struct(F.get(starts, i).alias("at"), none.alias("all")), one, lambda s: s["all"]))))
+
+    return _let(items, of)
+
+
+def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", found_col: str | None = "found") -> DataFrame:
+    """`docs` with personal values of `text_col` replaced under `key` (whoever has it can undo them), and `found_col` array<struct<kind, start, length, pseudonym>>.
 
     Kinds: email, iban (mod 97), card (Luhn), ssn, phone, date (a real day from 1900-01-01 to
     2105-05-05, month first where day first gives no date), ip (four octets), secret (access keys, passwords and tokens behind their marks).
     start is the 1-based code point in the input text. Values that don't validate stay. Null text
-    stays null and has null finds; a text without values is unchanged with an empty list; row count,
+    stays null and has null finds; an empty text has none; a text without values is unchanged with an empty list; row count,
     order of columns and repeated rows are kept; a column named like found_col is replaced.
     Whole texts are scanned by two linear regular-expression passes; no row is moved.
     """
@@ -305,15 +334,8 @@ def pseudonymise(docs: DataFrame, key: str = DEFAULT_KEY, text_col: str = "text"
     some = F.coalesce(F.size("__vs_pieces") > 0, F.lit(False))
     joined = F.concat(F.array_join(F.zip_with(F.slice("__vs_gaps", 1, F.size("__vs_pieces")), "__vs_pieces", lambda g, p: F.concat(g, p["p"])), ""), F.element_at("__vs_gaps", -1))
 
-    def place(s: Column, i: Column) -> Column:
-        gap, piece = F.get("__vs_gaps", i), F.get("__vs_pieces", i)
-        start = s["at"] + F.length(gap)
-        one = F.struct(piece["kind"].alias("kind"), start.alias("start"), F.length(piece["m"]).alias("length"), piece["p"].alias("pseudonym"))
-        return F.struct((start + F.length(piece["m"])).alias("at"), F.concat(s["all"], F.array(one)).alias("all"))
-
-    kind = "array<struct<kind:string,start:int,length:int,pseudonym:string>>"
     out = cut.withColumn(text_col, F.when(some, joined).otherwise(text))
     if found_col:
-        walk = F.aggregate(F.sequence(F.lit(0), F.size("__vs_pieces") - 1), F.struct(F.lit(1).alias("at"), F.expr(f"cast(array() as {kind})").alias("all")), place)["all"]
-        out = out.withColumn(found_col, F.when(some, F.filter(walk, lambda f: f["kind"].isNotNull())).when(text.isNotNull(), F.expr(f"cast(array() as {kind})")))
+        items = F.zip_with(F.slice("__vs_gaps", 1, F.size("__vs_pieces")), "__vs_pieces", lambda g, p: F.struct(F.length(g).alias("gap"), F.length(p["m"]).alias("length"), p["kind"].alias("kind"), p["p"].alias("p")))
+        out = out.withColumn(found_col, F.when(some, F.filter(_placed(items), lambda f: f["kind"].isNotNull())).when(text.isNotNull(), F.expr(f"cast(array() as {FOUND})")))
     return out.drop("__vs_hit", "__vs_pieces", "__vs_gaps")

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import fresh_path, small_batches, written
+from .shared import fresh_path, skewed_join, small_batches, written
 
 #: Raw bytes after which a frame or a bundle is closed.
 FRAME_BYTES = 256 << 10
@@ -125,14 +125,20 @@ def seek_table(file: pa.NativeFile) -> list[tuple[int, int, int]]:
 
 
 def mark_revisits(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
-    """vs_id, vs_url, vs_html, vs_digest, vs_first: the smallest id among rows of an equal payload of at least LEAST_REVISIT bytes, if there are several."""
+    """vs_id, vs_url, vs_html, vs_digest, vs_first: for a row that repeats a payload of at least LEAST_REVISIT bytes, the smallest id that has it.
+
+    Ids and digests alone find the repeats. Bodies are joined with those by digest and id, so a page that
+    was copied a million times isn't one task's; rows that repeat both are not revisits of themselves.
+    """
     plain = pages.select(F.col(id_col).alias("vs_id"), F.col(url_col).alias("vs_url"), F.coalesce(F.col(html_col), F.lit("")).alias("vs_html"))
     keyed = plain.withColumn("vs_digest", F.sha2("vs_html", 256))
-    large = keyed.filter(F.octet_length("vs_html") >= LEAST_REVISIT)
-    firsts = large.groupBy("vs_digest").agg(F.min("vs_id").alias("vs_first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    firsts = written(firsts, "warc-firsts")
-    few = firsts.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
-    return keyed.join(F.broadcast(firsts) if few else firsts, "vs_digest", "left")
+    large = written(keyed.filter(F.octet_length("vs_html") >= LEAST_REVISIT).select("vs_id", "vs_digest"), "warc-digests")
+    firsts = written(large.groupBy("vs_digest").agg(F.min("vs_id").alias("vs_first"), F.count(F.lit(1)).alias("n")).filter("n > 1"), "warc-firsts")
+    repeats = skewed_join(large, firsts, ["vs_digest"], "n").filter("NOT vs_id <=> vs_first AND vs_first IS NOT NULL")
+    repeats = written(repeats.select(F.col("vs_id").alias("again"), F.col("vs_digest").alias("same"), "vs_first").distinct(), "warc-repeats")
+    few = repeats.limit(BROADCAST_KEYS + 1).count() <= BROADCAST_KEYS
+    right = F.broadcast(repeats) if few else repeats
+    return keyed.join(right, (keyed["vs_digest"] == right["same"]) & keyed["vs_id"].eqNullSafe(right["again"]), "left").drop("again", "same")
 
 
 def write_bundles(pages: DataFrame, folder: str | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -179,7 +185,7 @@ def _record_rows(records: list[dict]) -> pa.RecordBatch:
 
 
 def read_bundles(index: DataFrame) -> DataFrame:
-    """All records of the bundles that an index names, frame by frame from their seek tables; payload is null for revisits."""
+    """All records of the bundles that an index names, frame by frame from their seek tables; payload is null for revisits; no rows of an empty index."""
     bundles = index.select("bundle").distinct()
     tasks = min(max(bundles.count(), 1), 20_000)
 
@@ -201,7 +207,7 @@ def read_bundles(index: DataFrame) -> DataFrame:
 
 
 def read_records(index: DataFrame) -> DataFrame:
-    """The records of the rows of an index (filtered as wanted): each needed frame is read and unpacked by itself."""
+    """The records of the rows of an index (filtered as wanted): each needed frame is read and unpacked by itself; no rows of an empty index."""
     wanted = index.repartition("bundle").sortWithinPartitions("bundle", "frame", "offset")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

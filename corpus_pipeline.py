@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vetspan.llm import exact_dedup, near_dedup, packing, pseudonyms, toxicity
-from vetspan.llm.queries import table, tokenizer_file, toxicity_model
+from vetspan.llm.queries import DEMO_KEY, table, tokenizer_file, toxicity_model
 from vetspan.llm.shared import written
 
 #: Near copies: five-word shingles, similarity of 0.8 or more.
@@ -14,25 +14,29 @@ NEAR = near_dedup.Similarity(words=5, percent=80)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows whose toxicity score is under 0.5, with the columns of `docs`."""
+    """Rows whose toxicity score is under 0.5, with the columns of `docs`; a null text is scored as an empty one."""
     model = toxicity_model(spark, docs, sf_dir)
     scored = toxicity.score_documents(docs, model, prefix="__vs_")
     return scored.filter("__vs_predicted = 0").select(docs.columns)
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal texts, that with the largest doc_id."""
+    """Of rows with equal texts, that with the largest doc_id; null texts equal empty ones."""
     return exact_dedup.drop_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows linked by similarity, that with the smallest doc_id."""
+    """Of rows linked by similarity, that with the smallest doc_id; wordless and null texts stay, and rows with a null id."""
     return near_dedup.drop_near_copies(docs, NEAR)
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, personal values replaced by pseudonyms; n_chars follows where the text's length changes."""
-    marked = pseudonyms.pseudonymise(docs.withColumn("__vs_length", F.length("text")), found_col=None)
+    """All rows, personal values replaced by pseudonyms; n_chars follows where the text's length changes.
+
+    The key is the session's spark.vetspan.pseudonymKey, or that of the demonstration. A null text or n_chars stays null.
+    """
+    key = spark.conf.get("spark.vetspan.pseudonymKey", DEMO_KEY)
+    marked = pseudonyms.pseudonymise(docs.withColumn("__vs_length", F.length("text")), key, found_col=None)
     if "n_chars" in docs.columns:
         change = F.coalesce(F.length("text") - F.col("__vs_length"), F.lit(0))
         marked = marked.withColumn("n_chars", (F.col("n_chars") + change).cast(docs.schema["n_chars"].dataType))

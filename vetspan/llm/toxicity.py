@@ -7,6 +7,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -132,6 +133,7 @@ class BlockMaxIndex:
         at = spread(self.starts[terms], sizes)
         row, place, product = np.repeat(rows, sizes), self.places[at], np.repeat(weights, sizes) * self.weights[at]
         sums = np.zeros((n, blocks * block))
+        left_out = None if skip is None else np.argsort(self.order)[skip]
 
         def opened(mask: np.ndarray) -> None:
             for b in np.flatnonzero(mask.any(axis=0)).tolist():
@@ -139,8 +141,8 @@ class BlockMaxIndex:
                 sums[own, b * block : (b + 1) * block] = dense[own] @ self.tiles[b]
             live = mask[row, place // block]
             np.add.at(sums, (row[live], place[live]), product[live])
-            if skip is not None:
-                sums[np.arange(n), np.argsort(self.order)[skip]] = 0
+            if left_out is not None:
+                sums[np.arange(n), left_out] = 0
 
         def edges() -> np.ndarray:
             size = sums.shape[1]
@@ -284,16 +286,18 @@ def _index(model: ToxicityModel, sample: DataFrame, totals: dict[int, int], draw
 
     schema = T.StructType([sample.schema["vs_id"], sample.schema["label"], T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
     found = small_batches(sample).mapInArrow(vectors, schema).toArrow()  # the examples
-    rows = sorted(zip(*(found[c].to_pylist() for c in schema.names), strict=True))
+    found = found.sort_by([("vs_id", "ascending"), ("label", "ascending")]).combine_chunks()
+    ids, labels = found["vs_id"].to_pylist(), found["label"].to_numpy().astype(np.int64)
+    terms, weights = (pc.list_flatten(found[c]).to_numpy() for c in ("terms", "weights"))
+    sizes = pc.list_value_length(found["terms"]).to_numpy()
     weight_of = {y: totals[y] / drawn[y] for y in (0, 1)}
-    empty = np.array([sum(weight_of[y] for _, label, terms, _ in rows if not terms and label == y) for y in (0, 1)])
+    empty = np.array([weight_of[y] * ((sizes == 0) & (labels == y)).sum() for y in (0, 1)])
     model.empty = float((empty[1] + 0.5 * model.base) / (empty.sum() + 0.5))
-    full = [r for r in rows if r[2]]
-    if not full:
+    full = np.flatnonzero(sizes)
+    if not len(full):
         return model
-    model.ids, model.labels = [r[0] for r in full], np.array([r[1] for r in full], np.int64)
-    of = np.repeat(np.arange(len(full)), [len(r[2]) for r in full])
-    terms, weights = (np.concatenate([np.array(r[i]) for r in full]) for i in (2, 3))
+    model.ids, model.labels = [ids[i] for i in full.tolist()], labels[full]
+    of = np.repeat(np.arange(len(full)), sizes[full])
     model.index = BlockMaxIndex.build(of, terms, weights, len(full), len(model.vocab), model.settings.block)
     left_out = model.index.nearest(of, terms, weights, len(full), model.settings.neighbours, skip=np.arange(len(full)))
     model.slope, model.shift = _platt(model.votes(*left_out), model.labels, np.array([weight_of[int(y)] for y in model.labels]))

@@ -20,19 +20,16 @@ def links(html):
     return out
 
 
-def cut(x, n):
-    return x[:n] + "…" if len(x) > n else x
-
-
 def compact(url):
-    m = re.fullmatch(r"([A-Za-z][A-Za-z0-9+.\-]*://)([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?", url)
+    m = re.fullmatch(r"(?s)([A-Za-z][A-Za-z0-9+.\-]*)://([^/?#]*@)?([^/?#@\s]+)([^?#]*)(\?[^#]*)?(#.*)?", url)
     if not m:
-        return cut(url, 512)
-    scheme, host, path, query, fragment = (x or "" for x in m.groups())
-    path = "/".join("…" + s[-64:] if len(s) > 64 and re.search(r"\.[A-Za-z0-9]{1,8}$", s) else cut(s, 64) for s in path.split("/"))
-    query = query and "?" + "&".join("=".join(cut(x, 50) for x in p.split("=", 1)) for p in query[1:].split("&"))
-    fragment = fragment and "#" + cut(fragment[1:], 50)
-    return cut(scheme + re.sub(r"^.*@", "***@", host) + path + query + fragment, 512)
+        return url[:512]
+    scheme, user, host, path, query, fragment = (x or "" for x in m.groups())
+    short = "/".join((s[-64:] if re.search(r"(?s).\.[A-Za-z0-9]{1,16}$", s) else s[:64]) if len(s) > 64 else s for s in path.split("/"))
+    pairs = query and "?" + "&".join("=".join(x[:50] for x in p.split("=", 1)) for p in query[1:].split("&"))
+    if (short, pairs, fragment[:51]) == (path, query, fragment) and len(url) <= 512:
+        return url
+    return (scheme.lower() + "://" + ("[userinfo-omitted]@" if user else "") + host + short + pairs + fragment[:51])[:512]
 
 
 def test_links_with_brackets(spark):

@@ -5,10 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let
+
 LABEL = r"[A-Za-z0-9_](?:[A-Za-z0-9_\-]{0,61}[A-Za-z0-9_])?"
 STRICT_LABEL = LABEL.replace("_", "")
 #: Networks that are never sent from, besides those that are private by class.
-NOT_ROUTABLE = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4")
+NOT_ROUTABLE = ("0.0.0.0/8", "10.0.0.0/8", "100.64.0.0/10", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12", "192.0.0.0/24", "192.0.2.0/24", "192.168.0.0/16", "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4",
+                "::/128", "::1/128", "2001::/32", "2001:db8::/32", "2002::/16", "fc00::/7", "fe80::/10", "ff00::/8")
 
 
 def domain_of(address: Column) -> Column:
@@ -52,24 +55,87 @@ def ip_number(ip: Column) -> Column:
     return F.when(ok, F.aggregate(parts, F.lit(0).cast("long"), lambda s, p: s * 256 + p.cast("long")))
 
 
-def cidr_range(cidr: str) -> tuple[int, int]:
+def ip_key(ip: Column) -> Column:
+    """32 hexadecimal digits of an IPv6 address, or of an IPv4 one as ::ffff:a.b.c.d; null for other text.
+
+    A zone behind % doesn't count, and an IPv4 address has one key however it is written. Keys are ordered as
+    the addresses are, so networks are ranges of keys.
+    """
+    hexed = lambda n, digits: F.lower(F.lpad(F.hex(n), digits, "0"))
+    v4 = let(ip_number(ip), lambda n: F.when(n.isNotNull(), F.concat(F.lit("0" * 20 + "ffff"), hexed(n, 8))))
+    bare = F.lower(F.regexp_replace(ip, "(?<=:.{0,40})%.+$", ""))
+    dotted = F.regexp_extract(bare, r":(\d+\.\d+\.\d+\.\d+)$", 1)
+    head = F.left(bare, F.length(bare) - F.length(dotted))
+    plain = F.when(dotted == "", bare).otherwise(let(ip_number(dotted), lambda n: F.concat(head, hexed(F.shiftright(n, 16), 4), F.lit(":"), hexed(n % 65536, 4))))
+
+    def of(text: Column) -> Column:
+        group = r"[0-9a-f]{1,4}(?::[0-9a-f]{1,4}){0,7}"
+        halves = F.split(text, "::")
+        groups = lambda i: F.filter(F.split(F.coalesce(F.get(halves, F.lit(i)), F.lit("")), ":"), lambda g: g != "")
+        wide = lambda gs: F.array_join(F.transform(gs, lambda g: F.lpad(g, 4, "0")), "")
+        n = F.size(groups(0)) + F.size(groups(1))
+        short = F.contains(text, F.lit("::"))
+        ok = F.regexp_like(text, F.lit(rf"^(?:{group})?(?:::(?:{group})?)?$")) & F.when(short, n <= 7).otherwise(n == 8)
+        return F.when(ok, F.concat(wide(groups(0)), F.repeat(F.lit("0000"), F.lit(8) - n), wide(groups(1))))
+
+    return F.coalesce(v4, let(plain, of))
+
+
+def canonical_ip(ip: Column) -> Column:
+    """The usual text of an address: dotted for IPv4, mapped or not; for IPv6 lower case with the longest run of zero groups left out."""
+
+    def of(key: Column) -> Column:
+        quad = F.concat_ws(".", *[F.conv(F.substring(key, i, 2), 16, 10) for i in (25, 27, 29, 31)])
+        groups = F.concat_ws(":", *[F.regexp_replace(F.substring(key, i, 4), "^0{1,3}", "") for i in range(1, 33, 4)])
+        out = groups
+        for n in range(2, 9):  # the longest run decides, of equal ones the first
+            run = rf"^(.*?)(?:^|:)0(?::0){{{n - 1}}}(?=:|$):?(.*)$"
+            out = F.when(F.regexp_like(groups, F.lit(run)), F.regexp_replace(groups, run, "$1::$2")).otherwise(out)
+        return F.when(F.startswith(key, F.lit("0" * 20 + "ffff")), quad).when(key.isNotNull(), out)
+
+    return let(ip_key(ip), of)
+
+
+def network_keys(network: str) -> tuple[str, str]:
+    """First and last key of an address or network; an IPv4-mapped one has to be of /96 at least."""
     import ipaddress
 
-    net = ipaddress.ip_network(cidr, strict=False)
-    return int(net.network_address), int(net.broadcast_address)
+    given = ipaddress.ip_interface(network.strip())
+    net = given.network
+    if given.version == 6 and given.ip.ipv4_mapped and net.prefixlen < 96:
+        raise ValueError(f"{network}: an IPv4-mapped network has to be of /96 at least")
+    first, last = int(net.network_address), int(net.broadcast_address)
+    if net.version == 4:
+        first, last = first + (0xFFFF << 32), last + (0xFFFF << 32)
+    return f"{first:032x}", f"{last:032x}"
+
+
+def canonical_network(network: str) -> str:
+    """One text for all ways to write an address or network: masked, and IPv4 where it is mapped."""
+    import ipaddress
 
+    first, last = (int(k, 16) for k in network_keys(network))
+    bits = 128 - (last - first).bit_length()
+    if first >> 32 == 0xFFFF and bits >= 96:
+        return f"{ipaddress.IPv4Address(first & 0xFFFFFFFF)}/{bits - 96}"
+    return f"{ipaddress.IPv6Address(first)}/{bits}"
 
-def in_networks(ip: Column, cidrs: tuple[str, ...]) -> Column:
-    """Whether an IPv4 address lies in one of a few networks, by numeric bounds."""
-    number, out = ip_number(ip), F.lit(False)
-    for low, high in map(cidr_range, cidrs):
-        out = out | number.between(low, high)
-    return F.coalesce(out, F.lit(False))
+
+def in_networks(ip: Column, networks: tuple[str, ...]) -> Column:
+    """Whether an address lies in one of a few networks, IPv4 or IPv6, by ranges of keys."""
+
+    def of(key: Column) -> Column:
+        out = F.lit(False)
+        for low, high in map(network_keys, networks):
+            out = out | key.between(low, high)
+        return F.coalesce(out, F.lit(False))
+
+    return let(ip_key(ip), of)
 
 
 def is_routable(ip: Column) -> Column:
-    """Whether an IPv4 address can be a sender on the open Internet; false for other text."""
-    return ip_number(ip).isNotNull() & ~in_networks(ip, NOT_ROUTABLE)
+    """Whether an address can be a sender on the open Internet; false for other text."""
+    return ip_key(ip).isNotNull() & ~in_networks(ip, NOT_ROUTABLE)
 
 
 def organisational(domain: Column, suffixes: tuple[str, ...]) -> Column:
@@ -85,4 +151,14 @@ def organisational(domain: Column, suffixes: tuple[str, ...]) -> Column:
 
 
 def aligned(one: Column, two: Column, suffixes: tuple[str, ...]) -> Column:
-    return F.coalesce((F.lower(one) == F.lower(two)) | (organisational(one, suffixes) == organisational(two, suffixes)), F.lit(False))
+    """Whether two domains are of one organisation; a domain that is itself a public suffix is of none."""
+    clean = lambda d: F.regexp_replace(F.lower(F.trim(d)), r"\.$", "")
+    proper = is_dns_name(clean(one), underscore=True) & is_dns_name(clean(two), underscore=True)
+    return F.coalesce(proper & (organisational(clean(one), suffixes) == organisational(clean(two), suffixes)), F.lit(False))
+
+
+def allowed_by_reverse_dns(names: Column, domains: tuple[str, ...]) -> Column:
+    """The first confirmed host name of array<struct<hostname, confirmed>> that is a listed domain or below it; null for none."""
+    clean = F.transform(F.filter(names, lambda n: F.coalesce(n["confirmed"], F.lit(False))), lambda n: F.regexp_replace(F.lower(F.trim(n["hostname"])), r"\.$", ""))
+    listed = F.array(*[F.lit(d) for d in domains]).cast("array<string>")
+    return F.get(F.filter(clean, lambda h: is_dns_name(h) & F.arrays_overlap(parent_domains(h), listed)), F.lit(0))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let
+
 DAY = 86_400_000
 
 
@@ -28,18 +30,18 @@ def age_bucket(age_ms: Column) -> Column:
     """Age of a domain in whole years (365 days), months (30 days), weeks or days, whichever is the largest that isn't 0."""
     days = F.floor(age_ms / DAY)
     unit = lambda n, name: F.concat(n.cast("string"), F.lit(f" {name}"), F.when(n == 1, "").otherwise("s"))
-    return F.when(days < 0, "unknown").when(days >= 365, unit(F.floor(days / 365), "year")).when(days >= 30, unit(F.floor(days / 30), "month")).when(days >= 7, unit(F.floor(days / 7), "week")).otherwise(unit(days, "day"))
+    return F.when(days >= 365, unit(F.floor(days / 365), "year")).when(days >= 30, unit(F.floor(days / 30), "month")).when(days >= 7, unit(F.floor(days / 7), "week")).when(days >= 1, unit(days, "day")).otherwise("less than 1 day")
 
 
 def confidence(score: Column, low_below: float = 0.8) -> Column:
     return F.when(score < low_below, "low").otherwise("high")
 
 
-def valid_decision(json: Column, classes: tuple[str, ...] = ("legitimate", "spam", "scam")) -> Column:
+def valid_decision(json: Column, classes: tuple[str, ...] = ("legitimate", "unwanted")) -> Column:
     """Whether a JSON decision has a known class, a score from 0.5 to 1, and at most ten reasons of at most 500 bytes."""
-    d = F.from_json(json, "class string, score double, reasons array<string>")
+    d = F.from_json(json, "classification string, score double, reasons array<string>")
     reasons = F.coalesce(d["reasons"], F.expr("CAST(array() AS array<string>)"))
-    ok = d["class"].isin(*classes) & d["score"].between(0.5, 1) & (F.size(reasons) <= 10) & F.forall(reasons, lambda r: F.octet_length(r) <= 500)
+    ok = d["classification"].isin(*classes) & d["score"].between(0.5, 1) & (F.size(reasons) <= 10) & F.forall(reasons, lambda r: F.octet_length(r) <= 500)
     return F.coalesce(ok, F.lit(False))
 
 
@@ -77,20 +79,18 @@ def linear(channel: Column) -> Column:
 
 
 def oklab(colour: Column) -> Column:
-    """struct<l, a, b> of an opaque sRGB colour."""
-    r, g, b = (linear(colour[c]) for c in "rgb")
+    """struct<l, a, b> of an opaque sRGB colour; linear channels and cube roots are computed once."""
     # The published matrices of the Oklab colour space.
-    lms = [
-        F.cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459929 * b),
-        F.cbrt(0.2119034982 * r + 0.6806995451 * g + 0.1073969566 * b),
-        F.cbrt(0.0883024619 * r + 0.2817188376 * g + 0.6299787005 * b),
-    ]
+    mixes = ((0.4122214708, 0.5363325363, 0.0514459929), (0.2119034982, 0.6806995451, 0.1073969566), (0.0883024619, 0.2817188376, 0.6299787005))
     rows = {"l": (0.2104542553, 0.7936177850, -0.0040720468), "a": (1.9779984951, -2.4285922050, 0.4505937099), "b": (0.0259040371, 0.7827717662, -0.8086757660)}
-    return F.struct(*[(m[0] * lms[0] + m[1] * lms[1] + m[2] * lms[2]).alias(n) for n, m in rows.items()])
+    channels = let(colour, lambda c: F.struct(*[let(c[n], linear).alias(n) for n in "rgb"]))
+    roots = let(channels, lambda c: F.struct(*[F.cbrt(m[0] * c["r"] + m[1] * c["g"] + m[2] * c["b"]).alias(f"x{i}") for i, m in enumerate(mixes)]))
+    return let(roots, lambda x: F.struct(*[(m[0] * x["x0"] + m[1] * x["x1"] + m[2] * x["x2"]).alias(n) for n, m in rows.items()]))
 
 
 def lab_distance(one: Column, two: Column) -> Column:
-    return F.sqrt(sum(((one[c] - two[c]) * (one[c] - two[c]) for c in "ab"), (one["l"] - two["l"]) * (one["l"] - two["l"])))
+    both = F.struct(one.alias("x"), two.alias("y"))
+    return let(both, lambda p: F.sqrt(sum(((p["x"][c] - p["y"][c]) * (p["x"][c] - p["y"][c]) for c in "ab"), (p["x"]["l"] - p["y"]["l"]) * (p["x"]["l"] - p["y"]["l"]))))
 
 
 def colour_concealed(distance: Column, limit: float = 0.005) -> Column:

@@ -5,12 +5,16 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .core import let
+
 #: Format characters that pad text invisibly, besides white space.
 PADDING_FORMAT = r"\x{00AD}\x{034F}\x{061C}\x{180E}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}"
 SPACES = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 PADDING = f"[{SPACES}{PADDING_FORMAT}]"
 #: Names of the tags that the extractor writes; the same tags in a message are taken out.
-RESERVED_TAGS = ("attachment", "client-dependent", "concealed", "invisible", "quoted", "unknown", "visible")
+RESERVED_TAGS = ("invisible", "visibility-varies-by-viewport-size", "visibility-uncertain", "hidden-content-stripped", "quoted-content", "attached-email", "attached-file")
+#: Fixed value: what stands behind a body that was cut.
+TRUNCATION_NOTICE = "\n[processed email body truncated; the remainder was omitted]"
 
 
 def single_line(text: Column, limit: int) -> Column:
@@ -44,7 +48,7 @@ def compact_padding(text: Column) -> Column:
 
 
 def without_reserved_tags(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?iu)</?\s*(?:{'|'.join(RESERVED_TAGS)})\b[^>]*>", "")
+    return F.regexp_replace(text, rf"(?iu)</?[ \t\n\r\f]*(?:{'|'.join(RESERVED_TAGS)})(?![A-Za-z0-9_])[^>]*>", "")
 
 
 def body_text(text: Column) -> Column:
@@ -66,7 +70,7 @@ def ascii_space_folded(text: Column) -> Column:
     return F.regexp_replace(text, r"[ \t\n\f\r]+", " ")
 
 
-def truncated(text: Column, limit: int, notice: str = "\n[truncated]") -> Column:
+def truncated(text: Column, limit: int, notice: str = TRUNCATION_NOTICE) -> Column:
     return F.when(F.length(text) > limit, F.concat(F.left(text, F.lit(limit)), F.lit(notice))).otherwise(text)
 
 
@@ -88,13 +92,14 @@ def canonical_header(name: Column) -> Column:
 
 
 def markdown_escaped(text: Column) -> Column:
-    return F.regexp_replace(text, r"([\\\[\]()*_`<>])", r"\\$1")
+    """Text as the label of a Markdown link."""
+    return F.regexp_replace(text, r"([\\\[\]])", r"\\$1")
 
 
 def markdown_url(text: Column) -> Column:
     out = text
-    for a, b in ((" ", "%20"), ("(", "%28"), (")", "%29"), ("<", "%3C"), (">", "%3E")):
-        out = F.replace(out, F.lit(a), F.lit(b))
+    for a in "\\ ()<>":
+        out = F.replace(out, F.lit(a), F.lit(f"%{ord(a):02X}"))
     return out
 
 
@@ -103,15 +108,18 @@ def joined_parts(parts: Column) -> Column:
     return F.array_join(F.filter(parts, lambda p: p != ""), "\n\n")
 
 
-def comment_summary(characters: Column, body: Column, splits: Column) -> Column:
-    """A sentence on HTML comments: their share of the body and how many split a word; empty without any."""
-    share = F.round(100.0 * characters / F.greatest(body, F.lit(1))).cast("int")
-    return F.when(characters == 0, "").otherwise(F.format_string("HTML comments: %d characters (%d%% of the body), %d inside words.", characters, share, splits))
+def comment_summary(characters: Column, within_words: Column, body_characters: Column) -> Column:
+    """A sentence on omitted HTML comments where some split a word, or where they are 100 characters and as many as the body; else empty."""
+    share = F.when(body_characters > 0, F.concat(F.lit(" was "), F.bround(characters * 100.0 / body_characters).cast("long").cast("string"), F.lit("% of extracted body length"))).otherwise(" accompanied an empty extracted body")
+    words = F.when(within_words > 0, F.concat(F.lit("; "), within_words.cast("string"), F.when(within_words == 1, " comment occurred").otherwise(" comments occurred"), F.lit(" within words"))).otherwise("")
+    told = F.concat(F.lit("\nEXTRACTOR-GENERATED HTML COMMENT SUMMARY: Omitted HTML comment text"), share, words, F.lit(".\n"))
+    return F.when((within_words > 0) | ((characters >= 100) & (characters >= body_characters)), told).otherwise("")
 
 
 def annotations(text: Column) -> Column:
     """Which annotations a rendered body uses."""
-    return F.struct(*[F.contains(text, F.lit(f"<{t}>")).alias(t.replace("-", "_")) for t in RESERVED_TAGS])
+    marks = {"invisible": "<invisible ", "hidden-content-stripped": "<hidden-content-stripped/>"}
+    return F.struct(*[F.contains(text, F.lit(marks.get(t, f"<{t}>"))).alias(t.replace("-", "_")) for t in RESERVED_TAGS])
 
 
 def lines(text: Column) -> Column:
@@ -120,8 +128,9 @@ def lines(text: Column) -> Column:
 
 
 def smtp_identity(text: Column) -> Column:
-    """Trimmed without angle brackets and controls, at most 320 characters."""
-    return F.left(F.regexp_replace(F.regexp_replace(F.trim(text), r"\p{Cc}", ""), r"^<|>$", ""), F.lit(320))
+    """Trimmed and without controls, at most 255 characters; "unknown", in brackets or not, is empty."""
+    clean = F.regexp_replace(F.regexp_replace(F.make_valid_utf8(text), r"\p{Cc}", ""), f"^[{SPACES}]+|[{SPACES}]+$", "")
+    return let(clean, lambda c: F.when(F.lower(c).isin("unknown", "[unknown]"), "").otherwise(F.left(c, F.lit(255))))
 
 
 def byte_truncated(text: Column, limit: int) -> Column:
@@ -177,23 +186,39 @@ def content_id(text: Column) -> Column:
     return F.lower(F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare))
 
 
+#: A file extension of 1 to 16 letters and digits behind a dot that isn't the first character; all of them may be percent-encoded.
+EXTENSION = r"(?s)^.+(?:\.|%2[Ee])(?:[A-Za-z0-9]|%(?:3[0-9]|[46][1-9A-Fa-f]|[57][0-9Aa])){1,16}$"
+URL = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*)://((?:[^/?#]*@)?)([^/?#@\s]+)([^?#]*)((?:\?[^#]*)?)((?:#.*)?)$"
+#: What no part of an address may hold: controls, and percent signs without two hexadecimal digits outside the query.
+NOT_URL = r"[\x00-\x1f\x7f]|^[^?#]*%(?![0-9A-Fa-f]{2})|#.*%(?![0-9A-Fa-f]{2})"
+
+
 def compact_url(url: Column, segment: int = 64, value: int = 50, total: int = 512) -> Column:
-    """A shorter form of an address: user information masked, long path segments, query keys, values and fragments cut.
+    """A shorter form of an address: path segments, query keys, values and the fragment are cut, and the whole.
 
-    A long last segment that ends in a file extension keeps its end. An address that needs no cut stays as it is.
+    A long segment that ends in a file extension keeps its end. An address of which nothing is cut stays as
+    it is; otherwise user information is left out and the scheme in lower case. Other text is cut only.
     """
-    part = r"^([A-Za-z][A-Za-z0-9+.\-]*://)([^/?#]*)([^?#]*)(\?[^#]*)?(#.*)?$"
-    scheme, host, path, query, fragment = (F.regexp_extract(url, part, i) for i in range(1, 6))
-    host = F.regexp_replace(host, r"^.*@", "***@")
-
-    def cut(x: Column, n: int) -> Column:
-        return F.when(F.length(x) > n, F.concat(F.left(x, F.lit(n)), F.lit("…"))).otherwise(x)
+    scheme, user, host, path, query, fragment = (F.regexp_extract(url, URL, i) for i in range(1, 7))
 
     def cut_segment(x: Column) -> Column:
-        return F.when((F.length(x) > segment) & x.rlike(r"\.[A-Za-z0-9]{1,8}$"), F.concat(F.lit("…"), F.right(x, F.lit(segment)))).otherwise(cut(x, segment))
-
-    path = F.array_join(F.transform(F.split(path, "/"), cut_segment), "/")
-    pairs = F.transform(F.split(F.substring(query, F.lit(2), F.length(query)), "&"), lambda p: F.array_join(F.transform(F.split(p, "=", 2), lambda x: cut(x, value)), "="))
-    query = F.when(query != "", F.concat(F.lit("?"), F.array_join(pairs, "&"))).otherwise("")
-    fragment = F.when(fragment != "", F.concat(F.lit("#"), cut(F.substring(fragment, F.lit(2), F.length(fragment)), value))).otherwise("")
-    return F.when(url.rlike(part), cut(F.concat(scheme, host, path, query, fragment), total)).otherwise(cut(url, total))
+        return F.when(F.length(x) <= segment, x).when(F.regexp_like(x, F.lit(EXTENSION)), F.right(x, F.lit(segment))).otherwise(F.left(x, F.lit(segment)))
+
+    def cut_pairs(q: Column) -> Column:
+        pair = lambda p: F.array_join(F.transform(F.split(p, "=", 2), lambda x: F.left(x, F.lit(value))), "=")
+        return F.when(q == "", q).otherwise(F.concat(F.lit("?"), F.array_join(F.transform(F.split(F.substring(q, F.lit(2), F.length(q)), "&"), pair), "&")))
+
+    parts = F.struct(
+        path.alias("path"), query.alias("query"), fragment.alias("fragment"),
+        F.array_join(F.transform(F.split(path, "/"), cut_segment), "/").alias("short_path"),
+        cut_pairs(query).alias("short_query"),
+        F.when(fragment == "#", "").otherwise(F.left(fragment, F.lit(value + 1))).alias("short_fragment"),
+    )
+
+    def built(p: Column) -> Column:
+        changed = (p["path"] != p["short_path"]) | (p["query"] != p["short_query"]) | ((p["fragment"] != p["short_fragment"]) & (p["fragment"] != "#")) | (F.length(url) > total)
+        whole = F.concat(F.lower(scheme), F.lit("://"), F.when(user != "", "[userinfo-omitted]@").otherwise(""), host, p["short_path"], p["short_query"], p["short_fragment"])
+        return F.when(changed, F.left(whole, F.lit(total))).otherwise(url)
+
+    proper = F.regexp_like(url, F.lit(URL)) & ~F.regexp_like(url, F.lit(NOT_URL))
+    return F.when(proper, let(parts, built)).otherwise(F.left(url, F.lit(total)))

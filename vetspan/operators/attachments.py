@@ -5,7 +5,9 @@ from __future__ import annotations
 import bz2
 import gzip
 import io
+import re
 import tarfile
+import unicodedata
 import zipfile
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -13,6 +15,8 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame
 
+from .headers import decoded_words
+
 PROGRAMS = (b"MZ", b"\x7fELF", b"\xfe\xed\xfa\xce", b"\xfe\xed\xfa\xcf", b"\xce\xfa\xed\xfe", b"\xcf\xfa\xed\xfe", b"#!")
 
 
@@ -28,6 +32,13 @@ class ScanError(Exception):
     pass
 
 
+def normalised_name(name: str | None) -> str:
+    """A file name as it will be shown: encoded words decoded, compatible characters alike (NFKC), without format characters, variation selectors and folders."""
+    flat = unicodedata.normalize("NFKC", decoded_words(name or ""))
+    kept = "".join(c for c in flat if unicodedata.category(c) not in ("Cf", "Cc") and not 0xFE00 <= ord(c) <= 0xFE0F and not 0xE0100 <= ord(c) <= 0xE01EF)
+    return re.split(r"[/\\]", kept)[-1].strip() or "unnamed"
+
+
 def scan(name: str | None, data: bytes, limits: ScanLimits, depth: int = 0, used: list[int] | None = None) -> str | None:
     """What was found first, as "path: reason"; ScanError with malformed, encrypted or limit where it can't be read."""
     used = used if used is not None else [0, 0]
@@ -35,7 +46,7 @@ def scan(name: str | None, data: bytes, limits: ScanLimits, depth: int = 0, used
     used[1] += len(data)
     if depth > limits.depth or used[0] > limits.files or used[1] > limits.bytes:
         raise ScanError("limit")
-    label = name or "unnamed"
+    label = normalised_name(name)
     extensions = [e.strip() for e in label.lower().rstrip(". ").split(".")[1:]]
     if any(e in limits.blocked for e in extensions):
         return f"{label}: blocked extension"
@@ -47,8 +58,8 @@ def scan(name: str | None, data: bytes, limits: ScanLimits, depth: int = 0, used
         if data[:4] in (b"PK\x03\x04", b"PK\x05\x06"):
             with zipfile.ZipFile(io.BytesIO(data)) as z:
                 for entry in z.infolist():
-                    if any(e in limits.blocked for e in entry.filename.lower().split(".")[1:]):
-                        return f"{label}/{entry.filename}: blocked extension"
+                    if any(e in limits.blocked for e in normalised_name(entry.filename).lower().split(".")[1:]):
+                        return f"{label}/{normalised_name(entry.filename)}: blocked extension"
                     if entry.flag_bits & 1:
                         raise ScanError("encrypted")
                     if entry.file_size > left:

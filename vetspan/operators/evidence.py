@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import codecs
 import email
 import email.policy
+import re
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -11,86 +13,177 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.addresses import identity_domain
+from ..functions.addresses import aligned
 from ..functions.core import let
 
 METHODS = ("dkim", "spf", "dmarc")
 
 
-def without_comments(header: Column) -> Column:
-    """The header without comments in brackets, nested ones up to depth four; null where brackets don't pair."""
-    out = header
-    for _ in range(4):
-        out = F.regexp_replace(out, r"\([^()]*\)", " ")
-    return let(out, lambda o: F.when(~F.regexp_like(o, F.lit(r"[()]")), o))
-
-
-def authentication_results(headers: Column, trusted: tuple[str, ...]) -> Column:
-    """array<struct<method, outcome, domain>> of trusted Authentication-Results headers, distinct in order.
-
-    A header counts when its first word is a trusted id. Each further part method=outcome prop=value is a
-    result for dkim, spf or dmarc; its domain comes from header.d, smtp.mailfrom, smtp.helo or header.from,
-    and is null when the method's property is missing or given twice. spf tempfail and permfail are the
-    same as temperror and permerror.
+RESULT = "array<struct<method:string,outcome:string,domain:string,spf_identity:string>>"
+QUOTED = r'"(?:[^"\\]|\\.)*"'
+OUTSIDE, INSIDE = re.compile(rf'{QUOTED}|[^"();]+|[;(]', re.S), re.compile(r"\\.|[()]|[^()\\]+", re.S)
+METHOD = re.compile(r"\s*(dkim|spf|dmarc)\s*=\s*([a-z][a-z0-9_-]{0,31})\b", re.I | re.A)
+PROPERTY = re.compile(rf'\s+([\w-]+)(?:\s*\.\s*([\w-]+))?\s*=\s*(?:({QUOTED})|<([^>]*)>|([^\s"<>]+))(?=\s|$)', re.S | re.A)
+SPF_OUTCOME = re.compile(r"\s*([a-z][a-z0-9_-]{0,31})\b", re.I | re.A)
+SPF_PARAMETER = re.compile(rf'([!#-\'*+\-./0-9A-Z^-~]+)[ \t]*=[ \t]*(?:({QUOTED})|([^ \t;(]+))', re.S)
+LABEL = re.compile(r"(?!-)[a-z0-9_-]{1,63}(?<!-)", re.A)
+
+
+def _unquoted(text: str) -> str:
+    return re.sub(r"\\(.)", r"\1", text[1:-1], flags=re.S)
+
+
+def _comment_end(text: str, at: int) -> int:
+    """Where the comment that opens at `at` has ended, -1 if it doesn't."""
+    depth = 0
+    while m := INSIDE.match(text, at):
+        depth += (m[0] == "(") - (m[0] == ")")
+        at = m.end()
+        if not depth:
+            return at
+    return -1
+
+
+def _clauses(header: str) -> list[str]:
+    """The parts between semicolons, comments of any depth as a space; none where quotes or brackets don't pair."""
+    out, at = [""], 0
+    pieces: list[str] = []
+    while at < len(header):
+        m = OUTSIDE.match(header, at)
+        if m is None:
+            return []
+        if m[0] == "(":
+            at = _comment_end(header, at)
+            if at < 0:
+                return []
+            pieces.append(" ")
+            continue
+        if m[0] == ";":
+            out[-1] = "".join(pieces)
+            out.append("")
+            pieces = []
+        else:
+            pieces.append(m[0])
+        at = m.end()
+    out[-1] = "".join(pieces)
+    return out
+
+
+def _domain(value: str | None) -> str | None:
+    """The value as a DNS name in lower case (underscores too) without its final dot, null if it is none."""
+    name = (value or "").strip().lower().removesuffix(".")
+    return name if 0 < len(name) <= 253 and all(LABEL.fullmatch(x) for x in name.split(".")) else None
+
+
+def _identity(value: str | None) -> str | None:
+    return _domain((value or "").strip().strip("<>").rpartition("@")[2])
+
+
+def _properties(text: str) -> dict[str, str]:
+    """Assignments of a clause; none at all if one is malformed or stands twice."""
+    out: dict[str, str] = {}
+    at = 0
+    while text[at:].strip():
+        m = PROPERTY.match(text, at)
+        if m is None:
+            return {}
+        key = (m[1] + (f".{m[2]}" if m[2] else "")).lower()
+        if key in out:
+            return {}
+        out[key] = _unquoted(m[3]) if m[3] is not None else m[4] if m[4] is not None else m[5]
+        at = m.end()
+    return out
+
+
+def _spf_parameters(header: str) -> dict[str, str]:
+    """The first value of each parameter up to where the field is malformed."""
+    out: dict[str, str] = {}
+    at = re.match(r"[ \t]*[^ \t();=]*", header).end()
+    while at < len(header):
+        if header[at] in " \t;":
+            at += 1
+        elif header[at] == "(":
+            at = _comment_end(header, at)
+            if at < 0:
+                break
+        elif m := SPF_PARAMETER.match(header, at):
+            out.setdefault(m[1].lower(), _unquoted(m[2]) if m[2] is not None else m[3])
+            at = m.end()
+        else:
+            break
+    return out
+
+
+def _outcome(method: str, value: str) -> str:
+    return "temperror" if (method, value.lower()) == ("spf", "tempfail") else value.lower()
+
+
+def trusted_results(headers: list[str], spf_headers: list[str], trusted: frozenset[str]) -> list[tuple]:
+    """(method, outcome, domain, spf_identity) of trusted fields, distinct in order; Received-SPF counts where no other has spf."""
+    id_ = lambda x: x.strip().lower().removesuffix(".")
+    out, names = {}, {id_(t) for t in trusted}
+    for header in headers:
+        clauses = _clauses(header or "")
+        if len(clauses) < 2 or id_((clauses[0].split() or [""])[0]) not in names:
+            continue
+        for clause in clauses[1:]:
+            if m := METHOD.match(clause):
+                method, given, identity = m[1].lower(), _properties(clause[m.end() :]), None
+                if method == "spf":
+                    domain = _identity(given.get("smtp.mailfrom"))
+                    identity = "mailfrom" if domain else "helo" if "smtp.helo" in given else None
+                    domain = domain or _identity(given.get("smtp.helo"))
+                else:
+                    domain = _domain(given.get("header.d" if method == "dkim" else "header.from"))
+                out[(method, _outcome(method, m[2]), domain, identity)] = None
+    if any(r[0] == "spf" for r in out):
+        return list(out)
+    for header in spf_headers:
+        given, m = _spf_parameters(header or ""), SPF_OUTCOME.match(header or "")
+        if id_(given.get("receiver", "")) not in names or m is None:
+            continue
+        domain = _identity(given.get("envelope-from"))
+        identity = "mailfrom" if domain else None
+        empty = "envelope-from" in given and given["envelope-from"].strip() in ("", "<>")
+        if given.get("identity", "").lower() == "helo" or ("identity" not in given and empty):
+            domain, identity = _identity(given.get("helo")), "helo"
+        out[("spf", _outcome("spf", m[1]), domain, identity)] = None
+    return list(out)
+
+
+def authentication_results(headers: Column, trusted: tuple[str, ...], spf_headers: Column | None = None) -> Column:
+    """RESULT of the Authentication-Results fields (arrays of strings) whose service is trusted.
+
+    Each field is read once from left to right, so a field of any length takes time in proportion. A result is
+    for dkim, spf or dmarc; its domain is header.d, smtp.mailfrom or else smtp.helo, or header.from, null
+    where a property of the clause is malformed or given twice. Without any spf result those of Received-SPF
+    fields count whose receiver is trusted. Null arrays and fields hold nothing.
     """
-    props = {"dkim": ("header.d", "header.i"), "spf": ("smtp.mailfrom", "smtp.helo"), "dmarc": ("header.from",)}
-
-    def value(part: Column, name: str) -> Column:
-        found = F.regexp_extract_all(part, F.lit(rf'(?i)(?:^|\s){name}\s*=\s*("[^"]*"|[^\s;]+)'), F.lit(1))
-        return let(found, lambda f: F.when(F.size(f) == 1, identity_domain(F.regexp_replace(F.get(f, F.lit(0)), '"', ""))))
-
-    def result(part: Column) -> Column:
-        method = F.lower(F.regexp_extract(part, r"^\s*([A-Za-z]+)\s*=", 1))
-        outcome = F.lower(F.regexp_extract(part, r"^\s*[A-Za-z]+\s*=\s*([A-Za-z]+)", 1))
-        same = lambda o: F.when(o == "tempfail", "temperror").when(o == "permfail", "permerror").otherwise(o)
-
-        def of(found: Column) -> Column:
-            domain = F.lit(None).cast("string")
-            for m, names in props.items():
-                domain = F.when(found == m, F.coalesce(*[value(part, n.replace(".", r"\.")) for n in names])).otherwise(domain)
-            return F.struct(found.alias("method"), let(outcome, same).alias("outcome"), domain.alias("domain"))
-
-        return let(method, of)
+    names = frozenset(trusted)
 
-    def clauses(header: Column) -> Column:
-        def of(parts: Column) -> Column:
-            id_ = F.lower(F.regexp_extract(F.get(parts, F.lit(0)), r"^\s*(\S+)", 1))
-            rest = F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0)))
-            return F.when(id_.isin(*trusted), F.filter(F.transform(rest, result), lambda r: r["method"].isin(*METHODS) & (r["outcome"] != "")))
+    @F.pandas_udf(RESULT)
+    def read(fields: pd.Series, spf: pd.Series) -> pd.Series:
+        listed = lambda x: [] if x is None else list(x)
+        return pd.Series([[dict(zip(("method", "outcome", "domain", "spf_identity"), r, strict=True)) for r in trusted_results(listed(a), listed(b), names)] for a, b in zip(fields, spf, strict=True)], dtype=object)
 
-        # semicolons inside quotes don't separate
-        return let(F.split(let(header, without_comments), r';(?=(?:[^"]*"[^"]*")*[^"]*$)'), of)
+    return read(headers, spf_headers if spf_headers is not None else F.expr("CAST(array() AS array<string>)"))
 
-    empty = F.expr("CAST(array() AS array<struct<method:string,outcome:string,domain:string>>)")
-    return F.array_distinct(F.flatten(F.transform(headers, lambda h: F.coalesce(clauses(h), empty))))
 
+def evidence(headers: Column, spf_headers: Column, trusted: tuple[str, ...]) -> Column:
+    """Results of both kinds of fields, and "unavailable" for methods without any result."""
+    missing = F.array(*[F.struct(F.lit(m).alias("method"), F.lit("unavailable").alias("outcome"), F.lit(None).cast("string").alias("domain"), F.lit(None).cast("string").alias("spf_identity")) for m in METHODS])
+    return let(authentication_results(headers, trusted, spf_headers), lambda rs: F.concat(rs, F.filter(missing, lambda m: ~F.exists(rs, lambda r: r["method"] == m["method"]))))
 
-def received_spf(headers: Column) -> Column:
-    """The result of the first Received-SPF header as array<struct<method, outcome, domain>>."""
-    first = F.get(headers, F.lit(0))
-    outcome = F.lower(F.regexp_extract(first, r"^\s*([A-Za-z]+)", 1))
-    sender = F.regexp_extract(first, r'(?i)envelope-from\s*=\s*"?<?([^\s;">]+)', 1)
-    one = F.struct(F.lit("spf").alias("method"), outcome.alias("outcome"), F.when(sender != "", identity_domain(sender)).alias("domain"))
-    return F.when(outcome != "", F.array(one))
 
-
-def evidence(results: Column, spf_headers: Column) -> Column:
-    """Results with Received-SPF where they have no spf, and "unavailable" for methods without any result."""
-    def mended(rs: Column) -> Column:
-        return F.when(F.exists(rs, lambda r: r["method"] == "spf"), rs).otherwise(F.concat(rs, F.coalesce(received_spf(spf_headers), F.slice(rs, 1, 0))))
-
-    missing = F.array(*[F.struct(F.lit(m).alias("method"), F.lit("unavailable").alias("outcome"), F.lit(None).cast("string").alias("domain")) for m in METHODS])
-    return let(let(results, mended), lambda rs: F.concat(rs, F.filter(missing, lambda m: ~F.exists(rs, lambda r: r["method"] == m["method"]))))
-
-
-def passes(results: Column, method: str, from_domain: Column) -> Column:
-    """Whether a method passed for the domain of From or a parent of it."""
-    return F.exists(results, lambda r: (r["method"] == method) & (r["outcome"] == "pass") & ((r["domain"] == from_domain) | F.coalesce(F.endswith(from_domain, F.concat(F.lit("."), r["domain"])), F.lit(False))))
+def passes(results: Column, method: str, from_domain: Column, suffixes: tuple[str, ...] = ()) -> Column:
+    """Whether a method passed for a domain of the same organisation as that of From."""
+    return F.exists(results, lambda r: (r["method"] == method) & (r["outcome"] == "pass") & aligned(r["domain"], from_domain, suffixes))
 
 
 class VisibleText(HTMLParser):
     """Text outside omitted elements, links as [label](target); a small lexical reading without style sheets."""
 
+    #: Elements whose text isn't shown.
     OMITTED = frozenset({"head", "style", "script", "title", "template", "iframe"})
     BLOCKS = frozenset({"p", "div", "ul", "ol", "li", "table", "tr", "section", "article", "header", "footer", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "br", "hr", "nav", "main", "pre"})
 
@@ -153,6 +246,16 @@ def html_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     return pages.mapInPandas(run, schema)
 
 
+def decoded(raw: bytes, label: str | None) -> str:
+    """Text in the charset of a label; Latin-1 and ASCII are read as Windows-1252, as browsers do, unknown labels as UTF-8."""
+    name = (label or "utf-8").strip().lower()
+    try:
+        known = codecs.lookup("cp1252" if codecs.lookup(name).name in ("iso8859-1", "ascii") else name)
+        return raw.decode(known.name, "replace") if known._is_text_encoding else raw.decode("utf-8", "replace")
+    except LookupError:
+        return raw.decode("utf-8", "replace")
+
+
 PART = "id long, part int, content_type string, filename string, size long, text string, content binary"
 
 
@@ -172,7 +275,7 @@ def message_parts(messages: DataFrame, max_parts: int = 256) -> DataFrame:
                 for n, part in enumerate(leaves[:max_parts]):
                     raw = part.get_payload(decode=True) or b""
                     words = part.get_content_maintype() == "text"
-                    text = raw.decode(part.get_content_charset("utf-8") if part.get_content_charset() in ("utf-8", "us-ascii", "iso-8859-1", None) else "utf-8", "replace") if words else None
+                    text = decoded(raw, part.get_content_charset()) if words else None
                     rows.append((id_, n, part.get_content_type(), part.get_filename(), len(raw), text, None if words else raw))
             yield pd.DataFrame(rows, columns=names)
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import base64
+import quopri
+import re
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -46,7 +51,7 @@ def mailboxes(text: Column, limit: int = 100) -> Column:
 
     Quoted names and comments in brackets don't count, so an address inside them isn't taken.
     """
-    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*"', ""), r"\([^()]*\)", "")
+    bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"\([^()]*\)", "")
     found = F.regexp_extract_all(bare, F.lit(r"[^\s<>,;:\"]+@[^\s<>,;:\"]+"), F.lit(0))
     clean = F.filter(F.transform(found, lambda a: normalised(F.regexp_replace(a, r"\.$", ""))), lambda a: a != "")
     return F.array_sort(F.slice(F.array_distinct(clean), 1, limit))
@@ -79,3 +84,30 @@ def resolved(link: Column, base: Column) -> Column:
 
 def sender_domain(text: Column) -> Column:
     return domain_of(F.get(mailboxes(text, 1), F.lit(0)))
+
+
+ENCODED = re.compile(r"=\?([^?\s]+)\?([BbQq])\?([^?\s]*)\?=")
+
+
+def decoded_words(text: str) -> str:
+    """Encoded words of a header field as the text they stand for; white space between two of them goes, malformed ones stay."""
+
+    def of(m: re.Match) -> str:
+        charset, kind, data = m[1].partition("*")[0], m[2].lower(), m[3]
+        try:
+            raw = base64.b64decode(data + "=" * (-len(data) % 4), validate=True) if kind == "b" else quopri.decodestring(data.replace("_", " "), header=True)
+            return raw.decode(charset, "replace")
+        except (ValueError, LookupError):
+            return m[0]
+
+    return ENCODED.sub(of, re.sub(r"(\?=)\s+(?==\?[^?\s]+\?[BbQq]\?[^?\s]*\?=)", r"\1", text))
+
+
+def decoded_value(value: Column) -> Column:
+    """A header value with its encoded words decoded; null stays null."""
+
+    @F.pandas_udf("string")
+    def decode(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else decoded_words(v))
+
+    return F.when(F.contains(value, F.lit("=?")), decode(value)).otherwise(value)

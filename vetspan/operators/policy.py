@@ -12,7 +12,7 @@ def trust_met(requirement: str, dkim: Column, spf: Column) -> Column:
 
 def ai_action(verdict: Column, score: Column, reject_score: float) -> Column:
     """reject for an unwanted verdict from the threshold on, else accept."""
-    return F.when(verdict.isin("spam", "scam", "unwanted") & (score >= reject_score), "reject").otherwise("accept")
+    return F.when((verdict == "unwanted") & (score >= reject_score), "reject").otherwise("accept")
 
 
 def in_mode(action: Column, mode: str) -> Column:
@@ -51,18 +51,57 @@ def bypass(known: Column, complete: Column, trusted: Column, from_headers: Colum
     return known & complete & trusted & (from_headers == 1)
 
 
-def result_headers(verdict: Column, score: Column, confidence: Column) -> Column:
-    return F.struct(verdict.alias("classification"), F.format_string("%.2f", score).alias("score"), confidence.alias("confidence"))
+def result_headers(scanned: Column, incomplete: Column, failed: Column, selected: Column, proposed: Column, verdict: Column, score: Column, low_below: float = 0.8) -> Column:
+    """struct<classification, score, confidence, action, policy> of an accepted message: null fields aren't written.
 
+    scanned is false for a message that bypassed analysis. proposed is what analysis asked for, selected
+    what was done. A score is written in the fewest digits.
+    """
+    digits = F.regexp_replace(score.cast("string"), r"\.0$", "")
+    asked = F.when(proposed == "reject", "accepted-accept-mode").when(verdict == "unwanted", "accepted-below-threshold").otherwise("accepted")
 
-#: Concealment reasons by bit, the lowest set bit is the one that is told.
-REASONS = ("display none", "visibility", "opacity", "clipped", "content visibility", "tiny font", "colour", "layout")
+    def row(classification, action, scored=None, policy=None) -> Column:
+        text = lambda x: F.lit(x).cast("string") if x is None or isinstance(x, str) else x
+        confidence = F.lit("unavailable") if scored is None else F.when(score < low_below, "low").otherwise("high")
+        return F.struct(text(classification).alias("classification"), text(scored).alias("score"), confidence.alias("confidence"), text(action).alias("action"), text(policy).alias("policy"))
 
+    return (
+        F.when(~scanned, row("not-scanned", "accepted-bypass"))
+        .when(incomplete, row("not-scanned", "accepted-accept-mode", policy="incomplete-inspection"))
+        .when(failed & (selected == "accept"), row("unavailable", "accepted-ai-error"))
+        .when(verdict.isNull() | (verdict == ""), row("unavailable", asked))
+        .otherwise(row(verdict, asked, digits))
+    )
 
-def primary_reason(bits: Column) -> Column:
-    out = F.lit(None).cast("string")
+
+def post_decision_updates(incomplete: Column, selected: Column, authenticated: Column, failed: Column, resource_reject: Column, verdict: Column, visible_sender: Column) -> Column:
+    """Which stores a decision writes to: struct<rejection, rejection_policy, ip_strike, legitimate_ip, learnt_recipients, classification>.
+
+    An incomplete inspection only records its rejection; a rejection for resources is no strike, and a
+    failed analysis is evidence for nobody.
+    """
+    rejected, whole = selected == "reject", ~incomplete
+    fields = {
+        "rejection": rejected,
+        "rejection_policy": F.when(rejected, F.when(incomplete, "incomplete-inspection").otherwise("ai")),
+        "ip_strike": whole & rejected & ~authenticated & ~resource_reject,
+        "legitimate_ip": whole & ~authenticated & ~failed & F.coalesce(verdict == "legitimate", F.lit(False)),
+        "learnt_recipients": whole & (selected == "accept") & authenticated,
+        "classification": whole & ~authenticated & ~failed & ~resource_reject & F.coalesce(visible_sender != "", F.lit(False)),
+    }
+    return F.struct(*[v.alias(k) for k, v in fields.items()])
+
+
+#: Concealment reasons by bit; the lowest set bit is the one that is told.
+REASONS = ("display:none", "visibility:hidden", "visibility:collapse", "opacity", "font-size", "color-match", "empty-clip", "content-visibility:hidden")
+
+
+def primary_reason(bits: Column, opacity: Column, font_size: Column) -> Column:
+    """struct<reason, value>: opacity and font-size come with their values, others with an empty one; without bits the first."""
+    out = F.struct(F.lit(REASONS[0]).alias("reason"), F.lit("").alias("value"))
     for i in reversed(range(len(REASONS))):
-        out = F.when(bits.bitwiseAND(1 << i) != 0, REASONS[i]).otherwise(out)
+        value = {"opacity": F.regexp_replace(F.round(opacity, 6).cast("string"), r"\.0$", ""), "font-size": font_size}.get(REASONS[i], F.lit(""))
+        out = F.when(bits.bitwiseAND(1 << i) != 0, F.struct(F.lit(REASONS[i]).alias("reason"), value.alias("value"))).otherwise(out)
     return out
 
 

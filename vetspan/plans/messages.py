@@ -34,10 +34,11 @@ def au1(spark, sf_dir):
     return c.table(spark, sf_dir, "orders").select("o_orderkey", told.alias("results"))
 
 
-@query("au5_au8_evidence", "SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN 'spf=softfail c.example,dkim=unavailable -,dmarc=unavailable -' ELSE concat('dkim=', CASE WHEN o_custkey % 2 = 0 THEN 'pass' ELSE 'fail' END, ' out.example,spf=temperror mail.example,dmarc=pass -') END AS results, o_custkey % 4 = 2 AS dkim_aligned FROM orders")
+@query("au5_au8_evidence", "SELECT o_orderkey, CASE WHEN o_custkey % 4 = 0 THEN CASE WHEN o_custkey % 8 = 0 THEN 'dkim=unavailable -,spf=unavailable -,dmarc=unavailable -' ELSE 'spf=softfail c.example,dkim=unavailable -,dmarc=unavailable -' END ELSE concat('dkim=', CASE WHEN o_custkey % 2 = 0 THEN 'pass' ELSE 'fail' END, ' out.example,spf=temperror mail.example,dmarc=pass -') END AS results, o_custkey % 4 = 2 AS dkim_aligned FROM orders")
 def au5(spark, sf_dir):
-    spf = F.array(F.lit("SoftFail (why) client-ip=1.2.3.4; envelope-from=\"<a@C.example>\"; helo=x"))
-    rows = c.table(spark, sf_dir, "orders").select("o_orderkey", evidence.evidence(evidence.authentication_results(F.array(F.expr(HEADER)), ("mx.example",)), spf).alias("r"))
+    receiver = F.when(F.col("o_custkey") % 8 == 0, "other.example").otherwise("MX.example.")
+    spf = F.array(F.concat(F.lit("SoftFail (why) client-ip=1.2.3.4; receiver="), receiver, F.lit("; envelope-from=\"<a@C.example>\"; helo=x")))
+    rows = c.table(spark, sf_dir, "orders").select("o_orderkey", evidence.evidence(F.array(F.expr(HEADER)), spf, ("mx.example",)).alias("r"))
     told = F.array_join(F.transform("r", lambda r: F.concat(r["method"], F.lit("="), r["outcome"], F.lit(" "), F.coalesce(r["domain"], F.lit("-")))), ",")
     return rows.select("o_orderkey", told.alias("results"), evidence.passes(F.col("r"), "dkim", F.lit("www.out.example")).alias("dkim_aligned"))
 

@@ -29,7 +29,7 @@ def docs(spark, sf_dir, **columns):
 
 
 #: A text with controls, padding and tags mixed in, the same in Spark and DuckDB.
-DIRTY = "concat(text, chr(13), chr(10), ' <Visible>', lang, '</visible > ', repeat(chr(8203), 40), chr(9), chr(10), chr(10), chr(10), '*x* [y](z)')"
+DIRTY = "concat(text, chr(13), chr(10), ' <Invisible>', lang, '</invisible > ', repeat(chr(8203), 40), chr(9), chr(10), chr(10), chr(10), '*x* [y](z)')"
 
 
 def words():
@@ -37,7 +37,7 @@ def words():
 
 
 def dirty():
-    return F.concat(words(), F.lit("\r\n <Visible>"), F.col("lang"), F.lit("</visible > " + "\u200b" * 40 + "\t\n\n\n*x* [y](z)"))
+    return F.concat(words(), F.lit("\r\n <Invisible>"), F.col("lang"), F.lit("</invisible > " + "\u200b" * 40 + "\t\n\n\n*x* [y](z)"))
 
 
 WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
@@ -95,7 +95,7 @@ def x12(spark, sf_dir):
     return docs(spark, sf_dir, t=F.md5(text.ascii_space_folded(dirty())))
 
 
-@query("x13_x15_truncated", "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN concat(left(text, 500), chr(10), '[truncated]') ELSE text END) AS t FROM documents")
+@query("x13_x15_truncated", "SELECT doc_id, md5(CASE WHEN length(text) > 500 THEN concat(left(text, 500), chr(10), '[processed email body truncated; the remainder was omitted]') ELSE text END) AS t FROM documents")
 def x13(spark, sf_dir):
     return docs(spark, sf_dir, t=F.md5(text.truncated(words(), 500)))
 
@@ -110,15 +110,14 @@ def x19(spark, sf_dir):
     return docs(spark, sf_dir, name=text.canonical_header(F.concat_ws("-", "lang", "source", F.lit("id"))))
 
 
-@query("x20_l11_markdown", r"SELECT doc_id, md5(regexp_replace(text || '*x* [y](z)', '([\\\[\]()*_`<>])', '\\\1', 'g')) AS label, replace(replace(replace(concat('a b(', lang, ')<'), ' ', '%20'), '(', '%28'), ')', '%29').replace('<', '%3C') AS url FROM documents")
+@query("x20_l11_markdown", r"SELECT doc_id, md5(regexp_replace(text || '*x* [y](z)', '([\\\[\]])', '\\\1', 'g')) AS label, replace(replace(replace(concat('a b(', lang, ')<'), ' ', '%20'), '(', '%28'), ')', '%29').replace('<', '%3C') AS url FROM documents")
 def x20(spark, sf_dir):
     return docs(spark, sf_dir, label=F.md5(text.markdown_escaped(F.concat(words(), F.lit("*x* [y](z)")))), url=text.markdown_url(F.concat(F.lit("a b("), F.col("lang"), F.lit(")<"))))
 
 
-@query("x21_byte_truncated", "SELECT doc_id, length(t) <= 100 AS short, starts_with(text, t) AS prefix FROM (SELECT doc_id, text, left(text, 100) AS t FROM documents)")
+@query("x21_byte_truncated", "SELECT doc_id, md5(t) AS cut FROM (SELECT doc_id, max_by(left(text, n), n) AS t FROM (SELECT doc_id, text, unnest(range(101)) AS n FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)) WHERE strlen(left(text, n)) <= 100 GROUP BY doc_id)")
 def x21(spark, sf_dir):
-    cut = text.byte_truncated(words(), 100)
-    return docs(spark, sf_dir, short=F.octet_length(cut) <= 100, prefix=F.startswith(words(), cut))
+    return docs(spark, sf_dir, cut=F.md5(text.byte_truncated(F.coalesce(words(), F.lit("")), 100)))
 
 
 @query("x23_joined_parts", "SELECT doc_id, md5(concat(text, chr(10), chr(10), lang)) AS t FROM documents WHERE text <> '' AND lang <> ''")
@@ -126,15 +125,18 @@ def x23(spark, sf_dir):
     return c.table(spark, sf_dir, "documents").filter("text <> '' AND lang <> ''").select("doc_id", F.md5(text.joined_parts(F.array(words(), F.lit(""), F.col("lang")))).alias("t"))
 
 
-@query("x24_comment_summary", "SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN '' ELSE concat('HTML comments: ', doc_id % 4, ' characters (', CAST(round(100.0 * (doc_id % 4) / greatest(n_chars, 1)) AS INT), '% of the body), 1 inside words.') END AS t FROM documents")
+@query("x24_comment_summary", "SELECT page_id, CASE WHEN w > 0 OR (n >= 100 AND n >= b) THEN concat(chr(10), 'EXTRACTOR-GENERATED HTML COMMENT SUMMARY: Omitted HTML comment text', CASE WHEN b > 0 THEN concat(' was ', CAST(round_even(n * 100.0 / b, 0) AS BIGINT), '% of extracted body length') ELSE ' accompanied an empty extracted body' END, CASE WHEN w = 1 THEN '; 1 comment occurred within words' WHEN w > 1 THEN concat('; ', w, ' comments occurred within words') ELSE '' END, '.', chr(10)) ELSE '' END AS t FROM (SELECT page_id, length(html) * (page_id % 4) AS n, page_id % 3 AS w, CASE WHEN page_id % 5 = 0 THEN 0 ELSE length(html) END AS b FROM pages)")
 def x24(spark, sf_dir):
-    return docs(spark, sf_dir, t=text.comment_summary((F.col("doc_id") % 4).cast("int"), F.col("n_chars"), F.lit(1)))
+    body = F.when(F.col("page_id") % 5 == 0, 0).otherwise(F.length("html"))
+    told = text.comment_summary(F.length("html") * (F.col("page_id") % 4), F.col("page_id") % 3, body)
+    return c.table(spark, sf_dir, "pages").select("page_id", told.alias("t"))
 
 
-@query("x25_annotations", "SELECT page_id, contains(html, '<visible>') AS visible, contains(html, '<concealed>') AS concealed FROM pages")
+@query("x25_annotations", "SELECT page_id, page_id % 2 = 0 OR contains(html, '<invisible ') AS invisible, page_id % 3 = 0 OR contains(html, '<quoted-content>') AS quoted_content, contains(html, '<hidden-content-stripped/>') AS hidden_content_stripped FROM pages")
 def x25(spark, sf_dir):
-    flags = text.annotations(F.col("html"))
-    return c.table(spark, sf_dir, "pages").select("page_id", flags["visible"].alias("visible"), flags["concealed"].alias("concealed"))
+    marked = F.concat("html", F.when(F.col("page_id") % 2 == 0, '<invisible reason="opacity">x</invisible>').otherwise("<invisible>"), F.when(F.col("page_id") % 3 == 0, "<quoted-content>").otherwise("<quoted-content "))
+    flags = text.annotations(marked)
+    return c.table(spark, sf_dir, "pages").select("page_id", *[flags[n].alias(n) for n in ("invisible", "quoted_content", "hidden_content_stripped")])
 
 
 @query("x26_command_lines", "SELECT doc_id, CAST(len(l) AS BIGINT) AS n, md5(array_to_string(l, '|')) AS t FROM (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS l FROM documents)")
@@ -143,21 +145,38 @@ def x26(spark, sf_dir):
     return docs(spark, sf_dir, n=F.size(found).cast("long"), t=F.md5(F.array_join(found, "|")))
 
 
-@query("x28_smtp_identity", "SELECT doc_id, concat('a', doc_id, '@', source, '.example') AS identity FROM documents")
+@query("x28_smtp_identity", "SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN '' ELSE left(concat('<a', doc_id, '@', source, '.example> ', lang, repeat('x', CAST(doc_id % 300 AS INT))), 255) END AS identity FROM documents")
 def x28(spark, sf_dir):
-    return docs(spark, sf_dir, identity=text.smtp_identity(F.concat(F.lit(" <a"), F.col("doc_id").cast("string"), F.lit("@"), F.col("source"), F.lit(".example> "))))
+    name = F.when(F.col("doc_id") % 3 == 0, F.when(F.col("doc_id") % 2 == 0, " UNKNOWN").otherwise("[Unknown]\n")).otherwise(F.concat(F.lit(" \x07<a"), F.col("doc_id").cast("string"), F.lit("@"), F.col("source"), F.lit(".example> "), F.col("lang"), F.repeat(F.lit("x"), (F.col("doc_id") % 300).cast("int"))))
+    return docs(spark, sf_dir, identity=text.smtp_identity(name))
 
 
-@query("l1_l2_l8_page_links", r"SELECT page_id, array_to_string(list_distinct_ordered, ' ') AS links FROM (SELECT page_id, list_filter(list_transform(regexp_extract_all(html, '(?i)https?://[^ \t\n\f\r<>" + "''" + r"""\"]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', '')), lambda u: regexp_matches(u, '(?i)^https?://[^/?#\s]+')) AS found, list_filter(found, lambda u, i: list_position(found, u) = i) AS list_distinct_ordered FROM pages) WHERE NOT regexp_matches(array_to_string(found, ' '), '[])}]( |$)')""")
+def _balanced(found: str) -> str:
+    for opening, closing in ("()", "[]", "{}"):
+        count = lambda x: f"(length(u) - length(replace(u, '{x}', '')))"
+        found = f"list_transform({found}, lambda u: CASE WHEN ends_with(u, '{closing}') AND {count(closing)} > {count(opening)} THEN regexp_replace(left(u, length(u) - 1), '[.,;:!?]+$', '') ELSE u END)"
+    return found
+
+
+FOUND = _balanced("""list_transform(regexp_extract_all(html, '(?i)https?://[^ \\t\\n\\f\\r<>''\"]+'), lambda u: regexp_replace(u, '[.,;:!?]+$', ''))""".replace("\\\\", "\\"))
+
+
+@query("l1_l2_l8_page_links", rf"SELECT page_id, array_to_string(list_filter(found, lambda u, i: list_position(found, u) = i), ' ') AS links FROM (SELECT page_id, list_filter({FOUND}, lambda u: regexp_matches(u, '(?i)^https?://[^/?#\s]+')) AS found FROM pages)")
 def l1(spark, sf_dir):
     rows = c.table(spark, sf_dir, "pages").select("page_id", text.urls(F.col("html")).alias("found"))
-    plain = rows.filter(~F.exists("found", lambda u: u.rlike(r"[\])}]$")))
-    return plain.select("page_id", F.array_join(text.capped_links(F.col("found"), 100, 1 << 20), " ").alias("links"))
+    return rows.select("page_id", F.array_join(text.capped_links(F.col("found"), 100, 1 << 20), " ").alias("links"))
 
 
-@query("l4_l5_compact_url", "SELECT page_id, url AS short FROM pages WHERE length(url) <= 64")
+#: Page addresses made long in turn by a segment, a file name, a query and a fragment, with user information.
+LONGER = "CASE CAST(page_id % 5 AS INT) WHEN 0 THEN url WHEN 1 THEN concat(url, '/', repeat('segment-', 9), page_id) WHEN 2 THEN concat('HTTP://u:p@h.test/', repeat('file-', 15), page_id, '%2Epdf') WHEN 3 THEN concat('https://h.test/?', repeat('key', 20), '=', repeat('é', 60), '&x=', page_id) ELSE concat('https://h.test/', page_id, '#', repeat('frag', 200)) END"
+_PART = lambda i: f"regexp_extract(u, '(?s)^([A-Za-z][A-Za-z0-9+.-]*)://((?:[^/?#]*@)?)([^/?#@]+)([^?#]*)((?:\\?[^#]*)?)((?:#.*)?)$', {i})"
+_PATH = "array_to_string(list_transform(string_split(p, '/'), lambda s: CASE WHEN length(s) <= 64 THEN s WHEN regexp_matches(s, '(?s)^.+(\\.|%2[Ee])[A-Za-z0-9]{1,16}$') THEN right(s, 64) ELSE left(s, 64) END), '/')"
+_QUERY = "CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_transform(string_split(substr(q, 2), '&'), lambda s: CASE WHEN contains(s, '=') THEN left(split_part(s, '=', 1), 50) || '=' || left(substr(s, strpos(s, '=') + 1), 50) ELSE left(s, 50) END), '&') END"
+
+
+@query("l4_l5_compact_url", f"SELECT page_id, CASE WHEN p <> sp OR q <> sq OR f <> sf OR length(u) > 512 THEN left(lower({_PART(1)}) || '://' || CASE WHEN {_PART(2)} <> '' THEN '[userinfo-omitted]@' ELSE '' END || {_PART(3)} || sp || sq || sf, 512) ELSE u END AS short FROM (SELECT *, {_PATH} AS sp, {_QUERY} AS sq, left(f, 51) AS sf FROM (SELECT *, {_PART(4)} AS p, {_PART(5)} AS q, {_PART(6)} AS f FROM (SELECT page_id, {LONGER} AS u FROM pages)))")
 def l4(spark, sf_dir):
-    return c.table(spark, sf_dir, "pages").filter(F.length("url") <= 64).select("page_id", text.compact_url(F.col("url")).alias("short"))
+    return c.table(spark, sf_dir, "pages").select("page_id", text.compact_url(F.expr(LONGER)).alias("short"))
 
 
 @query("l1_l2_l8_all_page_links")
@@ -196,9 +215,9 @@ def d4(spark, sf_dir):
     return c.table(spark, sf_dir, "documents").filter("text <> ''").select("doc_id", addresses.is_dns_name(word).alias("ok"))
 
 
-@query("d5_d6_alignment", "SELECT o_orderkey, o_custkey % 3 = 0 OR o_custkey % 3 = 1 AS aligned FROM orders")
+@query("d5_d6_alignment", "SELECT o_orderkey, o_custkey % 4 IN (0, 1) AS aligned FROM orders")
 def d5(spark, sf_dir):
-    other = F.expr("CASE CAST(o_custkey % 3 AS INT) WHEN 0 THEN 'mail.shop.co.test' WHEN 1 THEN 'x@Shop.CO.test.' ELSE 'other.co.test' END")
+    other = F.expr("CASE CAST(o_custkey % 4 AS INT) WHEN 0 THEN 'mail.shop.co.test' WHEN 1 THEN 'x@Shop.CO.test.' WHEN 2 THEN 'co.test' ELSE 'other.co.test' END")
     return c.table(spark, sf_dir, "orders").select("o_orderkey", addresses.aligned(F.lit("www.shop.co.test"), addresses.identity_domain(other), ("test", "co.test")).alias("aligned"))
 
 
@@ -231,7 +250,7 @@ def n3(spark, sf_dir):
     return c.table(spark, sf_dir, "events").select("event_id", numbers.duration_text(F.lit(EVENTS_NOW - 20 * DAY) - c.millis("ts")).alias("t"))
 
 
-@query("n4_age_bucket", f"SELECT o_orderkey, CASE WHEN d < 0 THEN 'unknown' WHEN d >= 365 THEN {_part('(d // 365)', 'year')} WHEN d >= 30 THEN {_part('(d // 30)', 'month')} WHEN d >= 7 THEN {_part('(d // 7)', 'week')} ELSE {_part('d', 'day')} END AS age FROM (SELECT o_orderkey, CAST(floor(({ORDERS_NOW} - epoch_us(o_orderdate) // 1000) / {DAY}.0) AS BIGINT) AS d FROM orders)")
+@query("n4_age_bucket", f"SELECT o_orderkey, CASE WHEN d >= 365 THEN {_part('(d // 365)', 'year')} WHEN d >= 30 THEN {_part('(d // 30)', 'month')} WHEN d >= 7 THEN {_part('(d // 7)', 'week')} WHEN d >= 1 THEN {_part('d', 'day')} ELSE 'less than 1 day' END AS age FROM (SELECT o_orderkey, CAST(floor(({ORDERS_NOW} - epoch_us(o_orderdate) // 1000) / {DAY}.0) AS BIGINT) AS d FROM orders)")
 def n4(spark, sf_dir):
     return c.table(spark, sf_dir, "orders").select("o_orderkey", numbers.age_bucket(F.lit(ORDERS_NOW) - c.millis("o_orderdate")).alias("age"))
 
@@ -239,13 +258,13 @@ def n4(spark, sf_dir):
 @query("n5_p2_p3_decisions", "SELECT o_orderkey, CASE WHEN s < 0.8 THEN 'low' ELSE 'high' END AS confidence, CASE WHEN o_orderstatus = 'F' AND s >= 0.5 THEN 'reject' ELSE 'accept' END AS action FROM (SELECT *, o_totalprice / 500000 AS s FROM orders)")
 def n5(spark, sf_dir):
     score = F.col("o_totalprice") / 500000
-    verdict = F.when(F.col("o_orderstatus") == "F", "spam").otherwise("legitimate")
+    verdict = F.when(F.col("o_orderstatus") == "F", "unwanted").otherwise("legitimate")
     return c.table(spark, sf_dir, "orders").select("o_orderkey", numbers.confidence(score).alias("confidence"), policy.in_mode(policy.ai_action(verdict, score, 0.5), "enforce").alias("action"))
 
 
 @query("n6_n7_n8_json_replies", "SELECT event_id, value >= 0.5 AND value <= 1 AS valid, CAST(event_id % 50 AS BIGINT) AS input, CASE WHEN event_id % 2 = 0 THEN 0 ELSE event_id END AS output FROM events")
 def n6(spark, sf_dir):
-    decision = F.concat(F.lit('{"class": "spam", "reasons": ["a"], "score": '), F.col("value").cast("string"), F.lit("}"))
+    decision = F.concat(F.lit('{"classification": "unwanted", "reasons": ["a"], "score": '), F.col("value").cast("string"), F.lit("}"))
     reply = F.expr("""concat('{"usage": {"prompt_tokens": ', CAST(event_id % 50 AS STRING), ', "completion_tokens": ', CASE WHEN event_id % 2 = 0 THEN '-3' ELSE CAST(event_id AS STRING) END, '}}')""")
     used = numbers.usage(reply)
     return c.table(spark, sf_dir, "events").select("event_id", numbers.valid_decision(decision).alias("valid"), used["input"].alias("input"), used["output"].alias("output"))
@@ -279,12 +298,13 @@ def h25(spark, sf_dir):
     return c.table(spark, sf_dir, "part").select("p_partkey", mixed.alias("m")).select("p_partkey", F.round("m.r", 6).alias("r"), F.round("m.g", 6).alias("g"))
 
 
-@query("h29_h30_h44_visibility", "SELECT p_partkey, CASE WHEN p_size <= 2 OR p_partkey % 11 = 0 THEN 'concealed' WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE 'visible' END AS label, CASE WHEN p_partkey % 5 = 0 THEN 'unknown' WHEN p_partkey % 2 = 0 THEN 'client-dependent' ELSE 'visible' END AS merged, CASE CAST(p_partkey % 4 AS INT) WHEN 0 THEN NULL WHEN 1 THEN 'display none' WHEN 2 THEN 'visibility' ELSE 'display none' END AS reason FROM part")
+@query("h29_h30_h44_visibility", "SELECT p_partkey, CASE WHEN p_size <= 2 OR p_partkey % 11 = 0 THEN 'concealed' WHEN p_partkey % 5 = 0 THEN 'unknown' ELSE 'visible' END AS label, CASE WHEN p_partkey % 5 = 0 THEN 'unknown' WHEN p_partkey % 2 = 0 THEN 'client-dependent' ELSE 'visible' END AS merged, CASE WHEN b % 2 = 1 OR b = 0 THEN 'display:none' WHEN b % 4 = 2 THEN 'visibility:hidden' WHEN b % 8 = 4 THEN 'visibility:collapse' WHEN b % 16 = 8 THEN 'opacity 0.25' WHEN b % 32 = 16 THEN concat('font-size ', p_size, 'px') WHEN b % 64 = 32 THEN 'color-match' WHEN b % 128 = 64 THEN 'empty-clip' ELSE 'content-visibility:hidden' END AS reason FROM (SELECT *, p_partkey * 8 % 256 AS b FROM part)")
 def h29(spark, sf_dir):
     key = F.col("p_partkey")
     label = policy.visibility(key % 11 == 0, F.lit(None).cast("double"), F.col("p_size"), F.lit(0.4), key % 5 == 0)
+    why = policy.primary_reason((key * 8 % 256).cast("int"), F.lit(0.25), F.concat(F.col("p_size").cast("string"), F.lit("px")))
     cases = F.array(F.lit("visible"), F.when(key % 5 == 0, "unknown").when(key % 2 == 0, "concealed").otherwise("visible"))
-    return c.table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), policy.merged_label(cases).alias("merged"), policy.primary_reason((key % 4).cast("int")).alias("reason"))
+    return c.table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), policy.merged_label(cases).alias("merged"), F.trim(F.concat_ws(" ", why["reason"], why["value"])).alias("reason"))
 
 
 KIND = "CASE CAST(doc_id % 8 AS INT) WHEN 0 THEN '4d5a9000' WHEN 1 THEN '7f454c46' WHEN 2 THEN 'cafebabe' WHEN 3 THEN '504b0304' WHEN 4 THEN '1f8b0800' WHEN 5 THEN '425a6839' WHEN 6 THEN '23212f7573722f62696e2f656e7620707974686f6e330a' ELSE '23212f62696e2f7368202d650a' END"
@@ -321,7 +341,7 @@ def p1(spark, sf_dir):
         ("ip", F.when(key % 13 == 0, "reject")),
         ("attachment", policy.attachment_action(F.lit(None), F.when(key % 11 == 0, "exe"), "accept", "accept", "accept")),
         ("failure", policy.failure_action(key % 7 == 0, "tempfail")),
-        ("analysis", F.when(policy.ai_action(F.lit("spam"), score, 0.5) == "reject", "reject")),
+        ("analysis", F.when(policy.ai_action(F.lit("unwanted"), score, 0.5) == "reject", "reject")),
     ]
     return c.table(spark, sf_dir, "orders").select("o_orderkey", policy.first_terminal(rules).alias("d")).select("o_orderkey", "d.rule", "d.action")
 
@@ -335,11 +355,21 @@ def p10(spark, sf_dir):
     return c.table(spark, sf_dir, "labels").select("doc_id", chosen.alias("action"), kind.alias("event_type"), done.alias("outcome"))
 
 
-@query("m21_p12_flags", "SELECT doc_id, quality = 0 OR toxic = 1 AS incomplete, CASE WHEN toxic = 1 THEN 'spam' ELSE 'legitimate' END AS classification, CASE WHEN doc_id % 2 = 0 THEN '0.50' ELSE '0.75' END AS score FROM labels")
+@query("m21_p12_flags", "SELECT doc_id, quality = 0 OR toxic = 1 AS incomplete, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 THEN 'not-scanned' WHEN doc_id % 13 = 0 THEN 'unavailable' WHEN toxic = 1 THEN 'unwanted' ELSE 'legitimate' END AS classification, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN NULL WHEN doc_id % 2 = 0 THEN '1' ELSE '0.75' END AS score, CASE WHEN doc_id % 7 = 0 OR doc_id % 11 = 0 OR doc_id % 13 = 0 THEN 'unavailable' WHEN doc_id % 2 = 0 THEN 'high' ELSE 'low' END AS confidence, CASE WHEN doc_id % 7 = 0 THEN 'accepted-bypass' WHEN doc_id % 11 = 0 THEN 'accepted-accept-mode' WHEN doc_id % 13 = 0 THEN 'accepted-ai-error' WHEN doc_id % 17 = 0 THEN 'accepted-accept-mode' WHEN toxic = 1 THEN 'accepted-below-threshold' ELSE 'accepted' END AS action, CASE WHEN doc_id % 7 <> 0 AND doc_id % 11 = 0 THEN 'incomplete-inspection' END AS policy FROM labels")
 def m21(spark, sf_dir):
-    head = policy.result_headers(F.when(F.col("toxic") == 1, "spam").otherwise("legitimate"), F.when(F.col("doc_id") % 2 == 0, 0.5).otherwise(0.75), F.lit("low"))
+    key = F.col("doc_id")
+    verdict, proposed = F.when(F.col("toxic") == 1, "unwanted").otherwise("legitimate"), F.when(key % 17 == 0, "reject").otherwise("accept")
+    head = policy.result_headers(key % 7 != 0, key % 11 == 0, key % 13 == 0, F.lit("accept"), proposed, verdict, F.when(key % 2 == 0, 1.0).otherwise(0.75))
     rows = c.table(spark, sf_dir, "labels").select("doc_id", policy.incomplete(F.col("quality") == 0, F.lit(None).cast("boolean"), F.col("toxic") == 1).alias("incomplete"), head.alias("h"))
-    return rows.select("doc_id", "incomplete", "h.classification", "h.score")
+    return rows.select("doc_id", "incomplete", "h.*")
+
+
+@query("p7_updates", "SELECT doc_id, toxic = 1 AS rejection, CASE WHEN toxic = 1 THEN CASE WHEN doc_id % 5 = 0 THEN 'incomplete-inspection' ELSE 'ai' END END AS rejection_policy, toxic = 1 AND doc_id % 5 <> 0 AND doc_id % 3 <> 0 AND doc_id % 7 <> 0 AS ip_strike, toxic = 0 AND doc_id % 5 <> 0 AND doc_id % 3 <> 0 AND doc_id % 11 <> 0 AS legitimate_ip, toxic = 0 AND doc_id % 5 <> 0 AND doc_id % 3 = 0 AS learnt_recipients, doc_id % 5 <> 0 AND doc_id % 3 <> 0 AND doc_id % 11 <> 0 AND doc_id % 7 <> 0 AND doc_id % 2 = 0 AS classification FROM labels")
+def p7(spark, sf_dir):
+    key = F.col("doc_id")
+    verdict, action = F.when(F.col("toxic") == 1, "unwanted").otherwise("legitimate"), F.when(F.col("toxic") == 1, "reject").otherwise("accept")
+    done = policy.post_decision_updates(key % 5 == 0, action, key % 3 == 0, key % 11 == 0, key % 7 == 0, verdict, F.when(key % 2 == 0, "a@b.test").otherwise(""))
+    return c.table(spark, sf_dir, "labels").select("doc_id", done.alias("u")).select("doc_id", "u.*")
 
 
 @query("st21_trust_conflicts", sql("SELECT k.id FROM {correspondents} k WHERE NOT EXISTS (SELECT 1 FROM {blocklist} b WHERE b.sender_kind = 1 AND b.expires_at_ms > {orders_now} AND b.sender_value = k.correspondent AND b.recipient IN ('*', k.local_address)) AND k.local_address = 's1@in.example'"))

@@ -149,19 +149,64 @@ def byte_truncated(text: Column, limit: int) -> Column:
     return F.when(F.octet_length(text) <= limit, text).otherwise(F.decode(F.substring(raw, F.lit(1), cut), "UTF-8"))
 
 
+#: What may be an http(s) address in plain text.
+PLAIN_URL = r"""(?i)https?://[^ \t\n\f\r<>"']+"""
+
+
+def _address(found: Column) -> Column:
+    """A match of PLAIN_URL without final punctuation and an unopened closing bracket."""
+    end = r"[.,;:!?]+$"
+
+    def balanced(u: Column, pairs: tuple[str, ...]) -> Column:
+        if not pairs:
+            return u
+        opening, closing = pairs[0]
+
+        def of(x: Column) -> Column:
+            count = lambda c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
+            extra = F.endswith(x, F.lit(closing)) & (count(closing) > count(opening))
+            return balanced(F.when(extra, F.regexp_replace(F.left(x, F.length(x) - 1), end, "")).otherwise(x), pairs[1:])
+
+        return let(u, of)
+
+    return balanced(F.regexp_replace(found, end, ""), ("()", "[]", "{}"))
+
+
 def urls(text: Column) -> Column:
     """http(s) addresses in plain text without final punctuation and an unopened closing bracket."""
-    found = F.regexp_extract_all(text, F.lit(r"""(?i)https?://[^ \t\n\f\r<>"']+"""), F.lit(0))
-    trimmed = F.transform(found, lambda u: F.regexp_replace(u, r"[.,;:!?]+$", ""))
+    return F.transform(F.regexp_extract_all(text, F.lit(PLAIN_URL), F.lit(0)), _address)
+
+
+def rewritten_urls(text: Column, count: int = 100, characters: int = 8192) -> Column:
+    """struct<text, links>: the text with its addresses in compact form, and the addresses as capped_links has them; null for null."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(PLAIN_URL), F.lit(0)), lambda m: F.struct(m.alias("m"), _address(m).alias("u")))
+    gaps = F.split(text, PLAIN_URL, -1)
+
+    def of(fs: Column) -> Column:
+        shown = F.transform(fs, lambda f: F.concat(compact_url(f["u"]), F.substring(f["m"], F.length(f["u"]) + 1, F.length(f["m"]))))
+        joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(fs)), shown, lambda g, x: F.concat(g, x)), ""), F.element_at(gaps, -1))
+        return F.struct(joined.alias("text"), capped_links(F.transform(fs, lambda f: f["u"]), count, characters).alias("links"))
 
-    def balanced(u: Column) -> Column:
-        for opening, closing in ("()", "[]", "{}"):
-            count = lambda c: F.length(u) - F.length(F.replace(u, F.lit(c), F.lit("")))  # noqa: B023, E731
-            extra = F.endswith(u, F.lit(closing)) & (count(closing) > count(opening))
-            u = F.when(extra, F.regexp_replace(F.left(u, F.length(u) - 1), r"[.,;:!?]+$", "")).otherwise(u)
-        return u
+    return F.when(text.isNotNull(), let(found, of))
 
-    return F.transform(trimmed, balanced)
+
+def comment_statistics(html: Column) -> Column:
+    """struct<characters, within_words> of the comments of an HTML text, read lexically; conditional comments don't count.
+
+    A comment is within a word where a letter or digit stands right before and right behind it.
+    """
+    plain = r"(?s)<!--(?!>|->|\s*\[if\b|\s*<!\[)(.*?)-->"
+    inner = F.regexp_extract_all(html, F.lit(plain), F.lit(1))
+    split = F.regexp_count(html, F.lit(r"(?s)(?<=[\p{L}\p{N}])" + plain[4:] + r"(?=[\p{L}\p{N}])"))
+    return F.struct(F.aggregate(inner, F.lit(0), lambda s, x: s + F.length(x)).alias("characters"), split.alias("within_words"))
+
+
+def processed_body(body: Column, stripped: Column, concealed: Column, incomplete: Column, limit: int) -> Column:
+    """struct<body, truncated, concealed_removed>: over `limit` characters concealed text goes first, then the end; incomplete bodies say so."""
+    gone = F.coalesce(concealed, F.lit(False)) & (F.length(body) > limit)
+    kept = F.when(gone, stripped).otherwise(body)
+    tail = F.when(incomplete, "\n[Content extraction incomplete; some content may be missing]").otherwise("")
+    return let(kept, lambda b: F.struct(F.concat(truncated(b, limit), tail).alias("body"), (F.length(b) > limit).alias("truncated"), gone.alias("concealed_removed")))
 
 
 def new_links(links: Column, body: Column) -> Column:

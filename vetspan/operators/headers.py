@@ -82,6 +82,18 @@ def resolved(link: Column, base: Column) -> Column:
     return F.when(~F.regexp_like(F.coalesce(F.regexp_extract(target, r"^https?://([^/?#]*)", 1), F.lit("")), F.lit(r"[\x01-\x20\x7f]")), target)
 
 
+def base_address(html: Column, page: Column) -> Column:
+    """What relative links of a page are resolved against: the first <base> with href decides, null if that isn't an absolute http(s) address; without one the page's own address."""
+    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<base(?=[\s/>])[^>]*>"), F.lit(0)), lambda t: F.regexp_like(t, F.lit(r"(?i)[\s/]href\s*=")))
+    href = r"""(?i)[\s/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
+
+    def of(first: Column) -> Column:
+        value = F.trim(F.concat(*[F.regexp_extract(first, href, i) for i in (1, 2, 3)]))
+        return F.when(first.isNull(), page).when(F.regexp_like(value, F.lit(r"(?i)^https?://[^/?#\s]+")), value)
+
+    return let(F.get(tags, F.lit(0)), of)
+
+
 def sender_domain(text: Column) -> Column:
     return domain_of(F.get(mailboxes(text, 1), F.lit(0)))
 

@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import gzip
+import io
+import tarfile
+import zipfile
+
 from pyspark.sql import functions as F
 
 from ..functions import numbers
@@ -105,7 +110,39 @@ def l9(spark, sf_dir):
     return c.table(spark, sf_dir, "pages").select("page_id", headers.resolved(link, F.lit("http://h.test/a/b.html?q#f")).alias("target"))
 
 
-@query("at1_at8_scans", "SELECT doc_id AS id, CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'a.EXE: blocked extension' WHEN 1 THEN 'a.bin: program' END AS detection, CASE WHEN doc_id % 3 = 2 THEN 'malformed' END AS error_kind FROM documents")
+def _samples() -> list[tuple[str, bytes]]:
+    """File names and contents: blocked names, programs alone and in nested archives, locked and broken archives, and text."""
+
+    def zipped(name: str, data: bytes) -> bytes:
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            z.writestr(zipfile.ZipInfo(name, (2024, 1, 1, 0, 0, 0)), data)
+        return out.getvalue()
+
+    def tarred(name: str, data: bytes) -> bytes:
+        out = io.BytesIO()
+        with tarfile.open(fileobj=out, mode="w") as t:
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            t.addfile(info, io.BytesIO(data))
+        return out.getvalue()
+
+    program = b"\x7fELF program"
+    locked = bytearray(zipped("a", b"text"))
+    locked[6] |= 1
+    locked[locked.index(b"PK\x01\x02") + 8] |= 1
+    return [("a.E\u200bXE", b"\0"), ("a.bin", b"MZ\x90"), ("a.zip", zipped("b", zipped("c", program))), ("a.tgz", gzip.compress(tarred("d/p", program), mtime=0)), ("a.zip", bytes(locked)), ("a.zip", b"PK\x03\x04\0"), ("a.zip", zipped("dir/x.js", b"text")), ("a.txt", b"text")]
+
+
+SAMPLES = _samples()
+_OF = lambda values: "CASE CAST(doc_id % 8 AS INT) " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+#: What is found in each of SAMPLES.
+FOUND = ("'a.EXE: blocked extension'", "'a.bin: program'", "'a.zip/b/c: program'", "'a.tgz/a.tgz/p: program'", "NULL", "NULL", "'a.zip/x.js: blocked extension'", "NULL")
+ERRORS = ("NULL", "NULL", "NULL", "NULL", "'encrypted'", "'malformed'", "NULL", "NULL")
+
+
+@query("at1_at8_scans", f"SELECT doc_id AS id, {_OF(FOUND)} AS detection, {_OF(ERRORS)} AS error_kind FROM documents")
 def at1(spark, sf_dir):
-    rows = c.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("part"), F.expr("CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN 'a.EXE' WHEN 1 THEN 'a.bin' ELSE 'a.zip' END").alias("filename"), F.unhex(F.expr("CASE CAST(doc_id % 3 AS INT) WHEN 0 THEN '00' WHEN 1 THEN '4d5a90' ELSE '504b030400' END")).alias("content"))
+    name, content = _OF([f"'{n}'" for n, _ in SAMPLES]), _OF([f"unhex('{d.hex()}')" for _, d in SAMPLES])
+    rows = c.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("part"), F.expr(name).alias("filename"), F.expr(content).alias("content"))
     return attachments.scan_attachments(rows).select("id", "detection", "error_kind")

@@ -372,6 +372,63 @@ def p7(spark, sf_dir):
     return c.table(spark, sf_dir, "labels").select("doc_id", done.alias("u")).select("doc_id", "u.*")
 
 
+@query("a11_x24_page_comments", "SELECT page_id, n AS characters, w AS within_words FROM (SELECT page_id, CAST(CASE WHEN page_id % 3 = 0 THEN 0 ELSE 2 * length(t) + 5 END + CASE WHEN page_id % 4 = 0 THEN 3 ELSE 0 END AS BIGINT) AS n, CAST(CASE WHEN page_id % 3 = 0 THEN 0 ELSE 1 END AS BIGINT) AS w FROM (SELECT page_id, replace(replace(url, '-', ''), '>', '') AS t FROM pages))")
+def a11(spark, sf_dir):
+    """Comments made from each page's address: one inside a word, one between words, and conditional ones that don't count."""
+    made = F.expr("concat('<p>', CASE WHEN page_id % 3 = 0 THEN '' ELSE concat('ab<!--', t, '-->cd <!--', t, ' is x--> e') END, CASE WHEN page_id % 4 = 0 THEN ' f<!-- y --> g' ELSE '<!--[if mso]>h<![endif]-->' END)")
+    rows = c.table(spark, sf_dir, "pages").select("page_id", F.expr("replace(replace(url, '-', ''), '>', '')").alias("t"))
+    found = rows.select("page_id", text.comment_statistics(made).alias("s"))
+    return found.select("page_id", F.col("s.characters").cast("long").alias("characters"), F.col("s.within_words").cast("long").alias("within_words"))
+
+
+@query("x13_x15_processed_body", "SELECT doc_id, md5(concat(CASE WHEN length(b) > 800 THEN concat(left(b, 800), chr(10), '[processed email body truncated; the remainder was omitted]') ELSE b END, CASE WHEN doc_id % 3 = 0 THEN concat(chr(10), '[Content extraction incomplete; some content may be missing]') ELSE '' END)) AS body, length(b) > 800 AS truncated, gone AS concealed_removed FROM (SELECT *, CASE WHEN gone THEN left(text, 400) ELSE text END AS b FROM (SELECT doc_id, coalesce(text, '') AS text, doc_id % 2 = 0 AND length(coalesce(text, '')) > 800 AS gone FROM documents))")
+def x15(spark, sf_dir):
+    whole = F.coalesce(words(), F.lit(""))
+    done = text.processed_body(whole, F.left(whole, F.lit(400)), F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0, 800)
+    rows = docs(spark, sf_dir, d=done)
+    return rows.select("doc_id", F.md5("d.body").alias("body"), "d.truncated", "d.concealed_removed")
+
+
+@query("l6_rewritten_urls", "SELECT page_id, concat('see (', url, '), [', 'http://[userinfo-omitted]@h.test/', repeat('a', 64), '/', page_id, '] and ', url, '!') AS text, CAST(2 AS BIGINT) AS n FROM pages")
+def l6(spark, sf_dir):
+    made = F.expr("concat('see (', url, '), [', 'HTTP://u:p@h.test/', repeat('a', 70), '/', CAST(page_id AS STRING), '] and ', url, '!')")
+    rows = c.table(spark, sf_dir, "pages").select("page_id", text.rewritten_urls(made).alias("r"))
+    return rows.select("page_id", "r.text", F.size("r.links").cast("long").alias("n"))
+
+
+@query("l10_base_addresses", "SELECT page_id, CASE CAST(page_id % 5 AS INT) WHEN 0 THEN concat('https://b', page_id, '.test/x/') WHEN 1 THEN NULL WHEN 2 THEN url WHEN 3 THEN concat('http://c.test/', page_id) END AS base FROM pages")
+def l10(spark, sf_dir):
+    from ..operators import headers
+
+    made = F.expr("""CASE CAST(page_id % 5 AS INT) WHEN 0 THEN concat('<base target=x><BASE HREF = " https://b', CAST(page_id AS STRING), '.test/x/ "><base href=http://late.test/>') WHEN 1 THEN '<base href="/relative"><base href="http://late.test/">' WHEN 2 THEN '<basefont href="http://no.test/">' WHEN 3 THEN concat("<base href='http://c.test/", CAST(page_id AS STRING), "'>") ELSE '<base href="javascript:x">' END""")
+    return c.table(spark, sf_dir, "pages").select("page_id", headers.base_address(made, F.col("url")).alias("base"))
+
+
+@query("m3_decoded_words", "SELECT doc_id, concat(replace(left(coalesce(text, ''), 30), chr(10), ' '), 'é', doc_id, ' end') AS subject FROM documents")
+def m3(spark, sf_dir):
+    from ..operators import headers
+
+    part = F.replace(F.left(F.coalesce(words(), F.lit("")), F.lit(30)), F.lit("\n"), F.lit(" "))
+    made = F.concat(F.lit("=?UTF-8?B?"), F.base64(F.encode(part, "UTF-8")), F.lit("?=\r\n =?iso-8859-1?q?=E9"), F.col("doc_id").cast("string"), F.lit("?= end"))
+    return docs(spark, sf_dir, subject=headers.decoded_value(made))
+
+
+@query("d8_d9_f13_address_keys", "SELECT user_id, key, shown, NOT local AS routable, local FROM (SELECT user_id, CASE WHEN user_id % 3 = 0 THEN concat(repeat('0', 20), 'ffff0a00', lpad(lower(to_hex(user_id % 65536)), 4, '0')) ELSE concat(CASE WHEN user_id % 3 = 1 THEN '26000000' ELSE 'fd000000' END, repeat('0', 16), lpad(lower(to_hex(1 + user_id % 65535)), 4, '0'), '000a') END AS key, CASE WHEN user_id % 3 = 0 THEN concat('10.0.', user_id % 65536 // 256, '.', user_id % 256) ELSE concat(CASE WHEN user_id % 3 = 1 THEN '2600' ELSE 'fd00' END, '::', lower(to_hex(1 + user_id % 65535)), ':a') END AS shown, user_id % 3 <> 1 AS local FROM (SELECT DISTINCT user_id FROM events))")
+def d8_keys(spark, sf_dir):
+    made = F.expr("CASE WHEN user_id % 3 = 0 THEN concat('::FFFF:10.0.', CAST(user_id % 65536 DIV 256 AS STRING), '.', CAST(user_id % 256 AS STRING)) ELSE concat(CASE WHEN user_id % 3 = 1 THEN '2600' ELSE 'FD00' END, ':0:0::', hex(1 + user_id % 65535), ':000A%eth0') END")
+    rows = c.table(spark, sf_dir, "events").select("user_id", made.alias("ip")).distinct()
+    ip = F.col("ip")
+    return rows.select("user_id", addresses.ip_key(ip).alias("key"), addresses.canonical_ip(ip).alias("shown"), addresses.is_routable(ip).alias("routable"), addresses.in_networks(ip, ("10.0.0.0/8", "fc00::/7")).alias("local"))
+
+
+@query("f10_reverse_dns_allowlist", "SELECT s_suppkey, CASE WHEN s_suppkey % 4 = 0 THEN concat('mx', s_suppkey, '.good.test') WHEN s_suppkey % 4 = 1 THEN 'good.test' END AS allowed FROM supplier")
+def f10(spark, sf_dir):
+    name = F.expr("CASE CAST(s_suppkey % 4 AS INT) WHEN 0 THEN concat('MX', CAST(s_suppkey AS STRING), '.Good.test.') WHEN 1 THEN 'good.test' WHEN 2 THEN 'notgood.test' ELSE 'x.good.test' END")
+    pair = lambda host, sure: F.struct(host.alias("hostname"), sure.alias("confirmed"))
+    names = F.array(pair(F.lit("other.test"), F.lit(True)), pair(name, F.col("s_suppkey") % 4 != 3))
+    return c.table(spark, sf_dir, "supplier").select("s_suppkey", addresses.allowed_by_reverse_dns(names, ("good.test", "fine.test")).alias("allowed"))
+
+
 @query("st21_trust_conflicts", sql("SELECT k.id FROM {correspondents} k WHERE NOT EXISTS (SELECT 1 FROM {blocklist} b WHERE b.sender_kind = 1 AND b.expires_at_ms > {orders_now} AND b.sender_value = k.correspondent AND b.recipient IN ('*', k.local_address)) AND k.local_address = 's1@in.example'"))
 def st21(spark, sf_dir):
     from ..operators.blocklist import without_trust

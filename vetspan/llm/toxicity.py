@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import small_batches, spread, term_counts, text_slices, written
+from .shared import give_back, small_batches, spread, term_counts, text_slices, written
 
 
 @dataclass(frozen=True)
@@ -31,7 +31,7 @@ class ToxicitySettings:
 
 
 #: The index holds the most frequent terms, up to so many, as columns and the others as lists; this changes no result.
-COLUMNS = 1024
+COLUMNS = 512
 #: Similarities are rounded to so many decimals, so that ties don't depend on the order of sums.
 DECIMALS = 10
 #: Texts that are compared with the index at once.
@@ -90,9 +90,11 @@ class BlockMaxIndex:
         place = np.empty(n, np.int64)
         place[order] = np.arange(n)
         blocks = max(-(-n // block), 1)
-        tiles = np.zeros((blocks * block, len(common)))
-        tiles[:n] = dense[order]
-        tiles = np.ascontiguousarray(tiles.reshape(blocks, block, -1).transpose(0, 2, 1))
+        tiles = np.zeros((blocks, len(common), block))
+        for b in range(blocks):
+            own = dense[order[b * block : (b + 1) * block]].T
+            tiles[b, :, : own.shape[1]] = own
+        del dense
         at, own, weight = place[rows[~often]], terms[~often], weights[~often]
         by = np.lexsort((at, own))
         at, own, weight = at[by], own[by], weight[by]
@@ -300,6 +302,8 @@ def _index(model: ToxicityModel, sample: DataFrame, totals: dict[int, int], draw
     of = np.repeat(np.arange(len(full)), sizes[full])
     model.index = BlockMaxIndex.build(of, terms, weights, len(full), len(model.vocab), model.settings.block)
     left_out = model.index.nearest(of, terms, weights, len(full), model.settings.neighbours, skip=np.arange(len(full)))
+    del found, terms, weights, of
+    give_back()
     model.slope, model.shift = _platt(model.votes(*left_out), model.labels, np.array([weight_of[int(y)] for y in model.labels]))
     return model
 

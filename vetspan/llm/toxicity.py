@@ -31,7 +31,7 @@ class ToxicitySettings:
 
 
 #: The index holds the most frequent terms, up to so many, as columns and the others as lists; this changes no result.
-COLUMNS = 512
+COLUMNS = 1024
 #: Similarities are rounded to so many decimals, so that ties don't depend on the order of sums.
 DECIMALS = 10
 #: Texts that are compared with the index at once.

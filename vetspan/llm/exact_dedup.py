@@ -11,7 +11,7 @@ from .shared import skewed_join, written
 
 #: Distinct hashes that a bucket holds before it splits.
 BUCKET_CAPACITY = 20_000
-#: Slots of the directory, and ids of dropped rows, are broadcast up to so many, joined by a shuffle beyond that.
+#: Slots of the directory, hashes and entries of several rows, and ids of dropped rows are broadcast up to so many, joined by a shuffle beyond that.
 BROADCAST_KEYS = 200_000
 HASH_BITS = 64
 #: How many bits deeper the directory looks at once.
@@ -81,7 +81,7 @@ def build_index(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_c
     single = dealt.filter("n = 1").selectExpr("bucket", "local_depth", "vs_hash", "1 AS chain", "CAST(NULL AS STRING) AS vs_sha", "top AS keep_id", "n AS group_size")
     text = F.coalesce(F.col(text_col), F.lit(""))
     rows = docs.select(F.col(id_col).alias("vs_id"), text.alias("vs_text"), _hashed(text, hash_bits).alias("vs_hash"))
-    shared = skewed_join(rows, dealt.filter("n > 1").select("vs_hash", "bucket", "local_depth", "n"), ["vs_hash"], "n").drop("n")
+    shared = skewed_join(rows, dealt.filter("n > 1").select("vs_hash", "bucket", "local_depth", "n"), ["vs_hash"], "n", broadcast_rows=BROADCAST_KEYS).drop("n")
     sums = shared.withColumn("part", F.spark_partition_id()).groupBy("part", "bucket", "local_depth", "vs_hash", "vs_text").agg(F.max("vs_id").alias("top"), F.count(F.lit(1)).alias("n"))
     owned = sums.drop("part").repartitionByRange("bucket", "vs_hash")
     texts = owned.groupBy("bucket", "local_depth", "vs_hash", "vs_text").agg(F.max("top").alias("keep_id"), F.sum("n").alias("group_size"))
@@ -95,7 +95,7 @@ def build_index(docs: DataFrame, keys: DataFrame, id_col: str = "doc_id", text_c
 def _looked_up(keys: DataFrame, index: DataFrame) -> DataFrame:
     """keys with keep_id, group_size and chain of their entry; a row whose hash is its own is its own entry."""
     several = index.filter("vs_sha IS NOT NULL").select("vs_hash", "vs_sha", "chain", "keep_id", "group_size")
-    return skewed_join(keys, several, ["vs_hash", "vs_sha"], "group_size", "left").withColumns({
+    return skewed_join(keys, several, ["vs_hash", "vs_sha"], "group_size", "left", BROADCAST_KEYS).withColumns({
         "keep_id": F.when(F.col("chain").isNull(), F.col("vs_id")).otherwise(F.col("keep_id")),
         "group_size": F.coalesce("group_size", F.lit(1)).cast("long"),
         "chain": F.coalesce("chain", F.lit(1)),

@@ -47,14 +47,17 @@ def written(df: DataFrame, label: str) -> DataFrame:
 HOT_PARTS = 10_000
 
 
-def skewed_join(left: DataFrame, right: DataFrame, on: list[str], size_col: str, how: str = "inner") -> DataFrame:
+def skewed_join(left: DataFrame, right: DataFrame, on: list[str], size_col: str, how: str = "inner", broadcast_rows: int = 0) -> DataFrame:
     """left.join(right, on, how) for inner or left, where right has one row per key and size_col tells how many rows of left have it.
 
     Keys of more than a 1 / HOT_PARTS share of all these rows are at most HOT_PARTS and are broadcast, so
     that a hot key of `left` isn't moved; the others are joined as Spark sees fit. Both sides are read
-    more than once and should be tables.
+    more than once and should be tables. All of `right` is broadcast if it has at most broadcast_rows rows.
     """
-    share = (right.agg(F.sum(size_col)).first()[0] or 0) // HOT_PARTS + 1
+    rows, total = right.agg(F.count(F.lit(1)), F.sum(size_col)).first()
+    if rows <= broadcast_rows:
+        return left.join(F.broadcast(right), on, how)
+    share = (total or 0) // HOT_PARTS + 1
     hot, cold = (right.filter(F.col(size_col) > share), right.filter(F.col(size_col) <= share))
     rest = left.join(F.broadcast(hot.select(on)), on, "left_anti").join(cold, on, how)
     return left.join(F.broadcast(hot), on).unionByName(rest)

@@ -1,5 +1,6 @@
 """Cases with known results for text, addresses, evidence, decisions and attachments, and hostile inputs."""
 
+import base64
 import bz2
 import gzip
 import io
@@ -193,28 +194,81 @@ def test_attachment_scans(spark):
     locked[locked.index(b"PK\x01\x02") + 8] |= 1
     cases = [
         ("a.zip", zipped(**{"x__y.txt": b"text"}), None, None),
-        ("a.zip", zipped(**{"x__run.EXE": b"text"}), "a.zip/run.EXE: blocked extension", None),
+        ("a.zip", zipped(**{"x__run.EXE": b"text"}), "a.zip/run.EXE: blocked extension .exe", None),
         ("a.zip", zipped(b=zipped(c=program)), "a.zip/b/c: program", None),
+        ("a.tgz", gzip.compress(tarred("d/p", program)), "a.tgz/unnamed/p: program", None),
+        ("a.gz", b"\x1f\x8b\x08\x08\0\0\0\0\0\x03run.JS\0" + gzip.compress(b"x")[10:], "a.gz/run.JS: blocked extension .js", None),
         ("a.tar", tarred("dir/p", program), "a.tar/p: program", None),
         ("p.gz", gzip.compress(program), "p.gz/p: program", None),
         ("p.tar.bz2", bz2.compress(tarred("q", program)), "p.tar.bz2/p.tar/q: program", None),
         ("a.zip", deep, None, "limit"),
         ("a.zip", bytes(locked), None, "encrypted"),
-        ("a.zip", zipped(a=b"text" * 50)[:40], None, "malformed"),
-        ("p.gz", gzip.compress(b"text")[:12], None, "malformed"),
-        ("x.e\u200bxe", b"", "x.exe: blocked extension", None),
-        ("x.\uff45\uff58\uff45", b"", "x.exe: blocked extension", None),
-        ("=?utf-8?B?eC5leGU=?=", b"", "x.exe: blocked extension", None),
-        ("C:\\dir\\run.js. ", b"", "run.js.: blocked extension", None),
+        ("a.zip", zipped(a=b"text" * 50)[:40], None, "unscannable"),
+        ("a.zip", zipped(a=b"text" * 50, b=program)[:-60], "a.zip/b: program", None),
+        ("a.zip", zipped(a=b"text", **{"b.JS": b"x"})[:-80], "a.zip/b.JS: blocked extension .js", None),
+        ("a.zip", zipped(**{f"n{i}": b"" for i in range(9)}), None, None),
+        ("a.zip", zipped(**{f"n{i}": b"" for i in range(11)}), None, "limit"),
+        ("a.zip", zipped(**{f"n{i}": b"" for i in range(5)}, c=zipped(**{f"n{i}": b"" for i in range(6)})), None, "limit"),
+        ("a.zip", b"PK\x03\x04\0", None, "unscannable"),
+        ("p.gz", gzip.compress(b"text")[:12], None, "unscannable"),
+        ("x.e\u200bxe", b"", "x.exe: blocked extension .exe", None),
+        ("x.\uff45\uff58\uff45", b"", "x.exe: blocked extension .exe", None),
+        ("=?utf-8?B?eC5leGU=?=", b"", "x.exe: blocked extension .exe", None),
+        ("C:\\dir\\run.js. ", b"", "run.js.: blocked extension .js", None),
         (None, b"text", None, None),
         ("big.gz", gzip.compress(b"0" * (2 << 20)), None, "limit"),
     ]
     rows = spark.createDataFrame([(i, 0, n, bytearray(d)) for i, (n, d, *_) in enumerate(cases)], "id long, part int, filename string, content binary")
-    got = {r.id: (r.detection, r.error_kind) for r in attachments.scan_attachments(rows, attachments.ScanLimits(bytes=1 << 20)).collect()}
+    got = {r.id: (r.detection, r.error_kind) for r in attachments.scan_attachments(rows, attachments.ScanLimits(bytes=1 << 20, files=10)).collect()}
     for i, (name, _, *want) in enumerate(cases):
         assert got[i] == tuple(want), name
 
 
+def multipart(*parts, kind="mixed", mark="b", end=True):
+    return (f"Content-Type: multipart/{kind}; boundary={mark}\r\n\r\npreamble".encode() + b"".join(f"\r\n--{mark}\r\n".encode() + p for p in parts) + (f"\r\n--{mark}--\r\nend".encode() if end else b""))
+
+
+def test_message_scans(spark):
+    encode = lambda data, head=b"Content-Type: a/b": head + b"\r\nContent-Transfer-Encoding: base64\r\n\r\n" + base64.encodebytes(data)
+    program, name = b"\x7fELF program", b"Content-Disposition: attachment; filename*=utf-8''r%75n.JS\r\n\r\nx"
+    deep = name
+    for i in range(20):
+        deep = multipart(deep, mark=f"m{i}")
+    cases = [
+        (b"Content-Type: text/plain\r\n\r\nMZ is text", None, None),
+        (b"\r\nMZ is text", None, None),
+        (multipart(b"\r\nhello", encode(program)), "message/part-2: program", None),
+        (multipart(b"\r\nMZ without a type"), "message/part-1: program", None),
+        (multipart(b"Content-Type: text/plain\r\n\r\nMZ concealed"), "message/part-1: program", None),
+        (multipart(b"Content-Type: text/plain\r\n\r\n#!/bin/sh sample"), None, None),
+        (multipart(b"Content-Type: text/plain\r\nContent-Disposition: attachment\r\n\r\n#!/bin/sh"), "message/part-1: program", None),
+        (multipart(name), "message/run.JS: blocked extension .js", None),
+        (multipart(encode(multipart(name, mark="c"), b"Content-Type: message/rfc822")), "message/part-1/run.JS: blocked extension .js", None),
+        (multipart(multipart(name, mark="c"), kind="digest"), "message/part-1/run.JS: blocked extension .js", None),
+        (multipart(encode(multipart(name, mark="c"), b"Content-Disposition: attachment; filename=a.eml")), "message/a.eml/run.JS: blocked extension .js", None),
+        (multipart(b"Content-Type: message/rfc822\r\n\r\nno header"), None, "malformed"),
+        (deep, None, "limit"),
+        (multipart(encode(program)[:-1] + b"*"), "message/part-1: program", None),
+        (multipart(encode(b"text")[:-1] + b"*"), None, "unscannable"),
+        (multipart(encode(zipped(a=program)) + b"*"), "message/part-1/a: program", None),
+        (multipart(b"Content-Type: a/b; =\r\n\r\nx", name), "message/run.JS: blocked extension .js", None),
+        (multipart(b"Content-Type: a/b; =\r\n\r\nx", b"\r\nx"), None, "malformed"),
+        (multipart(b"\r\nx", end=False), None, "unscannable"),
+        (b"Content-Type: multipart/mixed; boundary=b\r\n\r\nnothing", None, "malformed"),
+        (b"Content-Type: multipart/mixed\r\n\r\nx", None, "malformed"),
+        (b"Content-Type: a/b\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n=4D=5A =\r\nx", "message: program", None),
+        (b"Content-Type: a/b\r\nContent-Transfer-Encoding: quoted-printable\r\n\r\n=4", None, "unscannable"),
+        (b"Content-Type: a/b\r\nContent-Transfer-Encoding: x-own\r\n\r\nx", None, "unscannable"),
+        (b"Content-Type: a/b\r\n\r\n" + b"x" * (1 << 21), None, "limit"),
+        (b"", None, None),
+        (None, None, None),
+    ]
+    rows = spark.createDataFrame([(i, None if m is None else bytearray(m)) for i, (m, *_) in enumerate(cases)], "id long, content binary")
+    got = {r.id: (r.detection, r.error_kind) for r in attachments.scan_messages(rows, attachments.ScanLimits(bytes=1 << 20)).collect()}
+    for i, (message, *want) in enumerate(cases):
+        assert got[i] == tuple(want), message
+
+
 def test_modes_and_reasons(spark):
     assert each(spark, ["reject", "accept"], policy.in_mode(F.col("v"), "accept"), policy.in_mode(F.col("v"), "enforce")) == [("accept", "reject"), ("accept", "accept")]
     why = policy.primary_reason(F.col("v"), F.lit(0.25), F.lit("1px"))

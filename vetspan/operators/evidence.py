@@ -10,8 +10,10 @@ from collections.abc import Iterator
 from html.parser import HTMLParser
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, BooleanType, StringType, StructField, StructType
 
 from ..functions.addresses import aligned
 from ..functions.core import let
@@ -236,14 +238,16 @@ def visible_html(html: str | None) -> tuple[str | None, list[str] | None, bool]:
 
 def html_text(pages: DataFrame, html_col: str = "html") -> DataFrame:
     """`pages` with visible string, links array<string>, incomplete boolean of html_col; clean-up is left to Column functions."""
-    schema = f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in pages.schema)}, visible string, links array<string>, incomplete boolean"
+    names = [*pages.columns, "visible", "links", "incomplete"]
+    schema = StructType([*pages.schema.fields, StructField("visible", StringType()), StructField("links", ArrayType(StringType())), StructField("incomplete", BooleanType())])
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            found = [visible_html(h) for h in frame[html_col]]
-            yield frame.assign(visible=[f[0] for f in found], links=[f[1] for f in found], incomplete=[f[2] for f in found])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [visible_html(h) for h in batch.column(html_col).to_pylist()]
+            new = [pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.list_(pa.string()), pa.bool_()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *new], names=names)
 
-    return pages.mapInPandas(run, schema)
+    return pages.mapInArrow(run, schema)
 
 
 def decoded(raw: bytes, label: str | None) -> str:

@@ -20,26 +20,51 @@ def excess(count: Column, capacity: int) -> Column:
     return F.greatest(count - capacity, F.lit(0)).cast("long")
 
 
-def evict(rows: DataFrame, capacity: int, order: Sequence[Column]) -> DataFrame:
-    """The rows that stay when the first in `order` go until `capacity` are left.
+def evict(rows: DataFrame, capacity: int, order: Sequence[Column], sorted_rows: int = 100_000, pivots: int = 200) -> DataFrame:
+    """The rows that stay when the first in `order` go until `capacity` are left. `order` has to end with a unique column.
 
-    The boundary is found by a bounded sort of the kept or the evicted rows, whichever are fewer, so no
-    single task numbers the whole table. `order` has to end with a unique column.
+    The boundary is narrowed down: rows are counted between sampled pivots, with map-side sums, and the
+    interval that holds it is divided again until it has at most `sorted_rows` rows, which one task sorts.
+    So no task sorts or numbers the whole table, whatever the capacity.
     """
     total = rows.count()
     over = max(total - capacity, 0)
     if not over:
         return rows
+    if not capacity:
+        return rows.limit(0)
     names = [f"__order{i}" for i in range(len(order))]
     keyed = rows.withColumns(dict(zip(names, order, strict=True)))
     key = F.struct(*names)
-    if over <= capacity:
-        edge = keyed.select(key.alias("k")).orderBy("k").limit(over).agg(F.max("k").alias("edge"))
-    else:
-        edge = keyed.select(key.alias("k")).orderBy(F.desc("k")).limit(capacity + 1).agg(F.min("k").alias("edge"))
+    pool, left, size = keyed.select(key.alias("k")), over, total
+    literal = lambda k: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(k, pool.schema["k"].dataType, strict=True)])
+    seed = 0
+    while size > sorted_rows:
+        seed += 1
+        picked = sorted_keys(pool.sample(min(1.0, pivots / size), seed=seed).limit(2 * pivots))
+        if not picked:
+            continue
+        marks = F.array(*[literal(k) for k in picked])
+        place = F.size(F.filter(marks, lambda p: p < F.col("k")))
+        counts = dict(pool.groupBy(place.alias("place")).count().collect())  # at most 2 * pivots + 1 rows
+        at = 0
+        while left > counts.get(at, 0):
+            left -= counts.get(at, 0)
+            at += 1
+        if at > 0:
+            pool = pool.filter(F.col("k") > literal(picked[at - 1]))
+        if at < len(picked):
+            pool = pool.filter(F.col("k") <= literal(picked[at]))
+        size = counts[at]
+    edge = pool.orderBy("k").limit(left).agg(F.max("k").alias("edge"))
     return keyed.join(F.broadcast(edge), key > F.col("edge")).select(rows.columns)
 
 
+def sorted_keys(sample: DataFrame) -> list[tuple]:
+    """The distinct keys k of a bounded sample in Spark's order."""
+    return [tuple(r.k) for r in sample.distinct().orderBy("k").collect()]
+
+
 def newest(rows: DataFrame, keys: Sequence[str], at: str, count: int, tie: str = "id") -> DataFrame:
     """The newest `count` rows of each key, ties by the larger id."""
     order = Window.partitionBy(*keys).orderBy(F.desc(at), F.desc(tie))

@@ -9,9 +9,10 @@ import zipfile
 
 from pyspark.sql import functions as F
 
-from ..functions import numbers
+from ..functions import text
 from ..operators import activity as act
-from ..operators import attachments, headers, histories, reputation, retention
+from ..operators import attachments, evidence, headers, histories, replies, reputation, retention
+from ..operators.blocklist import live
 from . import carriers as c
 from .carriers import DAY, EVENTS_NOW, ORDERS_NOW, sql
 from .reports import BLOCKS, RETAIN, SUMMARY
@@ -29,31 +30,77 @@ def query(name: str, words: str | None = None):
     return add
 
 
-@query("c1_activity_text", sql(f"SELECT concat('Total AI scans: ', scan_total, chr(10), 'AI evaluations failed: ', evaluations_failed, chr(10), 'Retention: 30 days') AS report FROM ({SUMMARY})"))
+def _when(column: str) -> str:
+    return f"strftime(make_timestamp({column} * 1000), '%Y-%m-%d %H:%M:%S UTC')"
+
+
+def _printed(lines: list[tuple[str, str | None]]) -> str:
+    """DuckDB words for lines of text with a value each."""
+    return "concat(" + ", ".join(f"'{words}', {value}, chr(10)" if value else f"'{words}', chr(10)" for words, value in lines) + ")"
+
+
+REPORT = _printed([
+    ("Activity: past month", None), ("Service uptime: 2 days, 1 hour", None), ("Retention: 30 days", None), ("", None),
+    ("Total rejected: ", "scan_rejections + ip_rejections + attachment_rejections + protected_rejections + blocklist_rejections + limit_rejections + dos_rejections + incomplete_rejections"),
+    ("  AI classification: ", "scan_rejections"), ("  IP reputation: ", "ip_rejections"), ("  Attachment policy: ", "attachment_rejections"), ("  Protected sender-domain policy: ", "protected_rejections"),
+    ("  Sender blocklist: ", "blocklist_rejections"), ("  Content processing resource limit: ", "limit_rejections"), ("  Content processing DoS protection: ", "dos_rejections"), ("  Incomplete inspection: ", "incomplete_rejections"), ("", None),
+    ("Total accepted: ", "scan_accepted + correspondent_accepts + trusted_domain_accepts + limit_accepted + dos_accepted + incomplete_accepted"),
+    ("  AI classification: ", "scan_accepted"), ("  Correspondent whitelist: ", "correspondent_accepts"), ("  Trusted sender domain: ", "trusted_domain_accepts"), ("  Content processing resource limit (accept mode): ", "limit_accepted"),
+    ("  Content processing DoS protection (accept mode): ", "dos_accepted"), ("  Incomplete inspection (accept mode): ", "incomplete_accepted"), ("", None),
+    ("Recipient deliveries removed by sender blocklist: ", "blocklist_removals"), ("", None), ("Total AI scans: ", "scan_total"), ("AI evaluations failed: ", "evaluations_failed"), ("", None),
+    ("Token costs are estimates based on endpoint-reported usage and configured prices.", None), ("Total token cost: USD ", "printf('%.4f', token_cost)"), ("Average cost per message scanned: USD ", "printf('%.6f', token_cost / scan_total)"),
+])
+
+
+@query("c1_activity_text", sql(f"SELECT {REPORT} AS reply FROM ({SUMMARY.replace('round(coalesce(sum(token_cost) FILTER (WHERE event_type = 1), 0), 4)', 'sum(token_cost) FILTER (WHERE event_type = 1)')})"))
 def c1(spark, sf_dir):
     since, before = act.window(EVENTS_NOW, 30 * DAY, EVENTS_NOW - 20 * DAY)
-    row = act.report(act.summarise(c.activity(spark, sf_dir), since, before))
-    return row.select(F.concat_ws("\n", F.concat(F.lit("Total AI scans: "), F.col("scan_total").cast("string")), F.concat(F.lit("AI evaluations failed: "), F.col("evaluations_failed").cast("string")), F.concat(F.lit("Retention: "), numbers.duration_text(F.lit(30 * DAY)))).alias("report"))
+    report = act.report(act.summarise(c.activity(spark, sf_dir), since, before))
+    return replies.activity_reply(report, "month", EVENTS_NOW, 30 * DAY, EVENTS_NOW - 2 * DAY - 3_600_000)
 
 
-@query("c2_t8_rejection_listing", sql(f"SELECT id, concat(strftime(make_timestamp(rejected_at_ms * 1000), '%Y-%m-%d %H:%M:%S UTC'), ' #', id, ' ', sender, ': ', subject) AS line FROM {{rejections}} WHERE rejected_at_ms >= {{orders_now}} - {RETAIN} ORDER BY rejected_at_ms DESC, id DESC LIMIT 30"))
+TO = "(SELECT rejection_id, string_agg(recipient, ', ' ORDER BY recipient) AS names FROM {rejection_recipients} GROUP BY rejection_id)"
+RECORD = f"concat('From: ', sender, chr(10), 'To: ', names, chr(10), 'Subject: ', subject, chr(10), 'Date: ', {_when('rejected_at_ms')}, chr(10), 'Rejection ID: ', id, chr(10), 'Reason: ', reason, chr(10), chr(10))"
+
+
+@query("c2_t8_rejection_listing", sql(f"SELECT concat(string_agg({RECORD}, '' ORDER BY rejected_at_ms, id), 'Results were limited to 30 matching records.', chr(10)) AS reply FROM (SELECT * FROM {{rejections}} WHERE rejected_at_ms >= {{orders_now}} - {RETAIN} ORDER BY rejected_at_ms DESC, id DESC LIMIT 30) LEFT JOIN {TO} ON rejection_id = id"))
 def c2(spark, sf_dir):
-    rows = retention.page(histories.live_rejections(c.rejections(spark, sf_dir), ORDERS_NOW, RETAIN), [F.desc("rejected_at_ms"), F.desc("id")], 30)
-    return rows.select("id", F.concat(numbers.utc_text(F.col("rejected_at_ms")), F.lit(" #"), F.col("id").cast("string"), F.lit(" "), "sender", F.lit(": "), "subject").alias("line"))
+    rows = histories.list_all(c.rejections(spark, sf_dir), c.rejection_recipients(spark, sf_dir), ORDERS_NOW, RETAIN, 31).drop("position", "truncated")
+    return replies.listing(rows, [F.desc("rejected_at_ms"), F.desc("id")], replies.rejection_record(F.col("recipients")), "No retained rejected-email records were found.\n", 30, newest_last=True)
 
 
-@query("c5_rule_listing", sql("SELECT concat(CASE WHEN sender_kind = 2 THEN '*@' ELSE '' END, sender_value, ' for ', CASE WHEN recipient = '*' THEN 'all recipients' ELSE recipient END) AS line FROM {blocklist} WHERE expires_at_ms > {orders_now}"))
-def c5(spark, sf_dir):
-    from ..operators.blocklist import live
+DETAIL = f"concat('Rejection ID: ', id, chr(10), 'From: ', sender, chr(10), 'To: ', names, chr(10), 'Subject: ', subject, chr(10), 'Date: ', {_when('rejected_at_ms')}, chr(10), 'Reason for rejection: ', reason, chr(10), chr(10), 'Visible email body text:', chr(10), CASE id % 4 WHEN 0 THEN 'Saved message is not available.' WHEN 1 THEN concat('NOTICE: Saved message was truncated during archiving; some headers or body content may be missing.', chr(10), chr(10), 'Hello ', sender) WHEN 2 THEN 'No readable message text was found.' ELSE concat('Hello ', sender) END, chr(10))"
+
+
+@query("c3_m19_rejection_detail", sql(f"SELECT id, md5({DETAIL}) AS reply FROM {{rejections}} LEFT JOIN {TO} ON rejection_id = id"))
+def c3(spark, sf_dir):
+    """Every rejection in full, with the visible text of its archived HTML message."""
+    html = F.expr("concat('Content-Type: text/html\\r\\n\\r\\n<title>t</title>', CASE id % 4 WHEN 2 THEN '' ELSE concat('<p>Hello <b>', sender, '</b></p>') END)")
+    rows = c.rejections(spark, sf_dir).withColumn("content", F.when(F.col("id") % 4 != 0, F.encode(html, "UTF-8")))
+    bodies = evidence.html_text(evidence.chosen_body(evidence.message_parts(rows.filter("content IS NOT NULL").select("id", "content"))).select("id", F.col("text").alias("html")))
+    shown = bodies.select("id", text.normalised_space(text.body_text(F.col("visible"))).alias("body"))
+    names = c.rejection_recipients(spark, sf_dir).groupBy(F.col("rejection_id").alias("id")).agg(F.sort_array(F.collect_list("recipient")).alias("recipients"))
+    whole = rows.join(names, "id", "left").join(shown, "id", "left")
+    return whole.select("id", F.md5(replies.rejection_detail(F.col("recipients"), F.col("content"), F.col("body"), F.col("id") % 4 == 1)).alias("reply"))
 
-    shown = F.concat(F.when(F.col("sender_kind") == 2, "*@").otherwise(""), "sender_value", F.lit(" for "), F.when(F.col("recipient") == "*", "all recipients").otherwise(F.col("recipient")))
-    return live(c.blocklist(spark, sf_dir), ORDERS_NOW).select(shown.alias("line"))
 
+@query("c4_correspondent_listing", sql("SELECT concat(string_agg(concat('Sender: ', correspondent, chr(10), 'Recipient: ', local_address, chr(10), 'Added: ', CASE whitelist_type WHEN 'manual' THEN 'manually' WHEN 'authenticated_outbound' THEN 'learned from authenticated outbound email' ELSE 'learned from repeated legitimate inbound emails' END, chr(10), chr(10)), '' ORDER BY last_activity_at_ms DESC, local_address, correspondent), 'Results were limited to 40 matching records.', chr(10)) AS reply FROM (SELECT * FROM {correspondents} ORDER BY last_activity_at_ms DESC, local_address, correspondent LIMIT 40)"))
+def c4(spark, sf_dir):
+    order = [F.desc("last_activity_at_ms"), F.asc("local_address"), F.asc("correspondent")]
+    return replies.listing(c.correspondents(spark, sf_dir), order, replies.correspondent_record(True), "No whitelisted correspondent addresses were found.\n", 40)
 
-@query("c6_ip_listing", sql("SELECT concat(ip, ' ', block_level, ' until ', strftime(make_timestamp(blocked_until_ms * 1000), '%Y-%m-%d %H:%M:%S UTC')) AS line FROM {reputation} WHERE blocked_until_ms > {now}"))
+
+@query("c5_rule_listing", sql(f"SELECT concat(string_agg(concat('Sender: ', CASE WHEN sender_kind = 2 THEN '*@' ELSE '' END, sender_value, chr(10), 'Recipient: ', recipient, chr(10), 'Expires: ', {_when('expires_at_ms')}, chr(10), chr(10)), '' ORDER BY expires_at_ms DESC, id DESC), CASE WHEN max(n) > 1000 THEN concat('Results were limited to 1000 matching records.', chr(10)) ELSE '' END) AS reply FROM (SELECT *, count(*) OVER () AS n FROM {{blocklist}} WHERE expires_at_ms > {{orders_now}} ORDER BY expires_at_ms DESC, id DESC LIMIT 1000)"))
+def c5(spark, sf_dir):
+    return replies.listing(live(c.blocklist(spark, sf_dir), ORDERS_NOW), [F.desc("expires_at_ms"), F.desc("id")], replies.rule_record(), "No active sender blocklist entries were found.\n")
+
+
+@query("c6_ip_listing", sql(f"SELECT concat(string_agg(concat('IP: ', ip, ' (', CASE WHEN id % 5 = 0 THEN 'not found' ELSE concat('h', id, '.example') END, ') Type: ', block_level, ' Expires: ', {_when('blocked_until_ms')}, chr(10)), '' ORDER BY blocked_until_ms, ip), CASE WHEN max(n) > 50 THEN concat('Results were limited to 50 matching records.', chr(10)) ELSE '' END) AS reply FROM (SELECT *, count(*) OVER () AS n FROM {{reputation}} WHERE blocked_until_ms > {{now}} ORDER BY blocked_until_ms DESC, ip DESC LIMIT 50)"))
 def c6(spark, sf_dir):
-    blocks = reputation.active_blocks(c.reputation(spark, sf_dir), c.strikes(spark, sf_dir), EVENTS_NOW)
-    return blocks.select(F.concat("ip", F.lit(" "), "block_level", F.lit(" until "), numbers.utc_text(F.col("blocked_until_ms"))).alias("line"))
+    rows = c.reputation(spark, sf_dir)
+    names = rows.select("ip", F.expr("CASE WHEN id % 5 <> 0 THEN concat('h', CAST(id AS STRING), '.example') END").alias("hostname"))
+    blocks = reputation.active_blocks(rows, c.strikes(spark, sf_dir), EVENTS_NOW).join(names, "ip", "left")
+    return replies.listing(blocks, [F.desc("blocked_until_ms"), F.desc("ip")], replies.block_record(F.col("hostname")), "No active IP blocks were found.\n", 50, newest_last=True)
 
 
 @query("st4_st5_manual_blocks", sql("SELECT ip, 'repeat' AS block_level FROM {reputation} WHERE id % 5 = 0 AND id % 7 <> 0 UNION ALL SELECT ip, block_level FROM {reputation} WHERE id % 5 <> 0 AND id % 7 <> 0"))
@@ -137,8 +184,8 @@ def _samples() -> list[tuple[str, bytes]]:
 SAMPLES = _samples()
 _OF = lambda values: "CASE CAST(doc_id % 8 AS INT) " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
 #: What is found in each of SAMPLES.
-FOUND = ("'a.EXE: blocked extension'", "'a.bin: program'", "'a.zip/b/c: program'", "'a.tgz/a.tgz/p: program'", "NULL", "NULL", "'a.zip/x.js: blocked extension'", "NULL")
-ERRORS = ("NULL", "NULL", "NULL", "NULL", "'encrypted'", "'malformed'", "NULL", "NULL")
+FOUND = ("'a.EXE: blocked extension .exe'", "'a.bin: program'", "'a.zip/b/c: program'", "'a.tgz/unnamed/p: program'", "NULL", "NULL", "'a.zip/x.js: blocked extension .js'", "NULL")
+ERRORS = ("NULL", "NULL", "NULL", "NULL", "'encrypted'", "'unscannable'", "NULL", "NULL")
 
 
 @query("at1_at8_scans", f"SELECT doc_id AS id, {_OF(FOUND)} AS detection, {_OF(ERRORS)} AS error_kind FROM documents")
@@ -146,3 +193,24 @@ def at1(spark, sf_dir):
     name, content = _OF([f"'{n}'" for n, _ in SAMPLES]), _OF([f"unhex('{d.hex()}')" for _, d in SAMPLES])
     rows = c.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(0).alias("part"), F.expr(name).alias("filename"), F.expr(content).alias("content"))
     return attachments.scan_attachments(rows).select("id", "detection", "error_kind")
+
+
+MESSAGES = {
+    "concat('Content-Type: text/plain\r\n\r\n', text)": ("NULL", "NULL"),
+    "concat('Content-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\n\r\nhi\r\n--b\r\nContent-Type: application/x\r\nContent-Transfer-Encoding: base64\r\n\r\n', base64(encode(concat('MZ', text), 'UTF-8')), '\r\n--b--')": ("'message/part-2: program'", "NULL"),
+    "concat('Content-Type: multipart/digest; boundary=o\r\n\r\n--o\r\n\r\nContent-Type: multipart/mixed; boundary=i\r\n\r\n--i\r\nContent-Disposition: attachment; filename=run-', doc_id, '.js\r\n\r\n', lang, '\r\n--i--\r\n--o--')": ("concat('message/part-1/run-', doc_id, '.js: blocked extension .js')", "NULL"),
+    "concat('Content-Type: application/x\r\nContent-Transfer-Encoding: base64\r\n\r\n', base64(encode(concat('x', lang), 'UTF-8')), '*')": ("NULL", "'unscannable'"),
+    "concat('Content-Type: multipart/mixed\r\n\r\n', lang)": ("NULL", "'malformed'"),
+    "concat('Content-Type: application/x\r\nContent-Transfer-Encoding: x-', lang, '\r\n\r\nx')": ("NULL", "'unscannable'"),
+    "concat('Content-Type: multipart/mixed; boundary=b\r\n\r\n--b\r\nContent-Type: text/plain\r\n\r\n', lang)": ("NULL", "'unscannable'"),
+}
+
+
+def _of_seven(values: list[str]) -> str:
+    return "CASE CAST(doc_id % 7 AS INT) " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+
+
+@query("at2_at5_at15_message_scans", f"SELECT doc_id AS id, {_of_seven([d for d, _ in MESSAGES.values()])} AS detection, {_of_seven([e for _, e in MESSAGES.values()])} AS error_kind FROM documents")
+def at2(spark, sf_dir):
+    rows = c.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.encode(F.expr(_of_seven(list(MESSAGES))), "UTF-8").alias("content"))
+    return attachments.scan_messages(rows)

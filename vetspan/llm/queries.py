@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, licences, near_dedup, packing, pseudonyms, repetition, toxicity, warc
+from . import byte_bpe, chat_format, exact_dedup, licences, near_dedup, oracles, packing, pseudonyms, repetition, toxicity, warc
 from .shared import written
 
 
@@ -98,12 +98,6 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
-OP10_SQL = """
-SELECT doc_id, max(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,
-       doc_id = max(doc_id) OVER w AS kept, sha256(coalesce(text, '')) AS text_sha256
-FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
-"""
-
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_packing": op2_packing,
@@ -116,4 +110,12 @@ QUERIES = {
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
 }
-SQL = {"op10_exact_dedup": OP10_SQL}
+RULES = repetition.RepetitionRules()
+SQL = {
+    "op3_warc": oracles.OP3,
+    "op6_chat_format": oracles.OP6,
+    "op8_repetition": oracles.op8(RULES.ngram_share, RULES.line_share, RULES.base_window, RULES.min_words, RULES.base_percent),
+    "op9_near_dedup": oracles.op9(OP9_RULE.words, OP9_RULE.percent),
+    "op10_exact_dedup": oracles.OP10,
+}
+

@@ -336,12 +336,59 @@ def p14(spark, sf_dir):
     return c.table(spark, sf_dir, "supplier").select("s_suppkey", histories.registration_decision(registered, expires, ORDERS_NOW).alias("decision"))
 
 
-@query("st1_st3_reputation_fold")
+#: Folds as recursions: a step takes each key's next event.
+BLOCK_STEPS = f"""WITH RECURSIVE e AS (SELECT *, row_number() OVER (PARTITION BY ip ORDER BY at_ms, id) AS n FROM {{ip_events}} WHERE ip IS NOT NULL),
+s AS (
+  SELECT ip, CAST(0 AS BIGINT) AS n, CAST([] AS BIGINT[]) AS strikes, CAST(NULL AS VARCHAR) AS level, CAST(NULL AS BIGINT) AS until, 0 AS legitimate, false AS known, CAST(0 AS BIGINT) AS last FROM e WHERE n = 1
+  UNION ALL
+  SELECT ip, n,
+    CASE WHEN rejected THEN held WHEN unmoved THEN strikes WHEN gone THEN [] ELSE left_over END,
+    CASE WHEN rejected THEN CASE WHEN stronger THEN kept_level ELSE new_level END WHEN unmoved OR NOT gone THEN level END,
+    CASE WHEN rejected THEN CASE WHEN stronger THEN kept_until ELSE new_until END WHEN unmoved OR NOT gone THEN until END,
+    CASE WHEN rejected OR (NOT unmoved AND (gone OR paid)) THEN 0 WHEN unmoved THEN legitimate ELSE legitimate + 1 END,
+    rejected OR (known AND (unmoved OR NOT gone)),
+    CASE WHEN unmoved THEN last WHEN NOT rejected AND gone THEN 0 ELSE at_ms END
+  FROM (SELECT *, coalesce(kept_until > at_ms AND (kept_until > new_until OR (kept_until = new_until AND kept_level = 'repeat' AND new_level <> 'repeat')), false) AS stronger,
+      NOT rejected AND len(left_over) = 0 AND NOT coalesce(level IS NOT NULL AND until > at_ms, false) AS gone
+    FROM (SELECT *, CASE WHEN len(held) >= {BLOCKS.repeat_strikes} THEN 'repeat' ELSE 'short' END AS new_level,
+        at_ms + CASE WHEN len(held) >= {BLOCKS.repeat_strikes} THEN {BLOCKS.repeat_ms} ELSE {BLOCKS.short_ms} END AS new_until,
+        CASE WHEN NOT ended THEN level END AS kept_level, CASE WHEN NOT ended THEN until END AS kept_until,
+        NOT rejected AND (NOT known OR len(young) = 0) AS unmoved, CASE WHEN paid THEN young[2:] ELSE young END AS left_over
+      FROM (SELECT *, list_filter(list_append(CASE WHEN ended THEN CAST([] AS BIGINT[]) ELSE strikes END, at_ms), lambda x: x > at_ms - {BLOCKS.window_ms})[-{BLOCKS.repeat_strikes}:] AS held,
+          list_filter(strikes, lambda x: x > at_ms - {BLOCKS.window_ms}) AS young
+        FROM (SELECT s.* EXCLUDE (n), e.n, e.at_ms, e.kind = 'rejection' AS rejected, legitimate + 1 >= {BLOCKS.legitimate_per_strike} AS paid,
+            coalesce(known AND level = 'repeat' AND until <= at_ms, false) AS ended
+          FROM s JOIN e ON e.ip = s.ip AND e.n = s.n + 1))))
+)
+SELECT ip, level AS block_level, until AS blocked_until_ms, CAST(len(strikes) AS INT) AS strikes, legitimate AS legitimate_count, last AS last_activity_at_ms
+FROM s JOIN (SELECT ip, max(n) AS n FROM e GROUP BY ip) USING (ip, n) WHERE known"""
+TRUST_STEPS = f"""WITH RECURSIVE e AS (
+  SELECT concat('s', l_suppkey, '@in.example') AS a, concat('c', o_custkey, '@out.example') AS c, epoch_us(l_shipdate) // 1000 AS at_ms,
+    CASE l_partkey % 6 WHEN 0 THEN 'outbound' WHEN 1 THEN 'refresh' WHEN 2 THEN 'remove' WHEN 3 THEN 'touch' ELSE 'advance' END AS action,
+    row_number() OVER (PARTITION BY l_suppkey, o_custkey ORDER BY l_shipdate, l_orderkey * 100 + l_linenumber) AS n
+  FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+), s AS (
+  SELECT a, c, CAST(0 AS BIGINT) AS n, CAST(NULL AS BIGINT) AS learned, CAST(NULL AS BIGINT) AS last, CAST(NULL AS VARCHAR) AS kind, 0 AS messages FROM e WHERE n = 1
+  UNION ALL
+  SELECT a, c, n, CASE WHEN had IS NULL THEN at_ms ELSE learned END,
+    CASE WHEN had IS NULL OR action = 'outbound' OR (action <> 'remove' AND (had <> '{correspondents.INBOUND}' OR now >= {TRUST.min_messages})) THEN at_ms ELSE last END,
+    CASE WHEN action = 'outbound' THEN '{correspondents.OUTBOUND}' WHEN had IS NULL THEN CASE action WHEN 'advance' THEN '{correspondents.INBOUND}' END
+      WHEN action <> 'remove' OR had <> '{correspondents.INBOUND}' THEN had END,
+    now
+  FROM (SELECT *, CASE WHEN action = 'outbound' THEN 0 WHEN had IS NULL THEN 1 WHEN action = 'advance' AND had = '{correspondents.INBOUND}' AND messages < {TRUST.min_messages} THEN messages + 1 ELSE messages END AS now
+    FROM (SELECT s.* EXCLUDE (n), e.n, e.at_ms, e.action, CASE WHEN NOT (last < at_ms - {TRUST.stale_ms} AND action IN ('outbound', 'advance', 'refresh')) THEN kind END AS had
+      FROM s JOIN e ON e.a = s.a AND e.c = s.c AND e.n = s.n + 1))
+)
+SELECT a AS local_address, c AS correspondent, learned AS learned_at_ms, last AS last_activity_at_ms, kind AS whitelist_type, messages AS legitimate_email_count
+FROM s JOIN (SELECT a, c, max(n) AS n FROM e GROUP BY a, c) USING (a, c, n) WHERE kind IS NOT NULL"""
+
+
+@query("st1_st3_reputation_fold", BLOCK_STEPS)
 def st1(spark, sf_dir):
     return reputation.fold(c.ip_events(spark, sf_dir), BLOCKS)
 
 
-@query("st7_st9_correspondent_fold")
+@query("st7_st9_correspondent_fold", TRUST_STEPS)
 def st9(spark, sf_dir):
     rows = c.table(spark, sf_dir, "orders").join(c.table(spark, sf_dir, "lineitem"), F.col("o_orderkey") == F.col("l_orderkey"))
     action = F.expr("CASE CAST(l_partkey % 6 AS INT) WHEN 0 THEN 'outbound' WHEN 1 THEN 'refresh' WHEN 2 THEN 'remove' WHEN 3 THEN 'touch' ELSE 'advance' END")

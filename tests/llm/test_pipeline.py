@@ -37,10 +37,10 @@ def test_entry_has_all_queries(spark):
     import __spark_entry__ as entry
 
     names = set(entry.queries())
-    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11))
+    assert "pipeline" in names and all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 14))
 
 
-SQL = ["op10_exact_dedup", "op3_warc", "op6_chat_format", "op8_repetition", "op9_near_dedup"]
+SQL = ["op10_exact_dedup", "op11_search", "op12_decontamination", "op13_clusters", "op3_warc", "op6_chat_format", "op8_repetition", "op9_near_dedup"]
 
 
 def agrees(name, spark, folder):
@@ -75,6 +75,10 @@ def hostile(tmp_path_factory):
     turns = [(1, 0, "user", marks), (1, 1, "assistant", marks * 2), (2, 0, "assistant", "x"), (2, 1, "user", None), (3, 0, None, None), (3, 1, "user", "a"), (3, 2, "assistant", "\\"), (4, 0, "tool", marks), (4, 1, marks, "t"), (5, 0, "user", "é𝄞"), (5, 0, "user", "é𝄞"), (5, None, "system", "s"), (6, 0, "user", "only")]
     names = {"conv_id": pa.int64(), "turn": pa.int64(), "role": pa.string(), "text": pa.string()}
     pq.write_table(pa.table({n: pa.array([t[i] for t in turns], k) for i, (n, k) in enumerate(names.items())}), folder / "conversations.parquet")
+    ids, items = [3, 3, None, 4, 5, 6], ["same line here same line here same line here same", "one", "W1 w2! w3", None, " ", long[:500]]
+    pq.write_table(pa.table({"item_id": pa.array(ids, pa.int64()), "text": pa.array(items, pa.string())}), folder / "benchmark.parquet")
+    vectors = [[(i * j % 17 - 8) / 10 for j in range(64)] for i in range(60)] + [[0.5] * 64] * 20 + [None, [], [1.0] * 63, [None] * 64, [float("nan")] * 64, [float("inf")] * 64]
+    pq.write_table(pa.table({"vec_id": pa.array(range(len(vectors)), pa.int64()), "embedding": pa.array(vectors, pa.list_(pa.float32())), "label": pa.array([0] * len(vectors), pa.int32())}), folder / "embeddings.parquet")
     return folder
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .clusters import Clustering
+
 #: Words of a text.
 WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 
@@ -108,3 +110,63 @@ groups AS (SELECT a AS doc_id, min(b) AS component_id FROM reached GROUP BY a)
 SELECT d.doc_id, coalesce(n, 0) AS n_shingles, component_id, d.doc_id = component_id AS kept
 FROM documents d JOIN groups USING (doc_id) LEFT JOIN sizes USING (doc_id)
 """
+
+
+#: Runs of letters, digits and characters beyond ASCII, A-Z lower-cased.
+PLAIN = r"regexp_extract_all(translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP11 = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {PLAIN.format("text")} AS list FROM documents WHERE text IS NOT NULL),
+sizes AS (SELECT row, doc_id, CAST(len(list) AS BIGINT) AS n FROM docs WHERE len(list) > 0),
+totals AS (SELECT count(*) AS texts, CAST(sum(n) AS BIGINT) AS words FROM sizes),
+postings AS (SELECT row, term, count(*) AS tf FROM (SELECT row, unnest(list) AS term FROM docs) GROUP BY row, term),
+weights AS (SELECT term, CAST(floor(1000 * ln((2 * texts + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM postings, totals GROUP BY term, texts),
+items AS (SELECT row_number() OVER () AS item, item_id, {PLAIN.format("text")} AS list FROM benchmark WHERE text IS NOT NULL),
+asked AS (SELECT DISTINCT item, item_id, unnest(list) AS term FROM items),
+scores AS (
+  SELECT item, item_id, row, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * n * texts) // words)))) AS BIGINT) AS score
+  FROM asked JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (row), totals GROUP BY ALL
+)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item ORDER BY score DESC, doc_id NULLS LAST) AS INTEGER) AS rank, doc_id, score
+FROM scores WHERE score > 0 QUALIFY rank <= 50
+"""
+
+_GRAMS = ", ".join(f"string_agg(word, ' ') OVER (PARTITION BY row ORDER BY i ROWS BETWEEN CURRENT ROW AND {n - 1} FOLLOWING) AS g{n}" for n in range(1, 11))
+_OF_SIZE = " ".join(f"WHEN {n} THEN g{n}" for n in range(1, 11))
+OP12 = f"""
+WITH docs AS (SELECT row_number() OVER () AS row, doc_id, {PLAIN.format("coalesce(text, '')")} AS list FROM documents),
+items AS (SELECT coalesce(CAST(item_id AS VARCHAR), '') AS item, {PLAIN.format("coalesce(text, '')")} AS list FROM benchmark),
+starts AS (SELECT item, list, least(len(list), 10) AS size, unnest(range(1, greatest(len(list) - 9, 1) + 1)) AS i FROM items WHERE len(list) > 0),
+windows AS (SELECT DISTINCT item, size, array_to_string(list[i : i + size - 1], ' ') AS gram FROM starts),
+words AS (SELECT row, unnest(list) AS word, generate_subscripts(list, 1) AS i, len(list) AS n FROM docs),
+grams AS (SELECT row, i, n, {_GRAMS} FROM words),
+found AS (SELECT row, i, size, gram FROM (SELECT row, i, n, size, CASE size {_OF_SIZE} END AS gram FROM grams, (SELECT DISTINCT size FROM windows)) SEMI JOIN windows USING (size, gram) WHERE i + size - 1 <= n),
+hits AS (SELECT row, count(DISTINCT word) AS n_hit FROM (SELECT row, unnest(range(i, i + size)) AS word FROM found) GROUP BY row),
+owners AS (SELECT row, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names FROM (SELECT DISTINCT row, item FROM found JOIN windows USING (size, gram)) GROUP BY row)
+SELECT doc_id, CAST(len(list) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(names, '')) AS items_sha256, n_hit IS NOT NULL AS contaminated
+FROM docs LEFT JOIN hits USING (row) LEFT JOIN owners USING (row)
+"""
+
+
+def op13(rule: Clustering) -> str:
+    """SQL of the clustering, a few steps for each round."""
+    steps = []
+    for i in range(rule.rounds + 1):
+        steps.append(f"""gaps{i} AS MATERIALIZED (
+  SELECT row, vec_id, x.v, c.cluster, c.v AS centre, CAST(list_sum(list_transform(range(1, {rule.dimensions + 1}), lambda j: (x.v[j] - c.v[j]) * (x.v[j] - c.v[j]))) AS BIGINT) AS distance
+  FROM kept x, centroids{i} c
+), own{i} AS MATERIALIZED (SELECT * FROM gaps{i} QUALIFY row_number() OVER (PARTITION BY row ORDER BY distance, cluster) = 1)""")
+        if i < rule.rounds:
+            steps.append(f"""parts{i} AS (SELECT cluster, unnest(v) AS x, generate_subscripts(v, 1) AS j FROM own{i}),
+means{i} AS (SELECT cluster, j, sum(x) AS s, count(*) AS n FROM parts{i} GROUP BY cluster, j),
+moved{i} AS (SELECT cluster, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY j) AS v FROM means{i} GROUP BY cluster),
+centroids{i + 1} AS MATERIALIZED (SELECT cluster, coalesce(m.v, c.v) AS v FROM centroids{i} c LEFT JOIN moved{i} m USING (cluster))""")
+    last = rule.rounds
+    return f"""
+WITH whole AS (SELECT row_number() OVER () AS row, vec_id, embedding AS e FROM embeddings WHERE len(embedding) = {rule.dimensions} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {rule.dimensions}),
+kept AS MATERIALIZED (SELECT row, vec_id, list_transform(e, lambda x: CAST(floor(CAST(x AS DOUBLE) * {rule.scale}) AS BIGINT)) AS v FROM whole),
+centroids0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('{rule.seed}' || vec_id) NULLS LAST, v) - 1 AS cluster, v FROM kept QUALIFY cluster < {rule.clusters}),
+{", ".join(steps)}
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia, CAST(sum(distance) OVER () AS BIGINT) AS inertia, sha256(array_to_string(centre, ',')) AS centroid_sha256
+FROM own{last}
+"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, chat_format, exact_dedup, licences, near_dedup, oracles, packing, pseudonyms, repetition, toxicity, warc
+from . import byte_bpe, chat_format, clusters, decontamination, exact_dedup, licences, near_dedup, oracles, packing, pseudonyms, repetition, search, toxicity, warc
 from .shared import written
 
 
@@ -98,6 +98,21 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op11_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = search.build_index(table(spark, sf_dir, "documents"))
+    return search.search(index, table(spark, sf_dir, "benchmark"))
+
+
+def op12_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.find_matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    items, size = F.sha2(F.array_join("items", ","), 256), F.size("items").cast("long")
+    return found.select("doc_id", "n_words", "n_hit", size.alias("n_items"), items.alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+def op13_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clusters.cluster_vectors(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_licences": op1_licences,
     "op2_packing": op2_packing,
@@ -109,6 +124,9 @@ QUERIES = {
     "op8_repetition": op8_repetition,
     "op9_near_dedup": op9_near_dedup,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_search": op11_search,
+    "op12_decontamination": op12_decontamination,
+    "op13_clusters": op13_clusters,
 }
 RULES = repetition.RepetitionRules()
 SQL = {
@@ -117,5 +135,8 @@ SQL = {
     "op8_repetition": oracles.op8(RULES.ngram_share, RULES.line_share, RULES.base_window, RULES.min_words, RULES.base_percent),
     "op9_near_dedup": oracles.op9(OP9_RULE.words, OP9_RULE.percent),
     "op10_exact_dedup": oracles.OP10,
+    "op11_search": oracles.OP11,
+    "op12_decontamination": oracles.OP12,
+    "op13_clusters": oracles.op13(clusters.Clustering()),
 }
 

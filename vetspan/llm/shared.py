@@ -10,6 +10,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import pyarrow.fs as pafs
+import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,6 +45,16 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_written(df: DataFrame) -> None:
+    """Delete a table of `written` that no later job reads."""
+    spark = df.sparkSession
+    fs = spark._jvm.org.apache.hadoop.fs
+    for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/vetspan/" in folder:
+            path = fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 #: A key with more than this part of all rows is hot; there can't be more hot keys than parts.
 HOT_PARTS = 10_000
 
@@ -136,3 +148,55 @@ def spread(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(starts - (ends - lengths), lengths)
+
+
+def _plain_bytes() -> np.ndarray:
+    """What each byte becomes before ASCII-delimited words are cut: A-Z lower-cased, other ASCII but letters and digits a space."""
+    byte = np.arange(256)
+    capital = (byte >= 65) & (byte <= 90)
+    inside = (byte >= 128) | capital | ((byte >= 97) & (byte <= 122)) | ((byte >= 48) & (byte <= 57))
+    return np.where(inside, byte + 32 * capital, 32).astype(np.uint8)
+
+
+PLAIN = _plain_bytes()
+
+
+def _raw(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets from 0 and the UTF-8 bytes of texts without nulls."""
+    texts = texts.cast(pa.string())
+    if not len(texts):
+        return np.zeros(1, np.int32), np.zeros(0, np.uint8)
+    _, places, data = texts.buffers()
+    offsets = np.frombuffer(places, np.int32)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+    return offsets - offsets[0], data[offsets[0] : offsets[-1]]
+
+
+def plain_texts(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z lower-cased and spaces for all other ASCII but a-z and 0-9, so that words stand between spaces."""
+    offsets, data = _raw(texts)
+    return pa.StringArray.from_buffers(len(texts), pa.py_buffer(offsets.astype(np.int32)), pa.py_buffer(PLAIN[data]))
+
+
+def plain_word_counts(texts: pa.Array) -> np.ndarray:
+    """How many words of letters, digits and characters beyond ASCII each text has."""
+    offsets, data = _raw(texts)
+    inside = PLAIN[data] != 32
+    first = inside.copy()
+    first[1:] &= ~inside[:-1]
+    starts = offsets[:-1][np.diff(offsets) > 0]
+    first[starts] = inside[starts]  # a word doesn't go on from one text to the next
+    before = np.concatenate(([0], np.cumsum(first)))
+    return before[offsets[1:]] - before[offsets[:-1]]
+
+
+def part_files(df: DataFrame, label: str, parts: int) -> list[str]:
+    """Write the rows to so many Parquet files or fewer in the shared folder, for tasks that read one bounded file after another; gives their addresses."""
+    return sorted(written(df.repartition(parts), label).inputFiles())
+
+
+def read_part(path: str) -> pa.Table:
+    """A file of part_files, read by a task."""
+    fs, place = pafs.FileSystem.from_uri(path)
+    with fs.open_input_file(place) as file:
+        return pq.read_table(file)

@@ -38,17 +38,30 @@ def strike_counts(strikes: DataFrame) -> DataFrame:
     return strikes.groupBy("ip").agg(F.count(F.lit(1)).alias("strikes"))
 
 
-def rolling_strikes(strikes: DataFrame, policy: ReputationPolicy) -> DataFrame:
+def rolling_strikes(strikes: DataFrame, policy: ReputationPolicy, bucket_ms: int | None = None) -> DataFrame:
     """Each strike with the number of strikes of its address in the window that ends with it, at most repeat_strikes.
 
-    Strikes of the same millisecond count in the order of their ids: the count over the range includes
-    later ones of that millisecond, which are taken off again.
+    A strike counts from its time until window_ms later, so it is +1 in one bucket of time and -1 in
+    another. What an address has at the start of a bucket is the running sum of its buckets' totals, of
+    which it has at most one for each bucket_ms (by default a 4096th of the window) of its history; within
+    a bucket the changes are summed in order. An address with most of all strikes is as many groups as
+    it has buckets. Strikes of the same millisecond count in the order of their ids; those of a null
+    address are one address, and a null time counts no strike.
     """
-    by = Window.partitionBy("ip").orderBy("struck_at_ms")
-    within = F.count(F.lit(1)).over(by.rangeBetween(-policy.window_ms + 1, 0))
-    same = Window.partitionBy("ip", "struck_at_ms")
-    later = F.count(F.lit(1)).over(same) - F.row_number().over(same.orderBy("id"))
-    return strikes.withColumn("strikes", F.least(within - later, F.lit(policy.repeat_strikes)).cast("long"))
+    width = bucket_ms or max(policy.window_ms // 4096, 1)
+    row = F.struct(*strikes.columns).alias("row")
+    bucket = F.expr(f"at DIV {width}L").alias("bucket")
+    came = strikes.select("ip", F.col("struck_at_ms").alias("at"), F.lit(1).alias("turn"), "id", F.when(F.col("struck_at_ms").isNotNull(), 1).otherwise(0).cast("long").alias("change"), row)
+    gone = strikes.filter("struck_at_ms IS NOT NULL").groupBy("ip", (F.col("struck_at_ms") + policy.window_ms).alias("at")).agg((-F.count(F.lit(1))).alias("change"))
+    gone = gone.select("ip", "at", F.lit(0).alias("turn"), F.lit(None).cast(strikes.schema["id"].dataType).alias("id"), "change", F.lit(None).cast(came.schema["row"].dataType).alias("row"))
+    changes = came.unionByName(gone).withColumn("bucket", bucket)
+    before = F.sum("total").over(Window.partitionBy("ip").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1))
+    starts = changes.groupBy("ip", "bucket").agg(F.sum("change").alias("total")).withColumn("start", F.coalesce(before, F.lit(0)))
+    starts = starts.select(F.col("ip").alias("__ip"), F.col("bucket").alias("__bucket"), "start")
+    inside = F.sum("change").over(Window.partitionBy("ip", "bucket").orderBy("at", "turn", "id").rowsBetween(Window.unboundedPreceding, 0))
+    counted = changes.withColumn("inside", inside).filter("row IS NOT NULL")
+    counted = counted.join(starts, F.col("ip").eqNullSafe(F.col("__ip")) & F.col("bucket").eqNullSafe(F.col("__bucket")))
+    return counted.select("row.*", F.least(F.col("start") + F.col("inside"), F.lit(policy.repeat_strikes)).cast("long").alias("strikes"))
 
 
 def active_blocks(reputation: DataFrame, strikes: DataFrame, now_ms: int) -> DataFrame:

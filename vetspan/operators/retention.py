@@ -20,49 +20,88 @@ def excess(count: Column, capacity: int) -> Column:
     return F.greatest(count - capacity, F.lit(0)).cast("long")
 
 
-def evict(rows: DataFrame, capacity: int, order: Sequence[Column], sorted_rows: int = 100_000, pivots: int = 200) -> DataFrame:
-    """The rows that stay when the first in `order` go until `capacity` are left. `order` has to end with a unique column.
+#: Equal-width bins of one pass, each a row for the driver.
+BINS = 10_000
+#: Stands for null in an order; real values are larger.
+NULL_FIRST = -(1 << 62)
 
-    The boundary is narrowed down: rows are counted between sampled pivots, with map-side sums, and the
-    interval that holds it is divided again until it has at most `sorted_rows` rows, which one task sorts.
-    So no task sorts or numbers the whole table, whatever the capacity.
+
+def keep_last(rows: DataFrame, order: Sequence[Column], limit: int, weight: Column | None = None, sorted_rows: int = 100_000) -> DataFrame:
+    """Rows from the end of `order` while their weights (not negative, null as 0; by default 1) add up to `limit` at most.
+
+    `order` are whole numbers, nulls first. The boundary is found by counting: weights are summed, on the
+    map side, in equal-width bins of the leading column; the bin where the sum passes `limit` is divided
+    again, or, if it is one value, by the next column, until at most `sorted_rows` rows are left, which one
+    task orders. With a leading column of times that is one pass for the range, one for the bins and one
+    for the last rows. Jobs run while the result is declared; they read a persisted copy of order and
+    weight. Of rows that are equal in all of `order` and weight, so many stay as fit.
     """
-    total = rows.count()
-    over = max(total - capacity, 0)
-    if not over:
-        return rows
-    if not capacity:
-        return rows.limit(0)
     names = [f"__order{i}" for i in range(len(order))]
-    keyed = rows.withColumns(dict(zip(names, order, strict=True)))
-    key = F.struct(*names)
-    pool, left, size = keyed.select(key.alias("k")), over, total
-    literal = lambda k: F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(k, pool.schema["k"].dataType, strict=True)])
-    seed = 0
-    while size > sorted_rows:
-        seed += 1
-        picked = sorted_keys(pool.sample(min(1.0, pivots / size), seed=seed).limit(2 * pivots))
-        if not picked:
-            continue
-        marks = F.array(*[literal(k) for k in picked])
-        place = F.size(F.filter(marks, lambda p: p < F.col("k")))
-        counts = dict(pool.groupBy(place.alias("place")).count().collect())  # at most 2 * pivots + 1 rows
-        at = 0
-        while left > counts.get(at, 0):
-            left -= counts.get(at, 0)
-            at += 1
-        if at > 0:
-            pool = pool.filter(F.col("k") > literal(picked[at - 1]))
-        if at < len(picked):
-            pool = pool.filter(F.col("k") <= literal(picked[at]))
-        size = counts[at]
-    edge = pool.orderBy("k").limit(left).agg(F.max("k").alias("edge"))
-    return keyed.join(F.broadcast(edge), key > F.col("edge")).select(rows.columns)
-
-
-def sorted_keys(sample: DataFrame) -> list[tuple]:
-    """The distinct keys k of a bounded sample in Spark's order."""
-    return [tuple(r.k) for r in sample.distinct().orderBy("k").collect()]
+    whole = [F.coalesce(c.cast("long"), F.lit(NULL_FIRST)) for c in order]
+    weighed = F.lit(1).cast("long") if weight is None else F.coalesce(weight.cast("long"), F.lit(0))
+    names, whole = [*names, "__weight"], [*whole, weighed]
+    keyed = rows.withColumns(dict(zip(names, whole, strict=True)))
+    keys = keyed.select(names).persist()
+    told = [F.count(F.lit(1)).alias("n"), F.sum("__weight").alias("w"), *[x for c in names for x in (F.min(c).alias(f"low{c}"), F.max(c).alias(f"high{c}"))]]
+    above = lambda at, values, strict: _beyond(names[: at + 1], values, strict)
+    try:
+        pool, prefix, part = keys, [], keys.agg(*told).first()
+        for at, name in enumerate(names):
+            while True:
+                low, high = part[f"low{name}"], part[f"high{name}"]
+                if (part["w"] or 0) <= limit:
+                    return rows if low is None else keyed.filter(above(at, [*prefix, low], False)).select(rows.columns)
+                if part["n"] <= sorted_rows:
+                    return _last_of(keyed, pool, names, limit, prefix, high, at).select(rows.columns)
+                if low == high:
+                    prefix.append(low)
+                    break
+                width = (high - low) // BINS + 1
+                bins = pool.groupBy(F.expr(f"({name} - {low}L) DIV {width}L").alias("bin")).agg(*told).orderBy(F.desc("bin")).collect()
+                for part in bins:  # noqa: B007
+                    if part["w"] > limit:
+                        break
+                    limit -= part["w"]
+                pool = pool.filter(F.col(name).between(part[f"low{name}"], part[f"high{name}"]))
+        return _of_equals(keyed, names, prefix, limit // prefix[-1]).select(rows.columns)  # a weight of 0 would have fitted
+    finally:
+        keys.unpersist()
+
+
+def _beyond(names: Sequence[str], values: Sequence[int], strict: bool) -> Column:
+    """Whether the columns, compared one after another, are over the values (or equal to them, unless strict)."""
+    out = F.lit(not strict)
+    for name, value in zip(reversed(names), reversed(values), strict=True):
+        out = (F.col(name) > value) | ((F.col(name) == value) & out)
+    return out
+
+
+def _of_equals(keyed: DataFrame, names: Sequence[str], values: Sequence[int], count: int) -> DataFrame:
+    """The rows over the values, and `count` of those equal to them."""
+    equal = F.lit(True)
+    for name, value in zip(names, values, strict=True):
+        equal = equal & (F.col(name) == value)
+    over = keyed.filter(_beyond(names, values, True))
+    return over.unionByName(keyed.filter(equal).limit(count)) if count else over
+
+
+def _last_of(keyed: DataFrame, pool: DataFrame, names: list[str], limit: int, prefix: list[int], high: int, at: int) -> DataFrame:
+    """keep_last where `pool`, a bounded number of rows, holds the boundary."""
+    down = Window.orderBy(*[F.desc(n) for n in names]).rowsBetween(Window.unboundedPreceding, 0)
+    fit = pool.withColumn("__sum", F.sum("__weight").over(down)).filter(F.col("__sum") <= limit).drop("__sum")
+    edge = fit.groupBy(names).count().orderBy(names).first()
+    if edge is None:
+        return keyed.filter(_beyond(names[: at + 1], [*prefix, high], True))
+    values = [edge[n] for n in names]
+    same = pool.filter(F.struct(*names) == F.struct(*[F.lit(v).cast("long").alias(n) for n, v in zip(names, values, strict=True)])).count()
+    if same == edge["count"]:
+        return keyed.filter(_beyond(names, values, False))
+    return _of_equals(keyed, names, values, edge["count"])
+
+
+def evict(rows: DataFrame, capacity: int, order: Sequence[Column], sorted_rows: int = 100_000) -> DataFrame:
+    """The rows that stay when the first in `order` (whole numbers, nulls first) go until `capacity` are left; see keep_last."""
+    return keep_last(rows, order, capacity, None, sorted_rows)
 
 
 def newest(rows: DataFrame, keys: Sequence[str], at: str, count: int, tie: str = "id") -> DataFrame:
@@ -87,21 +126,6 @@ def cascade(children: DataFrame, parents: DataFrame, key: str, parent_key: str =
     return children.join(parents.select(F.col(parent_key).alias("__parent")), F.col(key) == F.col("__parent"), "left_semi")
 
 
-def bytes_until(rows: DataFrame, size: str, limit: int, order: Sequence[Column]) -> DataFrame:
-    """Rows from the end of `order` while their sizes (not negative) add up to `limit` at most, such as files when the oldest go first.
-
-    Sizes are summed per value of the first of `order` with map-side sums, and the running sum is over those
-    sums; rows are numbered only inside the value at which the limit is reached, and the newest one.
-    """
-    keyed = rows.withColumn("__key", order[0])
-    sums = keyed.groupBy("__key").agg(F.sum(size).alias("__size"))
-    above = Window.orderBy(F.desc("__key")).rowsBetween(Window.unboundedPreceding, -1)
-    marks = sums.withColumn("__before", F.sum("__size").over(above))
-    marks = marks.filter(F.coalesce("__before", F.lit(0)) <= limit).withColumnRenamed("__key", "__mark")
-    placed = keyed.join(marks, F.col("__key").eqNullSafe(F.col("__mark")))
-    inside = F.coalesce(F.col("__before") + F.coalesce("__size", F.lit(0)) <= limit, F.lit(False))
-    own = Window.partitionBy("__key").orderBy(*[c.desc() for c in order]).rowsBetween(Window.unboundedPreceding, 0)
-    part = F.sum(size).over(own)
-    total = F.when(F.col("__before").isNull(), part).otherwise(F.col("__before") + F.coalesce(part, F.lit(0)))
-    edge = placed.filter(~inside).withColumn("__sum", total).filter(F.col("__sum") <= limit)
-    return placed.filter(inside).select(rows.columns).unionByName(edge.select(rows.columns))
+def bytes_until(rows: DataFrame, size: str, limit: int, order: Sequence[Column], sorted_rows: int = 100_000) -> DataFrame:
+    """Rows from the end of `order` while their sizes add up to `limit` at most, such as files when the oldest go first; see keep_last."""
+    return keep_last(rows, order, limit, F.col(size), sorted_rows)

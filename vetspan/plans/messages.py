@@ -80,11 +80,14 @@ def src6(spark, sf_dir):
     return new.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count("token_cost").alias("kept"), F.sum("quantity").alias("quantity"))
 
 
-@query("d16_alias_owner", "SELECT concat('a', s_suppkey) AS name, 'a0' AS owner FROM supplier")
+ALIASES = "SELECT s_suppkey AS k, CASE WHEN s_suppkey % 13 = 6 THEN s_suppkey ELSE s_suppkey * 7 // 10 END AS t FROM supplier WHERE s_suppkey % 5 <> 0"
+
+
+@query("d16_alias_owner", f"WITH RECURSIVE steps AS ({ALIASES}), walk AS (SELECT s_suppkey AS start, s_suppkey AS k, 0 AS n FROM supplier UNION ALL SELECT start, t, n + 1 FROM walk JOIN steps USING (k) WHERE n < 200) SELECT concat('a', start) AS name, concat('a', k) AS owner FROM walk WHERE k NOT IN (SELECT k FROM steps)")
 def d16(spark, sf_dir):
-    rows = c.table(spark, sf_dir, "supplier").select(F.expr("concat('a', CAST(s_suppkey AS STRING))").alias("name"), F.expr("concat('a', CAST(s_suppkey DIV 2 AS STRING))").alias("target"))
-    aliases = rows.filter("name <> target")
-    return files.alias_owner(aliases, rows.select("name"))
+    """Chains that end at every fifth supplier or at 0; every thirteenth is an alias of itself."""
+    rows = c.table(spark, sf_dir, "supplier").select("s_suppkey", F.expr("concat('a', CAST(s_suppkey AS STRING))").alias("name"), F.expr("concat('A', CAST(CASE WHEN s_suppkey % 13 = 6 THEN s_suppkey ELSE s_suppkey * 7 DIV 10 END AS STRING))").alias("target"))
+    return files.alias_owner(rows.filter("s_suppkey % 5 <> 0"), rows.select("name"))
 
 
 @query("m18_m20_prompt_sections", "SELECT o_orderkey, concat('From: c', o_custkey, chr(10), 'Priority: ', o_orderpriority, chr(10), chr(10), 'Confidence: ', CASE WHEN o_totalprice / 500000 < 0.8 THEN 'low' ELSE 'high' END) AS prompt FROM orders")

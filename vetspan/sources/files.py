@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.addresses import is_dns_name
+from .tables import stored
 
 
 def read_domain_allowlist(spark: SparkSession, path: str) -> DataFrame:
@@ -24,17 +25,29 @@ def read_aliases(spark: SparkSession, path: str) -> DataFrame:
     return last.filter(F.col("target").rlike(r'^[A-Za-z0-9._+\-]+(@[A-Za-z0-9.\-]+)?$'))
 
 
-def alias_owner(aliases: DataFrame, names: DataFrame, hops: int = 16) -> DataFrame:
-    """name, owner: the end of the chain of aliases from each name, at most `hops` long; cycles have no owner.
+def alias_owner(aliases: DataFrame, names: DataFrame) -> DataFrame:
+    """name, owner: the end of the chain of aliases from each name, however long; names that run into a cycle have no row.
 
-    Every hop is one join of the distinct names that are still on their way with the alias table.
+    Pointers are doubled: a round joins the aliases that haven't reached an end with the aliases they
+    point to and takes over where those point, so a chain of n takes about log2(n) rounds. Aliases that
+    have reached an end aren't joined again. What is on its way when no chain can be that long is in, or
+    leads to, a cycle. `aliases` has one row a name; equal rows count once, null names and targets don't.
     """
-    state = names.select("name", F.lower("name").alias("owner"), F.lit(False).alias("done"))
-    step = aliases.select(F.col("name").alias("__from"), F.lower("target").alias("__to"))
-    for _ in range(hops):
-        moved = state.join(step, F.col("owner") == F.col("__from"), "left")
-        state = moved.select("name", F.coalesce("__to", "owner").alias("owner"), F.col("__to").isNull().alias("done"))
-    return state.filter("done").select("name", "owner")
+    edges = aliases.select(F.lower("name").alias("name"), F.lower("target").alias("owner")).dropna().distinct()
+    ends = edges.select(F.col("name").alias("__name"))
+    start = edges.join(ends, F.col("owner") == F.col("__name"), "left").select("name", "owner", F.col("__name").isNull().alias("done"))
+    pointers = stored(start, "aliases")
+    rounds = max(pointers.count() - 1, 1).bit_length() + 1
+    for _ in range(rounds):
+        open_ = pointers.filter("NOT done")
+        if open_.isEmpty():
+            break
+        there = pointers.select(F.col("name").alias("__at"), F.col("owner").alias("__owner"), F.col("done").alias("__done"))
+        moved = open_.join(there, F.col("owner") == F.col("__at")).select("name", F.col("__owner").alias("owner"), F.col("__done").alias("done"))
+        pointers = stored(pointers.filter("done").unionByName(moved), "aliases")
+    known = pointers.select(F.col("name").alias("__name"), F.col("owner").alias("__owner"), F.col("done").alias("__done"))
+    asked = names.select("name", F.lower("name").alias("__asked")).join(known, F.col("__asked") == F.col("__name"), "left")
+    return asked.filter(F.coalesce("__done", F.lit(True))).select("name", F.coalesce("__owner", "__asked").alias("owner"))
 
 
 def day_parts(at_ms: Column) -> list[Column]:

@@ -33,9 +33,9 @@ def is_dns_name(name: Column, underscore: bool = False) -> Column:
 
 
 def parent_domains(domain: Column) -> Column:
-    """The domain and all its parents down to the last label."""
-    parts = F.split(domain, r"\.")
-    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), "."))
+    """The domain and all its parents down to the last label; one of over 253 characters, which is no name of a host, stands alone."""
+    parts = F.split(F.when(F.length(domain) <= 253, domain), r"\.")
+    return F.when(F.length(domain) > 253, F.array(domain)).otherwise(F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, i, F.size(parts)), ".")))
 
 
 def within_domain(host: Column, domain: Column) -> Column:

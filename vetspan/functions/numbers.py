@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import let
+from .core import let, without_end
 
 DAY = 86_400_000
 
@@ -123,6 +123,6 @@ def script_interpreter(content: Column) -> Column:
 
 def blocked_extension(name: Column, blocked: tuple[str, ...]) -> Column:
     """The last extension of a file name that is in the list; earlier ones count too, as in report.exe.txt; null for none."""
-    parts = F.split(F.lower(F.regexp_replace(name, r"[\s.]+$", "")), r"\.")
+    parts = F.split(F.lower(without_end(name, r"\s.")), r"\.")
     found = F.filter(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda e: F.trim(e).isin(*blocked))
     return F.trim(F.element_at(F.when(F.size(found) > 0, found), -1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .core import let
+from .core import let, through_last, without_end
 
 #: Format characters that pad text invisibly, besides white space.
 PADDING_FORMAT = r"\x{00AD}\x{034F}\x{061C}\x{180E}\x{200B}-\x{200F}\x{2060}-\x{2064}\x{FEFF}"
@@ -44,11 +44,12 @@ def is_padding_only(text: Column) -> Column:
 
 def compact_padding(text: Column) -> Column:
     """Runs of 32 or more padding characters that hold a format character keep their first eight."""
-    return F.regexp_replace(text, f"(?=[{SPACES}]*[{PADDING_FORMAT}])({PADDING}{{8}}){PADDING}{{24,}}", "$1")
+    return F.regexp_replace(text, f"(?<!{PADDING})(?=[{SPACES}]*+[{PADDING_FORMAT}])({PADDING}{{8}}){PADDING}{{24,}}+", "$1")
 
 
 def without_reserved_tags(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?iu)</?[ \t\n\r\f]*(?:{'|'.join(RESERVED_TAGS)})(?![A-Za-z0-9_])[^>]*>", "")
+    tag = rf"(?iu)</?[ \t\n\r\f]*+(?:{'|'.join(RESERVED_TAGS)})(?![A-Za-z0-9_])[^>]*+>"
+    return let(through_last(text, ">"), lambda h: F.concat(F.regexp_replace(h, tag, ""), F.substring(text, F.length(h) + 1, F.length(text))))
 
 
 def body_text(text: Column) -> Column:
@@ -129,7 +130,7 @@ def lines(text: Column) -> Column:
 
 def smtp_identity(text: Column) -> Column:
     """Trimmed and without controls, at most 255 characters; "unknown", in brackets or not, is empty."""
-    clean = F.regexp_replace(F.regexp_replace(F.make_valid_utf8(text), r"\p{Cc}", ""), f"^[{SPACES}]+|[{SPACES}]+$", "")
+    clean = without_end(F.regexp_replace(F.regexp_replace(F.make_valid_utf8(text), r"\p{Cc}", ""), f"^[{SPACES}]+", ""), SPACES)
     return let(clean, lambda c: F.when(F.lower(c).isin("unknown", "[unknown]"), "").otherwise(F.left(c, F.lit(255))))
 
 
@@ -155,7 +156,7 @@ PLAIN_URL = r"""(?i)https?://[^ \t\n\f\r<>"']+"""
 
 def _address(found: Column) -> Column:
     """A match of PLAIN_URL without final punctuation and an unopened closing bracket."""
-    end = r"[.,;:!?]+$"
+    end = ".,;:!?"
 
     def balanced(u: Column, pairs: tuple[str, ...]) -> Column:
         if not pairs:
@@ -165,11 +166,11 @@ def _address(found: Column) -> Column:
         def of(x: Column) -> Column:
             count = lambda c: F.length(x) - F.length(F.replace(x, F.lit(c), F.lit("")))
             extra = F.endswith(x, F.lit(closing)) & (count(closing) > count(opening))
-            return balanced(F.when(extra, F.regexp_replace(F.left(x, F.length(x) - 1), end, "")).otherwise(x), pairs[1:])
+            return balanced(F.when(extra, without_end(F.left(x, F.length(x) - 1), end)).otherwise(x), pairs[1:])
 
         return let(u, of)
 
-    return balanced(F.regexp_replace(found, end, ""), ("()", "[]", "{}"))
+    return balanced(without_end(found, end), ("()", "[]", "{}"))
 
 
 def urls(text: Column) -> Column:
@@ -195,10 +196,15 @@ def comment_statistics(html: Column) -> Column:
 
     A comment is within a word where a letter or digit stands right before and right behind it.
     """
-    plain = r"(?s)<!--(?!>|->|\s*\[if\b|\s*<!\[)(.*?)-->"
-    inner = F.regexp_extract_all(html, F.lit(plain), F.lit(1))
-    split = F.regexp_count(html, F.lit(r"(?s)(?<=[\p{L}\p{N}])" + plain[4:] + r"(?=[\p{L}\p{N}])"))
-    return F.struct(F.aggregate(inner, F.lit(0), lambda s, x: s + F.length(x)).alias("characters"), split.alias("within_words"))
+    plain = r"(?s)([\p{L}\p{N}]?+)<!--(?!>|->|\s*+\[if\b|\s*+<!\[)(?>(.*?)-->)"
+
+    def of(closed: Column) -> Column:
+        before, inner = (F.regexp_extract_all(closed, F.lit(plain), F.lit(i)) for i in (1, 2))
+        behind = F.regexp_extract_all(F.left(html, F.length(closed) + 1), F.lit(plain + r"(?=([\p{L}\p{N}]?))"), F.lit(3))
+        split = F.size(F.filter(F.zip_with(before, behind, lambda a, b: (a != "") & (b != "")), lambda x: x)).cast("long")
+        return F.struct(F.aggregate(inner, F.lit(0), lambda s, x: s + F.length(x)).alias("characters"), split.alias("within_words"))
+
+    return F.when(html.isNotNull(), let(through_last(html, "-->"), of))
 
 
 def processed_body(body: Column, stripped: Column, concealed: Column, incomplete: Column, limit: int) -> Column:

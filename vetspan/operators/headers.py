@@ -11,7 +11,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.addresses import domain_of, normalised, parent_domains
-from ..functions.core import let
+from ..functions.core import let, through_last, without_end
 
 
 def head(raw: Column) -> Column:
@@ -52,7 +52,7 @@ def mailboxes(text: Column, limit: int = 100) -> Column:
     Quoted names and comments in brackets don't count, so an address inside them isn't taken.
     """
     bare = F.regexp_replace(F.regexp_replace(text, r'"(?:[^"\\]|\\.)*+"', ""), r"\([^()]*\)", "")
-    found = F.regexp_extract_all(bare, F.lit(r"[^\s<>,;:\"]+@[^\s<>,;:\"]+"), F.lit(0))
+    found = F.filter(F.split(bare, r"[\s<>,;:\"]++"), lambda t: F.contains(F.substring(t, F.lit(2), F.length(t) - 2), F.lit("@")))
     clean = F.filter(F.transform(found, lambda a: normalised(F.regexp_replace(a, r"\.$", ""))), lambda a: a != "")
     return F.array_sort(F.slice(F.array_distinct(clean), 1, limit))
 
@@ -60,12 +60,12 @@ def mailboxes(text: Column, limit: int = 100) -> Column:
 def names_protected_domain(text: Column, domains: tuple[str, ...]) -> Column:
     """Whether any address in a From value, well formed or not, is of a protected domain or below it."""
     found = F.regexp_extract_all(text, F.lit(r"@([A-Za-z0-9.\-]+)"), F.lit(1))
-    return F.exists(found, lambda d: F.arrays_overlap(parent_domains(F.lower(F.regexp_replace(d, r"\.+$", ""))), F.array(*[F.lit(x) for x in domains])))
+    return F.exists(found, lambda d: F.arrays_overlap(parent_domains(F.lower(without_end(d, "."))), F.array(*[F.lit(x) for x in domains])))
 
 
 def empty_group(to: Column) -> Column:
     """Whether To is a group without members, such as "undisclosed-recipients:;"."""
-    return to.rlike(r"^\s*[^:;@<>]+:\s*;\s*$")
+    return to.rlike(r"^[^:;@<>]++:\s*+;\s*+$")
 
 
 def resolved(link: Column, base: Column) -> Column:
@@ -76,7 +76,7 @@ def resolved(link: Column, base: Column) -> Column:
     clean = F.regexp_replace(F.trim(link), r"[\r\n\t\x00]", "")
     scheme = F.regexp_extract(base, r"^(https?:)//", 1)
     host = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.regexp_extract(base, r"^https?://[^/?#]+(/[^?#]*)?", 1), r"[^/]*$", "")
+    folder = F.regexp_replace(F.regexp_extract(base, r"^https?://[^/?#]+(/[^?#]*)?", 1), r"(?<![^/])[^/]*+$", "")
     path = F.concat(host, F.when(folder == "", "/").otherwise(folder), clean)
     target = F.when(clean.rlike(r"(?i)^(?:https?://[^/?#\s]+|mailto:|tel:)"), clean).when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None)).when(host == "", F.lit(None)).when(F.startswith(clean, F.lit("//")), F.concat(scheme, clean)).when(F.startswith(clean, F.lit("/")), F.concat(host, clean)).when(clean.rlike("^[?#]"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), clean)).otherwise(path)
     return F.when(~F.regexp_like(F.coalesce(F.regexp_extract(target, r"^https?://([^/?#]*)", 1), F.lit("")), F.lit(r"[\x01-\x20\x7f]")), target)
@@ -84,7 +84,7 @@ def resolved(link: Column, base: Column) -> Column:
 
 def base_address(html: Column, page: Column) -> Column:
     """What relative links of a page are resolved against: the first <base> with href decides, null if that isn't an absolute http(s) address; without one the page's own address."""
-    tags = F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<base(?=[\s/>])[^>]*>"), F.lit(0)), lambda t: F.regexp_like(t, F.lit(r"(?i)[\s/]href\s*=")))
+    tags = F.filter(F.regexp_extract_all(through_last(html, ">"), F.lit(r"(?i)<base(?=[\s/>])[^>]*+>"), F.lit(0)), lambda t: F.regexp_like(t, F.lit(r"(?i)[\s/]href\s*=")))
     href = r"""(?i)[\s/]href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))"""
 
     def of(first: Column) -> Column:

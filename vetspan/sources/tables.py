@@ -5,11 +5,10 @@ from __future__ import annotations
 import json
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.utils import AnalysisException
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -54,31 +53,35 @@ class Snapshots:
         names = [s.getPath().getName() for s in self._fs.listStatus(place)]
         return sorted(int(n.removesuffix(".json")) for n in names if n.endswith(".json"))
 
-    def manifest(self, version: int | None = None) -> dict[str, dict[str, str]]:
-        """For each table the folder and the schema (as text) of a version, by default of the last; none before the first."""
+    def manifest(self, version: int | None = None) -> dict[str, dict]:
+        """For each table the folders and the schema (as text) of a version, by default of the last; none before the first."""
         found = self.versions()
         if version is None:
             version = found[-1] if found else None
         if version is None:
             return {}
         if version not in found:
-            raise AnalysisException(f"no version {version} in {self.folder}")
+            raise ValueError(f"no version {version} in {self.folder}")
         (row,) = self.spark.read.text(f"{self.folder}/manifests/{version:010d}.json", wholetext=True).collect()
         return json.loads(row.value)
 
     def read(self, version: int | None = None) -> dict[str, DataFrame]:
         """All tables of one version."""
-        return {name: self.spark.read.schema(t["schema"]).parquet(t["folder"]) for name, t in self.manifest(version).items()}
+        return {name: self.spark.read.schema(t["schema"]).parquet(*t["folders"]) for name, t in self.manifest(version).items()}
 
-    def publish(self, tables: dict[str, DataFrame], based_on: int | None = None) -> int:
-        """Write the given tables, keep the others of the version they are based on (by default the last), publish all as the next version."""
+    def publish(self, tables: dict[str, DataFrame], based_on: int | None = None, appended: dict[str, DataFrame] | None = None) -> int:
+        """Write the given tables and the rows appended to others, keep the rest of the version they are based on (by default the last), publish all as the next version."""
         found = self.versions()
         base = based_on if based_on is not None else (found[-1] if found else 0)
         manifest = self.manifest(base) if base else {}
-        for name, rows in tables.items():
-            folder = f"{self.folder}/rows/{name}-{uuid.uuid4().hex}"
-            rows.write.parquet(folder)
-            manifest[name] = {"folder": folder, "schema": _ddl(rows)}
+        for new, more in ((tables, False), (appended or {}, True)):
+            for name, rows in new.items():
+                before = manifest[name]["folders"] if more and name in manifest else []
+                if before:
+                    rows = rows.select(self.spark.createDataFrame([], manifest[name]["schema"]).columns)
+                folder = f"{self.folder}/rows/{name}-{uuid.uuid4().hex}"
+                rows.write.parquet(folder)
+                manifest[name] = {"folders": [*before, folder], "schema": _ddl(rows)}
         return self._publish(manifest, base + 1)
 
     def _publish(self, manifest: dict, version: int) -> int:
@@ -111,7 +114,7 @@ class Snapshots:
         """
         for version in self.versions()[:-keep]:
             self._fs.delete(self._path(f"{self.folder}/manifests/{version:010d}.json"), False)
-        named = {t["folder"].rsplit("/", 1)[1] for v in self.versions() for t in self.manifest(v).values()}
+        named = {f.rsplit("/", 1)[1] for v in self.versions() for t in self.manifest(v).values() for f in t["folders"]}
         place = self._path(f"{self.folder}/rows")
         old = [s.getPath() for s in self._fs.listStatus(place) if s.getPath().getName() not in named] if self._fs.exists(place) else []
         for path in old:
@@ -122,13 +125,3 @@ class Snapshots:
 def _ddl(rows: DataFrame) -> str:
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
 
-
-def run_steps(tables: dict[str, DataFrame], steps: list[tuple[str, Callable[[dict[str, DataFrame]], dict[str, DataFrame]]]]) -> dict[str, int]:
-    """Apply steps to the tables in order, each on what those before left; gives how many rows of each table a step changed the count by."""
-    told = {}
-    for name, step in steps:
-        for table, rows in step(tables).items():
-            before = tables[table].count()
-            tables[table] = stored(rows, f"step-{table}")
-            told[f"{name}.{table}"] = tables[table].count() - before
-    return told

@@ -125,7 +125,7 @@ def annotations(text: Column) -> Column:
 
 def lines(text: Column) -> Column:
     """Trimmed lines that aren't empty."""
-    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\r\n?", "\n"), "\n"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def smtp_identity(text: Column) -> Column:

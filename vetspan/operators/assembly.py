@@ -33,11 +33,11 @@ def assemble(parts: DataFrame) -> DataFrame:
     Parts with text, links, image references or images are joined with a blank line between. stripped is
     the text without concealed content: that of all parts where none conceals any, else the stripped text
     of each part, and the whole text of parts that conceal none. Links and references are distinct and
-    capped over the message; counts are summed, flags hold for any part. Nulls are empty, equal positions
+    capped over the message; counts are summed, flags hold for any part. Nulls and missing columns are empty, equal positions
     are ordered by their columns, other columns are left out. One message is one row: bound its parts
     before (the original takes messages of 10 MiB).
     """
-    filled = [F.coalesce(F.col(c), F.expr(d)).alias(c) for c, d in PART.items()]
+    filled = [(F.coalesce(F.col(c), F.expr(d)) if c in parts.columns else F.expr(d)).alias(c) for c, d in PART.items()]
     rows = parts.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("position", *filled))).alias("parts"))
     full = F.filter("parts", lambda p: (F.trim(p["text"]) != "") | (F.size(p["links"]) > 0) | (F.size(p["image_refs"]) > 0) | (p["images"] > 0))
     joined = lambda name: F.array_join(F.transform("full", lambda p: p[name]), "\n\n")
@@ -166,7 +166,7 @@ def prompts(messages: DataFrame, limit: int) -> DataFrame:
     omitted = F.when(F.col("omitted") > 0, F.concat(F.lit("- "), F.col("omitted").cast("string"), F.lit(" inline image"), F.when(F.col("omitted") == 1, "").otherwise("s"), F.lit(IMAGES_OMITTED))).otherwise("")
     lines = [F.when(flags[n], LIMITATIONS[n]).otherwise("") for n in LIMITATIONS]
     limits = F.concat(*lines[:5], omitted, *lines[5:])
-    links = F.filter(F.transform(text.capped_links(F.coalesce("links", F.expr(NO_TEXTS))), F.trim), lambda u: ~F.contains(body, u) & ~F.contains(body, text.markdown_url(u)))
+    links = F.filter(F.transform(text.capped_links(F.coalesce("links", F.expr(NO_TEXTS))), lambda u: F.trim(u)), lambda u: ~F.contains(body, u) & ~F.contains(body, text.markdown_url(u)))
     listed = F.array_join(F.transform(links, lambda u: F.concat(F.lit("- "), text.header_value(u), F.lit("\n"))), "")
     given = F.when(F.size("chosen") > 0, F.concat(F.lit("\nINLINE EMAIL IMAGES: "), F.size("chosen").cast("string"), F.lit(IMAGES_GIVEN))).otherwise("")
     headed = lambda heading, rest: let(rest, lambda r: F.when(r == "", "").otherwise(F.concat(F.lit(HEADINGS[heading]), r)))

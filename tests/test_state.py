@@ -65,7 +65,7 @@ def test_stream_equals_batch(spark, tmp_path):
     for part in (EVENTS[:4], EVENTS[4:]):
         frame(spark, sorted(part, key=lambda e: e[1])).coalesce(1).write.mode("append").json(str(source))
     events = spark.readStream.schema("ip string, at_ms long, id long, kind string").option("maxFilesPerTrigger", 1).json(str(source))
-    query = reputation_stream(events, POLICY).writeStream.outputMode("update").format("memory").queryName("addresses").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query = reputation_stream(events, POLICY, late=None).writeStream.outputMode("update").format("memory").queryName("addresses").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     query.awaitTermination(120)
     query.stop()
     last = {}
@@ -78,6 +78,20 @@ def test_stream_equals_batch(spark, tmp_path):
     assert last["a"].strikes == whole["a"].strikes
 
 
+def test_dead_addresses_leave_the_stream(spark, tmp_path):
+    source, rows = tmp_path / "in", []
+    parts = [[(f"old{i}", i + 1, i, "rejection") for i in range(40)], [("live", 20 * DAY, 100, "rejection"), ("old7", 20 * DAY, 101, "rejection")], [("live", 20 * DAY + 1, 102, "attempt")], [("live", 21 * DAY, 103, "legitimate")]]
+    for part in parts:
+        frame(spark, part).coalesce(1).write.mode("append").json(str(source))
+    events = spark.readStream.schema("ip string, at_ms long, id long, kind string").option("maxFilesPerTrigger", 1).json(str(source))
+    query = reputation_stream(events, POLICY, "1 hour").writeStream.outputMode("update").format("memory").queryName("dying").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    query.stop()
+    assert max(rows) >= 40 > 12 >= rows[-1]  # a state and a timer for each address that lives
+    assert {r.ip for r in spark.sql("SELECT DISTINCT ip FROM dying").collect()} == {*(f"old{i}" for i in range(40)), "live"}
+
+
 @pytest.mark.parametrize(
     ("row", "action", "result"),
     [
@@ -136,7 +150,7 @@ def test_bytes_until_sums_per_key(spark):
         assert {(r.day, r.id) for r in kept.collect()} == want, limit
     plan = kept._jdf.queryExecution().optimizedPlan().toString()
     windows = [line for line in plan.splitlines() if "windowspecdefinition" in line]
-    assert windows and all("windowspecdefinition(__key" in w and "DESC" in w.split("windowspecdefinition(__key")[1] and ", day" in w or "sum(__size" in w for w in windows)
+    assert all("windowspecdefinition(__key" in w and "DESC" in w.split("windowspecdefinition(__key")[1] and ", day" in w or "sum(__size" in w for w in windows)
 
 
 def test_first_addresses_hold_one_row_per_role(spark, data):

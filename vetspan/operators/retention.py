@@ -127,5 +127,13 @@ def cascade(children: DataFrame, parents: DataFrame, key: str, parent_key: str =
 
 
 def bytes_until(rows: DataFrame, size: str, limit: int, order: Sequence[Column], sorted_rows: int = 100_000) -> DataFrame:
-    """Rows from the end of `order` while their sizes add up to `limit` at most, such as files when the oldest go first; see keep_last."""
-    return keep_last(rows, order, limit, F.col(size), sorted_rows)
+    """Rows from the end of `order` while their sizes add up to `limit` at most, such as files when the oldest go first; see keep_last.
+
+    A null size adds nothing; before the first row with a size there is no sum, and such rows don't stay.
+    """
+    names = [f"__by{i}" for i in range(len(order))]
+    keyed = rows.withColumns({n: F.coalesce(c.cast("long"), F.lit(NULL_FIRST)) for n, c in zip(names, order, strict=True)})
+    unsized, newest = keyed.agg(F.count_if(F.col(size).isNull()), F.max(F.when(F.col(size).isNotNull(), F.struct(*names)))).first()
+    if unsized:
+        keyed = keyed.filter(~_beyond(names, list(newest), True)) if newest else keyed.limit(0)
+    return keep_last(keyed, [F.col(n) for n in names], limit, F.col(size), sorted_rows).select(rows.columns)

@@ -594,3 +594,11 @@ def test_hashes_that_agree_without_their_words(monkeypatch):
     texts = ["a b c d e f g h i j k a b c d e f g h", "a b c d e f g h i j k l m n o p"]
     got = repetition.measure(pa.array(texts), repetition.RepetitionRules())
     assert [len(brute_repetition(t, 8)[1]) for t in texts] == got["n_repeat_words"].tolist() == [16, 0]
+
+
+def test_of_equally_similar_licence_files_the_smaller_path_counts(spark):
+    rows = [("a/COPYING", "Apache-2.0", 1.0), ("a/LICENSE", "MIT", 1.0), ("b/LICENSE", "Zlib", 0.9), ("b/COPYING", "Apache-2.0", 0.8), ("c/LICENSE", "MIT", 1.0), ("c/LICENSE", "BSD-3-Clause", 1.0), ("LICENSE", "ISC", 0.8)]
+    rows += [(f"{d}/x/{i}.txt", None, None) for d in "abcd" for i in range(3)] + [(None, None, None)]
+    tree = spark.createDataFrame([(*r, 0) for r in rows], "path string, own_licence string, own_cosine double, own_line long")
+    got = {(r.path or "-").split("/")[0]: r.licence for r in licences.inherit_licences(tree).collect() if r.own_licence is None}
+    assert got == {"a": "Apache-2.0", "b": "Zlib", "c": "BSD-3-Clause", "d": "ISC", "-": "ISC"}

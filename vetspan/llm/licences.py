@@ -245,13 +245,15 @@ def inherit_licences(scanned: DataFrame, path_col: str = "path") -> DataFrame:
     path = F.coalesce(F.col(path_col), F.lit(""))
     placed = scanned.withColumn("__vs_dir", F.regexp_replace(path, r"/?[^/]*$", ""))
     stated = placed.filter(F.col("own_licence").isNotNull() & F.regexp_like(F.regexp_extract(path, r"[^/]*$", 0), F.lit(LICENCE_FILE)))
-    best = F.max(F.struct(F.col("own_cosine"), F.col("own_licence").alias("l"))).alias("top")
+    best = F.min(F.struct(-F.col("own_cosine"), path.alias("p"), F.col("own_licence").alias("l"))).alias("top")
     homes = stated.groupBy(F.col("__vs_dir").alias("home")).agg(best).select("home", F.col("top.l").alias("l"))
     dirs = placed.groupBy("__vs_dir").agg(F.count(F.lit(1)).alias("__vs_n"))
     parts = F.split("__vs_dir", "/")
     above = dirs.select("__vs_dir", "__vs_n", F.explode(F.sequence(F.lit(0), F.size(parts))).alias("depth"))
     above = above.withColumn("home", F.array_join(F.slice(F.split("__vs_dir", "/"), F.lit(1), F.col("depth")), "/"))
-    nearest = above.join(homes, "home").groupBy("__vs_dir").agg(F.max("__vs_n").alias("__vs_n"), F.max(F.struct("depth", "l", "home")).alias("__vs_near"))
+    above = written(above, "licence-above")  # a directory near the top stands above many others
+    sized = written(homes.join(above.groupBy("home").agg(F.count(F.lit(1)).alias("n")), "home"), "licence-homes")
+    nearest = skewed_join(above, sized, ["home"], "n").drop("n").groupBy("__vs_dir").agg(F.max("__vs_n").alias("__vs_n"), F.max(F.struct("depth", "l", "home")).alias("__vs_near"))
     out = skewed_join(placed, written(nearest, "licence-directories"), ["__vs_dir"], "__vs_n", "left")
     own, near = F.col("own_licence").isNotNull(), F.col("__vs_near")
     return out.withColumns({

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from vetspan.llm import exact_dedup, near_dedup, packing, pseudonyms, toxicity
 from vetspan.llm.queries import DEMO_KEY, table, tokenizer_file, toxicity_model
 from vetspan.llm.shared import written
 
+#: Setting of the session that holds the key of pseudonyms.
+SECRET = "spark.vetspan.pseudonymSecret"
 #: Near copies: five-word shingles, similarity of 0.8 or more.
 NEAR = near_dedup.Similarity(words=5, percent=80)
 
@@ -21,7 +25,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of rows with equal texts, that with the largest doc_id; null texts equal empty ones."""
+    """Of rows with equal texts, that with the largest doc_id (of repeated rows one); null texts equal empty ones; an empty table stays empty."""
     return exact_dedup.drop_copies(docs)
 
 
@@ -33,9 +37,14 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, personal values replaced by pseudonyms; n_chars follows where the text's length changes.
 
-    The key is the session's spark.vetspan.pseudonymKey, or that of the demonstration. A null text or n_chars stays null.
+    The key is the session's spark.vetspan.pseudonymSecret (Spark hides settings of such names in its pages
+    and logs). Without it the key of the demonstration is used, with a warning: it stands in this source, so
+    its pseudonyms can be undone by anyone. A null text or n_chars stays null.
     """
-    key = spark.conf.get("spark.vetspan.pseudonymKey", DEMO_KEY)
+    key = spark.conf.get(SECRET, None)
+    if not key:
+        warnings.warn(f"{SECRET} isn't set: the pseudonyms use the key of the demonstration and protect nobody", stacklevel=2)
+        key = DEMO_KEY
     marked = pseudonyms.pseudonymise(docs.withColumn("__vs_length", F.length("text")), key, found_col=None)
     if "n_chars" in docs.columns:
         change = F.coalesce(F.length("text") - F.col("__vs_length"), F.lit(0))
@@ -44,7 +53,7 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the documents in sequences of at most 2048 tokens."""
+    """Pieces of the documents in sequences of at most 2048 tokens; a null text is an empty document of one token, an empty table has no piece."""
     return packing.pack_documents(docs, tokenizer_file("word_bpe_49k.json"))
 
 
@@ -55,6 +64,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of the documents that all stages kept, from the table of documents; each stage's rows are written before the next reads them."""
     docs = table(spark, sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -121,3 +123,30 @@ def outcome_of(action: Column, response_failed: Column) -> Column:
 def event_type_of(incomplete: Column, resource_limited: Column, limit_action: Column) -> Column:
     """Event type of an analysed message: incomplete inspection first, then a resource limit by its action, else a scan."""
     return F.when(incomplete, INCOMPLETE).when(resource_limited & (limit_action == "dos-reject"), DOS).when(resource_limited & (limit_action == "reject"), LIMIT).otherwise(SCAN)
+
+
+def table_counts(tables: dict[str, DataFrame]) -> DataFrame:
+    """name and n, the number of rows, of each table; each is counted on the map side."""
+    parts = [rows.agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n") for name, rows in tables.items()]
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def comparison_report(records: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What two readings of the same messages have in common: totals (one row), by method and by category.
+
+    `records` are category, metadata_complete, error, and methods: a map from method to struct<compared,
+    outcome_match, details_match>. A message without an error counts as compared. A compared method whose
+    outcomes don't match is different, one whose outcomes match and details don't is different in details,
+    and so is a message that has such a method. Null flags are false, empty errors none. Maps are reduced
+    within their row, so each report is one grouping with sums on the map side.
+    """
+    flag = lambda x, name: F.coalesce(x[name], F.lit(False))
+    outcomes = lambda m: flag(m, "compared") & ~flag(m, "outcome_match")
+    details = lambda m: flag(m, "compared") & flag(m, "outcome_match") & ~flag(m, "details_match")
+    any_of = lambda rule: F.coalesce(F.exists(F.map_values("methods"), rule), F.lit(False))
+    rows = records.select("category", "methods", F.coalesce("metadata_complete", F.lit(False)).alias("complete"), (F.coalesce("error", F.lit("")) != "").alias("failed"), any_of(outcomes).alias("different"), any_of(details).alias("detail_different"))
+    n = F.count(F.lit(1)).alias("messages")
+    totals = rows.agg(n, F.count_if(~F.col("failed")).alias("compared"), F.count_if(~F.col("complete")).alias("metadata_incomplete"), F.count_if("failed").alias("errors"), F.count_if("different").alias("different"), F.count_if("detail_different").alias("detail_different"))
+    each = rows.select(F.explode("methods").alias("method", "m")).filter(flag(F.col("m"), "compared"))
+    methods = each.groupBy("method").agg(F.count(F.lit(1)).alias("compared"), F.count_if(outcomes(F.col("m"))).alias("different"), F.count_if(details(F.col("m"))).alias("detail_different"))
+    return totals, methods, rows.groupBy("category").agg(n, F.count_if("different").alias("different"), F.count_if("failed").alias("errors"))

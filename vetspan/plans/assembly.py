@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import assembly, correspondents, domains, maintenance, reputation
+from ..operators import activity as act
+from ..operators import assembly, blocklist, correspondents, domains, histories, maintenance, reputation
 from . import carriers as c
 from .carriers import DAY, ORDERS_NOW, sql
 
@@ -180,7 +181,7 @@ LIVE = f"SELECT id FROM {{rejections}} WHERE rejected_at_ms >= {{orders_now}} -
 
 @query("st28_cleanup_of_all_tables", sql(f"""
 WITH kept AS ({LIVE}), trusted AS (SELECT 1 FROM {{correspondents}} WHERE last_activity_at_ms >= {{orders_now}} - {KEPT.trust.stale_ms} LIMIT 300),
-blocks AS (SELECT 1 FROM {{blocklist}} WHERE expires_at_ms > {{orders_now}} LIMIT 30), ends AS (SELECT 1 FROM customer WHERE c_custkey % 40 - 20 >= -10 LIMIT 25)
+blocks AS (SELECT 1 FROM {{blocklist}} WHERE expires_at_ms > {{orders_now}} LIMIT 30), ends AS (SELECT 1 FROM customer WHERE c_custkey % 11 <> 0 AND c_custkey % 40 - 20 >= -10 LIMIT 25)
 SELECT name, CAST(n AS BIGINT) AS remaining, CAST(total - n AS BIGINT) AS removed FROM (
   SELECT 'rejections' AS name, (SELECT count(*) FROM kept) AS n, (SELECT count(*) FROM {{rejections}}) AS total
   UNION ALL SELECT 'rejection_recipients', (SELECT count(*) FROM {{rejection_recipients}} WHERE rejection_id IN (SELECT id FROM kept)), (SELECT count(*) FROM {{rejection_recipients}})
@@ -191,12 +192,83 @@ SELECT name, CAST(n AS BIGINT) AS remaining, CAST(total - n AS BIGINT) AS remove
   UNION ALL SELECT 'strikes', 0, (SELECT count(*) FROM {{strikes}} WHERE struck_at_ms < {{orders_now}}))"""))
 def st28(spark, sf_dir):
     """All tables of the state at the clock of the orders; what struck later isn't there yet."""
-    ends = c.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr("concat('d', CAST(c_custkey AS STRING), '.example')").alias("domain"), F.lit(0).cast("long").alias("registered_at_ms"), F.expr(f"{ORDERS_NOW} + (c_custkey % 40 - 20) * {DAY}").alias("expires_at_ms"))
     tables = {
         "reputation": c.reputation(spark, sf_dir).filter(F.col("last_activity_at_ms") < ORDERS_NOW), "strikes": c.strikes(spark, sf_dir).filter(F.col("struck_at_ms") < ORDERS_NOW), "correspondents": c.correspondents(spark, sf_dir),
-        "rejections": c.rejections(spark, sf_dir), "rejection_recipients": c.rejection_recipients(spark, sf_dir), "domains": ends, "blocklist": c.blocklist(spark, sf_dir),
+        "rejections": c.rejections(spark, sf_dir), "rejection_recipients": c.rejection_recipients(spark, sf_dir), "domains": registrations(spark, sf_dir), "blocklist": c.blocklist(spark, sf_dir),
     }
     _, counts, failed = maintenance.clean_all(tables, KEPT, ORDERS_NOW)
     if failed:
         raise RuntimeError(f"parts of the clean-up failed: {failed}")
     return spark.createDataFrame([(n, left, gone) for n, (gone, left) in counts.items()], "name string, remaining long, removed long")
+
+
+@query("a5_counts_of_all_tables", sql("SELECT 'reputation' AS name, count(*) AS n FROM {reputation} UNION ALL SELECT 'strikes', count(*) FROM {strikes} UNION ALL SELECT 'activity', count(*) FROM {activity} UNION ALL SELECT 'correspondents', count(*) FROM {correspondents} UNION ALL SELECT 'rejections', count(*) FROM {rejections} UNION ALL SELECT 'domains', count(*) FROM customer UNION ALL SELECT 'blocklist', count(*) FROM {blocklist}"))
+def a5(spark, sf_dir):
+    made = {"reputation": c.reputation, "strikes": c.strikes, "activity": c.activity, "correspondents": c.correspondents, "rejections": c.rejections, "domains": registrations, "blocklist": c.blocklist}
+    return act.table_counts({n: f(spark, sf_dir) for n, f in made.items()})
+
+
+def registrations(spark, sf_dir):
+    """A domain's registration for each customer; they end within twenty days about the clock."""
+    ends = F.expr(f"CASE WHEN c_custkey % 11 = 0 THEN NULL ELSE {ORDERS_NOW} + (c_custkey % 40 - 20) * {DAY} END")
+    return c.table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"), F.expr("concat('d', CAST(c_custkey AS STRING), '.example')").alias("domain"), F.lit(0).cast("long").alias("registered_at_ms"), ends.alias("expires_at_ms"))
+
+
+@query("st17_domain_cleanup", sql(f"SELECT c_custkey AS id, expires_at_ms FROM (SELECT c_custkey, {{orders_now}} + (c_custkey % 40 - 20) * {DAY} AS expires_at_ms FROM customer WHERE c_custkey % 11 <> 0) WHERE expires_at_ms >= {{orders_now}} - {10 * DAY} ORDER BY expires_at_ms DESC, id DESC LIMIT 60"))
+def st17(spark, sf_dir):
+    return histories.clean_domains(registrations(spark, sf_dir), ORDERS_NOW, 10 * DAY, 60).select("id", "expires_at_ms")
+
+
+MADE = "CASE WHEN id % 21 = 0 THEN '*' ELSE local_address END AS recipient, CAST(1 + id % 2 AS INT) AS sender_kind, correspondent AS sender_value"
+EXPIRES = f"{ORDERS_NOW} + (id % 9 - 3) * {DAY} AS expires_at_ms"
+
+
+@query("st21_conflicts_both_ways", sql(f"""
+WITH rules AS (SELECT id, {MADE}, {EXPIRES} FROM {{correspondents}} WHERE id % 7 = 0), exact AS (SELECT * FROM rules WHERE sender_kind = 1)
+SELECT 'trust' AS kind, local_address AS address, count(*) AS n FROM {{correspondents}} t WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.expires_at_ms > {{orders_now}} AND e.sender_value = t.correspondent AND (e.recipient = '*' OR e.recipient = t.local_address)) GROUP BY local_address
+UNION ALL SELECT 'rules', recipient, count(*) FROM rules r WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM {{correspondents}} WHERE id % 5 = 0) t WHERE r.sender_kind = 1 AND r.recipient = t.local_address AND r.sender_value = t.correspondent) GROUP BY recipient"""))
+def st21(spark, sf_dir):
+    """What is left of all trust beside rules against some of it, and of those rules when a part of the trust is given anew."""
+    known = c.correspondents(spark, sf_dir)
+    rules = known.filter("id % 7 = 0").selectExpr("id", *MADE.split(", "), EXPIRES)
+    trust = blocklist.without_trust(known, rules, ORDERS_NOW).groupBy(F.lit("trust").alias("kind"), F.col("local_address").alias("address")).agg(F.count(F.lit(1)).alias("n"))
+    left = blocklist.without_rules(rules, known.filter("id % 5 = 0"))
+    return trust.union(left.groupBy(F.lit("rules"), "recipient").agg(F.count(F.lit(1))))
+
+
+@query("p15_connections_of_blocked_addresses", sql(f"SELECT id, ip, block_level, blocked_until_ms FROM (SELECT id, {c.ip_text('id').replace('AS STRING', 'AS VARCHAR')} AS ip FROM {{messages}}) JOIN (SELECT ip, block_level, blocked_until_ms FROM {{reputation}} WHERE blocked_until_ms > {{now}}) USING (ip)"))
+def p15(spark, sf_dir):
+    """Every message as a connection from an address; those of actively blocked ones are turned away."""
+    blocks = reputation.active_blocks(c.reputation(spark, sf_dir), c.strikes(spark, sf_dir), c.EVENTS_NOW)
+    sent = c.messages(spark, sf_dir).select("id", F.expr(c.ip_text("id")).alias("ip"))
+    return sent.join(blocks, "ip").select("id", "ip", "block_level", "blocked_until_ms")
+
+
+METHOD = {"dkim": "o_custkey % 3", "spf": "o_custkey % 5", "dmarc": "o_orderkey % 7"}
+RECORD = "SELECT o_orderpriority AS category, o_orderkey % 4 <> 0 AS complete, o_orderkey % 13 = 0 AS failed, {m} FROM orders".format(m=", ".join(f"{e} AS {n}" for n, e in METHOD.items()))
+DIFFERENT, DETAILS = " OR ".join(f"{n} = 1" for n in METHOD), " OR ".join(f"{n} = 2" for n in METHOD)
+
+
+def comparisons(spark, sf_dir):
+    """A record for each order: a method is compared unless its number is 0; 1 differs in the outcome, 2 in details only."""
+    entry = lambda n: f"'{n}', named_struct('compared', {METHOD[n]} <> 0, 'outcome_match', {METHOD[n]} <> 1, 'details_match', CASE WHEN {METHOD[n]} > 2 THEN true END)"
+    methods = F.expr(f"CASE WHEN o_orderkey % 17 > 0 THEN map({', '.join(map(entry, METHOD))}) END")
+    return c.table(spark, sf_dir, "orders").select(F.col("o_orderpriority").alias("category"), F.expr("o_orderkey % 4 <> 0").alias("metadata_complete"), F.expr("CASE WHEN o_orderkey % 13 = 0 THEN 'timeout' WHEN o_orderkey % 2 = 0 THEN '' END").alias("error"), methods.alias("methods"))
+
+
+KNOWN = RECORD.replace("FROM orders", "FROM (SELECT o_orderpriority, o_orderkey, CASE WHEN o_orderkey % 17 > 0 THEN o_custkey ELSE 0 END AS o_custkey, o_orderkey % 17 > 0 AS known FROM orders)").replace("o_orderkey % 7 AS dmarc", "CASE WHEN known THEN o_orderkey % 7 ELSE 0 END AS dmarc")
+
+
+@query("a13_comparison_by_method", " UNION ALL ".join(f"SELECT '{n}' AS method, count(*) AS compared, count(*) FILTER ({n} = 1) AS different, count(*) FILTER ({n} = 2) AS detail_different FROM ({KNOWN}) WHERE {n} > 0" for n in METHOD))
+def a13_methods(spark, sf_dir):
+    return act.comparison_report(comparisons(spark, sf_dir))[1]
+
+
+@query("a13_comparison_by_category", f"SELECT category, count(*) AS messages, count(*) FILTER ({DIFFERENT}) AS different, count(*) FILTER (failed) AS errors FROM ({KNOWN}) GROUP BY category")
+def a13_categories(spark, sf_dir):
+    return act.comparison_report(comparisons(spark, sf_dir))[2]
+
+
+@query("a13_comparison_in_all", f"SELECT count(*) AS messages, count(*) FILTER (NOT failed) AS compared, count(*) FILTER (NOT complete) AS metadata_incomplete, count(*) FILTER (failed) AS errors, count(*) FILTER ({DIFFERENT}) AS different, count(*) FILTER ({DETAILS}) AS detail_different FROM ({KNOWN})")
+def a13_totals(spark, sf_dir):
+    return act.comparison_report(comparisons(spark, sf_dir))[0]

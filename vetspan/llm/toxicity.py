@@ -35,6 +35,8 @@ COLUMNS = 1024
 #: Similarities are rounded to so many decimals, so that ties don't depend on the order of sums.
 DECIMALS = 10
 #: Texts that are compared with the index at once.
+#: Postings, and blocks of lists, that are read at once, or those of one text.
+POSTINGS = 1 << 20
 AT_ONCE = 256
 
 
@@ -75,6 +77,7 @@ class BlockMaxIndex:
     top_starts: np.ndarray  # the same for the blocks of a list
     top_blocks: np.ndarray
     top_weights: np.ndarray
+    runs: np.ndarray  # first posting of each of these, and the end of the last
 
     @classmethod
     def build(cls, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, n_terms: int, block: int) -> BlockMaxIndex:
@@ -101,7 +104,7 @@ class BlockMaxIndex:
         first = np.flatnonzero(np.append(True, (own[1:] != own[:-1]) | (at[1:] // block != at[:-1] // block))) if len(own) else np.zeros(0, np.int64)
         largest = np.maximum.reduceat(weight, first) if len(first) else weight[:0]
         names = np.arange(n_terms + 1)
-        return cls(order, column, tiles, tiles.max(axis=2).T.copy(), np.searchsorted(own, names), at, weight, np.searchsorted(own[first], names), at[first] // block, largest)
+        return cls(order, column, tiles, tiles.max(axis=2).T.copy(), np.searchsorted(own, names), at, weight, np.searchsorted(own[first], names), at[first] // block, largest, np.append(first, len(own)))
 
     def nearest(self, rows: np.ndarray, terms: np.ndarray, weights: np.ndarray, n: int, k: int, skip: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """For each of n vectors the k examples of the largest positive dot product (ties: the smaller example), exactly.
@@ -111,10 +114,12 @@ class BlockMaxIndex:
         reaches the k-th best product. No other block can hold a nearer example.
         """
         counts, examples, products = [], [np.zeros(0, np.int64)], [np.zeros(0)]
-        cuts = np.searchsorted(rows, np.arange(0, n + AT_ONCE, AT_ONCE))
-        for i, at in enumerate(range(0, n, AT_ONCE)):
-            a, b = cuts[i], cuts[i + 1]
-            some = min(AT_ONCE, n - at)
+        load = np.cumsum(np.bincount(rows, self.top_starts[terms + 1] - self.top_starts[terms], n)).astype(np.int64) // POSTINGS
+        group = np.arange(n) // AT_ONCE
+        firsts = np.flatnonzero(np.append(True, (load[1:] != load[:-1]) | (group[1:] != group[:-1]))) if n else np.zeros(0, np.int64)
+        for at, end in zip(firsts.tolist(), np.append(firsts[1:], n).tolist(), strict=True):
+            a, b = np.searchsorted(rows, (at, end))
+            some = end - at
             for near, product in self._compared(rows[a:b] - at, terms[a:b], weights[a:b], some, k, None if skip is None else skip[at : at + some]):
                 counts.append(len(near))
                 examples.append(near)
@@ -129,11 +134,9 @@ class BlockMaxIndex:
         rows, terms, weights = rows[~often], terms[~often], weights[~often]
         bounds = dense @ self.tops
         sizes = self.top_starts[terms + 1] - self.top_starts[terms]
-        at = spread(self.top_starts[terms], sizes)
-        bounds += np.bincount(np.repeat(rows * blocks, sizes) + self.top_blocks[at], np.repeat(weights, sizes) * self.top_weights[at], n * blocks).reshape(n, blocks)
-        sizes = self.starts[terms + 1] - self.starts[terms]
-        at = spread(self.starts[terms], sizes)
-        row, place, product = np.repeat(rows, sizes), self.places[at], np.repeat(weights, sizes) * self.weights[at]
+        run = spread(self.top_starts[terms], sizes)
+        row, weight = np.repeat(rows, sizes), np.repeat(weights, sizes)
+        bounds += np.bincount(row * blocks + self.top_blocks[run], weight * self.top_weights[run], n * blocks).reshape(n, blocks)
         sums = np.zeros((n, blocks * block))
         left_out = None if skip is None else np.argsort(self.order)[skip]
 
@@ -141,8 +144,12 @@ class BlockMaxIndex:
             for b in np.flatnonzero(mask.any(axis=0)).tolist():
                 own = np.flatnonzero(mask[:, b])
                 sums[own, b * block : (b + 1) * block] = dense[own] @ self.tiles[b]
-            live = mask[row, place // block]
-            np.add.at(sums, (row[live], place[live]), product[live])
+            live = np.flatnonzero(mask[row, self.top_blocks[run]])  # the others' postings aren't read
+            sizes = self.runs[run[live] + 1] - self.runs[run[live]]
+            parts = np.flatnonzero(np.diff(np.cumsum(sizes) // POSTINGS)) + 1
+            for own, size in zip(np.split(live, parts), np.split(sizes, parts), strict=True):
+                at = spread(self.runs[run[own]], size)
+                np.add.at(sums, (np.repeat(row[own], size), self.places[at]), np.repeat(weight[own], size) * self.weights[at])
             if left_out is not None:
                 sums[np.arange(n), left_out] = 0
 

@@ -13,7 +13,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from .shared import small_batches, spread, text_slices
+from .shared import keep_for, small_batches, spread, text_slices
 
 WINDOW = 2048
 END_ID = 1
@@ -201,6 +201,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
     schema = T.StructType([docs.schema[id_col], T.StructField("start", long), T.StructField("length", long), T.StructField("ids", T.BinaryType()), T.StructField("doc_tokens", long), T.StructField("sequence_id", long), T.StructField("offset", long), T.StructField("closed", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keep_for("packing", WordTokenizer._made.clear)
         tokenizer = WordTokenizer.of(tokenizer_path)
         packer = LevelPacker(window, TaskContext.get().partitionId() << 32)
         id_type = None

@@ -5,7 +5,7 @@ from __future__ import annotations
 import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -91,6 +91,21 @@ def give_back() -> None:
         trim(0)
 
 
+#: What operators keep in a worker process from one task to the next, and how it is dropped.
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keep_for(operator: str, drop: Callable[[], None]) -> None:
+    _KEPT[operator] = drop
+
+
+def drop_kept(but: str = "") -> None:
+    """At the start of a task: drop what other operators' tasks left in this worker process."""
+    for operator in [o for o in _KEPT if o != but]:
+        _KEPT.pop(operator)()
+    give_back()
+
+
 def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = 8 << 20) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
     """Cut batches so that a slice holds at most `limit` text bytes (or one text); nulls become empty texts."""
     for batch in batches:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import give_back, small_batches, spread, term_counts, text_slices, written
+from .shared import drop_kept, give_back, small_batches, spread, term_counts, text_slices, written
 
 
 @dataclass(frozen=True)
@@ -230,6 +230,7 @@ def _document_frequencies(docs: DataFrame, vocab: list[str], text_col: str) -> t
     """Number of rows, and of rows with each term, over all rows; a task sends at most one row per term and slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept("toxicity")
         known = pa.array(vocab, pa.string())
         sums, total = np.zeros(len(vocab), np.int64), 0
         for _, texts in text_slices(batches, text_col):
@@ -327,6 +328,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept("toxicity")
         own = shared.value
         ids = np.array(own.ids, np.int64)
         for batch, texts in text_slices(batches, text_col):

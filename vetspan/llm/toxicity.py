@@ -34,10 +34,12 @@ class ToxicitySettings:
 COLUMNS = 1024
 #: Similarities are rounded to so many decimals, so that ties don't depend on the order of sums.
 DECIMALS = 10
-#: Texts that are compared with the index at once.
 #: Postings, and blocks of lists, that are read at once, or those of one text.
-POSTINGS = 1 << 20
+POSTINGS = 1 << 18
+#: Texts that are compared with the index at once.
 AT_ONCE = 256
+#: Bytes of texts that are cut into words at once, or one text.
+SLICE_BYTES = 2 << 20
 
 
 def _clustered(vectors: np.ndarray, block: int) -> np.ndarray:
@@ -233,7 +235,7 @@ def _document_frequencies(docs: DataFrame, vocab: list[str], text_col: str) -> t
         drop_kept("toxicity")
         known = pa.array(vocab, pa.string())
         sums, total = np.zeros(len(vocab), np.int64), 0
-        for _, texts in text_slices(batches, text_col):
+        for _, texts in text_slices(batches, text_col, SLICE_BYTES):
             _, terms, _, _ = term_counts(texts, known)
             sums += np.bincount(terms, minlength=len(vocab))
             total += len(texts)
@@ -269,7 +271,8 @@ def fit(docs: DataFrame, labelled: DataFrame, settings: ToxicitySettings = Toxic
     sample = written(texts.join(picked, "vs_id"), "toxicity-examples")
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, own in text_slices(batches, "text"):
+        drop_kept("toxicity")
+        for _, own in text_slices(batches, "text", SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([term_counts(own, None)[3].cast(pa.string())], ["term"])
 
     drawn = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
@@ -288,7 +291,8 @@ def _index(model: ToxicityModel, sample: DataFrame, totals: dict[int, int], draw
     base = ToxicityModel(vocab=model.vocab, idf=model.idf)
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, texts in text_slices(batches, "text"):
+        drop_kept("toxicity")
+        for batch, texts in text_slices(batches, "text", SLICE_BYTES):
             rows, terms, weights = base.vectors(texts)
             cuts = np.searchsorted(rows, np.arange(len(texts) + 1)).astype(np.int32)
             lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v)) for v in (terms, weights)]
@@ -331,7 +335,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
         drop_kept("toxicity")
         own = shared.value
         ids = np.array(own.ids, np.int64)
-        for batch, texts in text_slices(batches, text_col):
+        for batch, texts in text_slices(batches, text_col, SLICE_BYTES):
             scores, counts, examples, similar = own.score(texts)
             told = np.minimum(counts, own.settings.evidence)
             some = spread(np.cumsum(counts) - counts, told)

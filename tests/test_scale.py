@@ -4,9 +4,12 @@ import random
 import time
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from vetspan.operators import reputation, retention
+from vetspan.operators import correspondents, reputation, retention
+from vetspan.operators.slices import Slicing, cut_hot_keys
 from vetspan.sources import files
 
 
@@ -76,3 +79,39 @@ def test_alias_chains(spark):
     got = {r.name: r.owner for r in files.alias_owner(aliases, names).collect()}
     assert got == {"a0": "a700", "A350": "a700", "a700": "a700", "free": "free", "x": "x"}
     assert files.alias_owner(aliases.limit(0), names).count() == 8
+
+
+ACTIONS = ["outbound", "manual", "delete", "remove", "advance", "refresh", "touch", "other"]
+
+
+@given(st.lists(st.tuples(st.integers(0, 9), st.sampled_from(ACTIONS)), max_size=30), st.lists(st.integers(0, 30), max_size=4), st.integers(0, 3), st.sampled_from([0, 5, 12]))
+@settings(max_examples=400, deadline=None)
+def test_summaries_of_slices_equal_the_steps(gaps, cuts, needed, stale):
+    policy = correspondents.TrustPolicy(min_messages=needed, stale_ms=stale)
+    at, events, row = 0, [], None
+    for gap, action in gaps:
+        at += gap
+        events.append((action, at))
+        row = correspondents.step(row, action, at, policy)
+    edges = [0, *sorted(cuts), len(events)]
+    got = None
+    for a, b in zip(edges, edges[1:]):
+        part = correspondents.Summary(policy)
+        for event in events[a:b]:
+            part.add(*event)
+        got = correspondents.Summary(policy).apply(part.packed(), got)
+    assert got == row
+
+
+def test_fold_of_a_hot_pair(spark):
+    rng = random.Random(8)
+    rows = [("l", "hot" if rng.random() < 0.9 else rng.choice(["a", "b", None]), rng.randint(0, 4000), i, rng.choice(ACTIONS)) for i in range(4000)]
+    table = spark.createDataFrame(rows, "local_address string, correspondent string, at_ms long, id long, action string").repartition(3)
+    policy = correspondents.TrustPolicy(stale_ms=6)
+    whole = correspondents.fold(table, policy)
+    cut = correspondents.fold(table, policy, Slicing(least_rows=500, slices=16))
+    assert sorted(map(repr, cut.collect())) == sorted(map(repr, whole.collect()))
+    assert correspondents.fold(table.limit(0), policy, Slicing(0)).count() == 0
+    _, hot = cut_hot_keys(table, ["local_address", "correspondent"], "at_ms", Slicing(least_rows=500, slices=16))
+    sizes = [r["count"] for r in hot.groupBy("correspondent", "__slice").count().collect()]
+    assert len(sizes) == 16 and max(sizes) < 400 and sum(sizes) == sum(r[1] == "hot" for r in rows)

@@ -26,6 +26,38 @@ def normalised(address: Column) -> Column:
     return F.when(F.coalesce(ok, F.lit(False)), low).otherwise("")
 
 
+#: A local part of dot-separated atoms.
+ATOMS = r"[A-Za-z0-9!#$%&'*+/=?^_`{|}~\-]++(?:\.[A-Za-z0-9!#$%&'*+/=?^_`{|}~\-]++)*+"
+
+
+def mailbox(text: Column) -> Column:
+    """The address of a single mailbox as it is written, null for none: plain, in angle brackets behind a name, or in the only brackets of a malformed value.
+
+    A dot at the end is left off. A quoted name may hold brackets. Quoted local parts and comments aren't read.
+    """
+    plain = rf"^({ATOMS}@[^\s@<>(),;:\\\"\[\]]+?)\.?$"
+
+    def of(t: Column) -> Column:
+        count = lambda mark: F.length(t) - F.length(F.replace(t, F.lit(mark)))
+        bare = F.regexp_replace(t, r'^"(?:[^"\\]|\\.)*+"\s*+(?=<[^<>]*+>$)', "")
+        inside = lambda v: F.trim(F.regexp_extract(v, r"<([^<>]*)>", 1))
+        enclosed = F.when(bare.rlike(r"^<[^<>]*+>$"), inside(bare)).when((count("<") == 1) & (count(">") == 1), inside(t))
+        found = F.coalesce(F.nullif(F.regexp_extract(t, plain, 1), F.lit("")), F.nullif(F.regexp_extract(enclosed, plain, 1), F.lit("")))
+        return F.when(~found.rlike(r"\.$"), found)
+
+    return let(F.trim(text), of)
+
+
+def canonical_mailbox(text: Column) -> Column:
+    """local@host in lower case of a mailbox of at most 320 bytes, at most 254 in all, with a host of letters, digits and hyphens; else empty."""
+
+    def of(address: Column) -> Column:
+        host = F.substring_index(address, "@", -1)
+        return F.when(is_dns_name(host) & (F.octet_length(address) <= 254), address)
+
+    return F.coalesce(F.when(F.octet_length(F.trim(text)) <= 320, let(F.lower(mailbox(text)), of)), F.lit(""))
+
+
 def is_dns_name(name: Column, underscore: bool = False) -> Column:
     """Labels of 1 to 63 letters, digits and inner hyphens, 253 characters in all."""
     label = LABEL if underscore else STRICT_LABEL

@@ -104,15 +104,49 @@ def executable_format(content: Column) -> Column:
     return F.when(F.startswith(head, F.lit("4D5A")), "pe").when(head == "7F454C46", "elf").when(head.isin(*macho), "mach-o")
 
 
-def archive_format(content: Column, name: Column) -> Column:
-    """zip, gzip, bzip2 or tar by signature, else by the extension of the name; null for none."""
+def archive_format(content: Column, name: Column, media_type: Column | None = None) -> Column:
+    """zip, gzip, bzip2 or tar by signature, else by the extension of the name or the media type; null for none."""
     head = F.hex(F.substring(content, 1, 4))
     low = F.lower(name)
     by_head = F.when(head.isin("504B0304", "504B0506", "504B0708"), "zip").when(F.startswith(head, F.lit("1F8B")), "gzip").when(F.startswith(head, F.lit("425A68")), "bzip2").when(F.hex(F.substring(content, 258, 5)) == "7573746172", "tar")
-    by_name = F.when(F.endswith(low, F.lit(".zip")), "zip").when(low.rlike(r"\.(?:gz|tgz)$"), "gzip").when(low.rlike(r"\.(?:bz2|tbz2?)$"), "bzip2").when(F.endswith(low, F.lit(".tar")), "tar")
+    kind = F.lower(F.coalesce(media_type, F.lit(""))) if media_type is not None else F.lit("")
+    ends = lambda *marks: low.rlike(rf"\.(?:{'|'.join(marks)})$")
+    by_name = F.when(ends("zip") | (kind == "application/zip"), "zip").when(ends("tar") | (kind == "application/x-tar"), "tar").when(ends("gz", "gzip") | kind.isin("application/gzip", "application/x-gzip"), "gzip").when(ends("bz2", "bzip2") | (kind == "application/x-bzip2"), "bzip2")
     return F.coalesce(by_head, by_name)
 
 
+#: Extensions that turn a signature on, where it stands (from the end where negative), its bytes, and what it is called.
+SIGNATURES = (
+    (("lnk",), 1, "4C0000000114020000000000C000000000000046", "Windows shell link signature"),
+    (("cab", "onepkg"), 1, b"MSCF".hex().upper(), "Microsoft cabinet signature"),
+    (("chm",), 1, b"ITSF".hex().upper(), "compiled HTML Help signature"),
+    (("iso", "img"), 32770, b"CD001".hex().upper(), "ISO disk image signature"),
+    (("vhdx",), 1, b"vhdxfile".hex().upper(), "VHDX disk image signature"),
+    (("vhd",), 1, b"conectix".hex().upper(), "VHD disk image signature"),
+    (("vhd",), -512, b"conectix".hex().upper(), "VHD disk image signature"),
+    (("dmg",), -512, b"koly".hex().upper(), "Apple disk image signature"),
+    (("one", "onepkg"), 1, "E4525C7B8CD8A74DAEB15378D02996D3", "Microsoft OneNote signature"),
+    (("apk",), 1, b"dex\n".hex().upper() + "......00", "Android DEX executable signature"),
+    (("z",), 1, "1F9D(?:[08][9A-F]|[19]0)", "Unix compress archive signature"),
+    (("rar",), 1, "526172211A0700|526172211A070100", "RAR archive signature"),
+    (("7z",), 1, "377ABCAF271C", "7z archive signature"),
+)
+
+
+def configured_signature(content: Column, blocked: tuple[str, ...]) -> Column:
+    """What the bytes of a file are by the signatures of the blocked extensions, whatever its name; null for none.
+
+    Only the bytes at a signature's place are read. A null or short content has no signature.
+    """
+    found = F.lit(None).cast("string")
+    for extensions, start, pattern, told in reversed(SIGNATURES):
+        if set(extensions) & set(blocked):
+            there = F.hex(F.substring(content, start, 20))
+            hit = F.regexp_like(there, F.lit(f"^(?:{pattern})"))
+            found = F.when(hit & (F.octet_length(content) >= abs(start)), told).otherwise(found)
+    return found
+
+
 def script_interpreter(content: Column) -> Column:
     """Name of the program behind #!, behind env where that is used; null without a first line of that form."""
     line = F.regexp_extract(F.decode(F.substring(content, 1, 256), "ISO-8859-1"), r"^#!\s*(\S+(?:[ \t]+\S+)?)", 1)

@@ -134,7 +134,7 @@ def smtp_identity(text: Column) -> Column:
     return let(clean, lambda c: F.when(F.lower(c).isin("unknown", "[unknown]"), "").otherwise(F.left(c, F.lit(255))))
 
 
-def byte_truncated(text: Column, limit: int) -> Column:
+def byte_truncated(text: Column, limit: int | Column) -> Column:
     """At most `limit` bytes, cut before a character that doesn't fit."""
     raw = F.encode(text, "UTF-8")
     following = F.conv(F.hex(F.substring(raw, limit + 1, 1)), 16, 10).cast("int")
@@ -232,8 +232,8 @@ def capped_links(links: Column, count: int = 100, characters: int = 8192) -> Col
 
 
 def content_id(text: Column) -> Column:
-    """Lower-case Content-ID without angle brackets; percent escapes are undone, a plus sign stays."""
-    bare = F.regexp_replace(F.trim(text), r"^<|>$", "")
+    """Lower-case Content-ID without the angle brackets around it; percent escapes are undone, a plus sign stays."""
+    bare = let(F.trim(text), lambda t: F.when(F.startswith(t, F.lit("<")) & F.endswith(t, F.lit(">")), F.trim(F.substring(t, F.lit(2), F.length(t) - 2))).otherwise(t))
     return F.lower(F.coalesce(F.try_url_decode(F.replace(bare, F.lit("+"), F.lit("%2B"))), bare))
 
 

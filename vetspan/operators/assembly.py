@@ -27,6 +27,26 @@ def capped_references(references: Column) -> Column:
     return F.aggregate(clean, F.struct(F.expr(NO_TEXTS).alias("all"), F.lit(0).alias("n")), add, lambda s: s["all"])
 
 
+def choose_alternatives(parts: DataFrame) -> DataFrame:
+    """The parts that stay when each alternative section keeps one of its forms; columns as they come.
+
+    Parts have id, position, alternative (a number of the section within its message, null outside of one), html,
+    plain and attachment. Of a section the last part with HTML and content stays, else the last plain one with content,
+    else the last part that is no attachment; attachments and parts outside always stay. Content is text, links, image
+    references or images, as in `assemble`. Parts without a position come first; of repeated positions the one with the
+    larger rank stays, and of wholly equal parts all do. A section's parts are counted down on the map side.
+    """
+    filled = {c: (F.coalesce(F.col(c), F.expr(d)) if c in parts.columns else F.expr(d)) for c, d in PART.items()}
+    full = (F.trim(filled["text"]) != "") | (F.size(filled["links"]) > 0) | (F.size(filled["image_refs"]) > 0) | (filled["images"] > 0)
+    attached = F.coalesce(F.col("attachment"), F.lit(False))
+    rank = F.when(attached, None).when(full & filled["html"], 2).when(full & F.coalesce(F.col("plain"), F.lit(False)), 1).otherwise(0)
+    ranked = parts.withColumn("__rank", F.when(F.col("alternative").isNotNull(), rank))
+    order = F.struct("__rank", F.coalesce(F.col("position").cast("long"), F.lit(-(2**63))).alias("at"))
+    best = ranked.filter("__rank IS NOT NULL").groupBy(F.col("id").alias("__id"), F.col("alternative").alias("__alternative")).agg(F.max(order).alias("__best"))
+    same = F.col("id").eqNullSafe(F.col("__id")) & (F.col("alternative") == F.col("__alternative"))
+    return ranked.join(best, same, "left").filter("__rank IS NULL OR __best = struct(__rank, coalesce(CAST(position AS BIGINT), -9223372036854775808L))").select(*parts.columns)
+
+
 def assemble(parts: DataFrame) -> DataFrame:
     """One row for each id of parts id, position and PART, in the order of position: the message's content.
 

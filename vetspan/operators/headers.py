@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.addresses import domain_of, normalised, parent_domains
 from ..functions.core import let, through_last, without_end
+from ..functions.text import byte_truncated
 
 
 def head(raw: Column) -> Column:
@@ -38,6 +39,70 @@ def fields(raw: Column, per_name: int = 100) -> Column:
     return let(pairs, of)
 
 
+#: Fields that are kept of a message, those that tell how its parts are written, and the bytes kept of a value and of all values of a name.
+KEPT = ("authentication-results", "content-disposition", "content-transfer-encoding", "content-type", "date", "from", "message-id", "received-spf", "reply-to", "return-path", "subject", "to")
+STRUCTURE = ("content-disposition", "content-transfer-encoding", "content-type")
+VALUE_BYTES, STRUCTURE_BYTES, NAME_BYTES, AUTHENTICATION_BYTES = 8 << 10, 64 << 10, 16 << 10, 32 << 10
+
+
+def _kept_values(field: Column, values: Column) -> Column:
+    """struct<values, cut>: the values of a field in order, each cut at whole characters to field.each bytes, while they fit field.total; larger ones between are left out."""
+
+    def add(s: Column, value: Column) -> Column:
+        def of(v: Column) -> Column:
+            size = s["n"] + F.octet_length(v) + F.length(field["name"]) + 2
+            return F.struct(F.when(size <= field["total"], F.concat(s["all"], F.array(v))).otherwise(s["all"]).alias("all"), F.when(size <= field["total"], size).otherwise(s["n"]).cast("int").alias("n"), (s["cut"] | (F.octet_length(value) > field["each"]) | (size > field["total"])).alias("cut"))
+
+        return let(byte_truncated(value, field["each"]), of)
+
+    start = F.struct(F.expr("CAST(array() AS array<string>)").alias("all"), F.lit(0).alias("n"), F.lit(False).alias("cut"))
+    return F.aggregate(values, start, add, lambda s: F.struct(s["all"].alias("values"), s["cut"].alias("cut")))
+
+
+def _limits(name: str) -> Column:
+    structure = name in STRUCTURE
+    total = STRUCTURE_BYTES + 256 if structure else AUTHENTICATION_BYTES if name == "authentication-results" else NAME_BYTES
+    return F.struct(F.lit(name).alias("name"), F.lit(STRUCTURE_BYTES if structure else VALUE_BYTES).alias("each"), F.lit(total).alias("total"), F.lit(structure).alias("structure"))
+
+
+def archived(raw: Column, limit: int, cut_mark: str = "x-archive-truncated", counted: tuple[str, ...] = ()) -> Column:
+    """struct<error, message> of a message that was kept, message a struct of what follows.
+
+    error says why a message isn't read: it is over `limit` bytes, or its first line is no field; message is null then.
+    headers maps the names KEPT and `counted` to their values, as far as they fit (`truncated`, for STRUCTURE also
+    structure_truncated); occurrences counts From and `counted` fields, left-out ones too. body is what fits beside the
+    header within the limit. archive_truncated: a field cut_mark says yes. Invalid bytes become U+FFFD; null stays null.
+    """
+
+    def of(m: Column) -> Column:
+        halves = F.split(F.regexp_replace(m, r"\r\n?", "\n"), r"(?<![^\n])\n", 2)
+        parsed = let(halves, lambda h: F.struct(fields(F.get(h, F.lit(0)), 1 << 20).alias("f"), F.octet_length(head(F.get(h, F.lit(0)))).alias("h"), F.coalesce(F.get(h, F.lit(1)), F.lit("")).alias("b")))
+
+        def told(p: Column) -> Column:
+            values = lambda n: F.coalesce(F.try_element_at(p["f"], n if isinstance(n, Column) else F.lit(n)), F.expr("CAST(array() AS array<string>)"))
+            kept = F.transform(F.array(*[_limits(n) for n in (*KEPT, *counted)]), lambda e: F.struct(e["name"].alias("name"), e["structure"].alias("structure"), _kept_values(e, values(e["name"])).alias("v")))
+
+            def built(k: Column) -> Column:
+                some = F.filter(k, lambda e: F.size(e["v"]["values"]) > 0)
+                room = F.greatest(F.lit(limit) - p["h"] - 2, F.lit(0))
+                fits = F.octet_length(p["b"]) <= room
+                return F.struct(
+                    F.map_from_entries(F.transform(some, lambda e: F.struct(e["name"], e["v"]["values"]))).alias("headers"),
+                    F.map_from_arrays(F.array(*[F.lit(n) for n in ("from", *counted)]), F.array(*[F.size(values(n)) for n in ("from", *counted)])).alias("occurrences"),
+                    F.when(fits, p["b"]).otherwise(F.make_valid_utf8(F.substring(F.encode(p["b"], "UTF-8"), F.lit(1), room))).alias("body"),
+                    (F.exists(k, lambda e: e["v"]["cut"]) | ~fits).alias("truncated"), F.exists(k, lambda e: e["v"]["cut"] & e["structure"]).alias("structure_truncated"), (~fits).alias("body_truncated"),
+                    F.exists(values(cut_mark), lambda v: F.lower(v) == "yes").alias("archive_truncated"),
+                )
+
+            return let(kept, built)
+
+        return F.when(m.rlike(r"^(?:[!-9;-~]++:|\r?\n)"), let(parsed, told))
+
+    read = F.when(F.octet_length(raw) <= limit, let(F.make_valid_utf8(raw), of))
+    why = F.when(F.octet_length(raw) > limit, "archived message exceeds configured size limit").otherwise("parse archived message")
+    return F.when(raw.isNotNull(), let(read, lambda r: F.struct(F.when(r.isNull(), why).alias("error"), r.alias("message"))))
+
+
 def occurrences(headers: Column, name: str) -> Column:
     return F.size(F.coalesce(F.try_element_at(headers, F.lit(name.lower())), F.expr("CAST(array() AS array<string>)")))
 

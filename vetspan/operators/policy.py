@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.core import let
+
 
 def trust_met(requirement: str, dkim: Column, spf: Column) -> Column:
     return {"dkim": dkim, "spf": spf, "either": dkim | spf, "both": dkim & spf}[requirement]
@@ -115,3 +117,40 @@ def visibility(display_none: Column, alpha: Column, font_px: Column, colour_dist
     """concealed, unknown or visible from computed values; nulls are unknown values that conceal nothing by themselves."""
     reasons = F.coalesce(display_none, F.lit(False)) | F.coalesce(alpha <= 0.01, F.lit(False)) | F.coalesce(font_px <= 2, F.lit(False)) | F.coalesce(colour_distance <= 0.005, F.lit(False))
     return F.when(reasons, "concealed").when(unknown, "unknown").otherwise("visible")
+
+
+#: What `decided_visibility` reads of a style: null is a value that isn't known, missing fields are of a plain element.
+STYLE = {"display_none": False, "visibility": "visible", "alpha": 1.0, "clipped": False, "content_hidden": False, "word_hidden": False, "has_text": True, "font_px": 16.0, "font_uncertain": False, "colour_distance": 1.0,
+         "layout_uncertain": False, "animated": False, "surely_none": False, "uncertain_reasons": 0}
+
+
+def decided_visibility(style: dict[str, Column]) -> Column:
+    """struct<label, reasons> of an element's computed values (STYLE): reasons is the bits of REASONS that hold.
+
+    Concealed needs a reason that no reader ignores (uncertain_reasons are bits that some ignore or a colour scheme
+    can lift), else the label is unknown, as it is for animated elements, for values that aren't known and for text
+    that one kind of reader hides (word_hidden). Size and colour count only for elements with text; a font whose size
+    is uncertain conceals only at 0. surely_none conceals in any case.
+    """
+    s = F.struct(*[style.get(n, F.lit(v)).alias(n) for n, v in STYLE.items()])
+
+    def of(x: Column) -> Column:
+        holds = lambda c: F.coalesce(c, F.lit(False))
+        text, size = holds(x["has_text"]), x["font_px"]
+        tests = (
+            x["display_none"], x["visibility"] == "hidden", x["visibility"] == "collapse", x["alpha"] <= 0.01 + 1e-14,
+            text & (size <= 2) & (~F.coalesce(x["font_uncertain"], F.lit(True)) | (size == 0)), text & (x["colour_distance"] <= 0.005), x["clipped"], x["content_hidden"],
+        )
+        bits = sum((F.when(holds(t), 1 << i).otherwise(0) for i, t in enumerate(tests)), F.lit(0))
+        known = lambda *names: ~F.exists(F.array(*[x[n].isNull() for n in names]), lambda missing: missing)
+        whole = known("display_none", "visibility", "alpha", "clipped", "content_hidden", "word_hidden") & ~F.coalesce(x["layout_uncertain"], F.lit(True)) & (~text | (known("font_px", "colour_distance") & ~F.coalesce(x["font_uncertain"], F.lit(True))))
+
+        def named(b: Column) -> Column:
+            firm = b.bitwiseAND(F.bitwise_not(F.coalesce(x["uncertain_reasons"], F.lit(0)))) != 0
+            seen = F.when(whole & ~holds(x["word_hidden"]), "visible").otherwise("unknown")
+            label = F.when(holds(x["surely_none"]), "concealed").when(holds(x["animated"]), "unknown").when(b != 0, F.when(firm, "concealed").otherwise("unknown")).otherwise(seen)
+            return F.struct(label.alias("label"), b.alias("reasons"))
+
+        return let(bits, named)
+
+    return let(s, of)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from importlib import import_module
 
-MODULES = ("reports", "texts", "messages", "commands", "attached", "assembly")
+MODULES = ("reports", "texts", "messages", "commands", "attached", "assembly", "values")
 
 
 def queries() -> dict[str, Callable]:

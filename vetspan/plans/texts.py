@@ -174,23 +174,30 @@ _PATH = "array_to_string(list_transform(string_split(p, '/'), lambda s: CASE WHE
 _QUERY = "CASE WHEN q = '' THEN '' ELSE '?' || array_to_string(list_transform(string_split(substr(q, 2), '&'), lambda s: CASE WHEN contains(s, '=') THEN left(split_part(s, '=', 1), 50) || '=' || left(substr(s, strpos(s, '=') + 1), 50) ELSE left(s, 50) END), '&') END"
 
 
-@query("l4_l5_compact_url", f"SELECT page_id, CASE WHEN p <> sp OR q <> sq OR f <> sf OR length(u) > 512 THEN left(lower({_PART(1)}) || '://' || CASE WHEN {_PART(2)} <> '' THEN '[userinfo-omitted]@' ELSE '' END || {_PART(3)} || sp || sq || sf, 512) ELSE u END AS short FROM (SELECT *, {_PATH} AS sp, {_QUERY} AS sq, left(f, 51) AS sf FROM (SELECT *, {_PART(4)} AS p, {_PART(5)} AS q, {_PART(6)} AS f FROM (SELECT page_id, {LONGER} AS u FROM pages)))")
+def _compacted(address: str) -> str:
+    """SQL of page_id and short of an address of each page."""
+    return f"SELECT page_id, CASE WHEN p <> sp OR q <> sq OR f <> sf OR length(u) > 512 THEN left(lower({_PART(1)}) || '://' || CASE WHEN {_PART(2)} <> '' THEN '[userinfo-omitted]@' ELSE '' END || {_PART(3)} || sp || sq || sf, 512) ELSE u END AS short FROM (SELECT *, {_PATH} AS sp, {_QUERY} AS sq, left(f, 51) AS sf FROM (SELECT *, {_PART(4)} AS p, {_PART(5)} AS q, {_PART(6)} AS f FROM (SELECT page_id, {address} AS u FROM pages)))"
+
+
+@query("l4_l5_compact_url", _compacted(LONGER))
 def l4(spark, sf_dir):
     return c.table(spark, sf_dir, "pages").select("page_id", text.compact_url(F.expr(LONGER)).alias("short"))
 
 
-@query("l1_l2_l8_all_page_links")
+@query("l1_l2_l8_all_page_links", SQL["l1_l2_l8_page_links"])
 def l1_all(spark, sf_dir):
-    """Links of all pages, with those that end in a bracket; the SQL of l1_l2_l8_page_links doesn't tell brackets apart."""
+    """Links of all pages, with those that end in a bracket."""
     links = text.capped_links(text.urls(F.col("html")), 100, 1 << 20)
     return c.table(spark, sf_dir, "pages").select("page_id", F.array_join(links, " ").alias("links"))
 
 
-@query("l4_l5_compact_all_urls")
+WITH_TAIL = f"concat(url, '/{'segment-' * 9}?key={'value' * 11}')"
+
+
+@query("l4_l5_compact_all_urls", f"SELECT page_id, one.short, two.short AS short_of_longer FROM ({_compacted('url')}) one JOIN ({_compacted(WITH_TAIL)}) two USING (page_id)")
 def l4_all(spark, sf_dir):
-    """Addresses of all pages, the longest of which are cut, and a long form of each; the SQL of l4_l5_compact_url has short ones only."""
-    longer = F.concat("url", F.lit("/"), F.repeat(F.lit("segment-"), 9), F.lit("?key="), F.repeat(F.lit("value"), 11))
-    return c.table(spark, sf_dir, "pages").select("page_id", text.compact_url(F.col("url")).alias("short"), text.compact_url(longer).alias("short_of_longer"))
+    """Addresses of all pages, the longest of which are cut, and a long form of each."""
+    return c.table(spark, sf_dir, "pages").select("page_id", text.compact_url(F.col("url")).alias("short"), text.compact_url(F.expr(WITH_TAIL)).alias("short_of_longer"))
 
 
 @query("u3_new_links", "SELECT page_id, CAST(len(list_filter(['http://a.example/', url], lambda u: NOT contains(html, u))) AS BIGINT) AS n FROM pages")

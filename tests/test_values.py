@@ -90,3 +90,16 @@ def test_archived_messages(spark):
     assert len(second.headers["authentication-results"]) == 4 and len(second.headers["subject"][0]) == 4096 and second.truncated and not second.structure_truncated and second.body == ""
     assert got[2].message.body == "Subject: body only" and got[2].message.headers == {}
     assert [g and g.error for g in got[3:]] == ["parse archived message", "parse archived message", "archived message exceeds configured size limit", None]
+
+
+def test_resolved_links(spark):
+    """Relative references against the base of the published examples, and links that lead nowhere."""
+    base = "http://a/b/c/d;p?q"
+    cases = {
+        "g": "http://a/b/c/g", "./g": "http://a/b/c/g", "g/": "http://a/b/c/g/", "/g": "http://a/g", "//g": "http://g", "?y": "http://a/b/c/d;p?y", "g?y": "http://a/b/c/g?y", "#s": "http://a/b/c/d;p?q#s", "g#s": "http://a/b/c/g#s", ";x": "http://a/b/c/;x", ".": "http://a/b/c/", "./": "http://a/b/c/",
+        "..": "http://a/b/", "../g": "http://a/b/g", "../..": "http://a/", "../../g": "http://a/g", "../../../g": "http://a/g", "/./g": "http://a/g", "/../g": "http://a/g", "g.": "http://a/b/c/g.", "..g": "http://a/b/c/..g", "./g/.": "http://a/b/c/g/", "g/../h": "http://a/b/c/h", "g?y/../x": "http://a/b/c/g?y/../x",
+        "HTTP://H/x": "http://H/x", "tel:+1": "tel:+1", "g:h": None, "javascript:x": None, "http:///x": None, "http://:80/": None, "http:x": None, ":x": None, "1:2": None, "./1:2": "http://a/b/c/1:2", " \t": None, "a\x01b": "http://a/b/c/a%01b", "http://h\x01/": None, "a%zz": None, "?%zz": "http://a/b/c/d;p?%zz", "/" * 9000: None,
+    }
+    assert each(spark, [*cases, None], headers.resolved(F.col("v"), F.lit(base))) == [*cases.values(), None]
+    assert each(spark, ["/x/../y", "http://h/a/../b", "../" * 2000], headers.resolved(F.col("v"), F.lit(None).cast("string"))) == ["/x/../y", "http://h/a/../b", "../" * 2000]
+    assert each(spark, ["../" * 2700 + "x", "a/" * 4000], headers.resolved(F.col("v"), F.lit("https://h.example"))) == ["https://h.example/x", "https://h.example/" + "a/" * 4000]

@@ -133,18 +133,65 @@ def empty_group(to: Column) -> Column:
     return to.rlike(r"^[^:;@<>]++:\s*+;\s*+$")
 
 
+#: Fixed value: links of a message are kept up to so many characters in all, so that longer ones never are.
+LINK_CHARACTERS = 8192
+#: Characters that are written as percent signs and two digits.
+ESCAPED = [chr(c) for c in (*range(1, 0x20), 0x7F)]
+
+
+def _without_dots(path: Column) -> Column:
+    """A path whose . and .. segments are taken; it starts with a slash, and .. at the root is dropped."""
+
+    def step(kept: Column, segment: Column) -> Column:
+        return F.when(segment == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).when(segment == ".", kept).otherwise(F.concat(kept, F.array(segment)))
+
+    def of(p: Column) -> Column:
+        ended = F.when(p.rlike(r"(?:^|/)\.\.?$"), F.concat(p, F.lit("/"))).otherwise(p)
+        kept = F.aggregate(F.split(F.regexp_replace(ended, "^/", ""), "/"), F.expr("CAST(array() AS array<string>)"), step)
+        return F.when(p.rlike(r"(?:^|/)\.\.?(?:/|$)"), F.concat(F.lit("/"), F.array_join(kept, "/"))).when((p == "") | F.startswith(p, F.lit("/")), p).otherwise(F.concat(F.lit("/"), p))
+
+    return let(path, of)
+
+
 def resolved(link: Column, base: Column) -> Column:
-    """An absolute http, https, mailto or tel destination, without line ends, tabs and NULs; null for others.
+    """Where a link leads: an absolute http, https, mailto or tel address, or, without a base, the relative one; null for others.
 
-    Relative paths are joined to the base's folder, //host takes its scheme, /path its host.
+    Line ends, tabs and NULs go, other controls are percent-encoded, but rule a link out in its host. A relative
+    link takes what it lacks from the base, an absolute http(s) address; its . and .. segments are taken. Links without
+    text, with a colon in a relative first segment, with malformed escapes in their path or fragment, and over 8,192 characters
+    lead nowhere. Spaces and letters beyond ASCII stay as they are.
     """
-    clean = F.regexp_replace(F.trim(link), r"[\r\n\t\x00]", "")
-    scheme = F.regexp_extract(base, r"^(https?:)//", 1)
-    host = F.regexp_extract(base, r"^(https?://[^/?#]+)", 1)
-    folder = F.regexp_replace(F.regexp_extract(base, r"^https?://[^/?#]+(/[^?#]*)?", 1), r"(?<![^/])[^/]*+$", "")
-    path = F.concat(host, F.when(folder == "", "/").otherwise(folder), clean)
-    target = F.when(clean.rlike(r"(?i)^(?:https?://[^/?#\s]+|mailto:|tel:)"), clean).when(clean.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:"), F.lit(None)).when(host == "", F.lit(None)).when(F.startswith(clean, F.lit("//")), F.concat(scheme, clean)).when(F.startswith(clean, F.lit("/")), F.concat(host, clean)).when(clean.rlike("^[?#]"), F.concat(F.regexp_replace(base, r"[?#].*$", ""), clean)).otherwise(path)
-    return F.when(~F.regexp_like(F.coalesce(F.regexp_extract(target, r"^https?://([^/?#]*)", 1), F.lit("")), F.lit(r"[\x01-\x20\x7f]")), target)
+    whole = r"(?s)^([A-Za-z][A-Za-z0-9+.\-]*+:)?(//[^/?#]*+)?([^?#]*+)(\?[^#]*+)?(#.*+)?$"
+    marks = F.array(*[F.struct(F.lit(c).alias("c"), F.lit(f"%{ord(c):02X}").alias("to")) for c in ESCAPED])
+
+    def split(text: Column) -> Column:
+        return F.struct(*[F.regexp_extract(text, whole, i + 1).alias(n) for i, n in enumerate(("scheme", "host", "path", "query", "fragment"))])
+
+    def clean(t: Column) -> Column:
+        start = F.instr(t, "://")
+        authority = F.when(start > 0, F.concat(F.left(t, start + 2), F.regexp_extract(F.substring(t, start + 3, F.length(t)), r"^[^/?#]*+", 0)))
+        safe = F.when(t.rlike(r"[\x01-\x1f\x7f]"), F.aggregate(marks, t, lambda s, m: F.replace(s, m["c"], m["to"]))).otherwise(t)
+        return F.when((t != "") & ~F.coalesce(authority.rlike(r"[\x01-\x1f\x7f]"), F.lit(False)), safe)
+
+    def lead(t: Column) -> Column:
+        def of(x: Column) -> Column:
+            u, b, scheme = x["u"], x["b"], F.lower(x["u"]["scheme"])
+            rest = F.concat(u["host"], u["path"], u["query"], u["fragment"])
+            malformed = F.concat(u["path"], F.lit("#"), u["fragment"]).rlike(r"%(?![0-9A-Fa-f]{2})")
+            hosted = u["host"].rlike(r"^//(?:[^@]*+@)?[^@:\s]") & ~malformed
+            own = F.when(scheme.isin("http:", "https:"), F.when(hosted, F.concat(scheme, rest))).when(scheme.isin("mailto:", "tel:"), F.concat(scheme, rest))
+            folder = F.regexp_replace(b["path"], r"(?<![^/])[^/]*+$", "")
+            bare, same = u["path"] == "", (u["path"] == "") & (u["query"] == "")
+            path = _without_dots(F.when(bare, b["path"]).when(F.startswith(u["path"], F.lit("/")), u["path"]).otherwise(F.concat(folder, u["path"])))
+            local = F.concat(b["scheme"], b["host"], path, F.when(same, b["query"]).otherwise(u["query"]), u["fragment"])
+            other = F.concat(b["scheme"], u["host"], _without_dots(u["path"]), u["query"], u["fragment"])
+            relative = F.when(x["b"]["host"] == "", rest).when(u["host"] != "", F.when(hosted, other)).otherwise(local)
+            return F.when(scheme != "", own).when(~malformed & ~((u["host"] == "") & u["path"].rlike(r"^[^/:]*+:")), relative)
+
+        return let(F.struct(split(t).alias("u"), split(F.coalesce(base, F.lit(""))).alias("b")), of)
+
+    text = F.trim(F.regexp_replace(F.make_valid_utf8(link), r"[\r\n\t\x00]", ""))
+    return let(F.when(F.length(text) <= LINK_CHARACTERS, text), lambda t: let(clean(t), lead))
 
 
 def base_address(html: Column, page: Column) -> Column:

@@ -170,3 +170,19 @@ def src13(spark, sf_dir):
         "page_id", "a.error", m["occurrences"]["from"].alias("senders"), value("subject").alias("subject"), F.length(value("to")).cast("long").alias("to_bytes"), F.length(value("reply-to")).cast("long").alias("reply_characters"),
         m["truncated"].alias("truncated"), F.md5(m["body"]).alias("body"), m["archive_truncated"].alias("archive_truncated"),
     )
+
+
+#: Links of pages in turn, against the page's own address, which is cut to its parts.
+LINK = r"""CASE CAST(page_id % 12 AS INT) WHEN 0 THEN concat('x', CAST(page_id AS STRING), '.html') WHEN 1 THEN concat('../../', CAST(page_id AS STRING), '/./y/') WHEN 2 THEN concat(' /top', CAST(page_id AS STRING), '?a=1#f ') WHEN 3 THEN concat('?p=', CAST(page_id AS STRING))
+ WHEN 4 THEN concat('#s', CAST(page_id AS STRING)) WHEN 5 THEN concat('//o', CAST(page_id AS STRING), '.example/a/../b') WHEN 6 THEN concat('HTTPS://O.example/', CAST(page_id AS STRING)) WHEN 7 THEN concat('javascript:', CAST(page_id AS STRING)) WHEN 8 THEN concat('a', CAST(page_id AS STRING), ':b/c%zz')
+ WHEN 9 THEN concat('mailto:p', CAST(page_id AS STRING), '@h.example') WHEN 10 THEN concat('/a', char(7), CAST(page_id AS STRING), char(9)) ELSE '' END"""
+
+
+@query("l9_resolved_links", r"""
+WITH p AS (SELECT page_id, page_id % 12 AS k, CAST(page_id AS VARCHAR) AS i, regexp_extract(url, '^https?://[^/?#]+') AS site, regexp_extract(url, '^(https?:)', 1) AS scheme, regexp_extract(url, '^https?://[^/?#]+([^?#]*)', 1) AS path, regexp_extract(url, '\?[^#]*') AS query FROM pages),
+f AS (SELECT *, list_slice(string_split(path, '/'), 2, -2) AS folders FROM p),
+u AS (SELECT *, array_to_string(list_concat([''], list_slice(folders, 1, greatest(len(folders) - 2, 0))), '/') AS above FROM f)
+SELECT page_id, CASE k WHEN 0 THEN site || regexp_replace(path, '[^/]*$', '') || CASE WHEN path = '' THEN '/' ELSE '' END || 'x' || i || '.html' WHEN 1 THEN site || above || '/' || i || '/y/' WHEN 2 THEN site || '/top' || i || '?a=1#f' WHEN 3 THEN site || path || '?p=' || i WHEN 4 THEN site || path || query || '#s' || i
+ WHEN 5 THEN scheme || '//o' || i || '.example/b' WHEN 6 THEN 'https://O.example/' || i WHEN 9 THEN 'mailto:p' || i || '@h.example' WHEN 10 THEN site || '/a%07' || i END AS target FROM u""".replace("\\\\", "\\"))
+def l9(spark, sf_dir):
+    return c.table(spark, sf_dir, "pages").select("page_id", headers.resolved(F.expr(LINK), F.col("url")).alias("target"))

@@ -215,3 +215,12 @@ def test_bounds_certify_only_the_nearest(seed, size, rounds):
         rows = np.arange(50)
         assert (bounds.upper >= true[rows, bounds.cluster]).all()
         assert (bounds.lower <= np.take_along_axis(true, bounds.near, 1)).all()
+
+
+def test_files_of_the_index_hold_few_blocks(spark):
+    from vetspan.llm import search as s
+
+    docs = spark.range(s.FILE_BLOCKS + 2).coalesce(1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("word "), s.BLOCK_BYTES // 5 + 1).alias("text"))
+    index = s.build_index(docs)
+    files = index.blocks.groupBy(F.input_file_name().alias("file")).count().collect()
+    assert sorted(f["count"] for f in files) == [2, s.FILE_BLOCKS]

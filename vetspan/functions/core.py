@@ -1,12 +1,20 @@
-"""Building blocks of Column expressions."""
+"""Building blocks of Column expressions and of Python tasks."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
+
+
+def small_batches(df: DataFrame) -> DataFrame:
+    """The same rows; from now on the session sends Python at most BATCH_BYTES (or one row) at once, whatever the lengths of texts."""
+    df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
+    return df
+
 
 def let(value: Column, use: Callable[[Column], Column]) -> Column:
     """use(value) with the value computed once; inside lambdas Spark computes a repeated expression each time it stands there."""

@@ -15,6 +15,8 @@ from .shared import part_files, plain_texts, plain_word_counts, read_part, small
 
 #: Bytes of texts in one block of the index, or one text.
 BLOCK_BYTES = 4 << 20
+#: Blocks in one file of the index, which is what a task holds at once while it writes or reads them.
+FILE_BLOCKS = 8
 #: Bytes of item texts, and items, that one pass over the index searches for.
 ITEM_BYTES, PASS_ITEMS = 2 << 20, 5_000
 #: Postings, and (item, document) places, that a task scores at once.
@@ -104,7 +106,7 @@ def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 yield block_row(batch.column("id").slice(start, 1 << 16), slice_.slice(start, 1 << 16), impacts, texts, words)
 
     rows = small_batches(docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")))
-    return Index(written(rows.mapInArrow(run, INDEX), "search-index"), texts, words, impacts)
+    return Index(written(rows.mapInArrow(run, INDEX), "search-index", FILE_BLOCKS), texts, words, impacts)
 
 
 def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,6 +15,8 @@ import pyarrow.parquet as pq
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.core import BATCH_BYTES, BATCH_KEY, small_batches  # noqa: F401
+
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 
 
@@ -38,10 +40,14 @@ def fresh_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/vetspan/{label}-{uuid.uuid4().hex[:12]}"
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Cut lineage: write the rows to the shared folder as Parquet and read them again."""
+def written(df: DataFrame, label: str, file_rows: int = 0) -> DataFrame:
+    """Cut lineage: write the rows to the shared folder as Parquet and read them again.
+
+    Rows of megabytes need file_rows, the most rows of a file: Parquet's writer looks at its size only every hundred rows,
+    and its reader decodes up to 4,096 rows of a file at once. 0 sets no bound.
+    """
     path = fresh_path(df.sparkSession, label)
-    df.write.parquet(path)
+    df.write.option("maxRecordsPerFile", file_rows).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -75,15 +81,6 @@ def skewed_join(left: DataFrame, right: DataFrame, on: list[str], size_col: str,
     return left.join(F.broadcast(hot), on).unionByName(rest)
 
 
-BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
-
-
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows; from now on the session sends Python at most BATCH_BYTES (or one row) at once, whatever the lengths of texts."""
-    df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
-    return df
-
-
 def give_back() -> None:
     """Return freed memory to the system; workers outlive their tasks, and glibc would keep what numpy and Python freed."""
     pa.default_memory_pool().release_unused()

@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vetspan.functions import addresses, numbers, text
-from vetspan.operators import attachments, evidence, headers, policy
+from vetspan.operators import attachments, blocklist, evidence, headers, policy
 
 
 def each(spark, values, *columns, kind="string"):
@@ -273,3 +273,15 @@ def test_modes_and_reasons(spark):
     assert each(spark, ["reject", "accept"], policy.in_mode(F.col("v"), "accept"), policy.in_mode(F.col("v"), "enforce")) == [("accept", "reject"), ("accept", "accept")]
     why = policy.primary_reason(F.col("v"), F.lit(0.25), F.lit("1px"))
     assert [tuple(r) for r in each(spark, [0, 1, 6, 24, 16, 160, 128], why, kind="int")] == [("display:none", ""), ("display:none", ""), ("visibility:hidden", ""), ("opacity", "0.25"), ("font-size", "1px"), ("color-match", ""), ("content-visibility:hidden", "")]
+
+
+@pytest.mark.parametrize("broadcast", [0, 200_000])
+def test_rules_of_one_domain_cost_a_message_what_it_asks(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(blocklist, "BROADCAST_SCOPES", broadcast)
+    messages = spark.createDataFrame([(1, "A@m.x.example", ["r1", "r5000", "r1"]), (2, "b@x.example", ["q"]), (3, "c@other", ["r1"]), (4, None, ["r1"])], "id long, sender string, recipients array<string>")
+    many = spark.range(2000).select(F.concat(F.lit("r"), "id").alias("recipient"), F.lit(2).alias("sender_kind"), F.lit("x.example").alias("sender_value"), F.lit(10).alias("expires_at_ms"))
+    exact = spark.createDataFrame([("z", 1, "a@m.x.example", 10), ("*", 1, "b@x.example", 10), ("*", 2, "other", 5), (None, 2, "other", 10)], "recipient string, sender_kind int, sender_value string, expires_at_ms int")
+    rules = many.union(many).unionByName(exact)
+    assert blocklist.hits(messages, rules, 5).groupBy("id").count().orderBy("id").collect() == [(1, 3), (2, 3), (3, 1)]
+    found = blocklist.matches(messages, rules, 5).orderBy("id").collect()
+    assert [(r.id, r.blocked, r.matched_kind) for r in found] == [(1, ["r1"], 1), (2, ["q"], 1)]

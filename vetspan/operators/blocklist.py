@@ -23,22 +23,43 @@ def pattern_value(pattern: Column) -> Column:
     return F.lower(F.when(pattern_kind(pattern) == DOMAIN, F.substring(pattern, F.lit(3), F.length(pattern))).otherwise(pattern))
 
 
-def candidates(messages: DataFrame, include_subdomains: bool = True) -> DataFrame:
-    """id, sender_kind, sender_value that rules may name: the sender, its domain, and the parents of that."""
+def candidates(messages: DataFrame, include_subdomains: bool = True, *more: str) -> DataFrame:
+    """id, sender_kind, sender_value that rules may name (the sender, its domain, and the parents of that), and columns `more`."""
     domain = domain_of(F.col("sender"))
     names = parent_domains(domain) if include_subdomains else F.array(domain)
     both = F.concat(F.array(F.struct(F.lit(EXACT).alias("k"), F.lower("sender").alias("v"))), F.transform(names, lambda d: F.struct(F.lit(DOMAIN).alias("k"), d.alias("v"))))
-    return messages.select("id", F.explode(both).alias("c")).select("id", F.col("c.k").alias("sender_kind"), F.col("c.v").alias("sender_value"))
+    return messages.select("id", *more, F.explode(both).alias("c")).select("id", F.col("c.k").alias("sender_kind"), F.col("c.v").alias("sender_value"), *more)
+
+
+#: So many scopes of live rules, or fewer, are broadcast.
+BROADCAST_SCOPES = 200_000
+
+
+def hits(messages: DataFrame, rules: DataFrame, now_ms: int, include_subdomains: bool = True) -> DataFrame:
+    """id, sender_kind, any, scope of what messages ask for and live rules answer.
+
+    A message asks, for each name of its sender, for any rule, for one for "*" and for one for each of its
+    recipients, and is joined with distinct rules by all of these: it costs as many rows as that, however many
+    rules name its sender. Live rules are counted by a job while the result is declared.
+    """
+    keys = ["sender_kind", "sender_value", "any", "scope"]
+    asks = lambda any_, scope: F.struct(F.lit(any_).alias("any"), scope.alias("scope"))
+    named = live(rules, now_ms).select("sender_kind", "sender_value", F.inline(F.array(asks(True, F.lit("")), asks(False, F.col("recipient"))))).distinct()
+    if named.limit(BROADCAST_SCOPES + 1).count() <= BROADCAST_SCOPES:
+        named = F.broadcast(named)
+    own = messages.select("id", F.transform(F.array_distinct("recipients"), lambda r: asks(False, r)).alias("own"), "sender")
+    asked = candidates(own, include_subdomains, "own").select("id", "sender_kind", "sender_value", F.inline(F.concat(F.array(asks(True, F.lit("")), asks(False, F.lit("*"))), "own")))
+    return asked.join(named, keys).select("id", "sender_kind", "any", "scope")
 
 
 def matches(messages: DataFrame, rules: DataFrame, now_ms: int, include_subdomains: bool = True) -> DataFrame:
     """id, blocked (sorted recipients), matched_kind, of the messages id, sender, recipients that a live rule meets.
 
-    Candidates are joined with rules by kind and value, so a message costs as many rows as its sender
-    has parent domains. A rule for "*" blocks all recipients. An exact rule is reported before a domain rule.
+    Ids are unique. A rule for "*" blocks all recipients. An exact rule is reported before a domain rule,
+    also where it is for others.
     """
-    hits = candidates(messages, include_subdomains).join(live(rules, now_ms).select("sender_kind", "sender_value", "recipient"), ["sender_kind", "sender_value"])
-    scopes = hits.groupBy("id").agg(F.collect_set("recipient").alias("scopes"), F.min("sender_kind").alias("matched_kind"))
+    found = hits(messages, rules, now_ms, include_subdomains)
+    scopes = found.groupBy("id").agg(F.collect_set(F.when(~F.col("any"), F.col("scope"))).alias("scopes"), F.min("sender_kind").alias("matched_kind"))
     blocked = F.array_sort(F.array_distinct(F.when(F.array_contains("scopes", "*"), F.col("recipients")).otherwise(F.array_intersect("recipients", "scopes"))))
     met = messages.join(scopes, "id").withColumn("blocked", blocked)
     return met.filter(F.size("blocked") > 0).select("id", "sender", "recipients", "blocked", "matched_kind")

@@ -64,10 +64,10 @@ def rolling_strikes(strikes: DataFrame, policy: ReputationPolicy, bucket_ms: int
     return counted.select("row.*", F.least(F.col("start") + F.col("inside"), F.lit(policy.repeat_strikes)).cast("long").alias("strikes"))
 
 
-def active_blocks(reputation: DataFrame, strikes: DataFrame, now_ms: int) -> DataFrame:
-    """ip, block_level, blocked_until_ms and strike_count of the addresses blocked at the clock; strikes are summed before the join."""
+def active_blocks(reputation: DataFrame, strikes: DataFrame, now_ms: int, *more: str) -> DataFrame:
+    """ip, block_level, blocked_until_ms, strike_count and columns `more` of the rows blocked at the clock; strikes are summed before the join."""
     blocked = reputation.filter(F.col("blocked_until_ms") > now_ms)
-    return blocked.join(strike_counts(strikes), "ip", "left").select("ip", "block_level", "blocked_until_ms", F.coalesce("strikes", F.lit(0)).alias("strike_count"))
+    return blocked.join(strike_counts(strikes), "ip", "left").select("ip", "block_level", "blocked_until_ms", F.coalesce("strikes", F.lit(0)).alias("strike_count"), *more)
 
 
 def with_current_strike(reputation: DataFrame, strikes: DataFrame, policy: ReputationPolicy, now_ms: int) -> DataFrame:

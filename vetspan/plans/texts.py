@@ -292,7 +292,7 @@ OKLAB = f"SELECT p_partkey, cbrt(0.4122214708 * r + 0.5363325363 * g + 0.0514459
 def h24(spark, sf_dir):
     code = F.concat(F.lit("#"), F.lpad(F.lower(F.hex((F.col("p_partkey") * 7919 % 16777216).cast("long"))), 6, "0"))
     colour = numbers.hex_colour(code)
-    white = numbers.oklab(numbers.hex_colour(F.lit("#fff")))
+    white = F.struct(*[F.lit(x).alias(n) for n, x in (("l", 1.0), ("a", 0.0), ("b", 0.0))])  # by definition; the matrices' ten digits give 1 - 6e-9
     rows = c.table(spark, sf_dir, "part").select("p_partkey", numbers.oklab(colour).alias("lab"), white.alias("white"))
     away = numbers.lab_distance(F.col("lab"), F.col("white"))
     return rows.select("p_partkey", F.round(away, 3).alias("distance"), numbers.colour_concealed(away, 0.2).alias("near"))

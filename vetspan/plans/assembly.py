@@ -98,7 +98,8 @@ counts AS (SELECT id, count(*) AS n FROM images JOIN wanted USING (id) WHERE wan
 SELECT w.id, coalesce(chosen, '') AS chosen, CAST(coalesce(k.n, 0) - coalesce(x.n, 0) AS BIGINT) AS omitted FROM wanted w LEFT JOIN chosen x USING (id) LEFT JOIN counts k USING (id)""")
 def m16(spark, sf_dir):
     """Order lines as images of varying size and kind; every order refers to one Content-ID."""
-    images = c.table(spark, sf_dir, "lineitem").selectExpr(*IMAGE.split(", ")).withColumn("content_id", F.expr("'<C' || CAST(cid AS STRING) || '>'")).withColumn("media_type", F.when(F.col("cid") != 4, "image/png"))
+    whole = IMAGE.replace("CAST(l_extendedprice AS", "CAST(rint(l_extendedprice) AS").replace("CAST(l_quantity * 40 AS", "CAST(rint(l_quantity * 40) AS").replace("CAST(l_discount * 10000 AS", "CAST(rint(l_discount * 10000) AS")  # DuckDB's casts round, Spark's cut
+    images = c.table(spark, sf_dir, "lineitem").selectExpr(*whole.split(", ")).withColumn("content_id", F.expr("'<C' || CAST(cid AS STRING) || '>'")).withColumn("media_type", F.when(F.col("cid") != 4, "image/png"))
     content = c.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr("array('c' || CAST(o_orderkey % 5 AS STRING))").alias("image_refs"), (F.col("o_custkey") % 800).alias("confident"))
     found = assembly.choose_images(content, images, IMAGES)
     return found.select("id", F.array_join(F.transform("chosen", lambda x: x.cast("string")), ",").alias("chosen"), F.col("omitted").cast("long").alias("omitted"))

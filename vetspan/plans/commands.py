@@ -105,9 +105,10 @@ def c6(spark, sf_dir):
 
 @query("st4_st5_manual_blocks", sql("SELECT ip, 'repeat' AS block_level FROM {reputation} WHERE id % 5 = 0 AND id % 7 <> 0 UNION ALL SELECT ip, block_level FROM {reputation} WHERE id % 5 <> 0 AND id % 7 <> 0"))
 def st4(spark, sf_dir):
+    """A row of the state is a user's: from 64,000 users on some share an address."""
     rows = c.reputation(spark, sf_dir)
     manual = rows.filter("id % 5 = 0").withColumns({"block_level": F.lit("repeat"), "blocked_until_ms": F.lit(EVENTS_NOW + BLOCKS.repeat_ms).cast("long")})
-    return retention.upsert(rows, manual, ["ip"], "last_activity_at_ms").filter("id % 7 <> 0").select("ip", "block_level")
+    return retention.upsert(rows, manual, ["id"], "last_activity_at_ms").filter("id % 7 <> 0").select("ip", "block_level")
 
 
 @query("st10_st11_manual_trust", sql("SELECT id, CASE WHEN id % 4 = 0 THEN 'manual' ELSE whitelist_type END AS whitelist_type FROM {correspondents} WHERE NOT (local_address = 's3@in.example' AND id % 2 = 0)"))

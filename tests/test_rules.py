@@ -285,3 +285,10 @@ def test_rules_of_one_domain_cost_a_message_what_it_asks(spark, monkeypatch, bro
     assert blocklist.hits(messages, rules, 5).groupBy("id").count().orderBy("id").collect() == [(1, 3), (2, 3), (3, 1)]
     found = blocklist.matches(messages, rules, 5).orderBy("id").collect()
     assert [(r.id, r.blocked, r.matched_kind) for r in found] == [(1, ["r1"], 1), (2, ["q"], 1)]
+
+
+def test_message_parts_come_in_small_batches(spark):
+    spark.conf.unset("spark.sql.execution.arrow.maxBytesPerBatch")
+    parts = evidence.message_parts(spark.range(3).select("id", F.encode(F.lit("\r\nhello"), "UTF-8").alias("content")))
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
+    assert [r.text for r in parts.collect()] == ["hello"] * 3

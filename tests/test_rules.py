@@ -14,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from vetspan.functions import addresses, numbers, text
-from vetspan.operators import attachments, blocklist, evidence, headers, policy
+from vetspan.operators import attachments, blocklist, correspondents, evidence, headers, policy
 
 
 def each(spark, values, *columns, kind="string"):
@@ -292,3 +292,12 @@ def test_message_parts_come_in_small_batches(spark):
     parts = evidence.message_parts(spark.range(3).select("id", F.encode(F.lit("\r\nhello"), "UTF-8").alias("content")))
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(8 << 20)
     assert [r.text for r in parts.collect()] == ["hello"] * 3
+
+
+def test_known_pairs_are_looked_up_without_being_summed_up(spark, capsys):
+    rows = spark.createDataFrame([("r1", "a", "manual", 0, 5), ("r1", "a", "manual", 0, 6), ("r2", "a", "manual", 0, 5)], "local_address string, correspondent string, whitelist_type string, legitimate_email_count int, last_activity_at_ms long")
+    messages = spark.createDataFrame([(1, "a", ["r1", "r2", "r1"]), (2, "a", ["r1", "q"]), (3, "b", ["r1"]), (4, "a", []), (5, "a", None)], "id long, sender string, recipients array<string>")
+    found = correspondents.match(messages, rows, correspondents.TrustPolicy(), 5)
+    assert sorted(map(tuple, found.collect())) == [(1, 2, True), (2, 1, False), (3, 0, False)]
+    found.explain()
+    assert "keys=[recipient" not in capsys.readouterr().out

@@ -52,11 +52,15 @@ def presence(rows: DataFrame, policy: TrustPolicy, now_ms: int) -> DataFrame:
 
 
 def match(messages: DataFrame, rows: DataFrame, policy: TrustPolicy, now_ms: int) -> DataFrame:
-    """id, matched and all_matched of messages id, sender, recipients: how many recipients know the sender."""
+    """id, matched and all_matched of messages id, sender, recipients: how many recipients know the sender.
+
+    Known pairs are only looked up, so repeated ones needn't be summed up before; recipients are counted apart from that.
+    """
     known = rows.filter(qualified_active(policy, now_ms)).select(F.col("local_address").alias("recipient"), F.col("correspondent").alias("sender"))
     asked = messages.select("id", "sender", F.explode(F.array_distinct("recipients")).alias("recipient"))
-    hits = asked.join(known.distinct().withColumn("hit", F.lit(1)), ["sender", "recipient"], "left")
-    return hits.groupBy("id").agg(F.count("hit").alias("matched"), (F.count("hit") == F.count(F.lit(1))).alias("all_matched"))
+    hits = asked.join(known, ["sender", "recipient"], "left_semi").select("id", F.lit(1).alias("hit"), F.lit(0).alias("asked"))
+    all_ = messages.select("id", F.lit(0).alias("hit"), F.size(F.array_distinct("recipients")).alias("asked")).filter("asked > 0")
+    return hits.unionByName(all_).groupBy("id").agg(F.sum("hit").alias("matched"), (F.sum("hit") == F.sum("asked")).alias("all_matched"))
 
 
 def learning_action(verdict: Column, score: Column, unwanted_min: float, authenticated: Column, policy: TrustPolicy) -> Column:

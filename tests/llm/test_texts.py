@@ -341,6 +341,26 @@ def test_toxicity_keeps_telling_terms(spark):
     assert len(model.vocab) == 3000
 
 
+def test_telling_terms_outweigh_topics(spark, tmp_path):
+    """A toxic text holds three of thirty abusive words among 80 words of its topic; the pipeline drops those that it hasn't learnt from, and no clean one."""
+    import corpus_pipeline as p
+
+    rnd = np.random.default_rng(11)
+    rows, labels = [], []
+    for i in range(1500):
+        own = [f"t{i % 20}x{x}" for x in rnd.integers(0, 60, 80)]
+        if toxic := rnd.random() < 0.12:
+            own[10:40:10] = [f"vile{x}" for x in rnd.integers(0, 30, 3)]
+        rows.append((i, " ".join(own)))
+        labels.append((i, int(toxic)))
+    spark.createDataFrame(labels, "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in p.drop_toxic(spark, docs, str(tmp_path)).collect()}
+    new = {r.doc_id for r in docs.filter(toxicity.held_out()).collect()}
+    toxic = {i for i, y in labels if y and i in new}
+    assert len(toxic) > 20 and len(toxic - kept) >= 0.95 * len(toxic) and new - toxic <= kept
+
+
 def test_wrapped_licences(spark):
     import textwrap
 

@@ -43,9 +43,9 @@ def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return records.select(F.col("record_id").alias("page_id"), size.alias("payload_bytes"), digest.alias("payload_digest"), "record_type", "refers_to")
 
 
-def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.ToxicityModel:
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str, settings: toxicity.ToxicitySettings = toxicity.ToxicitySettings()) -> toxicity.ToxicityModel:  # noqa: B008
     labels = table(spark, sf_dir, "labels").select("doc_id", "toxic").filter(~toxicity.held_out())
-    return toxicity.fit(docs, labels)
+    return toxicity.fit(docs, labels, settings)
 
 
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -28,6 +28,8 @@ class ToxicitySettings:
     block: int = 64
     #: Weight of the base rate among the votes.
     prior: float = 0.05
+    #: How much more than by idf a term counts that tells the classes of the examples apart, for each unit of log odds; 0: by idf alone.
+    telling: float = 0.0
 
 
 #: The index holds the most frequent terms, up to so many, as columns and the others as lists; this changes no result.
@@ -176,6 +178,7 @@ class BlockMaxIndex:
 @dataclass
 class ToxicityModel:
     vocab: list[str] = field(default_factory=list)
+    #: Weight of each term: idf, raised by the settings' `telling`.
     idf: np.ndarray = field(default_factory=lambda: np.zeros(0))
     index: BlockMaxIndex | None = None
     labels: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
@@ -228,6 +231,15 @@ def _platt(votes: np.ndarray, labels: np.ndarray, weights: np.ndarray) -> tuple[
     return max(float(a), 0.1), float(b)
 
 
+def _strengths(found: np.ndarray, ones: np.ndarray, drawn: dict[int, int]) -> np.ndarray:
+    """By how much the log odds that a text holds a term differ between the classes, less two standard errors; 0 at least.
+
+    Terms of a few examples say nothing surely and get 0, so an example's own label hardly weighs its own terms.
+    """
+    a, b, c, d = ones + 0.5, found - ones + 0.5, drawn[1] - ones + 0.5, drawn[0] - found + ones + 0.5
+    return np.maximum(0, np.abs(np.log(a * d / (b * c))) - 2 * np.sqrt(1 / a + 1 / b + 1 / c + 1 / d))
+
+
 def _document_frequencies(docs: DataFrame, vocab: list[str], text_col: str) -> tuple[int, np.ndarray]:
     """Number of rows, and of rows with each term, over all rows; a task sends at most one row per term and slice."""
 
@@ -254,7 +266,7 @@ def fit(docs: DataFrame, labelled: DataFrame, settings: ToxicitySettings = Toxic
 
     Null labels and other values than 0 and 1 are left out. At most settings.examples rows per class are
     fitted on, all of them and all of their terms are indexed, and document frequencies are over all rows
-    of `docs`. A row that stands there more than once is as many examples. Without examples of both
+    of `docs`. With settings.telling a term counts the more, the more surely its presence in the examples goes with one class. A row that stands there more than once is as many examples. Without examples of both
     classes the score is the share of label 1 among the labelled rows, 0 without any.
     """
     rows = labelled.select(F.col(id_col).alias("vs_id"), F.col(label_col).cast("int").alias("label")).filter("label IN (0, 1) AND vs_id IS NOT NULL")
@@ -272,17 +284,23 @@ def fit(docs: DataFrame, labelled: DataFrame, settings: ToxicitySettings = Toxic
 
     def terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_kept("toxicity")
-        for _, own in text_slices(batches, "text", SLICE_BYTES):
-            yield pa.RecordBatch.from_arrays([term_counts(own, None)[3].cast(pa.string())], ["term"])
+        for batch, own in text_slices(batches, "text", SLICE_BYTES):
+            rows, terms, _, names = term_counts(own, None)
+            ones = terms[batch.column("label").to_numpy()[rows] == 1]
+            yield pa.RecordBatch.from_arrays([names.cast(pa.string()), *[pa.array(np.bincount(t, minlength=len(names)), pa.int64()) for t in (terms, ones)]], ["term", "n", "ones"])
 
     drawn = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if not drawn.get(0) or not drawn.get(1):
         return model
-    model.vocab = sorted(small_batches(sample).mapInArrow(terms, "term string").filter("term <> ''").distinct().toArrow()["term"].to_pylist())  # those of at most 2 * settings.examples texts
+    known = small_batches(sample).mapInArrow(terms, "term string, n long, ones long").filter("term <> ''")
+    known = known.groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow().sort_by("term")  # the terms of at most 2 * settings.examples texts
+    model.vocab = known["term"].to_pylist()
     if not model.vocab:
         return model
     n_docs, df = _document_frequencies(docs, model.vocab, text_col)
     model.idf = np.log((1 + n_docs) / (1 + df)) + 1
+    if settings.telling:
+        model.idf *= 1 + settings.telling * _strengths(known["n"].to_numpy(), known["ones"].to_numpy(), drawn)
     return _index(model, sample, totals, drawn)
 
 

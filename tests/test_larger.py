@@ -4,6 +4,7 @@ import duckdb
 import pytest
 
 from vetspan import plans
+from vetspan.operators import blocklist
 
 FIRST = "TIMESTAMP '2024-01-02 03:04:05'"
 #: Users 64,000 apart share an address; of these pairs one at most is blocked, so no order is left open.
@@ -33,3 +34,16 @@ def test_query(name, tables, spark, tmp_path):
     found = con.sql(plans.oracle_sql()[name])
     rows = plans.queries()[name](spark, str(tmp_path)).select(found.columns).collect()
     assert len(rows) > 0 and sorted(map(tuple, rows), key=repr) == sorted(found.fetchall(), key=repr)
+
+
+def test_trust_is_made_once(spark, data):
+    """The conflicts read the trust five times; the join and grouping that make it are none of them."""
+    files = plans.queries()["st21_conflicts_both_ways"](spark, data).inputFiles()
+    assert files and all("/vetspan/trust-" in f for f in files)
+
+
+def test_only_exact_rules_are_looked_up(spark):
+    rules = spark.createDataFrame([(1, "a", 1, "x"), (2, "a", 2, "x"), (3, "a", None, "x"), (4, "b", 1, "x"), (5, None, 1, "x"), (6, "a", 1, "x")], "id long, recipient string, sender_kind int, sender_value string")
+    trust = spark.createDataFrame([("a", "x"), ("a", "x"), (None, "x")], "local_address string, correspondent string")
+    left = blocklist.without_rules(rules, trust)
+    assert left.columns == rules.columns and sorted(r.id for r in left.collect()) == [2, 3, 4, 5]

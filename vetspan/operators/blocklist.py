@@ -80,6 +80,8 @@ def without_trust(correspondents: DataFrame, rules: DataFrame, now_ms: int) -> D
 
 
 def without_rules(rules: DataFrame, correspondents: DataFrame) -> DataFrame:
-    """Rules left when trust is given: it removes the exact rule of the same recipient and sender."""
-    pairs = correspondents.select(F.col("local_address").alias("recipient"), F.col("correspondent").alias("sender_value"), F.lit(EXACT).alias("sender_kind"))
-    return rules.join(pairs, ["recipient", "sender_value", "sender_kind"], "left_anti").select(rules.columns)
+    """Rules left when trust is given: it removes the exact rule of the same recipient and sender. Others aren't looked up; both parts read the rules."""
+    pairs = correspondents.select(F.col("local_address").alias("recipient"), F.col("correspondent").alias("sender_value"))
+    exact = F.coalesce(F.col("sender_kind") == EXACT, F.lit(False))
+    left = rules.filter(exact).join(pairs, ["recipient", "sender_value"], "left_anti").select(rules.columns)
+    return left.union(rules.filter(~exact))

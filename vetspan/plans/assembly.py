@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import activity as act
 from ..operators import assembly, blocklist, correspondents, domains, histories, maintenance, reputation
+from ..sources.tables import stored
 from . import carriers as c
 from .carriers import DAY, ORDERS_NOW, sql
 
@@ -229,8 +230,8 @@ WITH rules AS (SELECT id, {MADE}, {EXPIRES} FROM {{correspondents}} WHERE id % 7
 SELECT 'trust' AS kind, local_address AS address, count(*) AS n FROM {{correspondents}} t WHERE NOT EXISTS (SELECT 1 FROM exact e WHERE e.expires_at_ms > {{orders_now}} AND e.sender_value = t.correspondent AND (e.recipient = '*' OR e.recipient = t.local_address)) GROUP BY local_address
 UNION ALL SELECT 'rules', recipient, count(*) FROM rules r WHERE NOT EXISTS (SELECT 1 FROM (SELECT * FROM {{correspondents}} WHERE id % 5 = 0) t WHERE r.sender_kind = 1 AND r.recipient = t.local_address AND r.sender_value = t.correspondent) GROUP BY recipient"""))
 def st21(spark, sf_dir):
-    """What is left of all trust beside rules against some of it, and of those rules when a part of the trust is given anew."""
-    known = c.correspondents(spark, sf_dir)
+    """What is left of all trust beside rules against some of it, and of those rules when a part of the trust is given anew; the trust is read five times, so it is written once."""
+    known = stored(c.correspondents(spark, sf_dir).select("id", "local_address", "correspondent"), "trust")
     rules = known.filter("id % 7 = 0").selectExpr("id", *MADE.split(", "), EXPIRES)
     trust = blocklist.without_trust(known, rules, ORDERS_NOW).groupBy(F.lit("trust").alias("kind"), F.col("local_address").alias("address")).agg(F.count(F.lit(1)).alias("n"))
     left = blocklist.without_rules(rules, known.filter("id % 5 = 0"))

@@ -24,7 +24,7 @@ def shared_folder(spark: SparkSession) -> str:
 def stored(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: the rows as a new Parquet table of the shared folder, read again."""
     path = f"{shared_folder(df.sparkSession)}/vetspan/{label}-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -179,3 +179,22 @@ def test_op9_and_op10_against_brute_force(spark, data):
     for r in queries.op10_exact_dedup(spark, data).collect():
         own = groups[docs[r.doc_id] or ""]
         assert tuple(r) == (r.doc_id, max(own), len(own), r.doc_id == max(own), hashlib.sha256((docs[r.doc_id] or "").encode()).hexdigest())
+
+
+def test_tasks_of_near_copies_start_empty_and_send_little_at_once(spark, monkeypatch):
+    from vetspan.llm import shared
+
+    text = " ".join(f"w{i}" for i in range(20_000))
+    docs = spark.createDataFrame([(i, f"{text} {i}") for i in range(80)], "doc_id long, text string").coalesce(1)
+    caught, dropped = [], []
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a, **b: caught.append(run) or real(self, run, *a, **b))
+    signed = near_dedup.signatures(docs, near_dedup.Similarity())
+    monkeypatch.undo()
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(2 << 20)
+    assert signed.count() == 80
+    shared.keep_for("packing", lambda: dropped.append(1))
+    ids, texts = (pa.array([r[c] for r in docs.collect()]) for c in ("doc_id", "text"))
+    out = list(caught[0](iter([pa.RecordBatch.from_arrays([ids, texts], ["doc_id", "text"])])))
+    assert dropped == [1]
+    assert sum(b.num_rows for b in out) == 80 and max(b.num_rows for b in out) * len(text) <= 2 << 20

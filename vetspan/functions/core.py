@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 8 << 20
 
 
-def small_batches(df: DataFrame) -> DataFrame:
-    """The same rows; from now on the session sends Python at most BATCH_BYTES (or one row) at once, whatever the lengths of texts."""
-    df.sparkSession.conf.set(BATCH_KEY, str(BATCH_BYTES))
+def small_batches(df: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
+    """The same rows; from now on the session sends Python about `limit` bytes (or one row) at once, whatever the lengths of texts."""
+    df.sparkSession.conf.set(BATCH_KEY, str(limit))
     return df
 
 

@@ -13,11 +13,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import skewed_join, small_batches, split_words, text_slices, written
+from .shared import drop_kept, skewed_join, small_batches, split_words, text_slices, written
 
 #: Candidates' ids are broadcast up to so many, shuffled beyond.
 BROADCAST_IDS = 200_000
 SKETCH_BITS = 512
+#: Bytes that Python gets at once and texts that are cut into shingles at once, or one row.
+SLICE_BYTES = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -123,8 +125,9 @@ def signatures(docs: DataFrame, rule: Similarity, id_col: str = "doc_id", text_c
     schema = T.StructType([T.StructField(n, k) for n, k in zip(("vs_id", "n_shingles", "set_a", "set_b", "bands", "sketch"), kinds, strict=True)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept("near_dedup")
         sampler = Sampler(rule)
-        for batch, texts in text_slices(batches, text_col):
+        for batch, texts in text_slices(batches, text_col, SLICE_BYTES):
             sets = shingle_sets(texts, rule.words)
             bands, sketches, a, b = [], [], [], []
             for own in sets:
@@ -136,7 +139,7 @@ def signatures(docs: DataFrame, rule: Similarity, id_col: str = "doc_id", text_c
                 sketches.append(sampler.odd_sketch(low) if len(own) else b"")
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([len(s) for s in sets], pa.int64()), pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(bands, pa.list_(pa.int64())), pa.array(sketches, pa.binary())], schema.names)
 
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col), SLICE_BYTES).mapInArrow(run, schema)
 
 
 SET_KEY = ["n_shingles", "set_a", "set_b"]
@@ -203,6 +206,7 @@ def _plausible(rule: Similarity):
     floor = rule.floor()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept("near_dedup")
         for group in _grouped(batches, ["key", "low", "high"]):
             m = group.num_rows
             if m < 2:
@@ -243,6 +247,7 @@ def _confirmed(rule: Similarity):
     """For each group: exact links between members of different components, as few as join what is joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept("near_dedup")
         for group in _grouped(batches, ["name"]):
             m = group.num_rows
             node, comp, block = (group[c].to_numpy() for c in ("node", "comp", "block"))
@@ -280,11 +285,12 @@ def _full_sets(docs: DataFrame, nodes: DataFrame, rule: Similarity, id_col: str,
     texts = docs.select(id_col, text_col).join(F.broadcast(wanted) if few else wanted, id_col, "left_semi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, own in text_slices(batches, text_col):
+        drop_kept("near_dedup")
+        for batch, own in text_slices(batches, text_col, SLICE_BYTES):
             yield pa.RecordBatch.from_arrays([batch.column(id_col), pa.array([s.tobytes() for s in shingle_sets(own, rule.words)], pa.binary())], ["node", "shingles"])
 
     # rows that share an id count as one document: the largest of their sets stands for it
-    found = small_batches(texts).mapInArrow(run, "node long, shingles binary")
+    found = small_batches(texts, SLICE_BYTES).mapInArrow(run, "node long, shingles binary")
     return written(found.groupBy("node").agg(F.max("shingles").alias("shingles")), "near-sets")
 
 
@@ -329,16 +335,18 @@ def links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str, text_
     floor, p = rule.floor(), rule.percent
 
     def sketched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept("near_dedup")
         for batch in batches:
             if batch.num_rows:
                 bits = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(batch.num_rows, -1) for c in ("sa", "sb")]
                 near = sketched_similarity(np.bitwise_count(bits[0] ^ bits[1]).sum(axis=1), rule.samples) >= floor
                 yield batch.select(["a", "b"]).filter(pa.array(near))
 
-    likely = written(small_batches(sized).mapInArrow(sketched, "a long, b long"), "near-pairs")
+    likely = written(small_batches(sized, SLICE_BYTES).mapInArrow(sketched, "a long, b long"), "near-pairs")
     full = _full_sets(docs, likely.select(F.col("a").alias("node")).union(likely.select("b")).distinct(), rule, id_col, text_col)
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_kept("near_dedup")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column("xa").to_pylist(), batch.column("xb").to_pylist(), strict=True):
@@ -349,7 +357,7 @@ def links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str, text_
 
     xa = full.select(F.col("node").alias("a"), F.col("shingles").alias("xa"))
     xb = full.select(F.col("node").alias("b"), F.col("shingles").alias("xb"))
-    stars = written(small_batches(likely.join(xa, "a").join(xb, "b")).mapInArrow(exact, "a long, b long"), "near-stars")
+    stars = written(small_batches(likely.join(xa, "a").join(xb, "b"), SLICE_BYTES).mapInArrow(exact, "a long, b long"), "near-stars")
 
     labels = connected(stars)
     placed = written(shared.filter("n > 2").join(labels, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("comp")), "near-placed")
@@ -359,11 +367,11 @@ def links(docs: DataFrame, sets: DataFrame, rule: Similarity, id_col: str, text_
     dealt = open_rows.withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
     dealt = dealt.select("key", "node", "comp", "n_shingles", "sketch", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
     dealt = dealt.repartition("key", "low", "high").sortWithinPartitions("key", "low", "high")
-    hits = small_batches(dealt).mapInArrow(_plausible(rule), "name long, node long, comp long, block int, apart boolean")
+    hits = small_batches(dealt, SLICE_BYTES).mapInArrow(_plausible(rule), "name long, node long, comp long, block int, apart boolean")
     hits = written(hits.dropDuplicates(["name", "node"]), "near-open")
     rest = _full_sets(docs, hits.select("node").distinct(), rule, id_col, text_col)
     groups = hits.join(rest, "node").repartition("name").sortWithinPartitions("name")
-    return written(stars.union(small_batches(groups).mapInArrow(_confirmed(rule), "a long, b long")), "near-links")
+    return written(stars.union(small_batches(groups, SLICE_BYTES).mapInArrow(_confirmed(rule), "a long, b long")), "near-links")
 
 
 def near_groups(docs: DataFrame, rule: Similarity = Similarity(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:  # noqa: B008

@@ -21,7 +21,7 @@ END_ID = 1
 CACHE_WORDS = 300_000
 #: New words that the tokenizer gets as one text.
 JOINED_WORDS = 64
-#: Text bytes that are tokenised together.
+#: Bytes that Python gets at once and texts that are tokenised together, or one row.
 SLICE_BYTES = 2 << 20
 #: Texts with other characters than these, or with marks of special tokens, are tokenised whole.
 PLAIN = r"[^\t\n\r\x20-\x7e\x{a1}-\x{12f}\x{132}-\x{148}\x{14a}-\x{17e}]|<\|"
@@ -231,4 +231,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id",
         if id_type is not None:
             yield rows(packer.finish())
 
-    return small_batches(docs.select(id_col, text_col)).mapInArrow(run, schema)
+    return small_batches(docs.select(id_col, text_col), SLICE_BYTES).mapInArrow(run, schema)

@@ -40,7 +40,7 @@ DECIMALS = 10
 POSTINGS = 1 << 18
 #: Texts that are compared with the index at once.
 AT_ONCE = 256
-#: Bytes of texts that are cut into words at once, or one text.
+#: Bytes that Python gets at once and texts that are cut into words at once, or one row.
 SLICE_BYTES = 2 << 20
 
 
@@ -254,7 +254,7 @@ def _document_frequencies(docs: DataFrame, vocab: list[str], text_col: str) -> t
         some = np.flatnonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int64()), pa.array(np.append(sums[some], total), pa.int64())], ["term", "n"])
 
-    found = small_batches(docs.select(text_col)).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most a row per term of the examples
+    found = small_batches(docs.select(text_col), SLICE_BYTES).mapInArrow(run, "term long, n long").groupBy("term").agg(F.sum("n").alias("n")).toArrow()  # at most a row per term of the examples
     term, n = (found[c].to_numpy() for c in ("term", "n"))
     out = np.zeros(len(vocab))
     out[term[term >= 0]] = n[term >= 0]
@@ -292,7 +292,7 @@ def fit(docs: DataFrame, labelled: DataFrame, settings: ToxicitySettings = Toxic
     drawn = {r[0]: r[1] for r in sample.groupBy("label").count().collect()}
     if not drawn.get(0) or not drawn.get(1):
         return model
-    known = small_batches(sample).mapInArrow(terms, "term string, n long, ones long").filter("term <> ''")
+    known = small_batches(sample, SLICE_BYTES).mapInArrow(terms, "term string, n long, ones long").filter("term <> ''")
     known = known.groupBy("term").agg(F.sum("n").alias("n"), F.sum("ones").alias("ones")).toArrow().sort_by("term")  # the terms of at most 2 * settings.examples texts
     model.vocab = known["term"].to_pylist()
     if not model.vocab:
@@ -317,7 +317,7 @@ def _index(model: ToxicityModel, sample: DataFrame, totals: dict[int, int], draw
             yield pa.RecordBatch.from_arrays([batch.column("vs_id"), batch.column("label"), *lists], ["vs_id", "label", "terms", "weights"])
 
     schema = T.StructType([sample.schema["vs_id"], sample.schema["label"], T.StructField("terms", T.ArrayType(T.LongType())), T.StructField("weights", T.ArrayType(T.DoubleType()))])
-    found = small_batches(sample).mapInArrow(vectors, schema).toArrow()  # the examples
+    found = small_batches(sample, SLICE_BYTES).mapInArrow(vectors, schema).toArrow()  # the examples
     found = found.sort_by([("vs_id", "ascending"), ("label", "ascending")]).combine_chunks()
     ids, labels = found["vs_id"].to_pylist(), found["label"].to_numpy().astype(np.int64)
     terms, weights = (pc.list_flatten(found[c]).to_numpy() for c in ("terms", "weights"))
@@ -363,7 +363,7 @@ def score_documents(docs: DataFrame, model: ToxicityModel, text_col: str = "text
             new = [pa.array(scores), pa.array((scores >= 0.5).astype(np.int32)), told]
             yield pa.RecordBatch.from_arrays([*[batch.column(f.name) for f in schema[: -len(added)]], *new], schema.names)
 
-    return small_batches(docs.select(schema.names[: -len(added)])).mapInArrow(run, schema)
+    return small_batches(docs.select(schema.names[: -len(added)]), SLICE_BYTES).mapInArrow(run, schema)
 
 
 def held_out(id_col: str = "doc_id") -> Column:
